@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseek.llm.common import table
+from sparkseek.llm.language_id import held_out, identify, train_prototypes
 from sparkseek.llm.licenses import scan_licenses
 from sparkseek.llm.line_dedup import dedup_lines
 from sparkseek.llm.mixing import mix
+from sparkseek.llm.quality import score_quality, train_quality
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -98,3 +100,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = dedup_lines(docs, min_chars=20, min_docs=3)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    apart = held_out("doc_id", 4, 2)
+    weights = train_quality(docs.where(~apart), table(spark, sf_dir, "labels").where(~apart).select("doc_id", "quality"))
+    scored = score_quality(docs, weights, keep=["doc_id"])
+    return scored.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    apart = held_out("doc_id", 5, 0)
+    prototypes = train_prototypes(docs.where(~apart))
+    found = identify(docs.select("doc_id", "text"), prototypes, keep=["doc_id"])
+    return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score")
