@@ -10,6 +10,7 @@ from sparkseek.llm.language_id import held_out, identify, train_prototypes
 from sparkseek.llm.licenses import scan_licenses
 from sparkseek.llm.line_dedup import dedup_lines
 from sparkseek.llm.mixing import mix
+from sparkseek.llm.ngram_join import jaccard_groups
 from sparkseek.llm.quality import score_quality, train_quality
 
 QUERIES: dict = {}
@@ -118,3 +119,28 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     prototypes = train_prototypes(docs.where(~apart))
     found = identify(docs.select("doc_id", "text"), prototypes, keep=["doc_id"])
     return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op7_jaccard_join",
+    r"""
+    WITH RECURSIVE split AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x20\x09-\x0D]+') AS w
+      FROM documents),
+    shingles AS (
+      SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS s FROM split),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    both_hold AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (
+      SELECT a, b FROM both_hold JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+    reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+    SELECT d.doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(b), d.doc_id)) AS component_id
+    FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id
+    """,
+)
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_groups(docs, width=4, num=85, den=100)
