@@ -12,6 +12,8 @@ from sparkseek.llm.line_dedup import dedup_lines
 from sparkseek.llm.mixing import mix
 from sparkseek.llm.ngram_join import jaccard_groups
 from sparkseek.llm.quality import score_quality, train_quality
+from sparkseek.llm.topk import quantised, top_k
+from sparkseek.llm.warc import archive_pages
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -144,3 +146,38 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_groups(docs, width=4, num=85, den=100)
+
+
+@query(
+    "op3_exact_topk",
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+)
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = quantised(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), factor=64)
+    found = top_k(vectors, vectors.where(F.col("id") % 20 == 0), k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query(
+    "op6_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+    largest AS (SELECT d, max(page_id) AS largest FROM p WHERE n >= 1000 GROUP BY d)
+    SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+           CASE WHEN largest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN largest <> page_id THEN largest END AS refers_to
+    FROM p LEFT JOIN largest USING (d)
+    """,
+)
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archive_pages(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=1000)
+    number = lambda c: F.col(c).cast("long").alias(c)
+    return records.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
