@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseek.llm.common import table
+from sparkseek.llm.decontaminate import contaminated
 from sparkseek.llm.language_id import held_out, identify, train_prototypes
 from sparkseek.llm.licenses import scan_licenses
 from sparkseek.llm.line_dedup import dedup_lines
@@ -181,3 +182,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = archive_pages(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=1000)
     number = lambda c: F.col(c).cast("long").alias(c)
     return records.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
+
+
+@query("op4_decontaminate")
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contaminated(docs, table(spark, sf_dir, "benchmark")).drop("mark")
