@@ -10,6 +10,7 @@ from sparkseek.llm.decontaminate import contaminated
 from sparkseek.llm.language_id import held_out, identify, train_prototypes
 from sparkseek.llm.licenses import scan_licenses
 from sparkseek.llm.line_dedup import dedup_lines
+from sparkseek.llm.lm_scoring import cross_entropy_difference
 from sparkseek.llm.mixing import mix
 from sparkseek.llm.ngram_join import jaccard_groups
 from sparkseek.llm.quality import score_quality, train_quality
@@ -188,3 +189,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contaminated(docs, table(spark, sf_dir, "benchmark")).drop("mark")
+
+
+@query("op5_lm_scoring")
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id").distinct().withColumn("target", F.lit(True))
+    return cross_entropy_difference(docs.join(good, "doc_id", "left"))
