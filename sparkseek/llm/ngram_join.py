@@ -31,7 +31,8 @@ from sparkseek.llm.components import connected_components
 from sparkseek.llm.kernels import mix64, shingle_sets
 
 _PER_BUCKET = 3_000_000
-_SLICE_BYTES = 6_000_000
+_SLICE_BYTES = 4_000_000
+_KEYS = 200_000
 
 
 def _slices(batch):
@@ -177,9 +178,16 @@ def prefix_keys(sets: DataFrame, num: int, den: int, boundary: int) -> DataFrame
 
     def make(batches):
         for batch in batches:
-            keys, which, reach = [], [], []
-            for row, (n, own, shared) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "own", "shared")), strict=True)):
-                shared = np.frombuffer(shared, np.uint64)
+            keys, which, reach, held = [], [], [], 0
+
+            def made(batch, keys, which, reach):
+                whole = batch.take(pa.array(np.concatenate(which)))
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(whole.column(c) for c in names[1:-1]), pa.array(np.concatenate(reach).astype(np.int64))], names=names)
+
+            shingles = batch.column("shared")
+            batch = batch.select(names[1:-1])
+            for row, (n, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "own")), strict=True)):
+                shared = np.frombuffer(shingles[row].as_buffer(), np.uint64)
                 prefix = n - least_overlap(n, num, den) + 1 - own
                 if n > boundary or den * n > num * boundary:
                     one = shared[:prefix]
@@ -192,9 +200,12 @@ def prefix_keys(sets: DataFrame, num: int, den: int, boundary: int) -> DataFrame
                     keys.append(mix64(mix64(two[a]) + two[b] * np.uint64(0xBB67AE8584CAA73B)))
                     reach.append(n - own - a)
                     which.append(np.full(len(a), row))
+                held += len(keys[-1])
+                if held > _KEYS:
+                    yield made(batch, keys, which, reach)
+                    keys, which, reach, held = [], [], [], 0
             if keys:
-                whole = batch.take(pa.array(np.concatenate(which)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(whole.column(c) for c in names[1:-1]), pa.array(np.concatenate(reach).astype(np.int64))], names=names)
+                yield made(batch, keys, which, reach)
 
     kind = sets.schema["node"].dataType.simpleString()
     return sets.select("sig", "node", "n", "own", "shared").mapInArrow(make, f"key long, sig long, node {kind}, n long, own long, reach long")
@@ -206,9 +217,10 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
     def alike(batches):
         for batch in batches:
-            keep = []
-            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n1", "n2", "shared1", "shared2")), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+            keep, x, y = [], batch.column("shared1"), batch.column("shared2")
+            for row, (n, m) in enumerate(zip(batch.column("n1").to_pylist(), batch.column("n2").to_pylist(), strict=True)):
+                a, b = (np.frombuffer(c[row].as_buffer(), np.uint64) for c in (x, y))
+                both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(den * both >= num * (n + m - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("node1").filter(keep), batch.column("node2").filter(keep)], names=["a", "b"])
