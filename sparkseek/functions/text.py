@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,8 +98,6 @@ def porter_stem(word: str) -> str:
 
 def with_stems(words: DataFrame, col: str, into: str = "key") -> DataFrame:
     """Adds the stem of each word of a table of distinct words, in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def stem(column: pd.Series) -> pd.Series:
         return column.map(porter_stem, na_action="ignore")

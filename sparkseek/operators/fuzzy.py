@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,8 +52,6 @@ def fuzzy_candidates(queries: DataFrame, titles: DataFrame, title_col: str = "ti
 
     Titles are dealt by their distinct characters and meet a query at the query's rarest one; titles without all its
     characters go natively, and only the rest are aligned, in Arrow batches."""
-    import pandas as pd
-
     spread = lambda text: F.array_distinct(F.split(F.regexp_replace(text, r"\s", ""), ""))
     texts = titles.withColumn("norm_title", normalized(F.col(title_col)))
     texts = texts.withColumn("chars", F.filter(spread(F.col("norm_title")), lambda c: c != ""))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,8 +37,6 @@ def page_layout(glyphs: DataFrame, max_glyphs: int = 20_000, max_words: int = 4_
     or where a glyph's middle is off the line's by 0.6 of its height; a word ends at a blank, or at a gap over 0.25 of
     it. Pages beyond a cap are marked truncated. One page is one group: what a line is compared with is carried along
     it, which lag alone can't say; max_glyphs bounds it."""
-    import pandas as pd
-
     order = Window.partitionBy("doc_id", "page").orderBy("seq")
     kept = glyphs.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_glyphs + 1)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,8 +37,6 @@ def corrections(words: DataFrame, vocab: DataFrame, limit: int = 8) -> DataFrame
     A similarity join: two words within k edits have a common string after at most k deletions each, so both sides are
     dealt by what deletions leave of them; Levenshtein distance (a swap costs 2 there) prunes natively, and the exact
     distance is taken of what is left, in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def keys(word: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([sorted(_deletions(w, k)) for w, k in zip(word, n, strict=True)], dtype=object)

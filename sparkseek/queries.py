@@ -793,7 +793,7 @@ def dominant_hue(spark, d):
 
 @query("health_gate")
 def health_gate(spark, d):
-    outcomes = table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("source"), F.unix_millis("ts").alias("ts"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"))
+    outcomes = table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("source"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"))
     return state.health_gate(outcomes, limit=2)
 
 
