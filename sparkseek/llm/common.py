@@ -53,3 +53,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all other characters kept."""
     return F.translate(text, UPPER, LOWER)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
+    """A table of few narrow columns, broadcast where its rows are counted and no more than max_rows; else as it is, for
+    a join by shuffle."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

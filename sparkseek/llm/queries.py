@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.llm.common import table
+from sparkseek.llm.common import broadcast_if_small, table
 from sparkseek.llm.decontaminate import contaminated
 from sparkseek.llm.language_id import held_out, identify, train_prototypes
 from sparkseek.llm.licenses import scan_licenses
@@ -195,4 +195,4 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id").distinct().withColumn("target", F.lit(True))
-    return cross_entropy_difference(docs.join(good, "doc_id", "left"))
+    return cross_entropy_difference(docs.join(broadcast_if_small(good), "doc_id", "left"))
