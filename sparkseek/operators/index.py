@@ -56,7 +56,11 @@ def query_terms(queries: DataFrame, stem: bool = True) -> DataFrame:
 def build_index(corpus: DataFrame, stem: bool = True, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """The tables that searches read. Postings are pre-aggregated by document before they are dealt by key."""
     words = keyed(tokens(corpus, id_col, text_col), stem)
-    postings = words.groupBy("key", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    return with_statistics(words.groupBy("key", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")))
+
+
+def with_statistics(postings: DataFrame) -> Index:
+    """Postings with the statistics of documents and terms that follow from them."""
     doc_stats = postings.groupBy("doc_id").agg(F.sum("tf").alias("len"))
     term_stats = postings.groupBy("key").agg(F.count("*").alias("df"))
     return Index(postings, doc_stats, term_stats)

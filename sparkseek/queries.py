@@ -14,7 +14,7 @@ from sparkseek.operators import catalog as cat
 from sparkseek.operators import classify, convert, fuzzy, layout, ranking, refresh, search, spelling, usage
 from sparkseek.operators.index import build_index, query_terms, rank_vocabulary, tokens, vocabulary_counts, vocabulary_keys
 from sparkseek.sources import files as filesrc
-from sparkseek.sources.readers import paginate
+from sparkseek.sources.readers import paginate, stored_index
 from sparkseek.streaming import state
 
 QUERIES: dict = {}
@@ -113,7 +113,7 @@ def term_stats(spark, d):
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INTEGER AS rank FROM scored)
 SELECT query_id, doc_id, round(score, 4) AS score, rank FROM ranked WHERE rank <= 10""")
 def bm25_topk(spark, d):
-    hits = search.search(query_terms(item_queries(spark, d), stem=False), build_index(documents(spark, d), stem=False), limit=10)
+    hits = search.search(query_terms(item_queries(spark, d), stem=False), stored_index(build_index(documents(spark, d), stem=False)), limit=10)
     return hits.withColumn("score", F.round("score", 4))
 
 
@@ -124,7 +124,7 @@ SELECT query_id, doc_id, round(score, 4) AS score, rank FROM ranked WHERE rank <
 def unranked_topk(spark, d):
     pick = lambda words, n: F.get(F.array(*map(F.lit, words)), (F.col("n_nationkey") % n).cast("int"))
     queries = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat_ws(" ", pick(["the", "of", "and", "der", "les"], 5), pick(["to", "in", "is"], 3)).alias("query_text"))
-    return search.search(query_terms(queries, stem=False), build_index(documents(spark, d), stem=False), limit=20).withColumn("score", F.round("score", 4))
+    return search.search(query_terms(queries, stem=False), stored_index(build_index(documents(spark, d), stem=False)), limit=20).withColumn("score", F.round("score", 4))
 
 
 @query("query_terms", f"WITH {ITEM_TERMS.format(n=8)} SELECT query_id, ord::INTEGER AS ord, norm, ord = n_terms - 1 AS is_last, ranked FROM terms")
@@ -136,7 +136,7 @@ def query_terms_of_items(spark, d):
 def stemmed_search(spark, d):
     """Flagship: benchmark items as queries over documents, with the best passage of every hit."""
     terms = query_terms(item_queries(spark, d))
-    hits = search.search(terms, build_index(documents(spark, d)), limit=10)
+    hits = search.search(terms, stored_index(build_index(documents(spark, d))), limit=10)
     lines = document_lines(spark, d).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
     passages = search.best_passage(terms, lines)
     return hits.join(passages, ["query_id", "doc_id"], "left").withColumn("first_line", F.coalesce("first_line", F.lit(0)))
@@ -197,7 +197,7 @@ spans AS (SELECT query_id, doc_id, pos::INTEGER AS pos, raw, key FROM marks WHER
 
 def _spans(spark, d):
     terms = query_terms(item_queries(spark, d), stem=False)
-    hits = search.search(terms, build_index(documents(spark, d), stem=False), limit=10)
+    hits = search.search(terms, stored_index(build_index(documents(spark, d), stem=False)), limit=10)
     return terms, hits, search.match_spans(hits, terms, tokens(documents(spark, d)), stem=False)
 
 

@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.operators.index import Index
+from sparkseek.functions.storage import shared_dir
+from sparkseek.operators.index import Index, with_statistics
 
 SCHEMA_VERSION = 1
 
@@ -90,8 +91,9 @@ def write_index(index: Index, path: str, buckets: int = 64) -> str:
     spark = index.postings.sparkSession
     version = uuid.uuid4().hex
     index.postings.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).repartition("bucket").sortWithinPartitions("key").write.partitionBy("bucket").parquet(f"{path}/{version}/postings")
-    index.doc_stats.write.parquet(f"{path}/{version}/doc_stats")
-    index.term_stats.sortWithinPartitions("key").write.parquet(f"{path}/{version}/term_stats")
+    written = with_statistics(spark.read.parquet(f"{path}/{version}/postings"))  # texts are read once only
+    written.doc_stats.write.parquet(f"{path}/{version}/doc_stats")
+    written.term_stats.sortWithinPartitions("key").write.parquet(f"{path}/{version}/term_stats")
     pointer = json.dumps({"version": version, "schema_version": SCHEMA_VERSION, "buckets": buckets})
     spark.createDataFrame([(pointer,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
     return version
@@ -104,3 +106,10 @@ def read_index(spark: SparkSession, path: str) -> Index | None:
         return None
     at = f"{path}/{pointer['version']}"
     return Index(spark.read.parquet(f"{at}/postings").drop("bucket"), spark.read.parquet(f"{at}/doc_stats"), spark.read.parquet(f"{at}/term_stats"))
+
+
+def stored_index(index: Index, buckets: int = 8) -> Index:
+    """The index written to a new shared folder and read back, for jobs that use its tables several times."""
+    path = shared_dir(index.postings.sparkSession)
+    write_index(index, path, buckets)
+    return read_index(index.postings.sparkSession, path)
