@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-_BLOCK = 1 << 21
+_BLOCK = 1 << 19
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INVERSE = pow(_R, -1, 1 << 64)
 
@@ -66,7 +66,7 @@ def buffers(texts) -> tuple[np.ndarray, np.ndarray]:
 def tokens(raw: np.ndarray, offsets: np.ndarray, classes: np.ndarray = WORDS, values: np.ndarray = FOLDED, places: bool = False):
     """Hash and row of every token, in order: maximal runs of bytes of one class other than 0 within a row.
 
-    With places, also where tokens start and end in raw. Works in blocks of some 2 MB that end between tokens."""
+    With places, also where tokens start and end in raw. Works in blocks of some 0.5 MB that end between tokens."""
     out, at, n = [], 0, len(raw)
     row_start = offsets[:-1][np.diff(offsets) > 0]
     while at < n:
@@ -136,3 +136,10 @@ def shingle_sets(texts, width: int):
             yield ngrams(words, np.zeros(len(words), np.int32), len(words))[0]
         else:
             yield np.zeros(0, np.uint64)
+
+
+def slices(batch, most_bytes: int = 2_000_000):
+    """Parts of a record batch of some megabytes, so that what is made of a part stays small whatever the batch."""
+    size = max(1, batch.num_rows * most_bytes // max(most_bytes, batch.nbytes))
+    for at in range(0, batch.num_rows, size):
+        yield batch.slice(at, size)

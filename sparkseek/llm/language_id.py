@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkseek.llm.kernels import mix64
+from sparkseek.llm.kernels import mix64, slices
 
 DIM = 512
 UNKNOWN = "und"
@@ -130,7 +130,7 @@ def train_prototypes(docs: DataFrame, per_language: int = 3000, dim: int = DIM,
 
     def bundle(batches):
         bundler, sums = Bundler(dim), {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             vectors = np.rint(unit(bundler(batch.column("text").to_pylist())) * 10_000).astype(np.int64)  # integers: sums in any order agree
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
             for lang in set(langs):
@@ -160,7 +160,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
 
     def predict(batches):
         bundler = Bundler(dim)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             vectors = unit(bundler(batch.column(text_col).to_pylist()))
             cosine = np.round(vectors @ matrix.T, 9)
             best = cosine.argmax(axis=1) if names else np.zeros(len(vectors), int)

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkseek.llm.common import cut
-from sparkseek.llm.kernels import ALNUM, FOLDED, buffers, mix64, tokens
-from sparkseek.llm.ngram_join import _lists, _slices
+from sparkseek.llm.kernels import ALNUM, FOLDED, buffers, mix64, slices, tokens
+from sparkseek.llm.ngram_join import _lists
 
 _PER_BUCKET = 3_000_000
 _COMMON = 65_536
@@ -83,7 +83,7 @@ def cross_entropy_difference(docs: DataFrame, mass: float = 10.0, id_col: str =
         registers, entries = np.zeros(1 << _REGISTERS, np.int64), 0
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 found, count, _, _, words = document_keys(part.column("text"))
                 place, rest = (words >> np.uint64(64 - _REGISTERS)).astype(np.int64), (words << np.uint64(_REGISTERS)) >> np.uint64(32)
                 zeros = 33 - np.ceil(np.log2(rest.astype(np.float64) + 1)).astype(np.int64)
@@ -123,7 +123,7 @@ def cross_entropy_difference(docs: DataFrame, mass: float = 10.0, id_col: str =
         common = told.value
         totals = np.zeros((2, len(common)), np.int64)
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 keys, count, row, _, _ = document_keys(part.column("text"))
                 target = part.column("target").to_numpy(zero_copy_only=False).astype(bool)[row]
                 spot, known = find(keys, common)
@@ -144,7 +144,7 @@ def cross_entropy_difference(docs: DataFrame, mass: float = 10.0, id_col: str =
         """Keys by bucket, and for buckets below 0 the sums of terms of common keys and numbers of tokens."""
         common, exact = model.value
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 keys, count, row, n_tokens, _ = document_keys(part.column("text"))
                 ids, is_target = part.column("row").to_numpy(), part.column("target").to_numpy(zero_copy_only=False).astype(bool)
                 out = {c: [] for c in names}

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.llm.kernels import EXACT, WORDS_AND_MARKS, buffers, ngrams, tokens
+from sparkseek.llm.kernels import EXACT, WORDS_AND_MARKS, buffers, ngrams, slices, tokens
 
 BITS = 18
 SCALE = 8.0
@@ -64,7 +64,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, bi
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # max_rows short rows at most
 
     def vectors(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             at, count = places(batch.column("text"), bits)
             ends = np.cumsum(count)
             found = [np.unique(at[e - c : e], return_counts=True) for e, c in zip(ends, count, strict=True)]
@@ -100,7 +100,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, keep: list | None = None
     weights = weights.astype(np.float32)
 
     def predict(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             at, count = places(batch.column(text_col), bits)
             total = np.concatenate([[0.0], np.cumsum(weights[at], dtype=np.float64)])
             ends = np.cumsum(count)
