@@ -12,8 +12,8 @@ Steps and what they move:
    number of them bounds what the set can overlap with: most sets drop out here.
 3. Sets left get their prefix keys. Each set is first compared with one pivot, of its keys the set with the fewest
    shingles of its own; links make components. Then, key by key, all sets outside the largest component of a key are
-   compared with all sets of the key in other components, if size and position allow. Pairs within a component need
-   no comparison, as no link between them changes it. So no group of near copies is expanded into pairs.
+   compared with all sets of the key in other components, if size, position and a parity sketch of what the sets have
+   not in common allow. Pairs within a component need no comparison, as no link between them changes it. So no group of near copies is expanded into pairs.
 4. Every compared pair is verified on its sets.
 """
 
@@ -28,18 +28,13 @@ from pyspark.sql import functions as F
 
 from sparkseek.llm.common import cut
 from sparkseek.llm.components import connected_components
-from sparkseek.llm.kernels import mix64, shingle_sets
+from sparkseek.llm.kernels import mix64, shingle_sets, slices
 
 _PER_BUCKET = 3_000_000
-_SLICE_BYTES = 4_000_000
 _KEYS = 200_000
-
-
-def _slices(batch):
-    """Parts of a record batch of some megabytes of text."""
-    size = max(1, batch.num_rows * _SLICE_BYTES // max(_SLICE_BYTES, batch.nbytes))
-    for at in range(0, batch.num_rows, size):
-        yield batch.slice(at, size)
+#: Parity sketch of a set's shared shingles, 256 bits: whether an odd number of them falls on each bit. Bits in which two
+#: sets differ are no more than the shared shingles that one has and the other has not.
+PARITY = ["p0", "p1", "p2", "p3"]
 
 
 def _signature(shingles: np.ndarray) -> tuple[int, int]:
@@ -62,7 +57,7 @@ def document_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> Da
 
     def describe(batches):
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 rows = [(len(s), *_signature(s)) for s in shingle_sets(part.column("text"), width)]
                 n, s1, s2 = zip(*rows, strict=True) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], names=["id", "n", "s1", "s2"])
@@ -72,7 +67,7 @@ def document_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> Da
 
 
 def shared_shingles(texts: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
-    """From texts(text), the sets that may be alike another: (sig, n, own, shared, subsets, scans).
+    """From texts(text), the sets that may be alike another: (sig, n, own, shared, subsets, scans, PARITY).
 
     own: shingles that no other set holds. shared: the others, from rare to common, packed. subsets, scans: the cost of
     the set as a small one and as a large one."""
@@ -81,7 +76,7 @@ def shared_shingles(texts: DataFrame, width: int, num: int, den: int, buckets: i
     def deal(batches):
         seen = set()
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 sets, sigs = [], []
                 for s in shingle_sets(part.column("text"), width):
                     if len(s) >= fewest and (sig := _signature(s)) not in seen:  # copies in this task go once
@@ -139,7 +134,7 @@ def shared_shingles(texts: DataFrame, width: int, num: int, den: int, buckets: i
                 out[name].append(values[a:b].tobytes())
         return pa.Table.from_pydict(out, schema=sent_back)
 
-    found = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("shared", pa.binary()), ("subsets", pa.int64()), ("scans", pa.int64())])
+    found = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("shared", pa.binary()), ("subsets", pa.int64()), ("scans", pa.int64()), *((p, pa.int64()) for p in PARITY)])
 
     def gather(table: pa.Table) -> pa.Table:
         sigs, sizes, counts, shingles = (_lists(table.column(c), t) for c, t in (("sigs", np.int64), ("sizes", np.int32), ("counts", np.int32), ("shingles", np.uint64)))
@@ -153,7 +148,9 @@ def shared_shingles(texts: DataFrame, width: int, num: int, den: int, buckets: i
                 continue
             own = n - (b - a)
             prefix = n - least_overlap(n, num, den) + 1 - own
-            for name, value in zip(found.names, (int(sigs[a]), n, own, shingles[a:b].tobytes(), (prefix + 1) * prefix // 2, int(counts[a : a + prefix].sum())), strict=True):
+            odd = (np.bincount((mix64(shingles[a:b]) >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+            parity = np.packbits(odd).view(np.int64).tolist()
+            for name, value in zip(found.names, (int(sigs[a]), n, own, shingles[a:b].tobytes(), (prefix + 1) * prefix // 2, int(counts[a : a + prefix].sum()), *parity), strict=True):
                 out[name].append(value)
         return pa.Table.from_pydict(out, schema=found)
 
@@ -171,10 +168,10 @@ def cheapest_boundary(sets: DataFrame) -> int:
 
 
 def prefix_keys(sets: DataFrame, num: int, den: int, boundary: int) -> DataFrame:
-    """(key, sig, node, n, own, reach) from sets(sig, node, n, own, shared): subsets of two prefix shingles of small
+    """(key, sig, node, n, own, PARITY, reach) from sets(sig, node, n, own, shared, PARITY): subsets of two prefix shingles of small
     sets, single ones of large sets and of the small ones that a large one may be alike. reach: the most that the set
     can share if the key begins with the first shingle that it shares."""
-    names = ["key", "sig", "node", "n", "own", "reach"]
+    names = ["key", "sig", "node", "n", "own", *PARITY, "reach"]
 
     def make(batches):
         for batch in batches:
@@ -208,7 +205,7 @@ def prefix_keys(sets: DataFrame, num: int, den: int, boundary: int) -> DataFrame
                 yield made(batch, keys, which, reach)
 
     kind = sets.schema["node"].dataType.simpleString()
-    return sets.select("sig", "node", "n", "own", "shared").mapInArrow(make, f"key long, sig long, node {kind}, n long, own long, reach long")
+    return sets.select("sig", "node", "n", "own", *PARITY, "shared").mapInArrow(make, f"key long, sig long, node {kind}, n long, own long, {', '.join(f'{p} long' for p in PARITY)}, reach long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -271,7 +268,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     member = cut(
         keys.join(pivots.select("key"), "key", "left_semi")
         .join(groups.withColumnRenamed("component", "c"), "node", "left")
-        .select("key", "sig", "n", "reach", F.coalesce("c", "node").alias("c"))
+        .select("key", "sig", "n", "own", "reach", *PARITY, F.coalesce("c", "node").alias("c"))
     )
     largest = cut(
         member.groupBy("key", "c").agg(F.count("*").alias("k"))
@@ -286,12 +283,13 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     minor = cut(
         mixed.where(F.col("c") != F.col("major")).where(high >= low)
         .withColumn("band", F.explode(F.sequence(band(low), band(high))))
-        .select("key", "band", F.col("sig").alias("x"), F.col("n").alias("n1"), F.col("reach").alias("reach1"), F.col("c").alias("c1"))
+        .select("key", "band", F.col("sig").alias("x"), F.col("n").alias("n1"), F.col("own").alias("own1"), F.col("reach").alias("reach1"), F.col("c").alias("c1"), *[F.col(p).alias(f"{p}_1") for p in PARITY])
     )
     most = F.least("reach", "reach1")
+    apart = F.col("own") + F.col("own1") + sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_1"))) for p in PARITY)  # at least so many are in one set only
     others = cut(
         minor.join(mixed, ["key", "band"])
-        .where((F.col("c") != F.col("c1")) & (F.lit(num + den) * most >= F.lit(num) * (F.col("n") + F.col("n1"))))
+        .where((F.col("c") != F.col("c1")) & (F.lit(num + den) * most >= F.lit(num) * (F.col("n") + F.col("n1"))) & (F.lit(num + den) * apart <= F.lit(den - num) * (F.col("n") + F.col("n1"))))
         .select(F.least("x", "sig").alias("x"), F.greatest("x", "sig").alias("y")).distinct()
     )
     groups = connected_components(links.union(verified(others, sets, num, den)))
