@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkseek.llm.common import cut
-from sparkseek.llm.kernels import ALNUM, FOLDED, buffers, mix64, ngrams, tokens
+from sparkseek.llm.kernels import ALNUM, FOLDED, buffers, mix64, ngrams, slices, tokens
 
 # Units of measure, as words after a number.
 UNITS = """m meter meters metre metres km kilometer kilometers kilometre kilometres cm mm mile miles foot feet ft inch
@@ -95,9 +95,7 @@ def _hits(texts: DataFrame, width: int, min_literals: int, widths: list[int], wa
     def find(batches):
         units = _unit_hashes()
         for batch in batches:
-            size = max(1, batch.num_rows * 4_000_000 // max(4_000_000, batch.nbytes))
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
+            for part in slices(batch):
                 canonical = Canonical(part.column("text"), units)
                 ids, marks = part.column("id"), part.column("mark")
                 which, out = [], {"hash": [], "at": [], "kind": [], "slots": []}
@@ -124,12 +122,12 @@ def _hits(texts: DataFrame, width: int, min_literals: int, widths: list[int], wa
     return texts.mapInArrow(find, _HIT.format(id=id_type))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_literals: int = 5, min_coverage: float = 0.4, shortest: int = 4,
+def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_literals: int = 5, min_coverage: float = 0.4, enough: int = 6, shortest: int = 4,
                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col, mark, item_col, n_matched, n_windows, coverage, reworded): documents and the items they contain.
 
-    n_matched: of the item's window places those that a fitting window of the document covers; coverage is their share
-    and at least min_coverage. reworded: whether values in slots differ anywhere. mark: xxhash64 of the text, to tell
+    n_matched: of the item's window places those that a fitting window of the document covers; coverage is their share.
+    It is at least min_coverage, or n_matched at least enough: six windows of eight tokens are thirteen in a row. reworded: whether values in slots differ anywhere. mark: xxhash64 of the text, to tell
     rows of the same id apart; repeated rows give one result. Items of fewer than width tokens are one window; items of
     fewer than shortest tokens, and null and empty texts, match nothing. A null id is kept as an id.
 
@@ -168,6 +166,6 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_literals
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_matched"), F.max(F.exists("pairs", lambda p: p["a"] != p["b"])).alias("reworded"))
         .join(n_windows.withColumnRenamed("id", "item"), "item")
         .withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
-        .where(F.col("coverage") >= min_coverage)
+        .where((F.col("coverage") >= min_coverage) | (F.col("n_matched") >= enough))
         .select(F.col("id").alias(id_col), "mark", F.col("item").alias(item_col), F.col("n_matched").cast("long").alias("n_matched"), "n_windows", "coverage", "reworded")
     )

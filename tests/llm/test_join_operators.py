@@ -118,6 +118,13 @@ def test_decontamination_finds_copies_and_reworded_items(spark):
     assert got == [(0, 0, False), (1, 0, True), (3, 0, False), (4, 1, False), (8, 1, False)]
 
 
+def test_decontamination_of_a_part_of_a_long_item(spark):
+    item = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(80))
+    words = item.split()
+    got = hits(spark, " ".join(words[20:33]), " ".join(words[20:32]), " ".join(words[:40]), items=(item,))
+    assert got == [(0, 0, False), (2, 0, False)]
+
+
 def test_decontamination_in_blocks_short_items_and_repeated_rows(spark, monkeypatch):
     once = hits(spark, ITEM, PLAIN, "a short item here ok", items=(ITEM, PLAIN, "a short item here", "tiny", None, ""))
     monkeypatch.setattr(decontaminate, "_BLOCK", 5)
