@@ -2,9 +2,9 @@
 
 Texts become tokens; numbers, units after numbers, and names (capitalised words within a sentence) become typed
 placeholders. Windows of benchmark items and of documents are hashed in two forms, literal and template, and
-hash-joined. Where a template window matches, the values in its slots must fit: along one alignment of an item with a
-document, equal values of the item stand for equal values of the document. That finds items that were only given other
-numbers, names or units. A document is contaminated by an item when windows that fit cover enough of the item.
+hash-joined. Literal windows count as they are. Where only a template window matches, the values in its slots must fit:
+along one alignment of an item with a document, in all such places equal values of the item stand for equal values of
+the document. That finds items that were only given other numbers, names or units. A document is contaminated by an item when windows that fit cover enough of the item.
 """
 
 from __future__ import annotations
@@ -85,7 +85,8 @@ class Canonical:
         )
 
     def slots(self, token: int, width: int) -> list[str]:
-        return [bytes(self.raw[self.start[t] : self.end[t]]).decode("utf-8", "replace") for t in range(token, token + width) if self.kind[t]]
+        """Values of a window's slots, folded as literal tokens are."""
+        return [bytes(self.raw[self.start[t] : self.end[t]]).decode("utf-8", "replace").lower() for t in range(token, token + width) if self.kind[t]]
 
 
 def _hits(texts: DataFrame, width: int, min_literals: int, widths: list[int], wanted, id_type: str) -> DataFrame:
@@ -152,16 +153,26 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_literals
     hits = found[0]
     for more in found[1:]:
         hits = hits.union(more)
-    ours = windows.select("hash", F.col("id").alias("item"), F.col("at").alias("place"), F.col("slots").alias("values"))
+    ours = windows.select("hash", F.col("kind").alias("form"), F.col("id").alias("item"), F.col("at").alias("place"), F.col("slots").alias("values"))
     pair = F.arrays_zip(F.col("values").alias("a"), F.col("slots").alias("b"))
-    aligned = (
+    reworded = F.col("form") == 1
+    placed = (
         hits.join(ours, "hash")
-        .groupBy("id", "mark", "item", (F.col("at") - F.col("place")).alias("shift"))
-        .agg(F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"))
+        .groupBy("id", "mark", "item", (F.col("at") - F.col("place")).alias("shift"), "place")
+        .agg(F.bool_or(~reworded).alias("literal"), F.flatten(F.collect_set(F.when(reworded, pair))).alias("pairs"))
+    )
+    aligned = (
+        placed.groupBy("id", "mark", "item", "shift")
+        .agg(
+            F.collect_list(F.when(F.col("literal"), F.col("place"))).alias("literal"),
+            F.collect_list(F.when(~F.col("literal"), F.col("place"))).alias("template"),
+            F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("literal"), F.col("pairs"))))).alias("pairs"),
+        )
     )  # at most as many places as the item has
     fits = F.size("pairs") == F.size(F.array_distinct(F.col("pairs")["a"]))
     return (
-        aligned.where(fits)
+        aligned.withColumn("places", F.when(fits, F.concat("literal", "template")).otherwise(F.col("literal")))
+        .where(F.size("places") > 0)
         .groupBy("id", "mark", "item")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_matched"), F.max(F.exists("pairs", lambda p: p["a"] != p["b"])).alias("reworded"))
         .join(n_windows.withColumnRenamed("id", "item"), "item")

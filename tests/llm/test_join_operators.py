@@ -118,6 +118,13 @@ def test_decontamination_finds_copies_and_reworded_items(spark):
     assert got == [(0, 0, False), (1, 0, True), (3, 0, False), (4, 1, False), (8, 1, False)]
 
 
+def test_decontamination_of_copies_with_one_edited_value(spark):
+    edited = ITEM.replace("with Tom", "with Jim")
+    item = "The first road is 5 km long and the second road is 7 km long and ends by the old mill"
+    got = hits(spark, edited, item.replace("7 km", "7 KM"), item.replace("5 km", "6 km").replace("7 km", "8 KM"), items=(ITEM, item))
+    assert got == [(0, 0, True), (1, 1, False), (2, 1, True)]
+
+
 def test_decontamination_of_a_part_of_a_long_item(spark):
     item = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(80))
     words = item.split()
