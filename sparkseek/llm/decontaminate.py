@@ -25,7 +25,11 @@ dollar dollars usd euro euros eur cent cents percent degree degrees celsius fahr
 volt volts amp amps newton newtons hertz hz mph kmh byte bytes kb mb gb""".split()
 _NUMBER, _UNIT, _NAME, _LITERAL = (mix64(np.array([k], np.uint64))[0] for k in (101, 102, 103, 104))
 _BLOCK = 2_000_000
-_HIT = "id {id}, mark long, hash long, at int, kind int, slots array<string>"
+_LEAST = 2
+_HIT = "id {id}, mark long, width int, hash long, at int, kind int, slots array<string>"
+#: Kinds of windows: literal ones, of a place that a template window covers too or that has no slots, or of another
+#: place; template ones with literals enough, or with few.
+_PLACED, _BARE, _TEMPLATE, _SPARSE = range(4)
 
 
 def _unit_hashes() -> np.ndarray:
@@ -67,8 +71,9 @@ class Canonical:
         self.row_first = np.cumsum(counts) - counts
         self.counts = counts
 
-    def windows(self, width: int, min_literals: int):
-        """(hash, row, token, kind) of literal windows (kind 0) and of template windows with slots (kind 1)."""
+    def windows(self, width: int, min_literals: int, least_literals: int):
+        """(hash, row, token, kind) of literal windows and of template windows with slots and least_literals literals;
+        those with fewer than min_literals are _SPARSE."""
         n = len(self.row) - width + 1
         if n <= 0:
             empty = np.zeros(0, np.int64)
@@ -78,10 +83,10 @@ class Canonical:
         template, _ = ngrams(self.template, self.row, width)
         plain = np.append(0, np.cumsum(self.kind == 0))
         plain = plain[token + width] - plain[token]
-        slotted = (plain < width) & (plain >= min_literals)
+        slotted = (plain < width) & (plain >= least_literals)
         return (
-            np.concatenate([mix64(literal + _LITERAL), template[slotted]]), np.concatenate([row, row[slotted]]),
-            np.concatenate([token, token[slotted]]), np.repeat([0, 1], [len(token), int(slotted.sum())]),
+            np.concatenate([mix64(literal + _LITERAL), template[slotted]]), np.concatenate([row, row[slotted]]), np.concatenate([token, token[slotted]]),
+            np.concatenate([np.where(plain < least_literals, _BARE, _PLACED), np.where(plain[slotted] < min_literals, _SPARSE, _TEMPLATE)]),
         )
 
     def slots(self, token: int, width: int) -> list[str]:
@@ -91,7 +96,8 @@ class Canonical:
 
 def _hits(texts: DataFrame, width: int, min_literals: int, widths: list[int], wanted, id_type: str) -> DataFrame:
     """Windows of texts(id, mark, text) whose hash is in the sorted array wanted (a broadcast), or all where it is None.
-    For items, whose windows are all wanted, a text shorter than width is one window of all its tokens."""
+    For items, whose windows are all wanted, a text shorter than width is one window of all its tokens; half of them
+    being literals is enough for its template."""
 
     def find(batches):
         units = _unit_hashes()
@@ -99,9 +105,9 @@ def _hits(texts: DataFrame, width: int, min_literals: int, widths: list[int], wa
             for part in slices(batch):
                 canonical = Canonical(part.column("text"), units)
                 ids, marks = part.column("id"), part.column("mark")
-                which, out = [], {"hash": [], "at": [], "kind": [], "slots": []}
+                which, out = [], {"width": [], "hash": [], "at": [], "kind": [], "slots": []}
                 for w in widths:
-                    hashed, row, token, kind = canonical.windows(w, min(min_literals, w))
+                    hashed, row, token, kind = canonical.windows(w, *((min_literals, min(min_literals, _LEAST)) if w == width else 2 * (min(min_literals, (w + 1) // 2),)))
                     if wanted is None:
                         keep = np.flatnonzero((canonical.counts[row] == w) | (w == width))
                     else:
@@ -109,15 +115,16 @@ def _hits(texts: DataFrame, width: int, min_literals: int, widths: list[int], wa
                         keep = np.flatnonzero(wanted.value[spot] == hashed)
                     for k in keep.tolist():
                         which.append(int(row[k]))
+                        out["width"].append(w)
                         out["hash"].append(int(hashed[k].view(np.int64)))
                         out["at"].append(int(token[k] - canonical.row_first[row[k]]))
                         out["kind"].append(int(kind[k]))
-                        out["slots"].append(canonical.slots(int(token[k]), w) if kind[k] else [])
+                        out["slots"].append(canonical.slots(int(token[k]), w) if kind[k] >= _TEMPLATE else [])
                 if which:
                     which = pa.array(which)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(which), marks.take(which), pa.array(out["hash"], pa.int64()), pa.array(out["at"], pa.int32()), pa.array(out["kind"], pa.int32()), pa.array(out["slots"], pa.list_(pa.string()))],
-                        names=["id", "mark", "hash", "at", "kind", "slots"],
+                        [ids.take(which), marks.take(which), pa.array(out["width"], pa.int32()), pa.array(out["hash"], pa.int64()), pa.array(out["at"], pa.int32()), pa.array(out["kind"], pa.int32()), pa.array(out["slots"], pa.list_(pa.string()))],
+                        names=["id", "mark", "width", "hash", "at", "kind", "slots"],
                     )
 
     return texts.mapInArrow(find, _HIT.format(id=id_type))
@@ -127,10 +134,14 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_literals
                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col, mark, item_col, n_matched, n_windows, coverage, reworded): documents and the items they contain.
 
-    n_matched: of the item's window places those that a fitting window of the document covers; coverage is their share.
-    It is at least min_coverage, or n_matched at least enough: six windows of eight tokens are thirteen in a row. reworded: whether values in slots differ anywhere. mark: xxhash64 of the text, to tell
-    rows of the same id apart; repeated rows give one result. Items of fewer than width tokens are one window; items of
-    fewer than shortest tokens, and null and empty texts, match nothing. A null id is kept as an id.
+    n_matched: of the item's window places those that a fitting window of the document covers; coverage is their share
+    of n_windows. It is at least min_coverage, or as many places as enough fit: six windows of eight tokens are thirteen
+    in a row. Both counts are of all the item's places, or, where the share is larger so, of those that a template can
+    cover: places with two literals or more, and those without slots. Template windows with fewer literals than
+    min_literals only count where one alignment covers all of the latter. reworded: whether values in slots differ
+    anywhere. mark: xxhash64 of the text, to tell rows of the same id apart; repeated rows give one result. Items of
+    fewer than width tokens are one window, half of which must be literals for a template; items of fewer than shortest
+    tokens, and null and empty texts, match nothing. A null id is kept as an id.
 
     Window hashes of the items are broadcast in blocks of about two million (16 MB); documents are read once a block."""
     spark = docs.sparkSession
@@ -138,7 +149,9 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_literals
     widths = list(range(shortest, width + 1))
     asked = items.select(F.col(item_col).alias("id"), F.lit(0).cast("long").alias("mark"), F.col(item_text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").distinct()
     windows = cut(_hits(asked, width, min_literals, widths, None, typed(items, item_col)))
-    n_windows = windows.groupBy("id").agg(F.count_distinct("at").alias("n_windows"))
+    usable = F.col("kind") != _BARE
+    n_places = windows.groupBy(F.col("id").alias("item")).agg(F.count_distinct("at").alias("n_all"), F.count_distinct(F.when(usable, F.col("at"))).alias("n_usable"))
+    used = sorted(r["width"] for r in windows.select("width").distinct().collect())  # of the few in widths
     blocks = -(-windows.count() // _BLOCK)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     found = []
@@ -147,7 +160,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_literals
         if not len(rows):
             continue
         wanted = spark.sparkContext.broadcast(np.sort(rows["hash"].to_numpy(np.int64).view(np.uint64)))
-        found.append(cut(_hits(texts, width, min_literals, widths, wanted, typed(docs, id_col))))
+        found.append(cut(_hits(texts, width, min_literals, used, wanted, typed(docs, id_col))))
     if not found:
         found = [cut(_hits(texts.limit(0), width, min_literals, widths, None, typed(docs, id_col)))]
     hits = found[0]
@@ -155,28 +168,41 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_literals
         hits = hits.union(more)
     ours = windows.select("hash", F.col("kind").alias("form"), F.col("id").alias("item"), F.col("at").alias("place"), F.col("slots").alias("values"))
     pair = F.arrays_zip(F.col("values").alias("a"), F.col("slots").alias("b"))
-    reworded = F.col("form") == 1
+    reworded = F.col("form") >= _TEMPLATE
     placed = (
-        hits.join(ours, "hash")
+        hits.select("id", "mark", "hash", "at", "slots").join(ours, "hash")
         .groupBy("id", "mark", "item", (F.col("at") - F.col("place")).alias("shift"), "place")
-        .agg(F.bool_or(~reworded).alias("literal"), F.flatten(F.collect_set(F.when(reworded, pair))).alias("pairs"))
+        .agg(
+            F.bool_or(~reworded).alias("literal"), F.bool_or(F.col("form") == _SPARSE).alias("sparse"), F.bool_or(F.col("form") != _BARE).alias("usable"),
+            F.flatten(F.collect_set(F.when(reworded, pair))).alias("pairs"),
+        )
+        .withColumn("place", F.struct("place", "usable"))
     )
+    which = {"literal": F.col("literal"), "template": ~F.col("literal") & ~F.col("sparse"), "few": ~F.col("literal") & F.col("sparse")}
     aligned = (
         placed.groupBy("id", "mark", "item", "shift")
         .agg(
-            F.collect_list(F.when(F.col("literal"), F.col("place"))).alias("literal"),
-            F.collect_list(F.when(~F.col("literal"), F.col("place"))).alias("template"),
-            F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("literal"), F.col("pairs"))))).alias("pairs"),
+            *(F.collect_list(F.when(c, F.col("place"))).alias(k) for k, c in which.items()),
+            *(F.array_distinct(F.flatten(F.collect_set(F.when(c, F.col("pairs"))))).alias(k) for k, c in (("pairs", which["template"]), ("all_pairs", ~which["literal"]))),
         )
+        .join(n_places, "item")
     )  # at most as many places as the item has
-    fits = F.size("pairs") == F.size(F.array_distinct(F.col("pairs")["a"]))
+    fits = lambda c: F.size(c) == F.size(F.array_distinct(F.col(c)["a"]))
+    every = F.concat("literal", "template", "few")
+    n_usable = lambda c: F.size(F.filter(c, lambda p: p["usable"]))
+    whole = fits("all_pairs") & (n_usable(every) == F.col("n_usable"))
+    share = lambda n, of: F.struct(F.coalesce(F.try_divide(n, of), F.lit(0.0)).alias("coverage"), F.col(n).alias("n_matched"), F.col(of).alias("n_windows"))
     return (
-        aligned.withColumn("places", F.when(fits, F.concat("literal", "template")).otherwise(F.col("literal")))
+        aligned.withColumn("places", F.when(whole, every).when(fits("pairs"), F.concat("literal", "template")).otherwise(F.col("literal")))
         .where(F.size("places") > 0)
         .groupBy("id", "mark", "item")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_matched"), F.max(F.exists("pairs", lambda p: p["a"] != p["b"])).alias("reworded"))
-        .join(n_windows.withColumnRenamed("id", "item"), "item")
-        .withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
-        .where((F.col("coverage") >= min_coverage) | (F.col("n_matched") >= enough))
+        .agg(
+            F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.max(F.exists("all_pairs", lambda p: p["a"] != p["b"])).alias("reworded"),
+            F.first("n_all").alias("n_all"), F.first("n_usable").alias("n_usable"),
+        )
+        .select("id", "mark", "item", "reworded", "n_all", "n_usable", F.size("places").alias("matched"), n_usable("places").alias("matched_usable"))
+        .withColumn("best", F.greatest(share("matched", "n_all"), share("matched_usable", "n_usable")))
+        .select("id", "mark", "item", "reworded", "matched", "best.*")
+        .where((F.col("coverage") >= min_coverage) | (F.col("matched") >= enough))
         .select(F.col("id").alias(id_col), "mark", F.col("item").alias(item_col), F.col("n_matched").cast("long").alias("n_matched"), "n_windows", "coverage", "reworded")
     )

@@ -125,6 +125,13 @@ def test_decontamination_of_copies_with_one_edited_value(spark):
     assert got == [(0, 0, True), (1, 1, False), (2, 1, True)]
 
 
+def test_decontamination_of_reworded_short_and_dense_items(spark):
+    short, dense = "What is 12 times 7?", "Add 5 km 20 m, 7 km 30 m, 9 km 40 m and 6 km 50 m, then 8 km 10 m"
+    other = "Add 4 km 21 m, 3 km 31 m, 2 km 41 m and 1 km 51 m, then 6 km 11 m"
+    texts = "So what is 31 times 4? Well.", f"We start. {other} is it.", "What is 31 plus 4?", "from 4 km 21 m, 3 km 31 m, 2 km 41 m and 1 km", dense
+    assert hits(spark, *texts, items=(short, dense)) == [(0, 0, True), (1, 1, True), (4, 1, False)]
+
+
 def test_decontamination_of_a_part_of_a_long_item(spark):
     item = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(80))
     words = item.split()
