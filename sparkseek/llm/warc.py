@@ -107,6 +107,10 @@ def write_archives(records: DataFrame, path: str, file_bytes: int = 128 << 20) -
     return cut(records.mapInArrow(write, "archive string, n_records long"))
 
 
+class Damaged(Exception):
+    """What a file holds is no sound archive; errors of reading and writing are others."""
+
+
 class _Inflated:
     """The inflated bytes of a gzip file of one or several members, read once in small pieces."""
 
@@ -123,24 +127,25 @@ class _Inflated:
             data = rest or self.file.read(_IO)
             if not data:
                 if not self.fresh:
-                    raise EOFError("the gzip stream ends early")
+                    raise Damaged("the gzip stream ends early")
                 return False
             self.fresh = False
-            more = self.inflate.decompress(data, _IO)
+            try:
+                more = self.inflate.decompress(data, _IO)
+            except zlib.error as error:
+                raise Damaged(str(error)) from error
             if more:
                 self.buffer += more
                 return True
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
+    def until(self, mark: bytes) -> bytes:
         """What is left up to and with mark; empty at the end of the file."""
         at = 0
         while (found := self.buffer.find(mark, at)) < 0:
-            if len(self.buffer) > most:
-                raise ValueError("a record's header has no end")
             at = max(0, len(self.buffer) - len(mark) + 1)
             if not self.fill():
                 if self.buffer.strip():
-                    raise EOFError("a record ends early")
+                    raise Damaged("a record ends early")
                 return b""
         found += len(mark)
         out = bytes(self.buffer[:found])
@@ -150,7 +155,7 @@ class _Inflated:
     def pieces(self, n: int):
         while n:
             if not self.buffer and not self.fill():
-                raise EOFError("a record ends early")
+                raise Damaged("a record ends early")
             piece = bytes(self.buffer[:n])
             del self.buffer[: len(piece)]
             n -= len(piece)
@@ -160,17 +165,31 @@ class _Inflated:
 def _headers(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "replace").strip().split("\r\n")
     if not lines[0].startswith("WARC/"):
-        raise ValueError("not a WARC record")
+        raise Damaged("not a WARC record")
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
 
 
+def _opened(files, at: str):
+    try:
+        return files.open_input_stream(at, compression=None)
+    except FileNotFoundError as error:
+        raise Damaged(str(error)) from error
+
+
+def _length(fields: dict[str, str]) -> int:
+    value = fields.get("content-length", "")
+    if not (value.isascii() and value.isdigit()):
+        raise Damaged("a record without a length")
+    return int(value)
+
+
 def normalise(archives: DataFrame, path: str) -> DataFrame:
     """Rewrites the files named in archives(archive) under path, every record as its own gzip member, with an index
     NAME.idx beside each (JSON lines), and returns the rows of these indexes (INDEX).
 
     A file is inflated once and in small pieces, whatever its size and that of its records, and whether it is one gzip
     stream or several. A file that is damaged gives what comes before the damage, and a row with an error; so does a
-    file that can't be read, with no record."""
+    file that isn't there, with no record. All other errors of reading, and all of writing, fail the task."""
 
     def rewrite(batches):
         context = TaskContext.get()
@@ -186,13 +205,13 @@ def normalise(archives: DataFrame, path: str) -> DataFrame:
                 with files.open_output_stream(temp) as out, files.open_output_stream(f"{temp}.idx") as index:
                     row = lambda **x: index.write((json.dumps({"archive": f"{path}/{name}"} | x) + "\n").encode())  # noqa: E731, B023
                     try:
-                        with source.open_input_stream(at, compression=None) as file:
+                        with _opened(source, at) as file:
                             stream = _Inflated(file)
                             while head := stream.until(b"\r\n\r\n").lstrip():
                                 fields = _headers(head)
-                                deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
+                                length, deflate = _length(fields), zlib.compressobj(6, zlib.DEFLATED, 31)
                                 out.write(deflate.compress(head))
-                                for piece in stream.pieces(int(fields["content-length"])):
+                                for piece in stream.pieces(length):
                                     out.write(deflate.compress(piece))
                                 for piece in stream.pieces(4):
                                     out.write(deflate.compress(piece))
@@ -200,7 +219,7 @@ def normalise(archives: DataFrame, path: str) -> DataFrame:
                                 end = out.tell()
                                 row(offset=offset, length=end - offset, type=fields.get("warc-type"), record_id=fields.get("warc-record-id"), uri=fields.get("warc-target-uri"))
                                 offset = end
-                    except (OSError, EOFError, ValueError, KeyError, zlib.error) as error:
+                    except Damaged as error:
                         row(error=f"{archive}: {error}")
                 files.move(temp, f"{top}/{name}")
                 files.move(f"{temp}.idx", f"{top}/{name}.idx")
@@ -271,7 +290,13 @@ def _parsed(stream: _Inflated) -> tuple:
 def archive_pages(spark: SparkSession, pages: DataFrame, path: str | None = None, min_bytes: int = 1000,
                   id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Pages written as archives under path (the shared folder by default), normalised, and read back by offset, as
-    read_records() gives them. Empty pages give no archive and an empty result."""
+    read_records() gives them. Raises RuntimeError if the index has another number of records than were written, or an
+    error. Empty pages give no archive and an empty result."""
     path = path or shared_dir(spark)
     whole = write_archives(plan_records(pages, min_bytes, id_col, uri_col, payload_col), f"{path}/whole")
-    return read_records(normalise(whole, f"{path}/normal"))
+    index = normalise(whole, f"{path}/normal")
+    written = whole.agg(F.sum("n_records")).first()[0] or 0
+    row = index.agg(F.count_if(F.col("error").isNull()).alias("n"), F.min("error").alias("error")).first()
+    if row["error"] is not None or row["n"] != written:
+        raise RuntimeError(f"{row['n']} of {written} records were archived: {row['error']}")
+    return read_records(index)

@@ -277,6 +277,22 @@ def test_warc_damaged_files_give_an_error_row(spark, tmp_path):
     assert warc.archive_pages(spark, pages_of(spark, [])).count() == 0
 
 
+def test_warc_long_headers_and_errors_of_the_file_system(spark, tmp_path, monkeypatch):
+    rows = [(1, "u", "a", "x"), (2, "http://a/" + "b" * 3_000_000, "c", "x"), (3, "u", "d", "x")]
+    got = warc.archive_pages(spark, pages_of(spark, rows).coalesce(1), str(tmp_path / "w"))
+    assert sorted(r.page_id for r in got.collect()) == ["1", "2", "3"]
+    whole = warc.write_archives(warc.plan_records(pages_of(spark, rows)), str(tmp_path / "whole"))
+    (tmp_path / "folder.warc.gz").mkdir()
+    with pytest.raises(Exception, match="folder.warc.gz"):  # an error of reading, and no sign of damage
+        warc.normalise(spark.createDataFrame([(str(tmp_path / "folder.warc.gz"),)], "archive string"), str(tmp_path / "n"))
+    path = whole.first().archive
+    data = open(path, "rb").read()
+    cut_off = lambda *a, **k: (open(path, "wb").write(data[: len(data) // 2]), whole)[1]
+    monkeypatch.setattr(warc, "write_archives", cut_off)
+    with pytest.raises(RuntimeError, match="records were archived"):
+        warc.archive_pages(spark, pages_of(spark, rows), str(tmp_path / "c"))
+
+
 # Queries and pipeline
 
 
