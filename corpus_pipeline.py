@@ -11,15 +11,11 @@ from pyspark.sql import functions as F
 
 from sparkseek.llm.common import cut, fresh, table
 from sparkseek.llm.decontaminate import contaminated
-from sparkseek.llm.language_id import UNKNOWN, identify, train_prototypes
+from sparkseek.llm.language_id import FINE, identify, learned, train_prototypes
 from sparkseek.llm.line_dedup import dedup_lines
 from sparkseek.llm.mixing import mix
 from sparkseek.llm.ngram_join import jaccard_groups
 
-#: A text whose profile is less alike its language's than this is in none of the learned languages. Short clean texts
-#: of a few words are well above.
-LEAST_COSINE = 0.05
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter, null and empty ones included, and texts in none of the languages of docs.lang. With
@@ -27,9 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prototypes = train_prototypes(docs)
     if not prototypes:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    lang_pred, score = "lang_pred", "score"
-    found = identify(docs, prototypes)
-    return found.where((F.col(lang_pred) != UNKNOWN) & (F.col(score) >= LEAST_COSINE)).select(*docs.columns)
+    fine = train_prototypes(docs, dim=FINE, pooled=True)
+    return learned(identify(docs, prototypes), fine).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 from sparkseek.llm.kernels import mix64, slices
 
 DIM = 512
+#: Places for the test whether a text is in a learned language at all.
+FINE = 4096
 UNKNOWN = "und"
 _PART = 1 << 20
 _KEPT = 24_000
@@ -46,13 +48,14 @@ class Bundler:
 
     def __init__(self, dim: int):
         self.dim, self.codes, self.vectors = dim, np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
+        self.kept = max(2, min(_KEPT, 2 * _KEPT * DIM // dim))
         self.letter = np.frombuffer(bytes(chr(c).isalpha() for c in range(0x110000)), dtype=bool)
 
     def _index(self, codes: np.ndarray) -> np.ndarray:
         distinct = np.unique(codes)
         new = distinct[~np.isin(distinct, self.codes, assume_unique=True)]
         if len(new):
-            if len(self.codes) + len(new) > _KEPT:
+            if len(self.codes) + len(new) > self.kept:
                 self.codes, self.vectors, new = np.zeros(0, np.int64), np.zeros((0, self.dim), np.float32), distinct
             both = np.concatenate([self.codes, new])
             order = np.argsort(both)
@@ -77,8 +80,8 @@ class Bundler:
         first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
         counts = np.diff(np.append(first, len(grams))).astype(np.float32)
         docs, codes = grams[first] >> 48, grams[first] & 0xFFFFFFFFFFFF
-        for a in range(0, len(codes), _KEPT // 2):
-            b = a + _KEPT // 2
+        for a in range(0, len(codes), self.kept // 2):
+            b = a + self.kept // 2
             index, part = self._index(codes[a:b]), docs[a:b]
             ends = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1
             begin = 0
@@ -109,10 +112,11 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, length, out=np.zeros(vectors.shape), where=length > 0)
 
 
-def train_prototypes(docs: DataFrame, per_language: int = 3000, dim: int = DIM, max_languages: int = 2000,
+def train_prototypes(docs: DataFrame, per_language: int = 3000, dim: int = DIM, max_languages: int = 2000, pooled: bool = False,
                      id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """Prototype by language from docs with a language: of each language at most per_language documents, the first in
-    the order of a hash of their id. Raises ValueError beyond max_languages languages."""
+    the order of a hash of their id. Each counts alike, or, pooled, by its length, which takes little time with a large
+    dim. Raises ValueError beyond max_languages languages."""
     named = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = (
@@ -131,8 +135,14 @@ def train_prototypes(docs: DataFrame, per_language: int = 3000, dim: int = DIM,
     def bundle(batches):
         bundler, sums = Bundler(dim), {}
         for batch in (part for whole in batches for part in slices(whole)):
-            vectors = np.rint(unit(bundler(batch.column("text").to_pylist())) * 10_000).astype(np.int64)  # integers: sums in any order agree
-            langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+            texts, langs = batch.column("text").to_pylist(), np.array(batch.column("lang").to_pylist(), dtype=object)
+            if pooled:
+                names = sorted(set(langs))
+                vectors = bundler(["\n".join(t or "" for t, one in zip(texts, langs, strict=True) if one == name) for name in names])
+                langs = np.array(names, dtype=object)
+            else:
+                vectors = unit(bundler(texts)) * 10_000
+            vectors = np.rint(vectors).astype(np.int64)  # integers: sums in any order agree
             for lang in set(langs):
                 sums[lang] = sums.get(lang, 0) + vectors[langs == lang].sum(axis=0)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "sums": pa.array([s.tolist() for s in sums.values()], pa.list_(pa.int64()))})
@@ -170,3 +180,25 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return docs.mapInArrow(predict, schema)
+
+
+def learned(found: DataFrame, fine: dict[str, np.ndarray], dim: int = FINE, text_col: str = "text") -> DataFrame:
+    """Of rows that identify() gave, those in a learned language: the cosine with one of the prototypes fine, which have
+    dim places, is more than chance gives. Rows whose score with DIM places leaves no doubt of that are not bundled again.
+
+    Cosines of unrelated texts have a standard deviation of 1 / sqrt(dim), whatever the length of the text."""
+    matrix = unit(np.stack([fine[n] for n in sorted(fine)]))
+    least = (3.35 + np.sqrt(2 * np.log(len(matrix)))) / np.sqrt(dim)  # about 5 / sqrt(dim) for four languages
+    sure = least + 5 / np.sqrt(DIM)
+
+    def check(batches):
+        bundler = Bundler(dim)
+        for batch in (part for whole in batches for part in slices(whole)):
+            score = batch.column("score").to_numpy(zero_copy_only=False)
+            keep, low = score >= sure, np.flatnonzero((score < sure) & (np.array(batch.column("lang_pred").to_pylist(), dtype=object) != UNKNOWN))
+            for a in range(0, len(low), 256):
+                some = low[a : a + 256]
+                keep[some] = (unit(bundler(batch.column(text_col).take(pa.array(some)).to_pylist())) @ matrix.T).max(axis=1) >= least
+            yield batch.filter(pa.array(keep))
+
+    return found.mapInArrow(check, found.schema)

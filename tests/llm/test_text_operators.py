@@ -211,6 +211,22 @@ def test_language_id_edge_cases(spark):
         language_id.train_prototypes(docs_of(spark, rows, ", lang string"), max_languages=1)
 
 
+def test_pipeline_drops_texts_of_an_unlearned_script_and_keeps_short_clean_ones(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(chr(0x430 + k) for k in rng.integers(0, 32, rng.integers(2, 10)))
+    foreign = [(1_000_000 + k, " ".join(word() for _ in range(200))) for k in range(60)]
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    short = [(2_000_000 + i, " ".join(t.split()[3:11])) for lang in ("de", "en", "es", "fr") for i, t in [(i, t) for i, t, of in rows if of == lang][:25]]
+    more = spark.createDataFrame([(i, t, None) for i, t in foreign + short], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.select("doc_id", "text", "lang").union(more), "").select("doc_id").collect()}
+    assert not kept & {i for i, _ in foreign}
+    assert len(kept & {i for i, _ in short}) >= 98
+    assert {i for i, t, _ in rows if t and re.search(r"[a-zA-Z]", t)} <= kept
+
+
 def test_language_of_held_out_documents(spark):
     from sparkseek.llm.queries import QUERIES
 
