@@ -8,11 +8,32 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the one that driver and executors share (spark.checkpoint.dir). Where that is unset, as in
-    tests on one machine, a temporary folder is made and kept for the session."""
+def shared_top(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or else the session's checkpoint folder. Where
+    neither is set, a session on one machine gets a temporary folder, and any other raises RuntimeError: its executors
+    would write to disks of their own."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("sparkseek.local.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="sparkseek-")
-        spark.conf.set("sparkseek.local.dir", top)
-    return f"{top.rstrip('/')}/sparkseek-{uuid.uuid4().hex}"
+    if top:
+        return top
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    top = tempfile.mkdtemp(prefix="sparkseek-")
+    spark.conf.set("sparkseek.local.dir", top)
+    return top
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder under shared_top()."""
+    return f"{shared_top(spark).rstrip('/')}/sparkseek-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders, where they are, through Spark's file systems."""
+    java = spark.sparkContext._jvm
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = java.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(settings).delete(path, True)
