@@ -143,3 +143,28 @@ def slices(batch, most_bytes: int = 2_000_000):
     size = max(1, batch.num_rows * most_bytes // max(most_bytes, batch.nbytes))
     for at in range(0, batch.num_rows, size):
         yield batch.slice(at, size)
+
+
+class Frequent:
+    """The most frequent of many 64-bit keys, in bounded memory: beyond 4 * size keys, the 2 * size most frequent so far
+    are kept. Counts are what was seen of a key since it was last let go."""
+
+    def __init__(self, size: int):
+        self.size, self.keys, self.counts = size, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray) -> None:
+        keys, counts = np.unique(keys, return_counts=True)
+        spot = np.searchsorted(self.keys, keys)
+        known = spot < len(self.keys)
+        known[known] = self.keys[spot[known]] == keys[known]
+        self.counts[spot[known]] += counts[known]
+        if not known.all():
+            self.keys = np.insert(self.keys, spot[~known], keys[~known])
+            self.counts = np.insert(self.counts, spot[~known], counts[~known])
+        if len(self.keys) > 4 * self.size:
+            top = np.sort(np.argpartition(self.counts, -2 * self.size)[-2 * self.size :])
+            self.keys, self.counts = self.keys[top], self.counts[top]
+
+    def at_least(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        often = self.counts >= least
+        return self.keys[often], self.counts[often]

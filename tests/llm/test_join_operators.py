@@ -87,6 +87,53 @@ def test_jaccard_edge_cases(spark):
     assert {r[2] for r in twice.collect()} == {1}
 
 
+def templated(groups, copies, common):
+    """Groups of near copies that share a template which makes up much of them, but are not alike each other, with a
+    passage that all documents hold, and many copies of one document."""
+    rng = np.random.default_rng(11)
+    word = lambda: f"w{int(rng.integers(0, 5000))}"
+    passage, template = [word() for _ in range(common)], [word() for _ in range(30)]
+    rows = []
+    for _ in range(groups):
+        own = [word() for _ in range(16)]
+        for _ in range(copies):
+            text = [*passage, *own[:8], *template, *own[8:]]
+            text[int(rng.integers(0, len(text)))] = word()
+            rows.append(" ".join(text))
+    rows += [" ".join(passage + [word() for _ in range(3)]) for _ in range(40)] + [" ".join(template)] * 1200
+    return list(enumerate(rows))
+
+
+def test_jaccard_groups_with_a_template_a_common_passage_and_many_copies(spark, monkeypatch):
+    rows = templated(60, 3, 6)
+    got, common, keepers = ngram_join.shared_shingles, [], []
+    monkeypatch.setattr(ngram_join, "shared_shingles", lambda *a: (common.append(len(a[5])), keepers.append(len(a[6])), got(*a))[2])
+    groups = {r[0]: (r[1], r[2]) for r in ngram_join.jaccard_groups(docs_of(spark, rows), 4, 85, 100).collect()}
+    assert groups == brute_groups(rows, 4, 85, 100)
+    assert common[0] > 0 and keepers == [1]  # shingles of the passage are not counted, and the copies go once
+
+
+def test_jaccard_pairs_of_templated_groups_grow_in_proportion(spark, monkeypatch):
+    compared = []
+    real = ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *a: (compared.append(pairs.count()), real(pairs, *a))[1])
+    counts = []
+    for groups in (30, 150):
+        compared.clear()
+        ngram_join.jaccard_groups(docs_of(spark, templated(groups, 4, 6)), 4, 85, 100).count()
+        counts.append(sum(compared))
+    assert counts[1] <= 6 * counts[0]
+
+
+@pytest.mark.parametrize("light", [0, 3])
+def test_jaccard_groups_do_not_depend_on_what_is_light(spark, light, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_LIGHT", light)
+    monkeypatch.setattr(ngram_join, "cheapest_boundary", lambda sets: 60)
+    rows = near_copies(9, bases=5)
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.jaccard_groups(docs_of(spark, rows), 4, 85, 100).collect()}
+    assert got == brute_groups(rows, 4, 85, 100)
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (170, 2))] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 3000 + k) for k in range(200)] + [(5, 5)]
