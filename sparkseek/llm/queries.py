@@ -51,12 +51,19 @@ def query(name: str, sql: str | None = None):
       SELECT arg_min((1.5::DOUBLE * (SELECT sum(size) FROM sized) - coalesce(full_before, 0)) / weight_from, ratio) AS level FROM levels
       WHERE (1.5::DOUBLE * (SELECT sum(size) FROM sized) - coalesce(full_before, 0)) / weight_from < ratio),
     placed AS (
-      SELECT doc_id, size, source_size, least(weight * level, most)::DOUBLE AS target,
-             sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
-      FROM sized s JOIN weighed w ON s.source IS NOT DISTINCT FROM w.source CROSS JOIN level)
-    SELECT doc_id, size, source_size::BIGINT AS source_size, round(target, 3) AS target,
-           (greatest(0, least(size, floor(target)::BIGINT - start)) + greatest(0, least(size, floor(target)::BIGINT - start - source_size)))::BIGINT AS taken
-    FROM placed
+      SELECT doc_id, s.source, size, source_size, least(weight * level, most)::DOUBLE AS target,
+             (sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS start
+      FROM sized s JOIN weighed w ON s.source IS NOT DISTINCT FROM w.source CROSS JOIN level),
+    copies AS (SELECT *, unnest([0, 1]) AS copy FROM placed WHERE size > 0),
+    packets AS (SELECT *, unnest(range(0, size, 128)) AS at FROM copies),
+    stream AS (
+      SELECT doc_id, least(128, size - at) AS words, sum(least(128, size - at)) OVER (
+        ORDER BY (start + copy * source_size + least(size, at + 128))::DOUBLE / target, source IS NULL, encode(source), start + copy * source_size + at) AS upto
+      FROM packets),
+    mixed AS (
+      SELECT doc_id, sum(greatest(0, least(words, (SELECT floor(1.5::DOUBLE * sum(size)) FROM sized) - upto + words)))::BIGINT AS taken FROM stream GROUP BY doc_id)
+    SELECT doc_id, size, source_size::BIGINT AS source_size, round(target, 3) AS target, coalesce(taken, 0) AS taken
+    FROM placed LEFT JOIN mixed USING (doc_id)
     """,
 )
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
