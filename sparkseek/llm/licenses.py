@@ -1,8 +1,9 @@
 """License scans by sentence rules.
 
-Texts are split into pieces at sentence ends and blank lines; normalised pieces are looked up among known licence
-sentences, which gives identifiers; the identifiers of a document, in order, are matched against ordered licence rules
-(sequences of identifiers). DataFrame functions only; the table of known sentences is fixed, some 60 rows.
+Texts are split into pieces at sentence ends and blank lines; normalised pieces, and lines of pieces, are looked up
+among known licence sentences, which gives identifiers; the identifiers of a document, in order, are matched against
+ordered licence rules (sequences of identifiers). DataFrame functions only; the table of known sentences is fixed, some
+90 rows.
 """
 
 from __future__ import annotations
@@ -100,12 +101,6 @@ SENTENCES = {
     "cc_by_nc_named": ["Licensed under CC BY-NC 4.0", "This work is licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc_by_nd_named": ["Licensed under CC BY-ND 4.0", "This work is licensed under CC BY-ND 4.0"],
     "spdx_tag": ["SPDX-License-Identifier"],
-    "spdx_mit": ["MIT"],
-    "spdx_apache2": ["Apache-2.0"],
-    "spdx_gpl3": ["GPL-3.0-only", "GPL-3.0-or-later"],
-    "spdx_gpl2": ["GPL-2.0-only", "GPL-2.0-or-later"],
-    "spdx_bsd3": ["BSD-3-Clause"],
-    "spdx_bsd2": ["BSD-2-Clause"],
 }
 # Ordered rules. Of the rules that match from the same sentence on, the first one holds.
 RULES = [
@@ -139,20 +134,58 @@ RULES = [
     ("CC-BY-SA-4.0", ["cc_by_sa_named"]),
     ("CC-BY-NC-4.0", ["cc_by_nc_named"]),
     ("CC-BY-ND-4.0", ["cc_by_nd_named"]),
-    ("MIT", ["spdx_tag", "spdx_mit"]),
-    ("Apache-2.0", ["spdx_tag", "spdx_apache2"]),
-    ("GPL-3.0", ["spdx_tag", "spdx_gpl3"]),
-    ("GPL-2.0", ["spdx_tag", "spdx_gpl2"]),
-    ("BSD-3-Clause", ["spdx_tag", "spdx_bsd3"]),
-    ("BSD-2-Clause", ["spdx_tag", "spdx_bsd2"]),
 ]
+# SPDX identifiers after a tag, and what they stand for where that is another one.
+SPDX = {
+    "MIT": "MIT",
+    "Apache-2.0": "Apache-2.0",
+    "GPL-2.0": "GPL-2.0-only",
+    "GPL-2.0+": "GPL-2.0-or-later",
+    "GPL-2.0-only": "GPL-2.0-only",
+    "GPL-2.0-or-later": "GPL-2.0-or-later",
+    "GPL-3.0": "GPL-3.0-only",
+    "GPL-3.0+": "GPL-3.0-or-later",
+    "GPL-3.0-only": "GPL-3.0-only",
+    "GPL-3.0-or-later": "GPL-3.0-or-later",
+    "LGPL-2.1": "LGPL-2.1-only",
+    "LGPL-2.1+": "LGPL-2.1-or-later",
+    "LGPL-2.1-only": "LGPL-2.1-only",
+    "LGPL-2.1-or-later": "LGPL-2.1-or-later",
+    "LGPL-3.0-only": "LGPL-3.0-only",
+    "LGPL-3.0-or-later": "LGPL-3.0-or-later",
+    "AGPL-3.0-only": "AGPL-3.0-only",
+    "AGPL-3.0-or-later": "AGPL-3.0-or-later",
+    "BSD-2-Clause": "BSD-2-Clause",
+    "BSD-3-Clause": "BSD-3-Clause",
+    "ISC": "ISC",
+    "MPL-2.0": "MPL-2.0",
+    "EPL-2.0": "EPL-2.0",
+    "Unlicense": "Unlicense",
+    "CC0-1.0": "CC0-1.0",
+    "CC-BY-4.0": "CC-BY-4.0",
+    "CC-BY-SA-4.0": "CC-BY-SA-4.0",
+    "CC-BY-NC-4.0": "CC-BY-NC-4.0",
+    "CC-BY-ND-4.0": "CC-BY-ND-4.0",
+}
+SENTENCES |= {f"spdx_{tag}": [tag] for tag in SPDX}
+RULES += [(license, ["spdx_tag", f"spdx_{tag}"]) for tag, license in SPDX.items()]
 #: Where pieces end: after . ! ? : and blanks, and at blank lines.
 PIECE_END = r"(?<=[.!?:])\s+|\n[ \t\r]*\n\s*"
 
 
+TAG = "SPDX-License-Identifier:"
+
+
 def normalised(sentence: Column) -> Column:
-    """Lower-case letters and digits with single spaces between."""
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
+    """Lower-case letters and digits with single spaces between, and plus for a plus sign."""
+    return F.trim(F.regexp_replace(F.replace(F.lower(sentence), F.lit("+"), F.lit(" plus ")), r"[^\p{L}\p{N}]+", " "))
+
+
+def tags_apart(text: Column) -> Column:
+    """The text with a tag of its own for every licence of an SPDX expression; what comes after WITH gets none."""
+    of_tag = rf"(?<={TAG}[^\n]{{0,400}})"
+    several = F.regexp_replace(F.regexp_replace(text, rf"[ \t]+WITH[ \t]+{of_tag}", "\n"), rf"[ \t]+(?:OR|AND)[ \t]+{of_tag}", f"\n{TAG} ")
+    return F.when(F.instr(text, TAG) > 0, several).otherwise(text)
 
 
 def scan_licenses(docs: DataFrame, sentences: dict | None = None, rules: list | None = None, max_gap: int = 2,
@@ -160,10 +193,10 @@ def scan_licenses(docs: DataFrame, sentences: dict | None = None, rules: list |
     """A row for each licence statement: id, license, rule (its sentence identifiers), first_piece, last_piece.
 
     Sentences are looked up in whole pieces and, where a piece spans lines, in each of its lines and in what follows
-    a line's start up to the piece's end. A rule matches identifiers in its order with at most max_gap pieces between
-    neighbours that are no known sentences. Null and empty texts give no rows; rows with the same id are scanned each
-    for itself, equal rows together, and give one result for each distinct text. A null id is kept as an id.
-    """
+    a line's start up to the piece's end; of known sentences that overlap the longest counts. A rule matches identifiers
+    in their order with at most max_gap pieces between neighbours that are no known sentences. An SPDX expression gives
+    a row for each of its licences. Null and empty texts give no rows; rows with the same id are scanned each for
+    itself, equal rows together, and give one result for each distinct text. A null id is kept as an id."""
     sentences, rules = sentences or SENTENCES, rules or RULES
     number = {name: k for k, name in enumerate(sentences)}
     longest = 2 * max(len(t) for ts in sentences.values() for t in ts)
@@ -172,20 +205,33 @@ def scan_licenses(docs: DataFrame, sentences: dict | None = None, rules: list |
     known = known.select(normalised(F.col("sentence")).alias("norm"), "known").dropDuplicates(["norm"])
 
     pieces = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.posexplode(F.split(text_col, PIECE_END)).alias("piece", "part")
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.posexplode(F.split(tags_apart(F.col(text_col)), PIECE_END)).alias("piece", "part")
     ).where(F.length("part") > 0)
-    # A piece of several lines stands for itself, for its lines, and for the ends of it that begin with a line.
-    end = F.split(F.substring(F.col("part"), -longest, longest), "\n")
-    ends = F.transform(F.sequence(F.lit(0), F.size(end) - 1), lambda i: F.array_join(F.slice(end, i + 1, F.size(end)), " "))
-    lines = F.split("part", "\n")
+    # A piece of several lines stands for its lines, and for the ends of it that begin with a line.
+    lines, end = F.split("part", "\n"), F.split(F.substring(F.col("part"), -longest, longest), "\n")
+    span = lambda first, last, text: F.struct(first.alias("first"), last.alias("last"), text.alias("text"))
+    singles = F.transform(lines, lambda t, i: span(i, i, t))
+    ends = F.transform(
+        F.sequence(F.lit(0), F.size(end) - 2),
+        lambda i: span(F.size(lines) - F.size(end) + i, F.size(lines) - 1, F.array_join(F.slice(end, i + 1, F.size(end)), " ")),
+    )
+    whole = F.array(span(F.lit(0), F.lit(0), F.col("part")))
     several = F.instr("part", "\n") > 0
-    candidates = pieces.withColumn("candidate", F.explode(F.when(several, F.array_union(lines, ends)).otherwise(F.array("part"))))
+    candidates = pieces.withColumn("span", F.explode(F.when(several & (F.size(end) > 1), F.concat(singles, ends)).when(several, singles).otherwise(whole)))
+    over_lines = F.col("span.first") < F.col("span.last")
     found = (
-        candidates.where(F.length("candidate").between(2, longest))
-        .withColumn("norm", normalised(F.col("candidate")))
-        .join(F.broadcast(known), "norm")  # a fixed table, some 60 rows
+        candidates.where(F.length("span.text").between(2, longest))
+        .withColumn("norm", normalised(F.col("span.text")))
+        .join(F.broadcast(known), "norm")  # a fixed table, some 90 rows
+        .groupBy("id", "mark", "piece")
+        .agg(
+            F.min(F.when(over_lines, F.struct(F.col("span.first").alias("line"), "known"))).alias("over"),  # ends contain each other
+            F.collect_set(F.when(~over_lines, F.struct(F.col("span.first").alias("line"), "known"))).alias("lines"),
+        )
+        .withColumn("lines", F.filter("lines", lambda x: F.col("over").isNull() | (x["line"] < F.col("over.line"))))
+        .withColumn("lines", F.when(F.col("over").isNull(), F.col("lines")).otherwise(F.array_append("lines", F.col("over"))))
         .groupBy("id", "mark")
-        .agg(F.array_sort(F.collect_set(F.struct("piece", "known"))).alias("seen"))
+        .agg(F.array_sort(F.flatten(F.collect_list(F.transform("lines", lambda x: F.struct(F.col("piece"), x["line"].alias("line"), x["known"].alias("known")))))).alias("seen"))
     )
     before = lambda i: F.get(F.col("seen"), i - 1)["piece"]
     token = lambda x, i: F.concat(
