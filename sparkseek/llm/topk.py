@@ -18,14 +18,18 @@ from pyspark.sql.window import Window
 from sparkseek.llm.common import cut
 
 _CHUNK = 512
+#: Above all scores: components are below 2**135, vectors have at most 2**31.
+_TOP = 1 << 320
+_NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "U1"), np.zeros(0, np.int64))
 
 
 def quantised(vectors: DataFrame, factor: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, v): floor(factor * x) of all components x, of vectors without null or non-finite components and with an id."""
+    """(id, v): floor(factor * x) of all components x, of vectors without null or non-finite components and with an id.
+    v holds whole numbers as doubles, which are exact at any size; none is cut to 64 bits."""
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(sound).select(
-        F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * factor)).alias("v")
+        F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.rint(c * factor) - F.when(F.rint(c * factor) > c * factor, 1.0).otherwise(0.0)).alias("v")
     )
 
 
@@ -41,38 +45,54 @@ def _matrices(batch):
             yield int(size), ids[part], values[(ends[part] - size)[:, None] + np.arange(size)]
 
 
+def _whole(values: np.ndarray) -> np.ndarray:
+    """As Python integers."""
+    return np.frompyfunc(int, 1, 1)(values)
+
+
 def _partials(queries: np.ndarray, vectors: np.ndarray, parts: int) -> list[np.ndarray]:
     """Partial scores (query, vector) of each part, exact: as doubles where they hold all sums, else as Python integers."""
-    most = float(np.abs(queries.astype(np.float64)).max(initial=0)) * float(np.abs(vectors.astype(np.float64)).max(initial=0)) * max(1, queries.shape[1])
-    kind = np.float64 if most < 2**52 else object
-    q, v = queries.astype(kind), vectors.astype(kind)
+    with np.errstate(over="ignore"):
+        most = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, queries.shape[1])
+    small = most < 2**52
+    q, v = (queries, vectors) if small else (_whole(queries), _whole(vectors))
     bounds = [queries.shape[1] * k // parts for k in range(parts + 1)]
-    return [q[:, a:b] @ v[:, a:b].T if b > a else np.zeros((len(q), len(v)), kind) for a, b in zip(bounds, bounds[1:], strict=False)]
+    return [q[:, a:b] @ v[:, a:b].T if b > a else np.zeros((len(q), len(v)), float if small else object) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def _ordered(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores as 64-bit integers, the nearest ones of larger scores; and what orders those that are as large or larger,
+    ascending from the highest, else the empty string."""
+    if scores.dtype != object:
+        return scores.astype(np.int64), np.full(len(scores), "", "U1")
+    nearest = [min(max(int(s), -(2**63)), 2**63 - 1) for s in scores]
+    return np.array(nearest, np.int64), np.array([_beyond(int(s)) if abs(int(s)) >= 2**63 - 1 else "" for s in scores], str)
+
+
+def _beyond(score: int) -> str:
+    return f"{_TOP - score:081x}"
 
 
-def _longs(scores: np.ndarray) -> np.ndarray:
-    """Scores as 64-bit integers; beyond those, the nearest one."""
-    if scores.dtype == object:
-        return np.array([min(max(int(s), -(2**63)), 2**63 - 1) for s in scores.ravel()], np.int64).reshape(scores.shape)
-    return scores.astype(np.int64)
+def _exact(score: int, beyond: str) -> int:
+    return _TOP - int(beyond, 16) if beyond else score
 
 
-def _best(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int):
+def _best(query: np.ndarray, score: np.ndarray, beyond: np.ndarray, ids: np.ndarray, k: int):
     """The k best entries of each query, ties to smaller ids."""
-    order = np.lexsort((ids, -score, query))
-    query, score, ids = query[order], score[order], ids[order]
+    order = np.lexsort((ids, beyond, ~score, query))
+    query, score, beyond, ids = query[order], score[order], beyond[order], ids[order]
     first = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, int)
     rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
-    return query[rank < k], score[rank < k], ids[rank < k]
+    return query[rank < k], score[rank < k], beyond[rank < k], ids[rank < k]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int = 2, block: int = 2048) -> DataFrame:
     """(query_id, rank, id, score): the k vectors with the highest inner product with each query, ties to smaller ids.
 
-    vectors and queries: (id, v) of integers, as quantised() gives them. A query is not its own candidate, nor is any
+    vectors and queries: (id, v) of whole numbers, as quantised() gives them. A query is not its own candidate, nor is any
     row with its id; a vector of another length takes no part. Fewer than k candidates: all. Repeated candidates are
-    listed each; repeated query rows once. Empty tables give an empty result. A score beyond 64 bits is the nearest
-    64-bit integer."""
+    listed each; repeated query rows once. Empty tables give an empty result. Scores are exact and ranked as such; one
+    beyond 64 bits is given as the nearest 64-bit integer."""
     spark = vectors.sparkSession
     vectors = cut(vectors)
     queries = cut(queries.distinct().withColumn("block", F.xxhash64("id", "v")))
@@ -86,11 +106,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int = 2, b
         by_size: dict[int, np.ndarray] = {}
         for size in {len(r["v"]) for r in rows}:
             by_size[size] = np.array([i for i, r in enumerate(rows) if len(r["v"]) == size])
-        asked = spark.sparkContext.broadcast((ids, {s: (at, np.array([rows[i]["v"] for i in at], np.int64).reshape(len(at), s)) for s, at in by_size.items()}))
+        asked = spark.sparkContext.broadcast((ids, {s: (at, np.array([rows[i]["v"] for i in at], np.float64).reshape(len(at), s)) for s, at in by_size.items()}))
 
         def local_lists(batches, asked=asked):
             ids, by_size = asked.value
-            found = [(np.zeros(0, np.int64),) * 3]
+            found = [_NONE]
             for batch in batches:
                 for size, own, matrix in _matrices(batch):
                     if size not in by_size:
@@ -108,50 +128,53 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int = 2, b
                     rows, cols = np.divmod(np.unique(np.concatenate(rows) * len(own) + np.concatenate(cols)), len(own))
                     other = own[cols] != ids[at[rows]]
                     rows, cols = rows[other], cols[other]
-                    found.append((at[rows], _longs(sum(part[rows, cols] for part in lists)), own[cols]))
+                    found.append((at[rows], *_ordered(sum(part[rows, cols] for part in lists)), own[cols]))
                     if len(found) > 8:
                         found = [_best(*map(np.concatenate, zip(*found, strict=True)), k)]
-            query, score, _ = _best(*map(np.concatenate, zip(*found, strict=True)), k)
-            yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int64)), pa.array(score)], names=["q", "score"])
+            query, score, beyond, _ = _best(*map(np.concatenate, zip(*found, strict=True)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int64)), pa.array(score), pa.array(beyond, pa.string())], names=["q", "score", "beyond"])
 
-        ranked = Window.partitionBy("q").orderBy(F.desc("score"))
+        ranked = Window.partitionBy("q").orderBy(F.desc("score"), "beyond")
         cutoffs = (
-            vectors.mapInArrow(local_lists, "q long, score long")
+            vectors.mapInArrow(local_lists, "q long, score long, beyond string")
             .withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k).where(F.col("n") == k)
-            .select("q", "score").collect()
+            .select("q", "score", "beyond").collect()
         )  # one number for each query of the block
-        limit = np.full(len(rows), -(2**63), np.int64)
+        limit = np.full(len(rows), -_TOP, object)
         for r in cutoffs:
-            limit[r["q"]] = r["score"]
+            limit[r["q"]] = _exact(r["score"], r["beyond"])
         told = spark.sparkContext.broadcast(limit)
 
         def resolve(batches, asked=asked, told=told):
             (ids, by_size), limit = asked.value, told.value
-            found, n = [(np.zeros(0, np.int64),) * 3], 0
+            found, n = [_NONE], 0
             for batch in batches:
                 for size, own, matrix in _matrices(batch):
                     if size not in by_size:
                         continue
                     at, q = by_size[size]
                     lists = _partials(q, matrix, parts)
-                    least = limit[at].astype(lists[0].dtype)[:, None]
-                    enough = lists[0] * parts >= least
+                    least = limit[at].astype(lists[0].dtype)
+                    enough = lists[0] * parts >= least[:, None]
                     for part in lists[1:]:
-                        enough |= part * parts >= least
+                        enough |= part * parts >= least[:, None]
                     rows, cols = np.nonzero(enough)
-                    score = _longs(sum(part[rows, cols] for part in lists))
-                    keep = (score >= limit[at[rows]]) & (own[cols] != ids[at[rows]])
-                    found.append((at[rows[keep]], score[keep], own[cols[keep]]))
+                    score = sum(part[rows, cols] for part in lists)
+                    keep = (score >= least[rows]).astype(bool) & (own[cols] != ids[at[rows]])
+                    found.append((at[rows[keep]], *_ordered(score[keep]), own[cols[keep]]))
                     n += int(keep.sum())
                     if n > 1_000_000:
                         found = [_best(*map(np.concatenate, zip(*found, strict=True)), k)]
                         n = 0
-            query, score, own = _best(*map(np.concatenate, zip(*found, strict=True)), k)
-            yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int64)), pa.array(ids[query.astype(np.int64)]), pa.array(own), pa.array(score)], names=["q", "query_id", "id", "score"])
+            query, score, beyond, own = _best(*map(np.concatenate, zip(*found, strict=True)), k)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(query.astype(np.int64)), pa.array(ids[query.astype(np.int64)]), pa.array(own), pa.array(score), pa.array(beyond, pa.string())],
+                names=["q", "query_id", "id", "score", "beyond"],
+            )
 
-        answer = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+        answer = Window.partitionBy("q").orderBy(F.desc("score"), "beyond", "id")
         results.append(cut(
-            vectors.mapInArrow(resolve, "q long, query_id long, id long, score long")
+            vectors.mapInArrow(resolve, "q long, query_id long, id long, score long, beyond string")
             .withColumn("rank", F.row_number().over(answer)).where(F.col("rank") <= k)
             .select("query_id", "rank", "id", "score")
         ))

@@ -249,7 +249,7 @@ def brute_topk(rows, k):
     for q, v in dict(sound).items():
         if q % 20 == 0:
             scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in sound if i != q and len(w) == len(v))[:k]
-            out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored)]
+            out += [(q, rank + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for rank, (s, i) in enumerate(scored)]
     return sorted(out)
 
 
@@ -268,6 +268,11 @@ def test_topk_large_numbers_few_candidates_and_empty_tables(spark):
     rows = [(0, [1e9, -3.0]), (1, [1e9, 2.0]), (2, [-1e9, 7.0])]
     vectors = vectors_of(spark, rows)
     assert sorted(map(tuple, topk.top_k(vectors, vectors.where("id = 0")).collect())) == brute_topk(rows, 20)
+    huge = [(0, [1e9, -3.0]), (1, [1e9, 2.0]), (2, [2e9, 7.0]), (3, [3e38, 1.0]), (4, [-3e38, 0.0]), (5, [-2e38, 0.0]), (6, [3e38, 2.0]), (7, [3e38, 2.0]), (20, [3e38, -3e38])]
+    found = topk.top_k(vectors_of(spark, huge).repartition(3), vectors_of(spark, huge).where("id % 20 = 0"), k=6)
+    assert sorted(map(tuple, found.collect())) == brute_topk(huge, 6)
+    twice = vectors_of(spark, [(0, [1.0]), (0, [1.0]), (1, [2.0]), (1, [2.0]), (1, [3.0])])
+    assert sorted(map(tuple, topk.top_k(twice, twice.where("id = 0")).collect())) == [(0, 1, 1, 64 * 192), (0, 2, 1, 64 * 128), (0, 3, 1, 64 * 128)]
     alone = vectors_of(spark, [(20, [1.0])])
     assert topk.top_k(alone, alone).count() == 0
     none = vectors_of(spark, [])
