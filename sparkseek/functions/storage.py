@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_top(spark: SparkSession) -> str:
@@ -37,3 +37,10 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
     for name in paths:
         path = java.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(settings).delete(path, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared folder, for jobs that read them several times."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 MARKS = r"̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯¨¯´¸ʰ-˿"
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+_STEMS_KEPT = 200_000
 TOKEN = r"[\p{IsAlphabetic}\p{N}" + MARKS + "]+"
 # Words that a search drops while others are left.
 STOPWORDS = """a an and are as at be but by for if in into is it its no not of on or such that the their then there these
@@ -97,9 +101,16 @@ def porter_stem(word: str) -> str:
 
 
 def with_stems(words: DataFrame, col: str, into: str = "key") -> DataFrame:
-    """Adds the stem of each word of a table of distinct words, in Arrow batches."""
+    """Adds the stem of each word, in Arrow batches; a task stems a word once, and again only when it has seen
+    _STEMS_KEPT others. So no join deals the occurrences of a frequent word to one task."""
     @F.pandas_udf("string")
-    def stem(column: pd.Series) -> pd.Series:
-        return column.map(porter_stem, na_action="ignore")
+    def stem(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict = {}
+        for column in batches:
+            places, distinct = pd.factorize(column)
+            if len(known) > _STEMS_KEPT:
+                known.clear()
+            stems = np.array([known[w] if w in known else known.setdefault(w, porter_stem(w)) for w in distinct] + [None], dtype=object)
+            yield pd.Series(stems[places])  # -1, of nulls, is the last
 
     return words.withColumn(into, stem(col))

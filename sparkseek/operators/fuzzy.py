@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkseek.functions.text import normalized
+from sparkseek.operators.search import in_blocks
 
 #: The quality of a perfect match, and by how much penalties lower candidates of files.
 FULL_QUALITY = 1500
@@ -46,30 +47,30 @@ def alignment_full(query: str) -> int:
     return sum(16 + 8 * (i == 0 or not query[i - 1].isalnum()) + 4 * (i > 0) for i in range(len(query)))
 
 
+def _mask(col: str) -> Column:
+    """64 bits, of which each distinct character other than blanks sets one."""
+    return F.expr(f"aggregate(filter(split({col}, ''), c -> trim(c) != ''), 0L, (m, c) -> m | shiftleft(1L, pmod(ascii(c), 64)))")
+
+
 def fuzzy_candidates(queries: DataFrame, titles: DataFrame, title_col: str = "title") -> DataFrame:
     """(query_id, norm_query, all columns of titles, quality): titles that have the query's characters in its order,
     whatever case and accents.
 
-    Titles are dealt by their distinct characters and meet a query at the query's rarest one; titles without all its
-    characters go natively, and only the rest are aligned, in Arrow batches."""
-    spread = lambda text: F.array_distinct(F.split(F.regexp_replace(text, r"\s", ""), ""))
-    texts = titles.withColumn("norm_title", normalized(F.col(title_col)))
-    texts = texts.withColumn("chars", F.filter(spread(F.col("norm_title")), lambda c: c != ""))
-    dealt = texts.withColumn("char", F.explode("chars"))
-    common = dealt.groupBy("char").agg(F.count("*").alias("n"))
+    Queries are broadcast in counted blocks, and titles stay where they are read: they are compared by a mask of their
+    characters, then by a pattern of the query's characters in order, both natively; only the rest are aligned, in Arrow
+    batches. So no task gets all titles that have a common character."""
+    texts = titles.withColumn("norm_title", normalized(F.col(title_col))).withColumn("title_mask", _mask("norm_title"))
     asked = queries.select("query_id", normalized(F.trim("query_text")).alias("norm_query")).where(F.length("norm_query") > 0)
-    asked = asked.withColumn("wanted", F.filter(spread(F.col("norm_query")), lambda c: c != ""))
-    rarest = (
-        asked.withColumn("char", F.explode("wanted")).join(common, "char", "left")
-        .groupBy("query_id", "norm_query", "wanted").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "char"))["char"].alias("char"))
-    )
-    able = rarest.join(dealt, "char").where(F.size(F.array_except("wanted", "chars")) == 0)
+    letters = F.filter(F.split("norm_query", ""), lambda c: F.trim(c) != "")
+    asked = asked.select("query_id", "norm_query", _mask("norm_query").alias("mask"), F.concat(F.lit("%"), F.array_join(F.transform(letters, lambda c: F.when(c.isin("%", "_", "\\"), F.concat(F.lit("\\"), c)).otherwise(c)), "%"), F.lit("%")).alias("in_order"))
+    holds = (F.col("title_mask").bitwiseAND(F.col("mask")) == F.col("mask")) & F.expr("norm_title LIKE in_order")
+    able = in_blocks(asked, lambda block: texts.join(block, holds).select("query_id", "norm_query", *titles.columns, "norm_title"))
 
     @F.pandas_udf("int")
     def quality(query: pd.Series, title: pd.Series) -> pd.Series:
         return pd.Series([alignment_quality(q.replace(" ", ""), t) for q, t in zip(query, title, strict=True)], dtype="Int32")
 
-    return able.withColumn("quality", quality("norm_query", "norm_title")).where(F.col("quality").isNotNull()).drop("wanted", "chars", "char", "norm_title")
+    return able.withColumn("quality", quality("norm_query", "norm_title")).where(F.col("quality").isNotNull()).drop("norm_title")
 
 
 def best_field(candidates: DataFrame, keys: list[str], weights: dict[str, float]) -> DataFrame:

@@ -12,7 +12,7 @@ from sparkseek.functions.text import STOPWORDS, normalized, token_array, with_st
 
 
 class Index(NamedTuple):
-    """postings(key, doc_id, tf, positions), doc_stats(doc_id, len), term_stats(key, df)."""
+    """postings(key, doc_id, tf, and positions where asked for), doc_stats(doc_id, len), term_stats(key, df)."""
 
     postings: DataFrame
     doc_stats: DataFrame
@@ -32,7 +32,8 @@ def vocabulary_keys(norms: DataFrame, stem: bool = True) -> DataFrame:
 
 def keyed(words: DataFrame, stem: bool) -> DataFrame:
     """Words with norm and their key."""
-    return words.join(vocabulary_keys(words), "norm") if stem else words.where(F.col("norm") != "").withColumn("key", F.col("norm"))
+    words = words.where(F.col("norm") != "")
+    return with_stems(words, "norm") if stem else words.withColumn("key", F.col("norm"))
 
 
 def query_terms(queries: DataFrame, stem: bool = True) -> DataFrame:
@@ -53,10 +54,12 @@ def query_terms(queries: DataFrame, stem: bool = True) -> DataFrame:
     return keyed(words, stem).select("query_id", "ord", "norm", "key", "is_last", "ranked")
 
 
-def build_index(corpus: DataFrame, stem: bool = True, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """The tables that searches read. Postings are pre-aggregated by document before they are dealt by key."""
+def build_index(corpus: DataFrame, stem: bool = True, id_col: str = "doc_id", text_col: str = "text", positions: bool = True) -> Index:
+    """The tables that searches read. One shuffle, of postings: a document's words are counted where its text is read.
+    Ranked search needs no positions; without them counting is much cheaper."""
     words = keyed(tokens(corpus, id_col, text_col), stem)
-    return with_statistics(words.groupBy("key", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")))
+    counts = [F.count("*").alias("tf"), *([F.array_sort(F.collect_list("pos")).alias("positions")] if positions else [])]
+    return with_statistics(words.groupBy("key", "doc_id").agg(*counts))
 
 
 def with_statistics(postings: DataFrame) -> Index:
@@ -66,11 +69,11 @@ def with_statistics(postings: DataFrame) -> Index:
     return Index(postings, doc_stats, term_stats)
 
 
-def rank_vocabulary(vocab: DataFrame, lemmas: DataFrame) -> DataFrame:
-    """(rank, word, df) of the words of vocab(word, df) that lemmas(word) has, from frequent to rare. Ranks are dealt by
+def rank_vocabulary(vocab: DataFrame, lemmas: DataFrame | None) -> DataFrame:
+    """(rank, word, df) of the words of vocab(word, df) that lemmas(word) has (None: of all), from frequent to rare. Ranks are dealt by
     df first, so no task sorts the whole vocabulary: words of one frequency are ranked among themselves and moved by
     the number of more frequent ones."""
-    kept = vocab.join(lemmas.select("word").distinct(), "word", "left_semi")
+    kept = vocab if lemmas is None else vocab.join(lemmas.select("word").distinct(), "word", "left_semi")
     by_df = kept.groupBy("df").count()
     above = by_df.select("df", F.coalesce(F.sum("count").over(Window.orderBy(F.desc("df")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
     own = F.row_number().over(Window.partitionBy("df").orderBy("word"))

@@ -58,7 +58,7 @@ def compose_score(candidates: DataFrame, weights: DataFrame, ext_weights: DataFr
     return (
         joined.withColumn("base", F.col("band") + F.greatest(intra, F.lit(0.0)))
         .withColumn("match_bonus", tier[F.col("tier")] + F.least(F.coalesce("quality", F.lit(0)) / FULL_QUALITY, F.lit(1.0)) * F.col("match_max"))
-        .withColumn("penalty", -F.least(intra, F.lit(0.0)))
+        .withColumn("penalty", 0.0 - F.least(intra, F.lit(0.0)))
         .withColumn("score", F.col("base") + F.col("match_bonus") - F.col("penalty"))
         .drop("band", "hidden", "match_max")
     )

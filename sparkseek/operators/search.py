@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,14 +48,19 @@ def search(terms: DataFrame, index: Index, limit: int = 20, metadata: DataFrame
     Ranked by BM25, ties by doc_id; a query of stopwords only is not scored and lists documents by doc_id. With
     metadata(doc_id, size, mtime) these come along, 0 where a document has none."""
     scope = index.doc_stats.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))  # one row
+    listed = (
+        term_matches(terms.where(~F.col("ranked")), index).groupBy("query_id", "doc_id")
+        .agg(F.count("*").alias("found"), F.first("n_terms").alias("n_terms")).where(F.col("found") == F.col("n_terms"))
+        .select("query_id", "doc_id", F.lit(0.0).alias("score"))
+    )  # stopwords only: neither scores nor lengths are read, and each task keeps the first documents only
     scored = (
-        term_matches(terms, index).join(index.doc_stats, "doc_id").join(F.broadcast(scope))
+        term_matches(terms.where("ranked"), index).join(index.doc_stats, "doc_id").join(F.broadcast(scope))
         .withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
         .withColumn("part", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean"))))
         .groupBy("query_id", "doc_id")
-        .agg(F.sum(F.when(F.col("ranked"), F.col("part")).otherwise(0.0)).alias("score"), F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
-        .where(F.col("found") == F.col("n_terms"))
-    )
+        .agg(F.sum("part").alias("score"), F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
+        .where(F.col("found") == F.col("n_terms")).select("query_id", "doc_id", "score")
+    ).unionByName(listed)
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
     hits = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query_id", "doc_id", "score", "rank")
     if metadata is None:
@@ -96,7 +104,7 @@ def snippets(hits: DataFrame, terms: DataFrame, words: DataFrame, size: int = 20
 def best_page(terms: DataFrame, pages: DataFrame, stem: bool = True) -> DataFrame:
     """(query_id, doc_id, page, coverage) from pages(doc_id, page, text): of every document with a term, the page with
     most distinct terms, the earliest on ties. All terms count, the last one too."""
-    words = keyed(tokens(pages.withColumn("at", F.struct("doc_id", "page")), "at"), stem).select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.page").alias("page"), "key").distinct()
+    words = keyed(tokens(pages.withColumn("at", F.struct("doc_id", "page")), "at"), stem).join(terms.select("key").distinct(), "key", "left_semi").select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.page").alias("page"), "key").distinct()
     covered = words.join(terms.select("query_id", "key"), "key").groupBy("query_id", "doc_id", "page").agg(F.count_distinct("key").alias("coverage"))
     best = covered.groupBy("query_id", "doc_id").agg(F.max(F.struct("coverage", (-F.col("page")).alias("minus"))).alias("b"))
     return best.select("query_id", "doc_id", (-F.col("b.minus")).alias("page"), F.col("b.coverage").alias("coverage"))
@@ -107,7 +115,8 @@ def best_passage(terms: DataFrame, lines: DataFrame, window: int = 10, scan_limi
     terms, the earliest on ties; among lines before scan_limit. Only lines with a term are rows, as coverage can rise
     only there. Documents without a term are not listed: they are shown from the top."""
     read = lines.where(F.col("line") < scan_limit).withColumn("at", F.struct("doc_id", "line"))
-    words = keyed(tokens(read, "at"), stem).select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.line").alias("line"), "key").distinct()
+    asked = terms.select("key").distinct()
+    words = keyed(tokens(read, "at"), stem).join(asked, "key", "left_semi").select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.line").alias("line"), "key").distinct()
     found = words.join(terms.select("query_id", "key"), "key")
     sliding = Window.partitionBy("query_id", "doc_id").orderBy("line").rangeBetween(-(window - 1), 0)
     covered = found.withColumn("coverage", F.size(F.collect_set("key").over(sliding)))
@@ -162,12 +171,18 @@ def match_boxes(terms: DataFrame, ocr_words: DataFrame, indexed: DataFrame, stem
 
 def filter_history(history: DataFrame, queries: DataFrame, tab: str = "all") -> DataFrame:
     """(query_id, id): entries of history(id, content_type, preview, ocr_text) in a tab whose preview or image text has
-    the query as it is typed, in any case. Queries are a short list that is typed by a user; all entries are scanned
-    for each."""
+    the query as it is typed, in any case. All entries are scanned for a block of queries at a time, which is broadcast."""
     within = history if tab == "all" else history.where(F.col("content_type") == tab)
     text = F.lower(F.concat_ws("\n", "preview", "ocr_text"))
     asked = queries.select("query_id", F.lower(F.trim("query_text")).alias("q"))
-    return within.select("id", text.alias("text")).join(asked, F.col("text").contains(F.col("q"))).select("query_id", "id")
+    return in_blocks(asked, lambda block: within.select("id", text.alias("text")).join(block, F.col("text").contains(F.col("q"))).select("query_id", "id"))
+
+
+def in_blocks(queries: DataFrame, run: Callable[[DataFrame], DataFrame], rows: int = 10_000) -> DataFrame:
+    """What run gives for queries, broadcast in counted blocks of some rows each, together."""
+    n = max(1, -(-queries.count() // rows))
+    blocks = [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64(*queries.columns), F.lit(n)) == k) for k in range(n)]
+    return reduce(DataFrame.union, [run(F.broadcast(b)) for b in blocks])
 
 
 def normalized_queries(queries: DataFrame) -> DataFrame:

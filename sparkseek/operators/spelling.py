@@ -46,9 +46,12 @@ def corrections(words: DataFrame, vocab: DataFrame, limit: int = 8) -> DataFrame
         return pd.Series([osa_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
     tolerance = F.when(F.length("word") <= 4, 1).otherwise(2)
-    asked = words.select("word").where(F.length("word") > 0).distinct().withColumn("tolerance", tolerance).withColumn("k", F.explode(keys("word", "tolerance")))
-    known = vocab.select(F.col("word").alias("correction"), "rank").withColumn("k", F.explode(keys("correction", F.lit(2))))
-    near = asked.join(known, "k").where(F.levenshtein("word", "correction") <= 2 * F.col("tolerance")).select("word", "tolerance", "correction", "rank").distinct()
+    asked = words.select("word").where(F.length("word") > 0).distinct()
+    dealt = asked.withColumn("tolerance", tolerance).withColumn("k", F.explode(keys("word", "tolerance")))
+    lengths = asked.agg(F.min(F.length("word")).alias("shortest"), F.max(F.length("word")).alias("longest"))  # one row
+    within = F.length("correction").between(F.col("shortest") - 2, F.col("longest") + 2)  # no other word can be near
+    known = vocab.select(F.col("word").alias("correction"), "rank").join(F.broadcast(lengths)).where(within).select("correction", "rank", F.explode(keys("correction", F.lit(2))).alias("k"))
+    near = dealt.join(known, "k").where(F.levenshtein("word", "correction") <= 2 * F.col("tolerance")).select("word", "tolerance", "correction", "rank").distinct()
     exact = near.withColumn("distance", distance("word", "correction")).where(F.col("distance") <= F.col("tolerance"))
     order = Window.partitionBy("word").orderBy("distance", "rank", "correction")
     return exact.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("word", "correction", "distance", "rank", "place")
@@ -56,10 +59,11 @@ def corrections(words: DataFrame, vocab: DataFrame, limit: int = 8) -> DataFrame
 
 def completions(prefixes: DataFrame, vocab: DataFrame, limit: int = 8) -> DataFrame:
     """(prefix, word, rank, place): words of vocab that begin with a prefix, by rank, at most limit. Words are exploded
-    into prefixes no longer than the longest that is asked, so it is an equi-join."""
+    into prefixes of the lengths that are asked, so it is an equi-join."""
     asked = prefixes.select("prefix").where(F.length("prefix") > 0).distinct()
-    longest = asked.agg(F.coalesce(F.max(F.length("prefix")), F.lit(0)).alias("longest"))  # one row
-    starts = vocab.select("word", "rank").join(F.broadcast(longest)).where(F.col("longest") > 0).withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("word"), "longest"))), lambda k: F.left(F.col("word"), k))))
+    lengths = asked.agg(F.collect_set(F.length("prefix")).alias("lengths"))  # one row
+    starts = vocab.select("word", "rank").join(F.broadcast(lengths)).select("word", "rank", F.explode(F.filter("lengths", lambda k: k <= F.length("word"))).alias("k"))
+    starts = starts.select("word", "rank", F.left("word", F.col("k")).alias("prefix"))
     order = Window.partitionBy("prefix").orderBy("rank", "word")
     return starts.join(asked, "prefix").withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("prefix", "word", "rank", "place")
 

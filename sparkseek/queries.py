@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkseek.functions.storage import written
 from sparkseek.operators import catalog as cat
 from sparkseek.operators import classify, convert, fuzzy, layout, ranking, refresh, search, spelling, usage
 from sparkseek.operators.index import build_index, query_terms, rank_vocabulary, tokens, vocabulary_counts, vocabulary_keys
@@ -42,12 +43,27 @@ def documents(spark, d):
     return table(spark, d, "documents").select("doc_id", "text")
 
 
-def item_queries(spark, d, words: int = 3):
-    """The first words of every benchmark item as a query."""
-    first = F.array_join(F.slice(F.split("text", r"\s+"), 1, words), " ")
+def item_queries(spark, d, words: int | None = 3):
+    """Every benchmark item as a query, or its first words, as one types them."""
+    first = F.array_join(F.slice(F.split("text", r"\s+"), 1, words), " ") if words else F.col("text")
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("query_text"))
 
 
+_STORED: dict = {}
+
+
+def stored(spark, name: str, d: str, make):
+    """What make() writes to the shared folder, once for a session and input: an index or vocabulary of several queries."""
+    key = (spark.sparkContext.applicationId, name, d)
+    if key not in _STORED:
+        _STORED[key] = make()
+    return _STORED[key]
+
+
+def document_index(spark, d, stem: bool = True):
+    return stored(spark, f"index {stem}", d, lambda: stored_index(build_index(documents(spark, d), stem=stem, positions=False)))
+
+
 def document_lines(spark, d):
     return documents(spark, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
 
@@ -106,14 +122,23 @@ scored AS (
 
 @query("term_stats", f"WITH {DOC_TOKENS} SELECT key, df FROM term_stats")
 def term_stats(spark, d):
-    return build_index(documents(spark, d), stem=False).term_stats
+    return build_index(documents(spark, d), stem=False, positions=False).term_stats
 
 
 @query("bm25_topk", f"""WITH {ITEM_TERMS.format(n=3)}, {DOC_TOKENS}, {MATCHES},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INTEGER AS rank FROM scored)
 SELECT query_id, doc_id, round(score, 4) AS score, rank FROM ranked WHERE rank <= 10""")
 def bm25_topk(spark, d):
-    hits = search.search(query_terms(item_queries(spark, d), stem=False), stored_index(build_index(documents(spark, d), stem=False)), limit=10)
+    hits = search.search(query_terms(item_queries(spark, d), stem=False), document_index(spark, d, stem=False), limit=10)
+    return hits.withColumn("score", F.round("score", 4))
+
+
+@query("whole_items_topk", f"""WITH {ITEM_TERMS.format(n=100000)}, {DOC_TOKENS}, {MATCHES},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INTEGER AS rank FROM scored)
+SELECT query_id, doc_id, round(score, 4) AS score, rank FROM ranked WHERE rank <= 10""")
+def whole_items_topk(spark, d):
+    """Whole items as queries: documents that have all their words."""
+    hits = search.search(query_terms(item_queries(spark, d, None), stem=False), document_index(spark, d, stem=False), limit=10)
     return hits.withColumn("score", F.round("score", 4))
 
 
@@ -124,7 +149,7 @@ SELECT query_id, doc_id, round(score, 4) AS score, rank FROM ranked WHERE rank <
 def unranked_topk(spark, d):
     pick = lambda words, n: F.get(F.array(*map(F.lit, words)), (F.col("n_nationkey") % n).cast("int"))
     queries = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat_ws(" ", pick(["the", "of", "and", "der", "les"], 5), pick(["to", "in", "is"], 3)).alias("query_text"))
-    return search.search(query_terms(queries, stem=False), stored_index(build_index(documents(spark, d), stem=False)), limit=20).withColumn("score", F.round("score", 4))
+    return search.search(query_terms(queries, stem=False), document_index(spark, d, stem=False), limit=20).withColumn("score", F.round("score", 4))
 
 
 @query("query_terms", f"WITH {ITEM_TERMS.format(n=8)} SELECT query_id, ord::INTEGER AS ord, norm, ord = n_terms - 1 AS is_last, ranked FROM terms")
@@ -136,7 +161,7 @@ def query_terms_of_items(spark, d):
 def stemmed_search(spark, d):
     """Flagship: benchmark items as queries over documents, with the best passage of every hit."""
     terms = query_terms(item_queries(spark, d))
-    hits = search.search(terms, stored_index(build_index(documents(spark, d))), limit=10)
+    hits = written(search.search(terms, document_index(spark, d), limit=10))
     lines = document_lines(spark, d).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
     passages = search.best_passage(terms, lines)
     return hits.join(passages, ["query_id", "doc_id"], "left").withColumn("first_line", F.coalesce("first_line", F.lit(0)))
@@ -160,7 +185,7 @@ def counted_vocabulary(spark, d):
 
 
 def _vocabulary_and_lemmas(spark, d):
-    vocab = build_index(documents(spark, d), stem=False).term_stats.withColumnRenamed("key", "word")
+    vocab = document_index(spark, d, stem=False).term_stats.withColumnRenamed("key", "word")
     lemmas = tokens(table(spark, d, "benchmark"), "item_id").select(F.col("norm").alias("word")).distinct()
     return vocab, lemmas
 
@@ -197,8 +222,13 @@ spans AS (SELECT query_id, doc_id, pos::INTEGER AS pos, raw, key FROM marks WHER
 
 def _spans(spark, d):
     terms = query_terms(item_queries(spark, d), stem=False)
-    hits = search.search(terms, stored_index(build_index(documents(spark, d), stem=False)), limit=10)
-    return terms, hits, search.match_spans(hits, terms, tokens(documents(spark, d)), stem=False)
+    hits = written(search.search(terms, document_index(spark, d, stem=False), limit=10))
+    return terms, hits, search.match_spans(hits, terms, _hit_words(spark, d, hits), stem=False)
+
+
+def _hit_words(spark, d, hits):
+    """Tokens of the documents that were found; the others are not split."""
+    return tokens(documents(spark, d).join(hits.select("doc_id").distinct(), "doc_id", "left_semi"))
 
 
 @query("match_spans", f"{SPANS} SELECT * FROM spans")
@@ -215,13 +245,29 @@ def best_cluster(spark, d):
     return search.best_cluster(_spans(spark, d)[2])
 
 
-@query("snippets")
+@query("snippets", f"""{SPANS},
+mt AS (SELECT h.query_id, h.doc_id, w.pos, w.raw, w.norm AS key, bool_or(coalesce(CASE WHEN t.ord = t.n_terms - 1 THEN starts_with(w.norm, t.norm) ELSE w.norm = t.norm END, false)) AS matched
+  FROM hits h JOIN words w USING (doc_id) JOIN terms t ON t.query_id = h.query_id GROUP BY ALL),
+covers AS (SELECT query_id, doc_id, pos, count(DISTINCT key) OVER (PARTITION BY query_id, doc_id ORDER BY pos RANGE BETWEEN CURRENT ROW AND 14 FOLLOWING) AS cover FROM mt WHERE matched),
+chosen AS (SELECT query_id, doc_id, greatest(pos - 5, 0) AS first FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY cover DESC, pos) AS n FROM covers) WHERE n = 1),
+ends AS (SELECT query_id, doc_id, max(pos) AS last FROM mt GROUP BY ALL)
+SELECT query_id, doc_id, CASE WHEN first > 0 THEN '…' ELSE '' END || string_agg(CASE WHEN matched THEN '[' || raw || ']' ELSE raw END, ' ' ORDER BY pos) || CASE WHEN first + 19 < last THEN '…' ELSE '' END AS snippet
+FROM mt JOIN chosen USING (query_id, doc_id) JOIN ends USING (query_id, doc_id) WHERE pos BETWEEN first AND first + 19 GROUP BY query_id, doc_id, first, last""")
 def snippets(spark, d):
     terms, hits, _ = _spans(spark, d)
-    return search.snippets(hits, terms, tokens(documents(spark, d)), stem=False)
+    return search.snippets(hits, terms, _hit_words(spark, d, hits), stem=False)
 
 
-@query("preview_lines")
+@query("preview_lines", f"""{SPANS},
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INTEGER AS line FROM documents WHERE doc_id IN (SELECT doc_id FROM hits)),
+lwords AS (SELECT DISTINCT doc_id, line, strip_accents(lower(unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')))) AS key FROM lines),
+found AS (SELECT DISTINCT query_id, doc_id, line, key FROM lwords JOIN terms ON norm = key),
+covered AS (SELECT a.query_id, a.doc_id, a.line, count(DISTINCT b.key)::INTEGER AS coverage
+  FROM (SELECT DISTINCT query_id, doc_id, line FROM found) a JOIN found b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND b.line BETWEEN a.line - 9 AND a.line GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY coverage DESC, line) AS n FROM covered),
+near AS (SELECT query_id, doc_id, l.line, text, sum(strlen(text) + 1) OVER (PARTITION BY query_id, doc_id ORDER BY l.line) AS bytes
+  FROM best JOIN hits USING (query_id, doc_id) JOIN lines l USING (doc_id) WHERE n = 1 AND l.line BETWEEN greatest(greatest(best.line - 9, 0) + 5 - 150, 0) AND greatest(greatest(best.line - 9, 0) + 5 - 150, 0) + 299)
+SELECT query_id, doc_id, line, text FROM near WHERE bytes <= 65536""")
 def preview_lines(spark, d):
     terms, hits, _ = _spans(spark, d)
     lines = document_lines(spark, d).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -246,9 +292,9 @@ CANDIDATES = f"""{PART_QUERIES},
 cand AS (
   SELECT query_id, query_text, 'part:' || p_partkey AS id, p_name AS title, ['file', 'app', 'command'][p_size % 3 + 1] AS category, p_size * 40 AS quality,
          CASE WHEN p_partkey % 7 = 0 THEN -200000 ELSE 0 END AS intra, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_brand || ' ' || p_name END AS exec
-  FROM part JOIN queries ON p_partkey % 5 = query_id
+  FROM part CROSS JOIN queries
   UNION ALL
-  SELECT query_id, query_text, 'supplier:' || s_suppkey, s_name, 'dict', (s_suppkey % 40 * 30)::INTEGER, 0, s_name FROM supplier JOIN queries ON s_suppkey % 5 = query_id),
+  SELECT query_id, query_text, 'supplier:' || s_suppkey, s_name, 'dict', (s_suppkey % 40 * 30)::INTEGER, 0, s_name FROM supplier CROSS JOIN queries),
 tiered AS (
   SELECT *, CASE WHEN lower(title) = lower(query_text) THEN 'exact' WHEN starts_with(lower(title), lower(query_text)) THEN 'prefix'
                  WHEN regexp_matches(lower(title), '[^a-z0-9]' || lower(query_text)) THEN 'word_start' ELSE 'fuzzy' END AS tier FROM cand)"""
@@ -266,16 +312,17 @@ def part_queries(spark, d):
 
 
 def candidates(spark, d):
-    """Parts and suppliers, each a candidate of one query, with quality as a column."""
-    queries = part_queries(spark, d)
+    """Parts and suppliers, each a candidate of every query, with quality as a column. The queries, a row of region each,
+    are broadcast."""
+    queries = F.broadcast(part_queries(spark, d))
     parts = table(spark, d, "part").select(
-        (F.col("p_partkey") % 5).cast("int").alias("query_id"), F.concat(F.lit("part:"), "p_partkey").alias("id"), F.col("p_name").alias("title"),
+        F.concat(F.lit("part:"), "p_partkey").alias("id"), F.col("p_name").alias("title"),
         F.get(F.array(*map(F.lit, ["file", "app", "command"])), F.col("p_size") % 3).alias("category"), (F.col("p_size") * 40).alias("quality"),
         F.when(F.col("p_partkey") % 7 == 0, -200_000).otherwise(0).alias("intra"), F.when(F.col("p_partkey") % 11 != 0, F.concat_ws(" ", "p_brand", "p_name")).alias("exec"))
     suppliers = table(spark, d, "supplier").select(
-        (F.col("s_suppkey") % 5).cast("int").alias("query_id"), F.concat(F.lit("supplier:"), "s_suppkey").alias("id"), F.col("s_name").alias("title"), F.lit("dict").alias("category"),
+        F.concat(F.lit("supplier:"), "s_suppkey").alias("id"), F.col("s_name").alias("title"), F.lit("dict").alias("category"),
         (F.col("s_suppkey") % 40 * 30).cast("int").alias("quality"), F.lit(0).alias("intra"), F.col("s_name").alias("exec"))
-    both = ranking.gather(parts, suppliers).join(queries, "query_id")
+    both = ranking.gather(parts, suppliers).join(queries)
     return both.withColumn("tier", fuzzy.match_tier(F.col("title"), F.col("query_text")))
 
 
@@ -463,8 +510,8 @@ VOCAB = f"WITH {DOC_TOKENS}, vocab AS (SELECT key AS word, row_number() OVER (OR
 
 
 def vocabulary_ranks(spark, d):
-    counts = build_index(documents(spark, d), stem=False).term_stats.withColumnRenamed("key", "word")
-    return rank_vocabulary(counts, counts).select("word", "rank")
+    counts = document_index(spark, d, stem=False).term_stats.withColumnRenamed("key", "word")
+    return stored(spark, "vocabulary", d, lambda: written(rank_vocabulary(counts, None).select("word", "rank")))
 
 
 def typed_prefixes(spark, d, n: int = 4):
@@ -485,12 +532,29 @@ def misspelt(spark, d):
     return words.select(F.concat(F.left("norm", F.lit(1)), F.substring("norm", 3, 1), F.substring("norm", 2, 1), F.substring("norm", 4, 100)).alias("word")).distinct()
 
 
-@query("corrections")
+MISSPELT = f"""{VOCAB}, typed AS (SELECT DISTINCT substr(w, 1, 1) || substr(w, 3, 1) || substr(w, 2, 1) || substr(w, 4) AS word
+  FROM (SELECT unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+')) AS w FROM benchmark) WHERE length(w) >= 7)"""
+# The words that are typed have seven letters or more, so two edits are allowed. DuckDB's distance lets a swapped pair be
+# edited again; here two edits are two of Levenshtein's, or a swap and one edit outside it.
+# DuckDB compares bytes, so letters of more than one byte go by a mark of one.
+CORRECTED = """ours AS (SELECT word, translate(word, 'ßøæœđłþð', '!#$%&()*') AS bytes FROM typed), theirs AS (SELECT word, rank, translate(word, 'ßøæœđłþð', '!#$%&()*') AS bytes FROM vocab),
+near AS (SELECT t.word, v.word AS correction, damerau_levenshtein(t.bytes, v.bytes)::INTEGER AS distance, rank FROM ours t JOIN theirs v ON abs(length(t.word) - length(v.word)) <= 2 AND damerau_levenshtein(t.bytes, v.bytes) <= 2
+  WHERE levenshtein(t.bytes, v.bytes) <= 2 OR len(list_filter(range(1, length(t.bytes)), lambda i: len(list_filter([i - 1, i, i + 1], lambda j: j >= 1 AND substr(t.bytes, i, 1) = substr(v.bytes, j + 1, 1) AND substr(t.bytes, i + 1, 1) = substr(v.bytes, j, 1)
+    AND damerau_levenshtein(left(t.bytes, i - 1), left(v.bytes, j - 1)) + damerau_levenshtein(substr(t.bytes, i + 2), substr(v.bytes, j + 2)) <= 1)) > 0)) > 0),
+corrected AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, rank, correction)::INTEGER AS place FROM near) WHERE place <= 8)"""
+
+
+@query("corrections", f"{MISSPELT}, {CORRECTED} SELECT word, correction, distance, rank, place FROM corrected")
 def corrections(spark, d):
     return spelling.corrections(misspelt(spark, d), vocabulary_ranks(spark, d))
 
 
-@query("suggest")
+@query("suggest", f"""{MISSPELT}, {CORRECTED},
+done AS (SELECT * FROM (SELECT t.word, v.word AS suggestion, row_number() OVER (PARTITION BY t.word ORDER BY rank)::INTEGER AS nth FROM typed t JOIN vocab v ON starts_with(v.word, t.word)) WHERE nth <= 8),
+every AS (SELECT word, word AS suggestion, 0 AS stage, 1 AS nth FROM typed UNION ALL SELECT word, suggestion, 1, nth FROM done
+  UNION ALL SELECT word, correction, 2, place FROM corrected WHERE word NOT IN (SELECT word FROM done GROUP BY word HAVING count(*) >= 3)),
+once AS (SELECT word, suggestion, min((stage, nth)) AS s FROM every GROUP BY ALL)
+SELECT word, suggestion, s[1] AS stage, place FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY s, suggestion)::INTEGER AS place FROM once) WHERE place <= 9""")
 def suggest(spark, d):
     return spelling.suggest(misspelt(spark, d), vocabulary_ranks(spark, d))
 
@@ -502,6 +566,11 @@ def fill_words(spark, d):
     return spelling.fill_words(words, vocabulary_ranks(spark, d), typos=False)
 
 
+@query("fill_corrections", f"""{MISSPELT}, {CORRECTED} SELECT word, correction AS suggestion FROM corrected WHERE regexp_full_match(word, '\\p{{L}}{{3,}}')""")
+def fill_corrections(spark, d):
+    return spelling.fill_words(misspelt(spark, d), vocabulary_ranks(spark, d))
+
+
 # Classification
 
 SNIPPETS = """snip AS (SELECT page_id AS id, url AS content FROM pages UNION ALL SELECT 1000000 + event_id, props FROM events
@@ -745,12 +814,10 @@ def folder_listing(spark, d):
     return layout.folder_listing(page_catalog(spark, d), limit=3)
 
 
-@query("natural_order", """SELECT p_partkey, row_number() OVER (ORDER BY p_partkey % 97, p_partkey)::INTEGER AS place FROM part""")
+@query("natural_order", """SELECT p_partkey, row_number() OVER (ORDER BY p_partkey % 97, p_partkey) AS place FROM part""")
 def natural_order(spark, d):
-    from pyspark.sql.window import Window
-
     names = table(spark, d, "part").select("p_partkey", F.concat(F.lit("slide"), (F.col("p_partkey") % 97).cast("string"), F.lit(".xml")).alias("name"))
-    return names.select("p_partkey", F.row_number().over(Window.orderBy(layout.natural_key(F.col("name")), "p_partkey")).alias("place"))
+    return layout.natural_places(names, "name", "p_partkey").select("p_partkey", "place")
 
 
 @query("paginate", "SELECT path, page, text FROM (SELECT conv_id || '.pdf' AS path, unnest(string_split(t, chr(12))) AS text, (generate_subscripts(string_split(t, chr(12)), 1) - 1)::INTEGER AS page FROM (SELECT conv_id, string_agg(text, chr(12) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)) WHERE trim(text) <> ''")
@@ -759,11 +826,11 @@ def paginated(spark, d):
     return paginate(talk.select(F.concat("conv_id", F.lit(".pdf")).alias("path"), "text"))
 
 
-@query("ocr_reading_text", """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\S+')) AS word, generate_subscripts(regexp_extract_all(text, '\\S+'), 1) - 1 AS k FROM documents WHERE n_chars < 3000),
+@query("ocr_reading_text", """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\S+')) AS word, generate_subscripts(regexp_extract_all(text, '\\S+'), 1) - 1 AS k FROM documents),
 l AS (SELECT doc_id, k // 9 AS line, string_agg(word, ' ' ORDER BY k) AS t FROM w WHERE k % 5 <> 3 GROUP BY ALL)
 SELECT doc_id::VARCHAR AS path, string_agg(t, chr(10) ORDER BY line) AS text FROM l GROUP BY doc_id""")
 def ocr_reading_text(spark, d):
-    words = table(spark, d, "documents").where("n_chars < 3000").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("seq", "text"))
+    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("seq", "text"))
     one = F.lit(1)
     rows = words.select(
         F.col("doc_id").cast("string").alias("path"), "seq", F.lit(5).alias("level"), one.alias("page"), one.alias("block"), one.alias("par"), F.floor(F.col("seq") / 9).alias("line"),
@@ -772,7 +839,15 @@ def ocr_reading_text(spark, d):
     return layout.ocr_reading_text(rows)[0]
 
 
-@query("page_layout")
+GLYPHS = r"""seqs AS (SELECT conv_id AS doc_id, turn::INTEGER AS page, text, unnest(range(length(text))) AS seq FROM conversations),
+glyphs AS (SELECT doc_id, page, seq, substr(text, seq::INTEGER + 1, 1) AS ch, seq // 40 AS y, seq % 40 * 10.0 AS x FROM seqs),
+marked AS (SELECT *, regexp_matches(ch, '[\s\x0b\x1c-\x1f\x85\p{Z}]') AS blank, count(*) FILTER (ch IN (chr(10), chr(13))) OVER (PARTITION BY doc_id, page ORDER BY seq) AS breaks FROM glyphs),
+lined AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY y, breaks) - 1 AS line, lag(seq) OVER (PARTITION BY doc_id, page, y, breaks ORDER BY seq) IS DISTINCT FROM seq - 1 AS new FROM marked WHERE NOT blank),
+worded AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY doc_id, page ORDER BY seq) - 1 AS word FROM lined),
+layout AS (SELECT doc_id, page, line::INTEGER AS line, word::INTEGER AS word, string_agg(ch, '' ORDER BY seq) AS text, min(x)::DOUBLE AS "left", (max(x) + 9.5)::DOUBLE AS "right", min(y * 12.0)::DOUBLE AS top, max(y * 12.0 + 10)::DOUBLE AS bottom FROM worded GROUP BY ALL)"""
+
+
+@query("page_layout", f'WITH {GLYPHS} SELECT doc_id, page, line, word, text, "left", "right", top, bottom, false AS truncated FROM layout')
 def page_layout(spark, d):
     """Turns as pages of glyphs, forty characters to a line."""
     turn = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), F.posexplode(F.split("text", "")).alias("seq", "ch")).where(F.length("ch") == 1)
@@ -780,7 +855,23 @@ def page_layout(spark, d):
     return layout.page_layout(turn.select("doc_id", "page", "seq", "ch", x.alias("left"), (x + 9.5).alias("right"), y.alias("top"), (y + 10.0).alias("bottom")))
 
 
-@query("dominant_hue")
+@query("span_boxes", f"""WITH {GLYPHS}, q AS (SELECT r_regionkey AS query_id, unnest(string_split(['the house', 'what is', 'a list of', 'please help', 'can you'][r_regionkey + 1], ' ')) AS term FROM region),
+hit AS (SELECT DISTINCT query_id, doc_id, page, word, "left", "right", top, bottom FROM layout JOIN q ON list_contains(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+'), term) WHERE length(term) >= 2 AND term NOT IN ('the', 'is', 'of')),
+cut AS (SELECT *, coalesce(word - lag(word) OVER w > 1 OR abs(top - lag(top) OVER w) > 2, true)::INTEGER AS new FROM hit WINDOW w AS (PARTITION BY query_id, doc_id, page ORDER BY word)),
+spans AS (SELECT *, sum(new) OVER (PARTITION BY query_id, doc_id, page ORDER BY word) AS span FROM cut)
+SELECT query_id, doc_id, page, span::BIGINT AS span, min("left") AS "left", max("right") AS "right", min(top) AS top, max(bottom) AS bottom FROM spans WHERE span <= 400 GROUP BY ALL""")
+def span_boxes(spark, d):
+    text = F.get(F.array(*map(F.lit, ["the house", "what is", "a list of", "please help", "can you"])), F.col("r_regionkey").cast("int"))
+    queries = table(spark, d, "region").select(F.col("r_regionkey").alias("query_id"), text.alias("query_text"))
+    return layout.span_boxes(page_layout(spark, d), query_terms(queries, stem=False), stem=False)
+
+
+@query("dominant_hue", """WITH p AS (SELECT l_suppkey AS image, (floor(l_extendedprice)::BIGINT % 256) / 255.0::DOUBLE AS r, (l_partkey % 256) / 255.0::DOUBLE AS g, (l_orderkey % 256) / 255.0::DOUBLE AS b FROM lineitem),
+x AS (SELECT image, r, g, b, greatest(r, g, b) AS high, greatest(r, g, b) - least(r, g, b) AS spread, (greatest(r, g, b) + least(r, g, b)) / 2 AS light FROM p),
+h AS (SELECT image, light, spread / (1 - abs(2 * light - 1)) AS sat, 60 * CASE WHEN high = r THEN ((g - b) / spread + 6) % 6 WHEN high = g THEN (b - r) / spread + 2 ELSE (r - g) / spread + 4 END AS hue FROM x WHERE spread > 0),
+sums AS (SELECT image, floor(hue / 30) AS bucket, sum(sat) AS weight, sum(hue * sat) AS hue, sum(light * sat) AS light, sum(sat * sat) AS sat2 FROM h WHERE light BETWEEN 0.08 AND 0.95 AND sat >= 0.15 GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY weight DESC, bucket) AS n FROM sums)
+SELECT image, round(hue / weight, 6) AS hue, round(sat2 / weight, 6) AS saturation, round(greatest(0.35::DOUBLE, least(0.65::DOUBLE, light / weight)), 6) AS lightness FROM best WHERE n = 1""")
 def dominant_hue(spark, d):
     """Line items as pixels of an image for each supplier."""
     channel = lambda c, m: (F.floor(F.col(c)) % m).cast("int")
@@ -791,12 +882,6 @@ def dominant_hue(spark, d):
 # State
 
 
-@query("health_gate")
-def health_gate(spark, d):
-    outcomes = table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("source"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"))
-    return state.health_gate(outcomes, limit=2)
-
-
 @query("merge_results", """WITH b AS (SELECT user_id % 10 AS query_id, event_type AS source, event_id AS seq, event_type = 'view' AS volatile, 'r' || (value * 100)::BIGINT % 50 AS id, value AS score FROM events),
 last AS (SELECT query_id, source, max(seq) AS last FROM b WHERE volatile GROUP BY ALL),
 alive AS (SELECT b.* FROM b LEFT JOIN last USING (query_id, source) WHERE last IS NULL OR seq = last),
@@ -842,7 +927,7 @@ def root_search(spark, d):
     apps = fuzzy.quality_gate(apps).withColumn("tier", fuzzy.match_tier(F.col("title"), F.col("norm_query"))).withColumn("category", F.lit("app"))
     sources = Sources()
     customers = table(spark, d, "customer")
-    sources.register_source(Source("customers", lambda q: customers.select((F.col("c_custkey") % 5).cast("int").alias("query_id"), F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), (F.col("c_acctbal") / 100).alias("relevance")).join(q.select("query_id"), "query_id", "left_semi")))
+    sources.register_source(Source("customers", lambda q: customers.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), (F.col("c_acctbal") / 100).alias("relevance")).join(F.broadcast(q.select("query_id")))))
     everything = ranking.gather(fuzzy.candidate_cut(apps).drop("source", "norm_query"), sources.candidates(queries))
     scores = usage.usage_scores(table(spark, d, "lineitem").select(F.concat(F.lit("part:"), "l_partkey").alias("id"), F.lit("app").alias("kind"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("ts")), half_life_days=365.0)
     found = search_all(queries, everything, ranking.resolve_weights(spark), scores, pins_of(spark, d))

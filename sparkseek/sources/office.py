@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import zipfile
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PART_LIMIT, FILE_LIMIT = 32 << 20, 64 << 20
+#: Numbers of built-in formats of dates and times.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 TEXT = "path string, text string, error string"
 CELLS = "path string, sheet string, row int, col int, type string, text string, num double, error string"
 
@@ -103,8 +106,52 @@ def _column(reference: str) -> int:
     return n - 1
 
 
+def _shows_date(code: str) -> bool:
+    """Whether a number format has a part of a date or time outside quotes, brackets and escapes."""
+    plain = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]|_.|\*.', "", code.split(";")[0])
+    return bool(re.search(r"[dmyhs]", plain, re.IGNORECASE)) and not re.search(r"[0#?]", re.sub(r"s\.0+", "s", plain))
+
+
+def _date_styles(package: _Package) -> set[int]:
+    """Numbers of the cell styles that show dates or times."""
+    if not package.names(r"xl/styles\.xml"):
+        return set()
+    root = package.xml("xl/styles.xml")
+    own = {int(e.get("numFmtId", -1)): e.get("formatCode", "") for e in root.iter() if _local(e) == "numFmt"}
+    formats = [int(e.get("numFmtId", 0)) for part in root if _local(part) == "cellXfs" for e in part]
+    return {k for k, n in enumerate(formats) if (_shows_date(own[n]) if n in own else n in DATE_FORMATS)}
+
+
+def _system(package: _Package) -> int:
+    """1904 where the workbook counts days from there."""
+    for name in package.names(r"xl/workbook\.xml"):
+        for e in package.xml(name).iter():
+            if _local(e) == "workbookPr" and e.get("date1904") in ("1", "true"):
+                return 1904
+    return 1900
+
+
+def serial_text(serial: float, system: int = 1900) -> str | None:
+    """Date, date and time, or time of day of a day number, as ISO text; None for day 60 of the 1900 system, which never
+    was, and for days before the first."""
+    seconds = round(serial * 86_400)
+    day, clock = divmod(seconds, 86_400)
+    if day < 0 or (system == 1900 and day == 60):
+        return None
+    start = datetime.date(1904, 1, 1) if system == 1904 else datetime.date(1899, 12, 31 if day < 60 else 30)
+    time = f"{clock // 3600:02d}:{clock // 60 % 60:02d}:{clock % 60:02d}"
+    if not day and clock and system == 1900:
+        return time
+    try:
+        date = (start + datetime.timedelta(days=day)).isoformat()
+    except OverflowError:
+        return None
+    return f"{date} {time}" if clock else date
+
+
 def _xlsx_cells(package: _Package, max_rows: int, max_cols: int):
     strings = [_paragraphs(si, set(), {"t"}) for n in package.names(r"xl/sharedStrings\.xml") for si in package.xml(n)]
+    dates, system = _date_styles(package), _system(package)
     for name in package.names(r"xl/worksheets/sheet\d+\.xml"):
         sheet, row = name.rpartition("/")[2].removesuffix(".xml"), -1
         for r in (e for e in package.xml(name).iter() if _local(e) == "row"):
@@ -125,6 +172,8 @@ def _xlsx_cells(package: _Package, max_rows: int, max_cols: int):
                     yield sheet, row, col, "boolean", "TRUE" if value == "1" else "FALSE", None
                 elif kind in ("e", "str", "d"):
                     yield sheet, row, col, {"e": "error", "str": "text", "d": "date"}[kind], value, None
+                elif int(c.get("s", -1)) in dates and (shown := serial_text(float(value), system)):
+                    yield sheet, row, col, "date", shown, float(value)
                 else:
                     yield sheet, row, col, "number", value, float(value)
 
@@ -151,7 +200,8 @@ def _ods_cells(package: _Package, max_rows: int, max_cols: int):
 
 
 def spreadsheet_cells(files: DataFrame, max_rows: int = 1000, max_cols: int = 100) -> DataFrame:
-    """CELLS of files(path, content) of xlsx and ods; repeated rows and columns are expanded up to the caps, which are
+    """CELLS of files(path, content) of xlsx and ods. Numbers that a workbook's style shows as dates are of type date,
+    with ISO text; repeated rows and columns are expanded up to the caps, which are
     what a preview shows."""
 
     def read(batches):

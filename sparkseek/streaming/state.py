@@ -76,8 +76,8 @@ HEALTH = "source string, ts long, seq long, ok boolean, admitted boolean, shut_u
 
 def health_gate(outcomes: DataFrame, limit: int = 3) -> DataFrame:
     """HEALTH of outcomes(source, ts, seq, ok), ts in ms: whether each call was let through, and until when its source
-    is shut after it. Outcomes of one source are one sequence; they go through in their order, a batch at a time, with
-    three numbers of state."""
+    is shut after it. What a call meets depends on all before it, so the outcomes of one source are one sequence in one
+    task: they go through sorted, a batch at a time, with three numbers of state, whatever their number."""
 
     def run(batches):
         source, state = None, (0, 0, 0)
@@ -156,17 +156,43 @@ def merge_results(batches: DataFrame, limit: int | None = None) -> DataFrame:
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
-def stream_merge_results(batches: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "30 milliseconds"):
-    """Keeps what has arrived in a table beside the checkpoint and gives sink the merged results of the queries that a
-    micro-batch touches, at most once an interval. Returns the running query."""
-    store = f"{checkpoint}/rows"
+_ROWS = "source string, seq long, volatile boolean, id string, score double, title string"
+MERGED = "query_id long, id string, source string, score double, title string, rank int"
+
 
-    def flush(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
-        everything = df.sparkSession.read.parquet(store).drop("epoch")
-        sink(merge_results(everything.join(df.select("query_id").distinct(), "query_id", "left_semi")), epoch)
+class _Merged(StatefulProcessor):
+    """The rows of a query that still count: of a volatile source those of its last batch, of any other the newest of
+    each id. A row without an id is a batch without rows."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getListState("rows", _ROWS)
 
-    return batches.writeStream.foreachBatch(flush).option("checkpointLocation", f"{checkpoint}/log").trigger(processingTime=interval).start()
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in _ROWS.split(", ")]
+        held = pd.DataFrame(list(self.state.get()) if self.state.exists() else [], columns=columns)
+        parts = [held] if len(held) else []
+        both = pd.concat([*parts, *(part[columns] for part in rows)], ignore_index=True)
+        last = both[both["volatile"].astype(bool)].groupby("source")["seq"].max().to_dict()
+        both = both[[last.get(source, seq) == seq for source, seq in zip(both["source"], both["seq"], strict=True)]]
+        both = both.sort_values(["seq", "source"], kind="stable").drop_duplicates(["source", "id"], keep="last")
+        self.state.put([tuple(r) for r in both.astype(object).where(both.notna(), None).itertuples(index=False)])
+        newest = both[both["id"].notna()].drop_duplicates("id", keep="last").sort_values(["score", "id"], ascending=[False, True])
+        yield newest.assign(query_id=key[0], rank=range(1, len(newest) + 1))[[c.split()[0] for c in MERGED.split(", ")]]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_merged(batches: DataFrame) -> DataFrame:
+    """merge_results() of a stream, in update mode: all rows of the queries that a micro-batch touches. State is by
+    query: a row for each id of each source at most, so old micro-batches are not read again."""
+    return batches.groupBy("query_id").transformWithStateInPandas(statefulProcessor=_Merged(), outputStructType=MERGED, outputMode="Update", timeMode="None")
+
+
+def stream_merge_results(batches: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "30 milliseconds"):
+    """Gives sink the merged results of the queries that a micro-batch touches, at most once an interval. Returns the
+    running query. Needs the ROCKSDB state store."""
+    return stream_merged(batches).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
 
 
 # Files that change

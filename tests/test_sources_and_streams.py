@@ -74,7 +74,7 @@ def test_index_versions(spark, tmp_path):
     docs = spark.createDataFrame([(1, "red apple"), (2, "red car")], "doc_id long, text string")
     terms = query_terms(spark.createDataFrame([(1, "red ca")], "query_id long, query_text string"))
     for frame, want in ((docs, [2]), (docs.where("doc_id = 1"), [])):
-        readers.write_index(build_index(frame), path, buckets=4)
+        readers.write_index(build_index(frame), path)
         assert [r.doc_id for r in search(terms, readers.read_index(spark, path)).collect()] == want
 
 
@@ -170,6 +170,7 @@ def test_merge_results_batch_and_stream(spark, tmp_path):
     for k, part in enumerate([rows[:3], rows[3:]]):
         spark.createDataFrame(part, BATCH).coalesce(1).write.json(str(tmp_path / f"s{k}"))
         next((tmp_path / f"s{k}").glob("part-*.json")).rename(source / f"{k}.json")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.ROCKSDB)
     stream = spark.readStream.schema(BATCH).option("maxFilesPerTrigger", 1).json(str(source))
     query = state.stream_merge_results(stream, lambda df, epoch: seen.update({epoch: df.collect()}), str(tmp_path / "keep"))
     query.processAllAvailable()
