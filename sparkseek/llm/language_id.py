@@ -47,20 +47,26 @@ class Bundler:
     """Bundles of documents; trigram vectors are kept between documents, up to a fixed number."""
 
     def __init__(self, dim: int):
-        self.dim, self.codes, self.vectors = dim, np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
-        self.kept = max(2, min(_KEPT, 2 * _KEPT * DIM // dim))
+        self.dim, self.kept = dim, max(2, _KEPT if dim <= DIM else _KEPT * DIM // (2 * dim))
+        self.vectors = np.empty((self.kept, dim), np.float32)  # by slot, filled as trigrams come
+        self.codes, self.slots = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.letter = np.frombuffer(bytes(chr(c).isalpha() for c in range(0x110000)), dtype=bool)
 
     def _index(self, codes: np.ndarray) -> np.ndarray:
+        """Slots of the vectors of some codes, at most kept distinct ones."""
         distinct = np.unique(codes)
         new = distinct[~np.isin(distinct, self.codes, assume_unique=True)]
         if len(new):
             if len(self.codes) + len(new) > self.kept:
-                self.codes, self.vectors, new = np.zeros(0, np.int64), np.zeros((0, self.dim), np.float32), distinct
+                self.codes, self.slots, new = np.zeros(0, np.int64), np.zeros(0, np.int64), distinct
+            begin = len(self.codes)
+            for a in range(0, len(new), 1024):
+                part = new[a : a + 1024]
+                self.vectors[begin + a : begin + a + len(part)] = trigram_vectors(part, self.dim)
             both = np.concatenate([self.codes, new])
             order = np.argsort(both)
-            self.codes, self.vectors = both[order], np.concatenate([self.vectors, trigram_vectors(new, self.dim)])[order]
-        return np.searchsorted(self.codes, codes)
+            self.codes, self.slots = both[order], np.concatenate([self.slots, np.arange(begin, begin + len(new))])[order]
+        return self.slots[np.searchsorted(self.codes, codes)]
 
     def _part(self, texts: list[str], out: np.ndarray, rows: list[int]) -> None:
         """Adds the bundles of short texts, or of parts of long ones, to out at rows."""
