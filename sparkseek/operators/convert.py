@@ -7,24 +7,100 @@ from pyspark.sql import functions as F
 
 # Zones of abbreviations and cities. An abbreviation stands for its zone's rule on that day.
 ZONES = {
-    "UTC": "utc", "Etc/GMT": "gmt", "America/New_York": "est edt nyc boston miami atlanta new_york", "America/Chicago": "cst cdt chicago austin dallas houston",
-    "America/Denver": "mst mdt denver", "America/Los_Angeles": "pst pdt la sf seattle los_angeles san_francisco", "Europe/London": "bst london",
-    "Europe/Paris": "cet cest paris", "Europe/Helsinki": "eet eest helsinki", "Europe/Moscow": "msk moscow", "Asia/Kolkata": "ist mumbai delhi bangalore",
-    "Asia/Tokyo": "jst tokyo", "Asia/Seoul": "kst seoul", "Asia/Hong_Kong": "hkt hong_kong", "Asia/Singapore": "sgt singapore",
-    "Australia/Sydney": "aest aedt sydney", "Australia/Perth": "awst perth", "Pacific/Auckland": "nzst nzdt auckland", "America/Sao_Paulo": "brt sao_paulo",
-    "Europe/Berlin": "berlin", "Europe/Budapest": "budapest", "Europe/Vienna": "vienna", "Europe/Prague": "prague", "Europe/Warsaw": "warsaw",
-    "Europe/Madrid": "madrid", "Europe/Rome": "rome", "Europe/Amsterdam": "amsterdam", "Europe/Brussels": "brussels", "Europe/Zurich": "zurich geneva",
-    "Europe/Stockholm": "stockholm", "Europe/Oslo": "oslo", "Europe/Copenhagen": "copenhagen", "Europe/Lisbon": "lisbon", "Europe/Dublin": "dublin",
-    "Europe/Athens": "athens", "Europe/Istanbul": "istanbul", "Europe/Kyiv": "kyiv kiev", "Africa/Cairo": "cairo", "Asia/Jerusalem": "tel_aviv",
-    "Asia/Dubai": "dubai", "Asia/Shanghai": "shanghai beijing", "Australia/Melbourne": "melbourne", "America/Toronto": "toronto",
-    "America/Mexico_City": "mexico_city", "America/Vancouver": "vancouver", "America/Argentina/Buenos_Aires": "buenos_aires",
+    "utc": "UTC",
+    "gmt": "Etc/GMT",
+    "est": "America/New_York",
+    "edt": "America/New_York",
+    "nyc": "America/New_York",
+    "boston": "America/New_York",
+    "miami": "America/New_York",
+    "atlanta": "America/New_York",
+    "new york": "America/New_York",
+    "cst": "America/Chicago",
+    "cdt": "America/Chicago",
+    "chicago": "America/Chicago",
+    "austin": "America/Chicago",
+    "dallas": "America/Chicago",
+    "houston": "America/Chicago",
+    "mst": "America/Denver",
+    "mdt": "America/Denver",
+    "denver": "America/Denver",
+    "pst": "America/Los_Angeles",
+    "pdt": "America/Los_Angeles",
+    "la": "America/Los_Angeles",
+    "sf": "America/Los_Angeles",
+    "seattle": "America/Los_Angeles",
+    "los angeles": "America/Los_Angeles",
+    "san francisco": "America/Los_Angeles",
+    "bst": "Europe/London",
+    "london": "Europe/London",
+    "cet": "Europe/Paris",
+    "cest": "Europe/Paris",
+    "paris": "Europe/Paris",
+    "eet": "Europe/Helsinki",
+    "eest": "Europe/Helsinki",
+    "helsinki": "Europe/Helsinki",
+    "msk": "Europe/Moscow",
+    "moscow": "Europe/Moscow",
+    "ist": "Asia/Kolkata",
+    "mumbai": "Asia/Kolkata",
+    "delhi": "Asia/Kolkata",
+    "bangalore": "Asia/Kolkata",
+    "jst": "Asia/Tokyo",
+    "tokyo": "Asia/Tokyo",
+    "kst": "Asia/Seoul",
+    "seoul": "Asia/Seoul",
+    "hkt": "Asia/Hong_Kong",
+    "hong kong": "Asia/Hong_Kong",
+    "sgt": "Asia/Singapore",
+    "singapore": "Asia/Singapore",
+    "aest": "Australia/Sydney",
+    "aedt": "Australia/Sydney",
+    "sydney": "Australia/Sydney",
+    "awst": "Australia/Perth",
+    "perth": "Australia/Perth",
+    "nzst": "Pacific/Auckland",
+    "nzdt": "Pacific/Auckland",
+    "auckland": "Pacific/Auckland",
+    "brt": "America/Sao_Paulo",
+    "sao paulo": "America/Sao_Paulo",
+    "berlin": "Europe/Berlin",
+    "budapest": "Europe/Budapest",
+    "vienna": "Europe/Vienna",
+    "prague": "Europe/Prague",
+    "warsaw": "Europe/Warsaw",
+    "madrid": "Europe/Madrid",
+    "rome": "Europe/Rome",
+    "amsterdam": "Europe/Amsterdam",
+    "brussels": "Europe/Brussels",
+    "zurich": "Europe/Zurich",
+    "geneva": "Europe/Zurich",
+    "stockholm": "Europe/Stockholm",
+    "oslo": "Europe/Oslo",
+    "copenhagen": "Europe/Copenhagen",
+    "lisbon": "Europe/Lisbon",
+    "dublin": "Europe/Dublin",
+    "athens": "Europe/Athens",
+    "istanbul": "Europe/Istanbul",
+    "kyiv": "Europe/Kyiv",
+    "kiev": "Europe/Kyiv",
+    "cairo": "Africa/Cairo",
+    "tel aviv": "Asia/Jerusalem",
+    "dubai": "Asia/Dubai",
+    "shanghai": "Asia/Shanghai",
+    "beijing": "Asia/Shanghai",
+    "melbourne": "Australia/Melbourne",
+    "toronto": "America/Toronto",
+    "mexico city": "America/Mexico_City",
+    "vancouver": "America/Vancouver",
+    "buenos aires": "America/Argentina/Buenos_Aires",
 }
 DAY_MS = 86_400_000
 
 
 def zone_table(spark: SparkSession) -> DataFrame:
     """(alias, zone), some 80 rows."""
-    return spark.createDataFrame([(a.replace("_", " "), z) for z, names in ZONES.items() for a in names.split()], "alias string, zone string")
+    return spark.createDataFrame(list(ZONES.items()), "alias string, zone string")
 
 
 def convert_currency(amounts: DataFrame, rates: DataFrame, now_ms: Column | None = None) -> DataFrame:

@@ -98,31 +98,79 @@ def prune_ignored(catalog: DataFrame, names: list[str]) -> DataFrame:
 
 # Categories by extension, categories of well-known names, what has a preview, and what kinds are called.
 CATEGORY = {
-    "code": "ts tsx js jsx mjs cjs rs py go rb java kt kts swift php lua c h cpp cc cxx hh hpp sql sh bash zsh vue",
-    "web": "html htm css scss less svg", "data": "json toml yaml yml xml ini conf cfg env lock db sqlite",
-    "docs": "md txt rst log pdf doc docx odt csv tsv xlsx ods pptx odp", "image": "png jpg jpeg gif webp bmp tiff tif ico avif",
-    "media": "mp4 mkv mov avi webm mp3 flac wav ogg m4a", "archive": "zip tar gz bz2 xz 7z rar zst",
+    "code": ["ts", "tsx", "js", "jsx", "mjs", "cjs", "rs", "py", "go", "rb", "java", "kt", "kts", "swift", "php", "lua", "c", "h", "cpp", "cc", "cxx", "hh", "hpp", "sql", "sh", "bash", "zsh", "vue"],
+    "web": ["html", "htm", "css", "scss", "less", "svg"],
+    "data": ["json", "toml", "yaml", "yml", "xml", "ini", "conf", "cfg", "env", "lock", "db", "sqlite"],
+    "docs": ["md", "txt", "rst", "log", "pdf", "doc", "docx", "odt", "csv", "tsv", "xlsx", "ods", "pptx", "odp"],
+    "image": ["png", "jpg", "jpeg", "gif", "webp", "bmp", "tiff", "tif", "ico", "avif"],
+    "media": ["mp4", "mkv", "mov", "avi", "webm", "mp3", "flac", "wav", "ogg", "m4a"],
+    "archive": ["zip", "tar", "gz", "bz2", "xz", "7z", "rar", "zst"],
+}
+SPECIAL = {
+    "code": ["dockerfile", "containerfile", "makefile", "justfile", "rakefile", "gemfile", "procfile"],
+    "docs": ["license", "copying", "readme", "authors", "notice", "changelog"],
 }
-SPECIAL = {"code": "dockerfile containerfile makefile justfile rakefile gemfile procfile", "docs": "license copying readme authors notice changelog"}
 PREVIEW = """pdf png jpg jpeg webp gif bmp tiff tif svg csv tsv docx pptx odt odp xlsx ods rs ts tsx js jsx py go sh bash zsh
 json toml ini conf cfg env yaml yml md css scss less html htm xml vue c h cpp cc cxx hh hpp java rb kt kts sql php lua
 swift rst log txt""".split()
 KINDS = {
-    "PDF Document": "pdf", "PNG Image": "png", "JPEG Image": "jpg jpeg", "GIF Image": "gif", "WebP Image": "webp", "SVG Image": "svg",
-    "TypeScript Source": "ts tsx", "JavaScript Source": "js jsx", "Rust Source": "rs", "Python Source": "py", "Go Source": "go",
-    "Word Document": "docx doc", "Excel Spreadsheet": "xlsx xls", "PowerPoint Presentation": "pptx ppt", "Rich Text Document": "rtf",
-    "OpenDocument Text": "odt", "OpenDocument Spreadsheet": "ods", "OpenDocument Presentation": "odp", "Java Source": "java",
-    "Ruby Source": "rb", "Kotlin Source": "kt", "Kotlin Script": "kts", "Swift Source": "swift", "PHP Source": "php", "Lua Source": "lua",
-    "C Source": "c", "C Header": "h", "C++ Source": "cpp cc cxx", "C++ Header": "hh hpp", "SQL Script": "sql", "Vue Component": "vue",
-    "Markdown": "md", "Text File": "txt", "reStructuredText": "rst", "Log File": "log", "CSV Data": "csv", "TSV Data": "tsv",
-    "Archive": "zip tar gz bz2 xz 7z rar", "Video": "mp4 mkv mov avi", "Audio": "mp3 flac wav ogg", "JSON Data": "json",
-    "XML Document": "xml", "HTML Document": "html", "CSS Stylesheet": "css", "Sass Stylesheet": "scss", "Less Stylesheet": "less",
-    "Shell Script": "sh bash zsh", "TOML Config": "toml", "INI Config": "ini", "Config File": "conf cfg", "Env File": "env", "YAML Config": "yaml yml",
+    "PDF Document": ["pdf"],
+    "PNG Image": ["png"],
+    "JPEG Image": ["jpg", "jpeg"],
+    "GIF Image": ["gif"],
+    "WebP Image": ["webp"],
+    "SVG Image": ["svg"],
+    "TypeScript Source": ["ts", "tsx"],
+    "JavaScript Source": ["js", "jsx"],
+    "Rust Source": ["rs"],
+    "Python Source": ["py"],
+    "Go Source": ["go"],
+    "Word Document": ["docx", "doc"],
+    "Excel Spreadsheet": ["xlsx", "xls"],
+    "PowerPoint Presentation": ["pptx", "ppt"],
+    "Rich Text Document": ["rtf"],
+    "OpenDocument Text": ["odt"],
+    "OpenDocument Spreadsheet": ["ods"],
+    "OpenDocument Presentation": ["odp"],
+    "Java Source": ["java"],
+    "Ruby Source": ["rb"],
+    "Kotlin Source": ["kt"],
+    "Kotlin Script": ["kts"],
+    "Swift Source": ["swift"],
+    "PHP Source": ["php"],
+    "Lua Source": ["lua"],
+    "C Source": ["c"],
+    "C Header": ["h"],
+    "C++ Source": ["cpp", "cc", "cxx"],
+    "C++ Header": ["hh", "hpp"],
+    "SQL Script": ["sql"],
+    "Vue Component": ["vue"],
+    "Markdown": ["md"],
+    "Text File": ["txt"],
+    "reStructuredText": ["rst"],
+    "Log File": ["log"],
+    "CSV Data": ["csv"],
+    "TSV Data": ["tsv"],
+    "Archive": ["zip", "tar", "gz", "bz2", "xz", "7z", "rar"],
+    "Video": ["mp4", "mkv", "mov", "avi"],
+    "Audio": ["mp3", "flac", "wav", "ogg"],
+    "JSON Data": ["json"],
+    "XML Document": ["xml"],
+    "HTML Document": ["html"],
+    "CSS Stylesheet": ["css"],
+    "Sass Stylesheet": ["scss"],
+    "Less Stylesheet": ["less"],
+    "Shell Script": ["sh", "bash", "zsh"],
+    "TOML Config": ["toml"],
+    "INI Config": ["ini"],
+    "Config File": ["conf", "cfg"],
+    "Env File": ["env"],
+    "YAML Config": ["yaml", "yml"],
 }
 
 
-def _lookup(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for value, keys in table.items() for k in keys.split() for x in (k, value)])
+def _lookup(table: dict[str, list[str]]) -> Column:
+    return F.create_map(*[F.lit(x) for value, keys in table.items() for k in keys for x in (k, value)])
 
 
 def annotate_files(catalog: DataFrame, name_col: str = "name", path_col: str = "path", dir_col: str = "is_dir") -> DataFrame:
