@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from sparkseek.llm.common import cut, shared_dir
 
+#: What Hadoop calls file systems that pyarrow has by another name.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
 _IO = 1 << 18
 _READ = 1 << 23
 #: Fixed value: the date of all records, so that the same pages give the same files.
@@ -29,10 +31,15 @@ INDEX = "archive string, offset long, length long, type string, record_id string
 
 
 def _file_system(uri: str):
-    """A file system of pyarrow for a URI or an absolute path, and the path in it."""
+    """A file system of pyarrow for a URI or an absolute path, and the path in it. Raises ValueError for a scheme that
+    pyarrow has none for."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, mark, rest = uri.partition("://")
+    try:
+        return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}{mark}{rest}")
+    except pa.ArrowInvalid as error:
+        raise ValueError(f"archives can't be kept at {uri}: {error}; use a path or a file, hdfs, s3, gs or abfs URI") from error
 
 
 def _clean(value: str) -> str:
@@ -68,7 +75,10 @@ def plan_records(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_id
         rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest")
         .agg(F.max("id").alias("largest"), F.count("*").alias("n")).where("n > 1 AND largest IS NOT NULL").select("digest", "largest")
     )
-    return rows.join(largest, "digest", "left").select("id", "uri", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers_to"))
+    long = rows.where(F.octet_length("payload") >= min_bytes).join(largest, "digest", "left")
+    long = long.select("id", "uri", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers_to"))
+    short = rows.where(F.octet_length("payload") < min_bytes)  # the many empty ones have one digest, and are not dealt by it
+    return long.union(short.select("id", "uri", "payload", "digest", F.lit(None).cast(long.schema["refers_to"].dataType).alias("refers_to")))
 
 
 def write_archives(records: DataFrame, path: str, file_bytes: int = 128 << 20) -> DataFrame:
