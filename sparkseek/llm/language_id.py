@@ -166,7 +166,8 @@ def train_prototypes(docs: DataFrame, per_language: int = 3000, dim: int = DIM,
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM, keep: list | None = None, text_col: str = "text") -> DataFrame:
     """All rows of docs, its columns (or those in keep), and lang_pred and score (cosine with the prototype, 0 to 1).
 
-    A text that is null or without a letter gets und and 0, as all texts do without prototypes. Equal cosines go to the
+    A text of more than 2**20 characters is bundled in parts of so many, each with a blank at both ends. Letters go by
+    the lower 16 bits of their code points. A text that is null or without a letter gets und and 0, as all texts do without prototypes. Equal cosines go to the
     language that sorts first. Columns of docs with these names are replaced."""
     docs = docs.drop("lang_pred", "score")
     names = sorted(prototypes)

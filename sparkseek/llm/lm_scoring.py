@@ -73,7 +73,9 @@ def cross_entropy_difference(docs: DataFrame, mass: float = 10.0, id_col: str =
 
     Tokens are runs of letters and digits, A-Z lower-cased. A text without tokens, null or empty, has 0 tokens and null
     losses. A null target_col counts as false. Without any target row its model is uniform. Repeated rows are scored
-    alike, each without one of them. Keys are compared by 48 bits within a bucket."""
+    alike, each without one of them only: the other copies stay in the model and vote for it, so texts that occur twice
+    or more score lower losses than others. Deduplicate first where that matters. Rows without an id are rows like
+    others. Keys are compared by 48 bits within a bucket."""
     spark = docs.sparkSession
     rows = cut(docs.select(F.col(id_col).alias("id"), F.coalesce(target_col, F.lit(False)).alias("target"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id()))
     slim = rows.select("row", "target", "text")

@@ -53,7 +53,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, bi
                   id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
     """Weights learned from labelled documents: at most max_rows labels, the first in the order of a hash of their id.
 
-    Labels that are null or of ids without a document are left out. Updates run in one task, over that bounded sample,
+    Labels that are null or of ids without a document are left out. Several labels of an id, agreeing or not, are an
+    example each, and so are several documents of an id. Updates run in one task, over that bounded sample,
     in the order of the hash. Without any label all weights are 0 and every score is 0.5."""
     order = [F.xxhash64("id"), "id", "label"]
     chosen = (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkseek.llm.common import broadcast_if_small, table
 from sparkseek.llm.decontaminate import contaminated
 from sparkseek.llm.language_id import held_out, identify, train_prototypes
-from sparkseek.llm.licenses import scan_licenses
+from sparkseek.llm.licenses import RULES, SENTENCES, scan_licenses
 from sparkseek.llm.line_dedup import dedup_lines
 from sparkseek.llm.lm_scoring import cross_entropy_difference
 from sparkseek.llm.mixing import mix
@@ -72,21 +72,35 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
-@query(
-    "op8_license_scan",
-    r"""
-    WITH pieces AS (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '\n|[.!?:]\s+'))) AS piece FROM documents),
-    norm AS (SELECT doc_id, trim(regexp_replace(lower(piece), '[^\p{L}\p{N}]+', ' ', 'g')) AS piece FROM pieces)
-    SELECT doc_id, CASE piece WHEN 'released under the mit license' THEN 'MIT'
-             WHEN 'licensed under the apache license version 2 0' THEN 'Apache-2.0'
-             WHEN 'this work is licensed under the gnu general public license version 3' THEN 'GPL-3.0-only'
-             ELSE 'CC-BY-NC-4.0' END AS license, count(*)::BIGINT AS n_matches
-    FROM norm
-    WHERE piece IN ('released under the mit license', 'licensed under the apache license version 2 0',
-      'this work is licensed under the gnu general public license version 3', 'licensed under cc by nc 4 0')
-    GROUP BY ALL
-    """,
-)
+def _license_sql() -> str:
+    """The same sentences and rules as a query: pieces, their lines and ends, identifiers in order, rules as a pattern.
+    Expressions of several licences after a tag are not taken apart."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    number = {name: k for k, name in enumerate(SENTENCES)}
+    longest = 2 * max(len(t) for ts in SENTENCES.values() for t in ts)
+    known = ", ".join(f"({quoted(t)}, {number[name]})" for name, ts in SENTENCES.items() for t in ts)
+    licenses = {"".join(f"<{number[n]}>" for n in names): license for license, names in reversed(RULES)}
+    pattern = "|".join("".join(f"<{number[n]}@[0-9]+>" for n in names) for _, names in RULES)
+    norm = lambda c: rf"trim(regexp_replace(replace(lower({c}), '+', ' plus '), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    return rf"""
+    WITH known AS (SELECT DISTINCT ON (norm) norm, k FROM (SELECT {norm('t')} AS norm, k FROM (VALUES {known}) v(t, k)) ORDER BY norm, k),
+    rule AS (SELECT * FROM (VALUES {', '.join(f'({quoted(i)}, {quoted(x)})' for i, x in licenses.items())}) v(ids, license)),
+    split AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?:])\s+|\n[ \t\r]*\n\s*', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
+    pieces AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS piece FROM split),
+    lined AS (SELECT *, string_split(part, chr(10)) AS lines, string_split(right(part, {longest}), chr(10)) AS tail FROM pieces WHERE part <> ''),
+    spans AS (SELECT doc_id, piece, unnest(lines) AS t, generate_subscripts(lines, 1) AS first, generate_subscripts(lines, 1) AS last FROM lined
+      UNION ALL SELECT doc_id, piece, array_to_string(tail[i:], ' '), len(lines) - len(tail) + i, len(lines) FROM (SELECT *, unnest(range(1, len(tail))) AS i FROM lined)),
+    hit AS (SELECT doc_id, piece, first, last, k FROM (SELECT *, {norm('t')} AS norm FROM spans WHERE length(t) BETWEEN 2 AND {longest}) JOIN known USING (norm)),
+    over AS (SELECT doc_id, piece, min(first) AS first FROM hit WHERE first < last GROUP BY ALL),
+    kept AS (SELECT h.* FROM hit h LEFT JOIN over o USING (doc_id, piece) WHERE o.first IS NULL OR h.first < o.first OR (h.first = o.first AND h.first < h.last)),
+    far AS (SELECT *, piece - lag(piece) OVER (PARTITION BY doc_id ORDER BY piece, first, k) > 3 AS apart FROM kept),
+    ids AS (SELECT doc_id, string_agg(CASE WHEN apart THEN '~' ELSE '' END || '<' || k || '@' || piece || '>', '' ORDER BY piece, first, k) AS ids FROM far GROUP BY doc_id),
+    matches AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(ids, {quoted(pattern)})), '@[0-9]+', '', 'g') AS ids FROM ids)
+    SELECT doc_id, license, count(*)::BIGINT AS n_matches FROM matches JOIN rule USING (ids) GROUP BY ALL
+    """
+
+
+@query("op8_license_scan", _license_sql())
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan_licenses(docs).groupBy("doc_id", "license").agg(F.count("*").alias("n_matches"))

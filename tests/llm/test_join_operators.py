@@ -231,6 +231,8 @@ def test_cross_entropy_against_brute_force(spark, common, monkeypatch):
 
 def test_cross_entropy_of_empty_and_hot_tables(spark):
     assert lm_scoring.cross_entropy_difference(docs_of(spark, [], ", target boolean")).count() == 0
+    nameless = lm_scoring.cross_entropy_difference(docs_of(spark, [(None, "a b", True), (None, "c d", False), (None, None, None)], ", target boolean")).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in nameless) == [(None, 0), (None, 2), (None, 2)]
     same = lm_scoring.cross_entropy_difference(docs_of(spark, [(1, "a b c", True, 1)] * 400 + [(2, "a b d " * 5000, False, 2)], ", target boolean, row int")).collect()
     assert len(same) == 401 and len({r.difference for r in same if r.doc_id == 1}) == 1
     assert max(r.difference for r in same if r.doc_id == 1) < min(r.difference for r in same if r.doc_id == 2)
