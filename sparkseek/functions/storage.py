@@ -44,3 +44,17 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Up to so many bytes, a table in fewer files than there are cores is dealt to all of them before its texts are split.
+_SMALL = 64 << 20
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table of texts. One small file is often one row group, which one task would read and split alone; its
+    rows are dealt to all cores. Larger tables are read as they are, without a shuffle."""
+    df = spark.read.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    summary = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if summary.getLength() < _SMALL and summary.getFileCount() < cores else df

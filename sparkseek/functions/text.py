@@ -22,7 +22,8 @@ they this to was will with""".split()
 
 def normalized(text: Column) -> Column:
     """Without diacritic marks, lower-case, Latin-1 accents folded; letters of their own such as ø, æ and ß stay."""
-    return F.translate(F.lower(F.regexp_replace(text, f"[{MARKS}]", "")), ACCENTED, PLAIN)
+    ascii_only = F.octet_length(text) == F.length(text)  # most words are, and need no more than this
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(F.lower(F.regexp_replace(text, f"[{MARKS}]", "")), ACCENTED, PLAIN))
 
 
 def normalize_terms(df: DataFrame, col: str, into: str = "norm") -> DataFrame:

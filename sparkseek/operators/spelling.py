@@ -48,9 +48,10 @@ def corrections(words: DataFrame, vocab: DataFrame, limit: int = 8) -> DataFrame
     tolerance = F.when(F.length("word") <= 4, 1).otherwise(2)
     asked = words.select("word").where(F.length("word") > 0).distinct()
     dealt = asked.withColumn("tolerance", tolerance).withColumn("k", F.explode(keys("word", "tolerance")))
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # short rows, of which many more are made
     lengths = asked.agg(F.min(F.length("word")).alias("shortest"), F.max(F.length("word")).alias("longest"))  # one row
     within = F.length("correction").between(F.col("shortest") - 2, F.col("longest") + 2)  # no other word can be near
-    known = vocab.select(F.col("word").alias("correction"), "rank").join(F.broadcast(lengths)).where(within).select("correction", "rank", F.explode(keys("correction", F.lit(2))).alias("k"))
+    known = vocab.select(F.col("word").alias("correction"), "rank").join(F.broadcast(lengths)).where(within).repartition(tasks, "correction").select("correction", "rank", F.explode(keys("correction", F.lit(2))).alias("k"))
     near = dealt.join(known, "k").where(F.levenshtein("word", "correction") <= 2 * F.col("tolerance")).select("word", "tolerance", "correction", "rank").distinct()
     exact = near.withColumn("distance", distance("word", "correction")).where(F.col("distance") <= F.col("tolerance"))
     order = Window.partitionBy("word").orderBy("distance", "rank", "correction")

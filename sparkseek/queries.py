@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.functions.storage import written
+from sparkseek.functions.storage import read_texts, written
 from sparkseek.operators import catalog as cat
 from sparkseek.operators import classify, convert, fuzzy, layout, ranking, refresh, search, spelling, usage
 from sparkseek.operators.index import build_index, query_terms, rank_vocabulary, tokens, vocabulary_counts, vocabulary_keys
@@ -40,7 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return read_texts(spark, f"{d}/documents.parquet").select("doc_id", "text")
 
 
 def item_queries(spark, d, words: int | None = 3):
