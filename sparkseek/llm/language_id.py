@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkseek.llm.common import cut
 from sparkseek.llm.kernels import mix64, slices
 
 DIM = 512
@@ -118,23 +119,36 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, length, out=np.zeros(vectors.shape), where=length > 0)
 
 
+def first_ids(named: DataFrame, counts: dict[str, int], per_language: int) -> DataFrame:
+    """Of named(id, lang), the distinct ids that come first in each language by their hash, at most per_language. Hashes
+    up to a bound by language, which lets some four times as many by, are sorted; where too few are by it, as when rows
+    are repeated, it is widened. So no language's ids are all in one task."""
+    share = {lang: min(1.0, 4 * per_language / n) for lang, n in counts.items()}
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    while True:
+        bounds = named.sparkSession.createDataFrame([(lang, min(2**63 - 1, int(-(2**63) + s * 2**64))) for lang, s in share.items()], "lang string, most long")
+        chosen = cut(
+            named.join(F.broadcast(bounds), "lang").where(F.xxhash64("id") <= F.col("most")).select("id", "lang").distinct()
+            .withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("id", "lang")
+        )
+        have = dict(map(tuple, chosen.groupBy("lang").count().collect()))  # a row for each language
+        few = [lang for lang, s in share.items() if s < 1 and have.get(lang, 0) < per_language]
+        if not few:
+            return chosen
+        share |= {lang: min(1.0, 8 * share[lang]) for lang in few}
+
+
 def train_prototypes(docs: DataFrame, per_language: int = 3000, dim: int = DIM, max_languages: int = 2000, pooled: bool = False,
                      id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """Prototype by language from docs with a language: of each language at most per_language documents, the first in
     the order of a hash of their id. Each counts alike, or, pooled, by its length, which takes little time with a large
     dim. Raises ValueError beyond max_languages languages."""
     named = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = (
-        named.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).distinct()
-        .withColumn("n", F.row_number().over(first))
-        .where(F.col("n") <= per_language)
-        .select("id", "lang")
-    )
-    n_languages = named.select(lang_col).distinct().limit(max_languages + 1).count()
-    if n_languages > max_languages:
+    counts = dict(map(tuple, named.groupBy(lang_col).count().limit(max_languages + 1).collect()))
+    if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    if n_languages * per_language <= 100_000:
+    chosen = first_ids(named.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")), counts, per_language)
+    if len(counts) * per_language <= 100_000:
         chosen = F.broadcast(chosen)  # so many short rows at most
     training = named.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(chosen, ["id", "lang"])
 
