@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.llm.common import cut
+from sparkseek.llm.common import cut, scratch
 from sparkseek.llm.kernels import ALNUM, FOLDED, buffers, mix64, ngrams, slices, tokens
 
 # Units of measure, as words after a number.
@@ -144,6 +144,11 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_literals
     tokens, and null and empty texts, match nothing. A null id is kept as an id.
 
     Window hashes of the items are broadcast in blocks of about two million (16 MB); documents are read once a block."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_contaminated(docs, items, width, min_literals, min_coverage, enough, shortest, id_col, text_col, item_col, item_text_col))
+
+
+def _contaminated(docs, items, width, min_literals, min_coverage, enough, shortest, id_col, text_col, item_col, item_text_col) -> DataFrame:
     spark = docs.sparkSession
     typed = lambda df, c: df.schema[c].dataType.simpleString()
     widths = list(range(shortest, width + 1))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.llm.common import cut
+from sparkseek.llm.common import cut, scratch
 from sparkseek.llm.kernels import ALNUM, FOLDED, buffers, mix64, slices, tokens
 from sparkseek.llm.ngram_join import _lists
 
@@ -33,7 +33,8 @@ def document_keys(texts):
     the number of tokens by row. The lowest bit of a key tells contexts (1) from bigrams (0)."""
     hashed, row = tokens(*buffers(texts), classes=ALNUM, values=FOLDED)
     context = np.append(_START, hashed[:-1]) if len(hashed) else hashed
-    context[np.append(True, row[1:] != row[:-1])] = _START if len(hashed) else 0
+    if len(hashed):  # there may be texts without a token only
+        context[np.append(True, row[1:] != row[:-1])] = _START
     pair = mix64(context * np.uint64(0x9FB21C651E98DF25) + hashed) & ~np.uint64(1)
     keys, rows = np.concatenate([pair, mix64(context) | np.uint64(1)]), np.concatenate([row, row])
     ends, begin = np.searchsorted(row, np.arange(len(texts)), "right"), 0
@@ -76,6 +77,11 @@ def cross_entropy_difference(docs: DataFrame, mass: float = 10.0, id_col: str =
     alike, each without one of them only: the other copies stay in the model and vote for it, so texts that occur twice
     or more score lower losses than others. Deduplicate first where that matters. Rows without an id are rows like
     others. Keys are compared by 48 bits within a bucket."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_scored(docs, mass, id_col, text_col, target_col))
+
+
+def _scored(docs: DataFrame, mass: float, id_col: str, text_col: str, target_col: str) -> DataFrame:
     spark = docs.sparkSession
     rows = cut(docs.select(F.col(id_col).alias("id"), F.coalesce(target_col, F.lit(False)).alias("target"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id()))
     slim = rows.select("row", "target", "text")

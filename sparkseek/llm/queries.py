@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkseek.functions.storage import read_texts
 from sparkseek.llm.common import broadcast_if_small, table
 from sparkseek.llm.decontaminate import contaminated
 from sparkseek.llm.language_id import held_out, identify, train_prototypes
@@ -21,6 +22,10 @@ QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return read_texts(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text", *columns)
+
+
 def query(name: str, sql: str | None = None):
     def register(f):
         QUERIES[name] = f
@@ -67,7 +72,7 @@ def query(name: str, sql: str | None = None):
     """,
 )
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = documents(spark, sf_dir, "source")
     mixed = mix(docs, weights=(5, 2, 1), share=1.5, max_repeats=2, keep=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
@@ -102,7 +107,7 @@ def _license_sql() -> str:
 
 @query("op8_license_scan", _license_sql())
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return scan_licenses(docs).groupBy("doc_id", "license").agg(F.count("*").alias("n_matches"))
 
 
@@ -123,14 +128,14 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     kept = dedup_lines(docs, min_chars=20, min_docs=3)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 @query("op1_quality")
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     apart = held_out("doc_id", 4, 2)
     weights = train_quality(docs.where(~apart), table(spark, sf_dir, "labels").where(~apart).select("doc_id", "quality"))
     scored = score_quality(docs, weights, keep=["doc_id"])
@@ -139,7 +144,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_language_id")
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir, "lang")
     apart = held_out("doc_id", 5, 0)
     prototypes = train_prototypes(docs.where(~apart))
     found = identify(docs.select("doc_id", "text"), prototypes, keep=["doc_id"])
@@ -167,7 +172,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return jaccard_groups(docs, width=4, num=85, den=100)
 
 
@@ -208,12 +213,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_decontaminate")
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return contaminated(docs, table(spark, sf_dir, "benchmark")).drop("mark")
 
 
 @query("op5_lm_scoring")
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id").distinct().withColumn("target", F.lit(True))
     return cross_entropy_difference(docs.join(broadcast_if_small(good), "doc_id", "left"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkseek.llm.common import cut
+from sparkseek.llm.common import cut, scratch
 
 _CHUNK = 512
 #: Above all scores: components are below 2**135, vectors have at most 2**31.
@@ -93,6 +93,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int = 2, b
     row with its id; a vector of another length takes no part. Fewer than k candidates: all. Repeated candidates are
     listed each; repeated query rows once. Empty tables give an empty result. Scores are exact and ranked as such; one
     beyond 64 bits is given as the nearest 64-bit integer."""
+    with scratch(vectors.sparkSession) as keep:
+        return keep(_top_k(vectors, queries, k, parts, block))
+
+
+def _top_k(vectors: DataFrame, queries: DataFrame, k: int, parts: int, block: int) -> DataFrame:
     spark = vectors.sparkSession
     vectors = cut(vectors)
     queries = cut(queries.distinct().withColumn("block", F.xxhash64("id", "v")))
