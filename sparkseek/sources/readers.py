@@ -24,6 +24,8 @@ def load_text_corpus(spark: SparkSession, path: str) -> DataFrame:
 PLAIN = """txt md rst log csv tsv json toml yaml yml ini conf cfg env xml html htm css scss less rs py js ts jsx tsx go c h cpp
 cc hpp java kt rb php lua sh bash zsh sql swift vue tex""".split()
 
+OFFICE = ["docx", "pptx", "xlsx", "odt", "ods", "odp"]
+
 
 def load_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, error) of all files below path: plain text decoded as UTF-8, office files through their extractor.
@@ -31,7 +33,8 @@ def load_documents(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     text = files.where(kind.isin(PLAIN)).select("path", F.decode("content", "utf-8").alias("text"), F.lit(None).cast("string").alias("error"))
-    return text.unionByName(extract_office_text(files.where(~kind.isin(PLAIN))))
+    other = files.where(~kind.isin(*PLAIN, *OFFICE)).select("path", F.lit(None).cast("string").alias("text"), F.concat(F.lit("no extractor for ."), kind).alias("error"))
+    return text.unionByName(extract_office_text(files.where(kind.isin(OFFICE)))).unionByName(other)
 
 
 def paginate(corpus: DataFrame) -> DataFrame:
