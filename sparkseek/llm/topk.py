@@ -1,8 +1,8 @@
 """Exact top-k search by inner product, in three phases with a uniform threshold.
 
 Components are split into m parts; for a query, every part is a list of partial scores over all candidates, kept in
-shards where the candidates are. (1) Shards give their local lists: of each part's best k entries, the k best whole
-scores. The k-th best of all is a safe cutoff: no answer scores less. (2) The cutoff is broadcast. Whatever reaches it
+shards where the candidates are. (1) Shards give their local lists: the entries that are best by the first part, with
+their other parts resolved. The k-th best whole score of all is a safe cutoff: no answer scores less. (2) The cutoff is broadcast. Whatever reaches it
 has a part with at least an m-th of it, so shards collect the entries with such a part. (3) The remaining parts of
 those entries are resolved exactly, and what reaches the cutoff is ranked. Queries go in blocks of bounded size.
 """
@@ -50,14 +50,21 @@ def _whole(values: np.ndarray) -> np.ndarray:
     return np.frompyfunc(int, 1, 1)(values)
 
 
-def _partials(queries: np.ndarray, vectors: np.ndarray, parts: int) -> list[np.ndarray]:
-    """Partial scores (query, vector) of each part, exact: as doubles where they hold all sums, else as Python integers."""
+def _exactly(queries: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as they are where doubles hold all sums of products, else as Python integers."""
     with np.errstate(over="ignore"):
         most = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, queries.shape[1])
-    small = most < 2**52
-    q, v = (queries, vectors) if small else (_whole(queries), _whole(vectors))
-    bounds = [queries.shape[1] * k // parts for k in range(parts + 1)]
-    return [q[:, a:b] @ v[:, a:b].T if b > a else np.zeros((len(q), len(v)), float if small else object) for a, b in zip(bounds, bounds[1:], strict=False)]
+    return (queries, vectors) if most < 2**52 else (_whole(queries), _whole(vectors))
+
+
+def _bounds(size: int, parts: int) -> list[tuple[int, int]]:
+    return [(size * k // parts, size * (k + 1) // parts) for k in range(parts)]
+
+
+def _partial(q: np.ndarray, v: np.ndarray, part: tuple[int, int]) -> np.ndarray:
+    """Partial scores (query, vector) of a part of the components."""
+    a, b = part
+    return q[:, a:b] @ v[:, a:b].T if b > a else np.zeros((len(q), len(v)), q.dtype)
 
 
 def _ordered(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,19 +128,18 @@ def _top_k(vectors: DataFrame, queries: DataFrame, k: int, parts: int, block: in
                     if size not in by_size:
                         continue
                     at, q = by_size[size]
-                    lists = _partials(q, matrix, parts)
-                    rows, cols = [], []
-                    for part in lists:
-                        if part.dtype == object or part.shape[1] <= k:
-                            best = np.tile(np.arange(part.shape[1]), (len(q), 1))
-                        else:
-                            best = np.argpartition(part, part.shape[1] - k, axis=1)[:, -k:]
-                        rows.append(np.repeat(np.arange(len(q)), best.shape[1]))
-                        cols.append(best.ravel())
-                    rows, cols = np.divmod(np.unique(np.concatenate(rows) * len(own) + np.concatenate(cols)), len(own))
+                    q, v = _exactly(q, matrix)
+                    first = _bounds(size, parts)[0]
+                    part = _partial(q, v, first)
+                    if part.dtype == object or part.shape[1] <= k + 1:
+                        best = np.tile(np.arange(part.shape[1]), (len(q), 1))
+                    else:
+                        best = np.argpartition(part, part.shape[1] - k - 1, axis=1)[:, -k - 1 :]  # one may be the query itself
+                    rows, cols = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
                     other = own[cols] != ids[at[rows]]
                     rows, cols = rows[other], cols[other]
-                    found.append((at[rows], *_ordered(sum(part[rows, cols] for part in lists)), own[cols]))
+                    rest = (q[rows, first[1] :] * v[cols, first[1] :]).sum(axis=1)
+                    found.append((at[rows], *_ordered(part[rows, cols] + rest), own[cols]))
                     if len(found) > 8:
                         found = [_best(*map(np.concatenate, zip(*found, strict=True)), k)]
             query, score, beyond, _ = _best(*map(np.concatenate, zip(*found, strict=True)), k)
@@ -158,7 +164,8 @@ def _top_k(vectors: DataFrame, queries: DataFrame, k: int, parts: int, block: in
                     if size not in by_size:
                         continue
                     at, q = by_size[size]
-                    lists = _partials(q, matrix, parts)
+                    q, v = _exactly(q, matrix)
+                    lists = [_partial(q, v, part) for part in _bounds(size, parts)]
                     least = limit[at].astype(lists[0].dtype)
                     enough = lists[0] * parts >= least[:, None]
                     for part in lists[1:]:
