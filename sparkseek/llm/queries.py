@@ -60,10 +60,10 @@ def query(name: str, sql: str | None = None):
              (sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS start
       FROM sized s JOIN weighed w ON s.source IS NOT DISTINCT FROM w.source CROSS JOIN level),
     copies AS (SELECT *, unnest([0, 1]) AS copy FROM placed WHERE size > 0),
-    packets AS (SELECT *, unnest(range(0, size, 128)) AS at FROM copies),
+    packets AS (SELECT *, unnest(range(0, size, 128)) AS done FROM copies),
     stream AS (
-      SELECT doc_id, least(128, size - at) AS words, sum(least(128, size - at)) OVER (
-        ORDER BY (start + copy * source_size + least(size, at + 128))::DOUBLE / target, source IS NULL, encode(source), start + copy * source_size + at) AS upto
+      SELECT doc_id, least(128, size - done) AS words, sum(least(128, size - done)) OVER (
+        ORDER BY (start + copy * source_size + least(size, done + 128))::DOUBLE / target, source IS NULL, encode(source), start + copy * source_size + done) AS upto
       FROM packets),
     mixed AS (
       SELECT doc_id, sum(greatest(0, least(words, (SELECT floor(1.5::DOUBLE * sum(size)) FROM sized) - upto + words)))::BIGINT AS taken FROM stream GROUP BY doc_id)
