@@ -246,7 +246,7 @@ def test_language_of_held_out_documents(spark):
 # Mixing
 
 
-def brute_mix(rows, weights=(5, 2, 1), share=1.5, most=2, seed=17, quantum=128):
+def brute_mix(rows, weights=(5, 2, 1), share=1.5, repeats=2, seed=17, quantum=128, packets_each=2000):
     size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
     total = Counter()
     for n, (_, _, s) in zip(size, rows, strict=True):
@@ -255,20 +255,21 @@ def brute_mix(rows, weights=(5, 2, 1), share=1.5, most=2, seed=17, quantum=128):
     weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
     target, full = {}, set()
     while True:
-        level = (share * sum(size) - sum(most * total[s] for s in full)) / (sum(weight[s] for s in order if s not in full) or 1)
-        over = {s for s in order if s not in full and weight[s] * level >= most * total[s]}
+        level = (share * sum(size) - sum(repeats * total[s] for s in full)) / (sum(weight[s] for s in order if s not in full) or 1)
+        over = {s for s in order if s not in full and weight[s] * level >= repeats * total[s]}
         if not over:
             break
         full |= over
-    target = {s: float(most * total[s]) if s in full else weight[s] * level for s in order}
+    target = {s: float(repeats * total[s]) if s in full else weight[s] * level for s in order}
     out, at, packets = {}, Counter(), []
     key = lambda k: int(hashlib.md5(f"{seed}|{'' if rows[k][0] is None else rows[k][0]}".encode()).hexdigest()[:15], 16)
     for k in sorted(range(len(rows)), key=lambda k: (key(k), rows[k][0] is not None, rows[k][0], size[k])):
         s = rows[k][2]
-        for copy in range(most):
-            for n in range(0, size[k], quantum):
-                end = at[s] + copy * total[s] + min(size[k], n + quantum)
-                packets.append((end / target[s], order.index(s), end, k, min(quantum, size[k] - n)))
+        for copy in range(repeats):
+            most = max(1, min(quantum, int(target[s] / packets_each)))
+            for n in range(0, size[k], most):
+                end = at[s] + copy * total[s] + min(size[k], n + most)
+                packets.append((end / target[s], order.index(s), end, k, min(most, size[k] - n)))
         at[s] += size[k]
         out[k] = 0
     left = int(share * sum(size))
@@ -278,8 +279,9 @@ def brute_mix(rows, weights=(5, 2, 1), share=1.5, most=2, seed=17, quantum=128):
     return sorted([(rows[k][0], size[k], total[rows[k][2]], round(target[rows[k][2]], 6), out[k]) for k in out], key=str)
 
 
-@pytest.mark.parametrize(("quantum", "last", "span"), [(128, 20_000, 200_000), (4, 20_000, 200_000), (4, 7, 50)])
-def test_mix_against_brute_force(spark, quantum, last, span, monkeypatch):
+@pytest.mark.parametrize(("quantum", "last", "span", "packets"), [(128, 20_000, 200_000, 2000), (128, 20_000, 200_000, 10), (4, 20_000, 200_000, 1), (4, 7, 50, 1)])
+def test_mix_against_brute_force(spark, quantum, last, span, packets, monkeypatch):
+    monkeypatch.setattr(mixing, "_PACKETS", packets)
     monkeypatch.setattr(mixing, "_LAST", last)
     monkeypatch.setattr(mixing, "_RANGE", span)
     rng = np.random.default_rng(5)
@@ -288,7 +290,7 @@ def test_mix_against_brute_force(spark, quantum, last, span, monkeypatch):
     docs = docs_of(spark, rows, ", source string")
     for frame in (docs, docs.repartition(5)):
         got = [(r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in mixing.mix(frame, quantum=quantum).collect()]
-        assert sorted(got, key=str) == brute_mix(rows, quantum=quantum)
+        assert sorted(got, key=str) == brute_mix(rows, quantum=quantum, packets_each=packets)
 
 
 def test_mix_spends_the_budget_and_keeps_columns(spark):
@@ -301,7 +303,8 @@ def test_mix_spends_the_budget_and_keeps_columns(spark):
     assert mixed.where("taken > 2 * size OR taken < 0").count() == 0
 
 
-def test_fair_stream_is_in_order_of_virtual_time_and_ends_at_the_budget(spark):
+def test_fair_stream_is_in_order_of_virtual_time_and_ends_at_the_budget(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_PACKETS", 1)
     queues = spark.createDataFrame([(0, "0a", 5, 9, 6.0, 0), (1, "0a", 4, 9, 6.0, 5), (2, "0b", 3, 3, 3.0, 0), (3, "0b", 0, 3, 3.0, 3)], "at long, source_key string, size long, source_size long, target double, start long")
     got = sorted(mixing.fair_stream(queues, 9, 2, 2).collect(), key=lambda r: (r.virtual_finish, r.source_key, r.end))
     assert [(r.at, r.copy, r.words, r.end) for r in got] == [(0, 0, 2, 2), (0, 0, 2, 4), (2, 0, 2, 2), (0, 0, 1, 5), (2, 0, 1, 3), (1, 0, 1, 7)]
