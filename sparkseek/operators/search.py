@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkseek.functions.storage import written
 from sparkseek.functions.text import normalized
 from sparkseek.operators.index import Index, keyed, tokens
 
@@ -16,14 +17,19 @@ from sparkseek.operators.index import Index, keyed, tokens
 K1, B = 1.2, 0.75
 
 
+#: So many rows of terms and their words, which are short, are broadcast.
+_BROADCAST = 200_000
+
+
 def term_matches(terms: DataFrame, index: Index) -> DataFrame:
     """(query_id, ord, doc_id, tf, df, ranked, n_terms): documents of each query term, the last one as a prefix.
 
     Prefixes are expanded against the distinct keys only: keys are exploded into their prefixes of the lengths that
     queries have, so the expansion is an equi-join. An expanded prefix is one term: tf is summed, df counts documents
-    with any expansion."""
+    with any expansion. The words that are asked for are written and counted, and broadcast to the postings where they
+    are few: then postings of other words are not moved at all."""
     asked = terms.withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
-    whole = asked.where(~F.col("is_last")).join(index.term_stats, "key").select("query_id", "ord", "key", "df", "ranked", "n_terms")
+    columns = ["query_id", "ord", "key", "ranked", "n_terms"]
     prefixes = asked.where("is_last").withColumnRenamed("key", "prefix")
     lengths = prefixes.select(F.length("prefix").alias("k")).distinct().agg(F.collect_set("k").alias("lengths"))  # one row, as long as the longest word at most
     starts = (
@@ -31,15 +37,14 @@ def term_matches(terms: DataFrame, index: Index) -> DataFrame:
         .withColumn("k", F.explode("lengths")).where(F.col("k") <= F.length("key"))
         .select("key", F.left("key", F.col("k")).alias("prefix"))
     )
-    expanded = prefixes.join(starts, "prefix").select("query_id", "ord", "key", "ranked", "n_terms")
-    exact = whole.join(index.postings.select("key", "doc_id", "tf"), "key").select("query_id", "ord", "doc_id", "tf", "df", "ranked", "n_terms")
-    begun = (
-        expanded.join(index.postings.select("key", "doc_id", "tf"), "key")
+    wanted = written(asked.where(~F.col("is_last")).select(columns).unionByName(prefixes.join(starts, "prefix").select(columns)))
+    n = wanted.count()
+    postings = index.postings.select("key", "doc_id", "tf") if n else index.postings.select("key", "doc_id", "tf").limit(0)
+    found = (
+        postings.join(F.broadcast(wanted) if n <= _BROADCAST else wanted, "key")
         .groupBy("query_id", "ord", "doc_id", "ranked", "n_terms").agg(F.sum("tf").alias("tf"))
     )
-    begun_df = begun.groupBy("query_id", "ord").agg(F.count("*").alias("df"))
-    begun = begun.join(begun_df, ["query_id", "ord"])
-    return exact.unionByName(begun.select(*exact.columns))
+    return found.join(found.groupBy("query_id", "ord").agg(F.count("*").alias("df")), ["query_id", "ord"])
 
 
 def search(terms: DataFrame, index: Index, limit: int = 20, metadata: DataFrame | None = None) -> DataFrame:
