@@ -36,13 +36,13 @@ def token_array(text: Column) -> Column:
 
 
 # The suffix rules of Porter's 1980 paper, steps 2 to 4.
-_STEP2 = [
+STEP2 = [
     ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"),
     ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"),
     ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
 ]
-_STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
-_STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
 
 
 def porter_stem(word: str) -> str:
@@ -80,13 +80,13 @@ def porter_stem(word: str) -> str:
             w = w[:-1]
     if w.endswith("y") and "v" in shape(w[:-1]):
         w = w[:-1] + "i"
-    for rules in (_STEP2, _STEP3):
+    for rules in (STEP2, STEP3):
         for suffix, other in sorted(rules, key=lambda r: -len(r[0])):
             if w.endswith(suffix):
                 if measure(w[: -len(suffix)]) > 0:
                     w = w[: -len(suffix)] + other
                 break
-    for suffix in sorted(_STEP4, key=lambda s: -len(s)):
+    for suffix in sorted(STEP4, key=lambda s: -len(s)):
         if w.endswith(suffix):
             stem = w[: -len(suffix)]
             if measure(stem) > 1 and (suffix != "ion" or stem[-1:] in ("s", "t")):

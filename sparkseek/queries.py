@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseek.functions.storage import read_texts, written
+from sparkseek.functions.text import STEP2, STEP3, STEP4
 from sparkseek.operators import catalog as cat
 from sparkseek.operators import classify, convert, fuzzy, layout, ranking, refresh, search, spelling, usage
 from sparkseek.operators.index import build_index, query_terms, rank_vocabulary, tokens, vocabulary_counts, vocabulary_keys
@@ -120,6 +121,42 @@ scored AS (
   GROUP BY query_id, doc_id, n_terms HAVING count(*) = n_terms)"""
 
 
+def stems_sql(norms: str) -> str:
+    """CTEs that end in stems(norm, key): Porter's steps as CASE expressions over the distinct words of a CTE, with letters
+    told apart as vowels (v) and consonants (c) by a string of its own."""
+    consonants = "bcdfghjklmnpqrstvwxz"
+
+    def shape(x):
+        out = f"regexp_replace(translate({x}, 'aeiou{consonants}', '{'v' * 5 + 'c' * len(consonants)}'), '^y', 'c')"
+        for _ in range(2):
+            out = f"replace(replace({out}, 'cy', 'cv'), 'vy', 'vc')"
+        return out
+
+    measure = lambda x: f"len(regexp_extract_all({shape(x)}, 'vc'))"
+    vowel = lambda x: f"contains({shape(x)}, 'v')"
+    short = lambda x: f"(right({shape(x)}, 3) = 'cvc' AND right({x}, 1) NOT IN ('w', 'x', 'y'))"
+    cut = lambda n: f"left(w, -{n})"
+
+    def longest(rules, least, more=lambda suffix: "true"):
+        cases = [f"WHEN w LIKE '%{a}' THEN CASE WHEN {measure(cut(len(a)))} > {least} AND {more(a)} THEN {cut(len(a))} || '{b}' ELSE w END" for a, b in sorted(rules, key=lambda r: -len(r[0]))]
+        return f"CASE {' '.join(cases)} ELSE w END"
+
+    ion = lambda suffix: f"right({cut(3)}, 1) IN ('s', 't')" if suffix == "ion" else "true"
+    return f"""
+stem0 AS (SELECT DISTINCT norm, norm AS w, length(norm) > 2 AND regexp_full_match(norm, '[a-z]+') AS plain FROM {norms}),
+stem1 AS (SELECT norm, plain, CASE WHEN w LIKE '%sses' OR w LIKE '%ies' THEN {cut(2)} WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN {cut(1)} ELSE w END AS w FROM stem0),
+stem2 AS (SELECT norm, plain, w NOT LIKE '%eed' AND ((w LIKE '%ed' AND {vowel(cut(2))}) OR (w LIKE '%ing' AND {vowel(cut(3))})) AS c,
+  CASE WHEN w LIKE '%eed' THEN CASE WHEN {measure(cut(3))} > 0 THEN {cut(1)} ELSE w END WHEN w LIKE '%ed' AND {vowel(cut(2))} THEN {cut(2)} WHEN w LIKE '%ing' AND {vowel(cut(3))} THEN {cut(3)} ELSE w END AS w FROM stem1),
+stem3 AS (SELECT norm, plain, CASE WHEN c AND (right(w, 2) IN ('at', 'bl', 'iz') OR ({measure('w')} = 1 AND {short('w')})) THEN w || 'e'
+  WHEN c AND length(w) > 1 AND right(w, 1) = left(right(w, 2), 1) AND right({shape('w')}, 1) = 'c' AND right(w, 1) NOT IN ('l', 's', 'z') THEN {cut(1)} ELSE w END AS w FROM stem2),
+stem4 AS (SELECT norm, plain, CASE WHEN w LIKE '%y' AND {vowel(cut(1))} THEN {cut(1)} || 'i' ELSE w END AS w FROM stem3),
+stem5 AS (SELECT norm, plain, {longest(STEP2, 0)} AS w FROM stem4),
+stem6 AS (SELECT norm, plain, {longest(STEP3, 0)} AS w FROM stem5),
+stem7 AS (SELECT norm, plain, {longest([(s, '') for s in STEP4], 1, ion)} AS w FROM stem6),
+stem8 AS (SELECT norm, plain, CASE WHEN w LIKE '%e' AND ({measure(cut(1))} > 1 OR ({measure(cut(1))} = 1 AND NOT {short(cut(1))})) THEN {cut(1)} ELSE w END AS w FROM stem7),
+stems AS (SELECT norm, CASE WHEN NOT plain THEN norm WHEN w LIKE '%ll' AND {measure(cut(1))} > 1 THEN {cut(1)} ELSE w END AS key FROM stem8)"""
+
+
 @query("term_stats", f"WITH {DOC_TOKENS} SELECT key, df FROM term_stats")
 def term_stats(spark, d):
     return build_index(documents(spark, d), stem=False, positions=False).term_stats
@@ -157,17 +194,36 @@ def query_terms_of_items(spark, d):
     return query_terms(item_queries(spark, d, 8), stem=False).drop("key")
 
 
-@query("stemmed_search")
+STEMMED = f"""WITH {ITEM_TERMS.format(n=3)},
+dtok AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) AS raw FROM documents), words AS (SELECT doc_id, strip_accents(lower(raw)) AS norm FROM dtok),
+both_norms AS (SELECT norm FROM words UNION SELECT norm FROM terms), {stems_sql('both_norms')},
+asked AS (SELECT query_id, ord, n_terms, ranked, key FROM terms JOIN stems USING (norm)),
+postings AS (SELECT key, doc_id, count(*) AS tf FROM words JOIN stems USING (norm) GROUP BY ALL), doc_stats AS (SELECT doc_id, sum(tf) AS len FROM postings GROUP BY ALL),
+matched AS (SELECT query_id, ord, doc_id, sum(tf) AS tf, any_value(ranked) AS ranked, any_value(n_terms) AS n_terms
+  FROM asked t JOIN postings p ON CASE WHEN t.ord = t.n_terms - 1 THEN starts_with(p.key, t.key) ELSE p.key = t.key END GROUP BY ALL),
+{MATCHES[MATCHES.index('withdf AS'):]},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INTEGER AS rank FROM scored), hits AS (SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INTEGER AS line FROM documents WHERE doc_id IN (SELECT doc_id FROM hits)),
+lnorms AS (SELECT DISTINCT doc_id, line, strip_accents(lower(unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')))) AS norm FROM lines),
+found AS (SELECT DISTINCT query_id, doc_id, line, key FROM lnorms JOIN stems USING (norm) JOIN asked USING (key)),
+covered AS (SELECT a.query_id, a.doc_id, a.line, count(DISTINCT b.key)::INTEGER AS coverage
+  FROM (SELECT DISTINCT query_id, doc_id, line FROM found) a JOIN found b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND b.line BETWEEN a.line - 9 AND a.line GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY coverage DESC, line) AS n FROM covered)"""
+
+
+@query("stemmed_search", f"""{STEMMED} SELECT query_id, doc_id, round(score, 4) AS score, rank, coalesce(greatest(line - 9, 0), 0)::INTEGER AS first_line, coverage
+FROM hits LEFT JOIN (SELECT * FROM best WHERE n = 1) USING (query_id, doc_id)""")
 def stemmed_search(spark, d):
     """Flagship: benchmark items as queries over documents, with the best passage of every hit."""
     terms = query_terms(item_queries(spark, d))
     hits = written(search.search(terms, document_index(spark, d), limit=10))
     lines = document_lines(spark, d).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
     passages = search.best_passage(terms, lines)
-    return hits.join(passages, ["query_id", "doc_id"], "left").withColumn("first_line", F.coalesce("first_line", F.lit(0)))
+    shown = hits.withColumn("score", F.round("score", 4)).join(passages, ["query_id", "doc_id"], "left")
+    return shown.withColumn("first_line", F.coalesce("first_line", F.lit(0)))
 
 
-@query("vocabulary_keys")
+@query("vocabulary_keys", f"WITH {DOC_TOKENS}, {stems_sql('words')} SELECT norm, key FROM stems WHERE norm <> ''")
 def vocabulary(spark, d):
     return vocabulary_keys(tokens(documents(spark, d)))
 
