@@ -467,7 +467,28 @@ def best_field(spark, d):
     return fuzzy.best_field(fields, ["id"], {"name": 1.0, "description": 0.8, "keywords": 1.0})
 
 
-@query("fuzzy_titles")
+# Alignment row by row: what ends at each place of the title after one more character of the query.
+FUZZY = f"""{PART_QUERIES},
+asked AS (SELECT query_id, lower(trim(query_text)) AS norm_query, replace(lower(trim(query_text)), ' ', '') AS q FROM queries),
+full_score AS (SELECT query_id, 24 + 20 * (length(q) - 1) AS whole FROM asked),
+pairs AS (SELECT query_id, norm_query, q, p_partkey AS id, p_name AS title, p_brand, lower(p_name) AS t FROM part CROSS JOIN asked WHERE lower(p_name) LIKE '%' || array_to_string(string_split(q, ''), '%') || '%'),
+points AS (SELECT *, list_transform(range(1, length(t) + 1), lambda i: 16 + CASE WHEN i = 1 OR NOT regexp_matches(substr(t, i - 1, 1), '[a-z0-9]') THEN 8 ELSE 0 END) AS worth FROM pairs),
+aligned AS (
+  SELECT query_id, id, q, t, worth, 1 AS k, list_transform(range(1, length(t) + 1), lambda i: CASE WHEN substr(t, i, 1) = left(q, 1) THEN worth[i] END) AS here FROM points
+  UNION ALL
+  SELECT query_id, id, q, t, worth, k + 1, list_transform(range(1, length(t) + 1), lambda i: CASE WHEN i > 1 AND substr(t, i, 1) = substr(q, k + 1, 1)
+    THEN greatest(here[i - 1] + 4, list_max(list_transform(range(1, i - 1), lambda j: here[j] - 3 - (i - 2 - j)))) + worth[i] END) FROM aligned WHERE k < length(q)),
+quality AS (SELECT query_id, id, greatest(1, least(1500, round_even(1500.0::DOUBLE * list_max(here) / whole, 0)))::INTEGER AS quality FROM aligned JOIN full_score USING (query_id) WHERE k = length(q) AND list_max(here) IS NOT NULL),
+fuzzy_rows AS (SELECT query_id, id, title, p_brand, norm_query, quality, CASE WHEN lower(title) = norm_query THEN 'exact' WHEN starts_with(lower(title), norm_query) THEN 'prefix'
+  WHEN regexp_matches(lower(title), '[^a-z0-9]' || norm_query) THEN 'word_start' ELSE 'fuzzy' END AS tier FROM pairs JOIN quality USING (query_id, id)),
+third AS (SELECT query_id, max(quality) FILTER (n = 3) AS third FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY quality DESC) AS n FROM fuzzy_rows) GROUP BY query_id),
+gated AS (SELECT * FROM (SELECT f.*, third, CASE WHEN length(norm_query) <= 1 THEN 0 WHEN length(norm_query) <= 3 THEN 90 * (length(norm_query) - 1) / 3.0 ELSE 90 * (2 / 3.0::DOUBLE + least(length(norm_query) - 3, 3) / 9.0::DOUBLE) END AS least_quality
+  FROM fuzzy_rows f JOIN third USING (query_id)) WHERE quality >= least(least_quality, coalesce(third, least_quality)))"""
+TIER_ORDER = "list_position(['exact', 'prefix', 'word_start', 'fuzzy'], tier), quality DESC"
+
+
+@query("fuzzy_titles", f"""WITH RECURSIVE {FUZZY}
+SELECT query_id, id, title, tier, quality FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {TIER_ORDER}, id) AS n FROM gated) WHERE n <= 128""")
 def fuzzy_titles(spark, d):
     titles = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
     found = fuzzy.fuzzy_candidates(part_queries(spark, d), titles).withColumn("tier", fuzzy.match_tier(F.col("title"), F.col("norm_query"))).withColumn("source", F.lit("part"))
@@ -972,7 +993,17 @@ def file_changes(spark, d):
     return state.apply_file_changes(pages.select("path", "size"), touched, pages.where("mtime % 2 = 0").select("path", (F.col("size") + 1).alias("size")))
 
 
-@query("root_search")
+@query("root_search", f"""WITH RECURSIVE {FUZZY}, {PINS},
+apps AS (SELECT query_id, 'part:' || id AS id, title, tier, 'app' AS category, 5e6 + CASE tier WHEN 'exact' THEN 7e6 WHEN 'prefix' THEN 25e5 WHEN 'word_start' THEN 4e5 ELSE 0 END + least(quality / 1500.0::DOUBLE, 1) * 300000 AS score
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {TIER_ORDER}, 'part:' || id) AS n FROM gated) WHERE n <= 128),
+people AS (SELECT query_id, 'ext:customers:' || c_custkey AS id, c_name AS title, 'fuzzy' AS tier, 'extension' AS category, 3e6 + relevance / 100 * 300000 AS score
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, c_custkey::VARCHAR) AS n FROM (SELECT query_id, c_custkey, c_name, least(greatest(c_acctbal / 100, 0), 100) AS relevance FROM customer CROSS JOIN queries)) WHERE n <= 200),
+shipped AS (SELECT 'part:' || l_partkey AS id, epoch(date_trunc('second', l_shipdate))::BIGINT AS t FROM lineitem), last AS (SELECT id, max(t) AS last FROM shipped GROUP BY id),
+used AS (SELECT id, sum(power(2.0, -(last - t) / (86400.0 * 365))) AS usage FROM shipped JOIN last USING (id) GROUP BY id),
+boosted AS (SELECT e.query_id, e.id, title, category, tier, score + least(coalesce(usage, 0) / 40, 1) * 750000 + CASE WHEN p.id IS NULL THEN 0 ELSE 2e7 END AS score
+  FROM (SELECT * FROM apps UNION ALL SELECT * FROM people) e LEFT JOIN used u ON u.id = e.id LEFT JOIN pinned p ON p.query_id = e.query_id AND p.id = e.id),
+first AS (SELECT *, row_number() OVER (PARTITION BY query_id, CASE WHEN category = 'app' THEN title ELSE id END ORDER BY score DESC, id) AS n FROM boosted)
+SELECT query_id, id, category, tier, round(score, 3) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM first WHERE n = 1) WHERE rank <= 20""")
 def root_search(spark, d):
     """All sources to ranked rows: fuzzy parts as apps, suppliers as dictionary rows, and a registered source of customers."""
     from sparkseek.plans.root_search import Source, Sources, search_all
