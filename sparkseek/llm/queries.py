@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseek.functions.storage import read_texts
-from sparkseek.llm.common import broadcast_if_small, table
+from sparkseek.llm.common import WORD, broadcast_if_small, table
 from sparkseek.llm.decontaminate import contaminated
 from sparkseek.llm.language_id import held_out, identify, train_prototypes
 from sparkseek.llm.licenses import RULES, SENTENCES, scan_licenses
@@ -15,8 +15,10 @@ from sparkseek.llm.lm_scoring import cross_entropy_difference
 from sparkseek.llm.mixing import mix
 from sparkseek.llm.ngram_join import jaccard_groups
 from sparkseek.llm.quality import score_quality, train_quality
+from sparkseek.llm.runs import find_runs
 from sparkseek.llm.topk import quantised, top_k
 from sparkseek.llm.warc import archive_pages
+from sparkseek.llm.whitening import whiten
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -222,3 +224,36 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id").distinct().withColumn("target", F.lit(True))
     return cross_entropy_difference(docs.join(broadcast_if_small(good), "doc_id", "left"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), keep=["vec_id"], k=32)
+    each = white.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "of"))
+    return each.select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "of.whitened", "of.explained", "identity_error")
+
+
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """Documents whose crc32 of the id ends in 0 repeat some of their words from a place on, as the query's contract says."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = docs.withColumn("words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).withColumn("n", F.size("words"))
+    g, n, words = F.floor(h / 10), F.col("n"), F.col("words")
+    a = g % n
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, (a + 1).cast("int"), p), F.ceil((n - a) / p).cast("int")))
+    changed = F.concat(F.slice(words, F.lit(1), a.cast("int")), F.slice(again, F.lit(1), (n - a).cast("int")))
+    return docs.select("doc_id", F.when(n > 0, F.array_join(changed, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(_made_periodic(documents(spark, sf_dir)), keep=["doc_id"], min_length=12)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    found = found.select("*", F.size("runs").cast("long").alias("n_runs"), best.alias("best"))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return found.select(
+        "doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
