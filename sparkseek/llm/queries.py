@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkseek.functions.storage import read_texts
 from sparkseek.llm.common import WORD, broadcast_if_small, table
 from sparkseek.llm.decontaminate import contaminated
+from sparkseek.llm.html_extraction import extract_main_text, train_labeller
 from sparkseek.llm.language_id import held_out, identify, train_prototypes
 from sparkseek.llm.licenses import RULES, SENTENCES, scan_licenses
 from sparkseek.llm.line_dedup import dedup_lines
@@ -233,6 +234,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "of.whitened", "of.explained", "identity_error")
 
 
+@query("op12_main_text")
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_texts(spark, f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    found = extract_main_text(pages, train_labeller(pages), keep=["page_id", "url"])
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def _made_periodic(docs: DataFrame) -> DataFrame:
     """Documents whose crc32 of the id ends in 0 repeat some of their words from a place on, as the query's contract says."""
     h = F.crc32(F.col("doc_id").cast("string"))
