@@ -69,17 +69,38 @@ class Bundler:
             self.codes, self.slots = both[order], np.concatenate([self.slots, np.arange(begin, begin + len(new))])[order]
         return self.slots[np.searchsorted(self.codes, codes)]
 
-    def _part(self, texts: list[str], out: np.ndarray, rows: list[int]) -> None:
-        """Adds the bundles of short texts, or of parts of long ones, to out at rows."""
+    def _keep(self, points: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Which characters are kept: letters, and of others the one before a letter and the one that ends a text (last)."""
+        letter = self.letter[points]
+        keep = letter | last
+        keep[:-1] |= letter[1:] & ~last[:-1]
+        return keep
+
+    def _short(self, texts: list[str], out: np.ndarray, rows: list[int]) -> None:
+        """Adds the bundles of texts to out at rows."""
         texts = [f" {t.lower()} " for t in texts]
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
         of = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) for t in texts])
-        letter = self.letter[points]
-        last = np.append(of[1:] != of[:-1], True)
-        keep = letter | last  # of other characters, only the last before a letter, and the one that ends the text
-        keep[:-1] |= letter[1:] & ~last[:-1]
-        code = np.where(letter, points & 0xFFFF, 32)[keep].astype(np.int64)
-        of = of[keep]
+        keep = self._keep(points, np.append(of[1:] != of[:-1], True))
+        self._bundle(of[keep], np.where(self.letter[points], points & 0xFFFF, 32)[keep].astype(np.int64), out, rows)
+
+    def _long(self, text: str, out: np.ndarray, row: int) -> None:
+        """The same for one text of any length, in parts that overlap by two kept characters, so all trigrams are in one."""
+        text = f" {text.lower()} "
+        held = np.zeros(0, np.int64)
+        for at in range(0, len(text), _PART):
+            points = np.frombuffer(text[at : at + _PART + 1].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            ended = at + _PART >= len(text)
+            last = np.zeros(len(points), bool)
+            last[-1] = ended
+            keep = self._keep(points, last)
+            if not ended:
+                keep[-1] = False  # the next part's first
+            held = np.concatenate([held[-2:], np.where(self.letter[points], points & 0xFFFF, 32)[keep].astype(np.int64)])
+            self._bundle(np.zeros(len(held), np.int64), held, out, [row])
+
+    def _bundle(self, of: np.ndarray, code: np.ndarray, out: np.ndarray, rows: list[int]) -> None:
+        """Adds the bundles of trigrams of kept characters, each of the text given in of."""
         if len(code) < 3:
             return
         grams = (of[:-2] << 48 | code[:-2] << 32 | code[1:-1] << 16 | code[2:])[of[:-2] == of[2:]]
@@ -101,16 +122,17 @@ class Bundler:
         some, rows, chars = [], [], 0
         for row, text in enumerate(texts):
             text = text or ""
-            for at in range(0, max(len(text), 1), _PART):
-                piece = text[at : at + _PART]
-                if chars + len(piece) > _PART or len(some) > 30_000:
-                    self._part(some, out, rows)
-                    some, rows, chars = [], [], 0
-                some.append(piece)
-                rows.append(row)
-                chars += len(piece)
+            if len(text) > _PART:
+                self._long(text, out, row)
+                continue
+            if chars + len(text) > _PART or len(some) > 30_000:
+                self._short(some, out, rows)
+                some, rows, chars = [], [], 0
+            some.append(text)
+            rows.append(row)
+            chars += len(text)
         if some:
-            self._part(some, out, rows)
+            self._short(some, out, rows)
         return out
 
 
@@ -180,7 +202,7 @@ def train_prototypes(docs: DataFrame, per_language: int = 3000, dim: int = DIM,
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM, keep: list | None = None, text_col: str = "text") -> DataFrame:
     """All rows of docs, its columns (or those in keep), and lang_pred and score (cosine with the prototype, 0 to 1).
 
-    A text of more than 2**20 characters is bundled in parts of so many, each with a blank at both ends. Letters go by
+    A long text is bundled in parts that overlap, with the same result. Letters go by
     the lower 16 bits of their code points. A text that is null or without a letter gets und and 0, as all texts do without prototypes. Equal cosines go to the
     language that sorts first. Columns of docs with these names are replaced."""
     docs = docs.drop("lang_pred", "score")

@@ -139,9 +139,10 @@ def test_only_the_first_documents_of_a_language_train_and_long_texts_go_in_parts
     first = [r.doc_id for r in docs_of(spark, rows, ", lang string").orderBy(F.xxhash64("doc_id"), "doc_id").limit(7).collect()]
     again = language_id.train_prototypes(docs_of(spark, [r for r in rows if r[0] in first], ", lang string"))
     assert np.array_equal(few["de"], again["de"])
-    monkeypatch.setattr(language_id, "_PART", 10)
-    text = "abcdefgh ijklmnop qrst"
-    assert np.array_equal(language_id.Bundler(64)([text])[0], sum(plain_bundle(text[k : k + 10], 64) for k in range(0, len(text), 10)))
+    for text in ("abcdefgh ijklmnop qrst", "  a  b 12 c, d\n\n e f.", "ΣΑΣ ΣΑΣ" * 5, "1" * 40 + "ab" + " " * 40, "x" * 30, "é" + "." * 25 + "ü"):
+        for part in (1, 2, 3, 7, 10, 1 << 20):
+            monkeypatch.setattr(language_id, "_PART", part)
+            assert np.array_equal(language_id.Bundler(64)([text, "abc"])[0], plain_bundle(text, 64)), (text, part)
 
 
 # Decontamination
