@@ -26,6 +26,8 @@ volt volts amp amps newton newtons hertz hz mph kmh byte bytes kb mb gb""".split
 _NUMBER, _UNIT, _NAME, _LITERAL = (mix64(np.array([k], np.uint64))[0] for k in (101, 102, 103, 104))
 _BLOCK = 2_000_000
 _LEAST = 2
+#: Items of fewer tokens are found word for word only.
+_TEMPLATED = 4
 _HIT = "id {id}, mark long, width int, hash long, at int, kind int, slots array<string>"
 #: Kinds of windows: literal ones, of a place that a template window covers too or that has no slots, or of another
 #: place; template ones with literals enough, or with few.
@@ -73,7 +75,7 @@ class Canonical:
 
     def windows(self, width: int, min_literals: int, least_literals: int):
         """(hash, row, token, kind) of literal windows and of template windows with slots and least_literals literals;
-        those with fewer than min_literals are _SPARSE."""
+        those with fewer than min_literals are _SPARSE. A least of width leaves literal windows only."""
         n = len(self.row) - width + 1
         if n <= 0:
             empty = np.zeros(0, np.int64)
@@ -97,7 +99,12 @@ class Canonical:
 def _hits(texts: DataFrame, width: int, min_literals: int, widths: list[int], wanted, id_type: str) -> DataFrame:
     """Windows of texts(id, mark, text) whose hash is in the sorted array wanted (a broadcast), or all where it is None.
     For items, whose windows are all wanted, a text shorter than width is one window of all its tokens; half of them
-    being literals is enough for its template."""
+    being literals is enough for its template, and one of fewer than _TEMPLATED tokens has none."""
+
+    def needed(w: int) -> tuple[int, int]:
+        if w == width:
+            return min_literals, min(min_literals, _LEAST)
+        return 2 * (min(min_literals, (w + 1) // 2) if w >= _TEMPLATED else w,)
 
     def find(batches):
         units = _unit_hashes()
@@ -107,12 +114,14 @@ def _hits(texts: DataFrame, width: int, min_literals: int, widths: list[int], wa
                 ids, marks = part.column("id"), part.column("mark")
                 which, out = [], {"width": [], "hash": [], "at": [], "kind": [], "slots": []}
                 for w in widths:
-                    hashed, row, token, kind = canonical.windows(w, *((min_literals, min(min_literals, _LEAST)) if w == width else 2 * (min(min_literals, (w + 1) // 2),)))
+                    hashed, row, token, kind = canonical.windows(w, *needed(w))
                     if wanted is None:
                         keep = np.flatnonzero((canonical.counts[row] == w) | (w == width))
                     else:
                         spot = np.minimum(np.searchsorted(wanted.value, hashed), len(wanted.value) - 1)
                         keep = np.flatnonzero(wanted.value[spot] == hashed)
+                        if w < _TEMPLATED:  # a whole item: one place of each in a text tells as much as all, and may be a common word's
+                            keep = keep[np.unique(np.stack([row[keep].astype(np.uint64), hashed[keep]]), axis=1, return_index=True)[1]]
                     for k in keep.tolist():
                         which.append(int(row[k]))
                         out["width"].append(w)
@@ -130,7 +139,7 @@ def _hits(texts: DataFrame, width: int, min_literals: int, widths: list[int], wa
     return texts.mapInArrow(find, _HIT.format(id=id_type))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_literals: int = 5, min_coverage: float = 0.4, enough: int = 6, shortest: int = 4,
+def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_literals: int = 5, min_coverage: float = 0.4, enough: int = 6, shortest: int = 1,
                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col, mark, item_col, n_matched, n_windows, coverage, reworded): documents and the items they contain.
 
@@ -140,8 +149,9 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 8, min_literals
     cover: places with two literals or more, and those without slots. Template windows with fewer literals than
     min_literals only count where one alignment covers all of the latter. reworded: whether values in slots differ
     anywhere. mark: xxhash64 of the text, to tell rows of the same id apart; repeated rows give one result. Items of
-    fewer than width tokens are one window, half of which must be literals for a template; items of fewer than shortest
-    tokens, and null and empty texts, match nothing. A null id is kept as an id.
+    fewer than width tokens are one window, half of which must be literals for a template; items of one to three tokens
+    are found word for word only. Items of fewer than shortest tokens, and null and empty texts, match nothing. A null
+    id is kept as an id. An item id with several texts is one item of all their windows.
 
     Window hashes of the items are broadcast in blocks of about two million (16 MB); documents are read once a block."""
     with scratch(docs.sparkSession) as keep:

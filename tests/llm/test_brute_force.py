@@ -179,8 +179,8 @@ def windows(tokens, width, usable, least):
             yield ("template" if plain >= usable else "sparse"), ("template", *(t[0] if t[1] == 0 else t[1] for t in part)), at, [t[2] for t in part if t[1]]
 
 
-def brute_contaminated(docs, items, width=8, min_literals=5, coverage=0.4, enough=6, shortest=4):
-    needs = lambda w: (min_literals, min(min_literals, 2)) if w == width else (min(min_literals, (w + 1) // 2),) * 2
+def brute_contaminated(docs, items, width=8, min_literals=5, coverage=0.4, enough=6, shortest=1):
+    needs = lambda w: (min_literals, min(min_literals, 2)) if w == width else (min(min_literals, (w + 1) // 2) if w > 3 else w,) * 2
     out = set()
     for i, item in items:
         tokens = canonical(item)
@@ -242,7 +242,7 @@ def other_values(text, rng):
 def test_decontamination_against_plain_windows_and_slots(spark):
     rng = np.random.default_rng(12)
     vocabulary = ["the", "road", "Maria", "Tom", "has", "apples", "and", "walks", "5", "km", "12", "miles", "to", "market", "with", "3.5", "hours", "Anna"]
-    items = [(k, " ".join(rng.choice(vocabulary, int(n))) + ".") for k, n in enumerate(rng.integers(3, 30, 25))]
+    items = [(k, " ".join(rng.choice(vocabulary, int(n))) + ".") for k, n in enumerate([1, 1, 2, 2, 3, *rng.integers(3, 30, 25)])]
     docs = []
     for k in range(120):
         _, item = items[int(rng.integers(0, len(items)))]
@@ -258,6 +258,14 @@ def test_decontamination_against_plain_windows_and_slots(spark):
     assert {(r.doc_id, r.item_id, r.reworded) for r in found.collect()} == brute_contaminated(docs, items)
 
 
+def test_items_of_one_to_three_tokens_are_found_word_for_word(spark):
+    items = [(1, "Zebra"), (2, "Zebra crossing!"), (3, "x is 7"), (4, "42"), (5, "..."), (6, "5 km"), (7, None)]
+    docs = [(1, "a zebra, a zebra and a zebra"), (2, "the zebra CROSSING"), (3, "So x is 7."), (4, "x is 8, 421"), (5, "6 km or 42"), (6, ""), (7, None), (8, "it was 5 km")]
+    found = decontaminate.contaminated(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    rows = sorted((r.doc_id, r.item_id, r.n_matched, r.n_windows, r.coverage, r.reworded) for r in found.collect())
+    assert rows == [(d, i, 1, 1, 1.0, False) for d, i in ((1, 1), (2, 1), (2, 2), (3, 3), (5, 4), (8, 6))]
+
+
 def test_most_reworded_benchmark_items_are_found_and_clean_documents_stay(spark):
     rng = np.random.default_rng(13)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
