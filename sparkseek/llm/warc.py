@@ -3,7 +3,7 @@
 write_archives() writes a record for every page, many to a file, each file one gzip stream. normalise() inflates such
 a file once from start to end, however large, rewrites every record as a gzip member of its own, and writes beside it
 an index of offsets. read_records() then reads any record by its offset alone. Files are written under a name of the
-task's attempt and renamed when whole, so a task that runs again leaves the same files.
+task's attempt and renamed when whole; what counts is the files that committed attempts list.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ _READ = 1 << 23
 #: Fixed value: the date of all records, so that the same pages give the same files.
 DATE = "2000-01-01T00:00:00Z"
 INDEX = "archive string, offset long, length long, type string, record_id string, uri string, error string"
+_INDEX_ROW = pa.schema([(name, pa.int64() if name in ("offset", "length") else pa.string()) for name in (c.split()[0] for c in INDEX.split(", "))])
 
 
 def _file_system(uri: str):
@@ -52,7 +53,7 @@ def _record(page_id, uri, payload: bytes, digest: str, refers_to) -> bytes:
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {_record_id(page_id)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {_clean(uri or '')}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
@@ -65,6 +66,14 @@ def _record(page_id, uri, payload: bytes, digest: str, refers_to) -> bytes:
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
+def _id_hash(page_id) -> int:
+    return zlib.crc32(_record_id(page_id).encode())
+
+
+def _record_id(page_id) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}>"
+
+
 def plan_records(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> DataFrame:
     """(id, uri, payload, digest, refers_to) for every row of pages; digest: SHA-1 of the payload in UTF-8 (null: empty).
 
@@ -83,7 +92,10 @@ def plan_records(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_id
 
 def write_archives(records: DataFrame, path: str, file_bytes: int = 128 << 20) -> DataFrame:
     """Writes the records of plan_records() to files under path, each one gzip stream of file_bytes of records or a
-    little more, and returns (archive, n_records)."""
+    little more, and returns (archive, n_records, ids): ids is the sum of their ids' hashes.
+
+    A file's name has the attempt of its task, and only files of attempts that Spark committed are returned: with a task
+    run twice, at once or again, nothing of the other attempt counts, in whatever order either saw its rows."""
 
     def write(batches):
         context = TaskContext.get()
@@ -95,26 +107,28 @@ def write_archives(records: DataFrame, path: str, file_bytes: int = 128 << 20) -
             out.write(part["deflate"].flush())
             out.close()
             files.move(part["temp"], f"{top}/{part['name']}")
-            done.append((f"{path}/{part['name']}", part["n"]))
+            done.append((f"{path}/{part['name']}", part["n"], part["ids"]))
 
         for batch in batches:
             for page_id, uri, payload, digest, refers_to in zip(*(batch.column(c) for c in ("id", "uri", "payload", "digest", "refers_to")), strict=True):
                 if out is None:
-                    name = f"whole-{context.partitionId():06d}-{len(done):04d}.warc.gz"
-                    part = {"name": name, "temp": f"{top}/_{name}.{context.taskAttemptId()}", "deflate": zlib.compressobj(6, zlib.DEFLATED, 31), "n": 0, "size": 0}
+                    name = f"whole-{context.partitionId():06d}-{context.taskAttemptId()}-{len(done):04d}.warc.gz"
+                    part = {"name": name, "temp": f"{top}/_{name}.part", "deflate": zlib.compressobj(6, zlib.DEFLATED, 31), "n": 0, "size": 0, "ids": 0}
                     out = files.open_output_stream(part["temp"])
                 record = _record(page_id.as_py(), uri.as_py(), payload.as_py().encode(), digest.as_py(), refers_to.as_py())
                 out.write(part["deflate"].compress(record))
                 part["n"] += 1
+                part["ids"] += _id_hash(page_id.as_py())
                 part["size"] += len(record)
                 if part["size"] >= file_bytes:
                     close()
                     out = None
         if out is not None:
             close()
-        yield pa.RecordBatch.from_pydict({"archive": pa.array([d[0] for d in done], pa.string()), "n_records": pa.array([d[1] for d in done], pa.int64())})
+        names, counts, sums = zip(*done, strict=True) if done else ((), (), ())
+        yield pa.RecordBatch.from_pydict({"archive": pa.array(names, pa.string()), "n_records": pa.array(counts, pa.int64()), "ids": pa.array(map(str, sums), pa.string())})
 
-    return cut(records.mapInArrow(write, "archive string, n_records long"))
+    return cut(records.mapInArrow(write, "archive string, n_records long, ids string").withColumn("ids", F.col("ids").cast("decimal(38,0)")))
 
 
 class Damaged(Exception):
@@ -195,7 +209,8 @@ def _length(fields: dict[str, str]) -> int:
 
 def normalise(archives: DataFrame, path: str) -> DataFrame:
     """Rewrites the files named in archives(archive) under path, every record as its own gzip member, with an index
-    NAME.idx beside each (JSON lines), and returns the rows of these indexes (INDEX).
+    NAME.idx beside each (JSON lines), and returns the rows of these indexes (INDEX). Names have the attempt of the task;
+    the rows are those of the attempts that Spark committed, and what they don't point to is of a lost attempt.
 
     A file is inflated once and in small pieces, whatever its size and that of its records, and whether it is one gzip
     stream or several. A file that is damaged gives what comes before the damage, and a row with an error; so does a
@@ -205,15 +220,19 @@ def normalise(archives: DataFrame, path: str) -> DataFrame:
         context = TaskContext.get()
         files, top = _file_system(path)
         files.create_dir(top, recursive=True)
-        names = []
+        rows: list[dict] = []
         for batch in batches:
             for archive in batch.column("archive").to_pylist():
-                name = f"{hashlib.sha1(archive.encode()).hexdigest()[:16]}.warc.gz"
-                temp = f"{top}/_{name}.{context.taskAttemptId()}"
+                name = f"{hashlib.sha1(archive.encode()).hexdigest()[:16]}-{context.taskAttemptId()}.warc.gz"
+                temp = f"{top}/_{name}.part"
                 source, at = _file_system(archive)
                 offset = 0
                 with files.open_output_stream(temp) as out, files.open_output_stream(f"{temp}.idx") as index:
-                    row = lambda **x: index.write((json.dumps({"archive": f"{path}/{name}"} | x) + "\n").encode())  # noqa: E731, B023
+
+                    def row(index=index, name=name, **x):
+                        rows.append({"archive": f"{path}/{name}"} | x)
+                        index.write((json.dumps(rows[-1]) + "\n").encode())
+
                     try:
                         with _opened(source, at) as file:
                             stream = _Inflated(file)
@@ -229,19 +248,19 @@ def normalise(archives: DataFrame, path: str) -> DataFrame:
                                 end = out.tell()
                                 row(offset=offset, length=end - offset, type=fields.get("warc-type"), record_id=fields.get("warc-record-id"), uri=fields.get("warc-target-uri"))
                                 offset = end
+                                if len(rows) >= 10_000:
+                                    yield pa.RecordBatch.from_pylist(rows, _INDEX_ROW)
+                                    rows.clear()
                     except Damaged as error:
                         row(error=f"{archive}: {error}")
                 files.move(temp, f"{top}/{name}")
                 files.move(f"{temp}.idx", f"{top}/{name}.idx")
-                names.append(f"{path}/{name}.idx")
-        yield pa.RecordBatch.from_pydict({"index": pa.array(names, pa.string())})
+        yield pa.RecordBatch.from_pylist(rows, _INDEX_ROW)
 
     n = archives.count()
-    spark = archives.sparkSession
     if not n:
-        return spark.createDataFrame([], INDEX)
-    archives.select("archive").repartition(min(n, 100_000)).mapInArrow(rewrite, "index string").write.format("noop").mode("overwrite").save()
-    return spark.read.schema(INDEX).json(f"{path}/*.idx", pathGlobFilter="*.idx")
+        return archives.sparkSession.createDataFrame([], INDEX)
+    return cut(archives.select("archive").repartition(min(n, 100_000)).mapInArrow(rewrite, INDEX))
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -300,13 +319,15 @@ def _parsed(stream: _Inflated) -> tuple:
 def archive_pages(spark: SparkSession, pages: DataFrame, path: str | None = None, min_bytes: int = 1000,
                   id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Pages written as archives under path (the shared folder by default), normalised, and read back by offset, as
-    read_records() gives them. Raises RuntimeError if the index has another number of records than were written, or an
-    error. Empty pages give no archive and an empty result."""
+    read_records() gives them. Raises RuntimeError if pages, archives and index don't have the same number of records and
+    the same sum of their ids' hashes, or if the index has an error. Empty pages give no archive and an empty result."""
     path = path or shared_dir(spark)
     whole = write_archives(plan_records(pages, min_bytes, id_col, uri_col, payload_col), f"{path}/whole")
     index = normalise(whole, f"{path}/normal")
-    written = whole.agg(F.sum("n_records")).first()[0] or 0
-    row = index.agg(F.count_if(F.col("error").isNull()).alias("n"), F.min("error").alias("error")).first()
-    if row["error"] is not None or row["n"] != written:
-        raise RuntimeError(f"{row['n']} of {written} records were archived: {row['error']}")
+    of = lambda c: (F.count(c), F.sum(F.crc32(c).cast("decimal(38,0)")))
+    asked = pages.select(F.concat(F.lit("<urn:page:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(">")).alias("id")).agg(*of(F.col("id"))).first()
+    written = whole.agg(F.coalesce(F.sum("n_records"), F.lit(0)), F.sum("ids")).first()
+    *archived, error = index.agg(*of(F.when(F.col("error").isNull(), F.col("record_id"))), F.min("error")).first()
+    if error is not None or not tuple(asked) == tuple(written) == tuple(archived):
+        raise RuntimeError(f"{archived[0]} of {written[0]} records were archived, of {asked[0]} pages, or not the same ones: {error}")
     return read_records(index)

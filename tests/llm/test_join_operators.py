@@ -2,9 +2,11 @@
 
 import gzip
 import hashlib
+import json
 import math
 import os
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -316,6 +318,21 @@ def test_warc_members_stand_alone_and_files_are_cut(spark, tmp_path):
     assert not [x for x in os.listdir(tmp_path / "normal") if x.startswith("_")]
 
 
+def test_warc_two_attempts_of_a_task_are_not_mixed(spark, tmp_path):
+    rows = [(k, "u", f"page {k} " * 50, "x") for k in range(120)]
+    records = warc.plan_records(pages_of(spark, rows))
+    write = lambda order: warc.write_archives(records.orderBy(order).coalesce(1), str(tmp_path / "whole"), file_bytes=20_000)
+    lost, whole = write(F.col("id")), write(F.desc("id"))
+    names = {r.archive for r in lost.collect()}, {r.archive for r in whole.collect()}
+    assert not names[0] & names[1] and len(names[0] | names[1]) == len(os.listdir(tmp_path / "whole"))
+    warc.normalise(whole, str(tmp_path / "normal"))
+    index = warc.normalise(whole, str(tmp_path / "normal"))  # the other attempt's files lie beside
+    assert sorted(int(r.page_id) for r in warc.read_records(index).collect()) == [*range(120)]
+    listed = [json.loads(line) for r in index.select("archive").distinct().collect() for line in open(f"{r.archive}.idx")]
+    assert Counter((x["archive"], x["offset"]) for x in listed) == Counter((r.archive, r.offset) for r in index.collect())
+    assert whole.agg(F.sum("ids")).first()[0] == sum(zlib.crc32(f"<urn:page:{k}>".encode()) for k in range(120))
+
+
 def test_warc_damaged_files_give_an_error_row(spark, tmp_path):
     rows = [(k, "u", hashlib.sha256(str(k).encode()).hexdigest() * 40, "x") for k in range(300)]
     path = warc.write_archives(warc.plan_records(pages_of(spark, rows).coalesce(1)), str(tmp_path / "whole")).first().archive
