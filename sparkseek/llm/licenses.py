@@ -182,10 +182,16 @@ def normalised(sentence: Column) -> Column:
 
 
 def tags_apart(text: Column) -> Column:
-    """The text with a tag of its own for every licence of an SPDX expression; what comes after WITH gets none."""
-    of_tag = rf"(?<={TAG}[^\n]{{0,400}})"
-    several = F.regexp_replace(F.regexp_replace(text, rf"[ \t]+WITH[ \t]+{of_tag}", "\n"), rf"[ \t]+(?:OR|AND)[ \t]+{of_tag}", f"\n{TAG} ")
-    return F.when(F.instr(text, TAG) > 0, several).otherwise(text)
+    """The text with a tag of its own for every licence of an SPDX expression, which ends with its line; what comes after
+    WITH gets none."""
+
+    def apart(line: Column) -> Column:
+        before = F.substring_index(line, TAG, 1)
+        rest = F.substr(line, F.length(before) + F.lit(1 + len(TAG)))
+        rest = F.regexp_replace(F.regexp_replace(rest, r"[ \t]+WITH[ \t]+", "\n"), r"[ \t]+(?:OR|AND)[ \t]+", f"\n{TAG} ")
+        return F.when(F.instr(line, TAG) > 0, F.concat(before, F.lit(TAG), rest)).otherwise(line)
+
+    return F.when(F.instr(text, TAG) > 0, F.array_join(F.transform(F.split(text, "\n"), apart), "\n")).otherwise(text)
 
 
 def scan_licenses(docs: DataFrame, sentences: dict | None = None, rules: list | None = None, max_gap: int = 2,
@@ -199,29 +205,36 @@ def scan_licenses(docs: DataFrame, sentences: dict | None = None, rules: list |
     itself, equal rows together, and give one result for each distinct text. A null id is kept as an id."""
     sentences, rules = sentences or SENTENCES, rules or RULES
     number = {name: k for k, name in enumerate(sentences)}
-    longest = 2 * max(len(t) for ts in sentences.values() for t in ts)
     spark = docs.sparkSession
     known = spark.createDataFrame([(t, number[name]) for name, ts in sentences.items() for t in ts], "sentence string, known int")
     known = known.select(normalised(F.col("sentence")).alias("norm"), "known").dropDuplicates(["norm"])
+    longest = known.agg(F.max(F.length("norm"))).first()[0]  # of a fixed table; longer texts, normalised, are no known sentence
 
     pieces = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.posexplode(F.split(tags_apart(F.col(text_col)), PIECE_END)).alias("piece", "part")
     ).where(F.length("part") > 0)
-    # A piece of several lines stands for its lines, and for the ends of it that begin with a line.
-    lines, end = F.split("part", "\n"), F.split(F.substring(F.col("part"), -longest, longest), "\n")
-    span = lambda first, last, text: F.struct(first.alias("first"), last.alias("last"), text.alias("text"))
-    singles = F.transform(lines, lambda t, i: span(i, i, t))
+    # A piece of several lines stands for its lines, and for the ends of it that begin with a line. Lines are normalised
+    # first, and those without a letter or digit left out, so that of the end only as much as a sentence can have is looked at.
+    span = lambda first, last, norm: F.struct(first.alias("first"), last.alias("last"), norm.alias("norm"))
+    lines = F.filter(F.transform(F.split("part", "\n"), lambda t, i: span(i, i, normalised(t))), lambda x: F.length(x["norm"]) > 0)
+    joined = F.array_join(F.transform("lines", lambda x: x["norm"]), "\n")
     ends = F.transform(
-        F.sequence(F.lit(0), F.size(end) - 2),
-        lambda i: span(F.size(lines) - F.size(end) + i, F.size(lines) - 1, F.array_join(F.slice(end, i + 1, F.size(end)), " ")),
+        F.sequence(F.lit(0), F.size("end") - 1),
+        lambda i: span(
+            F.col("lines")[F.size("lines") - F.size("end") + i]["first"], F.element_at("lines", -1)["first"],
+            F.array_join(F.slice("end", i + 1, F.size("end")), " "),
+        ),
+    )
+    candidates = (
+        pieces.withColumn("lines", lines).where(F.size("lines") > 0).withColumn("joined", joined)
+        .withColumn("end", F.split(F.substring("joined", -longest - 1, longest + 1), "\n"))
+        .withColumn("end", F.when(F.length("joined") > longest, F.slice("end", 2, F.greatest(F.size("end") - 1, F.lit(0)))).otherwise(F.col("end")))
+        .withColumn("ends", F.when((F.size("lines") > 1) & (F.size("end") > 1), F.filter(ends, lambda x: x["first"] < x["last"])))
+        .select("id", "mark", "piece", F.explode(F.when(F.col("ends").isNull(), F.col("lines")).otherwise(F.concat("lines", "ends"))).alias("span"))
     )
-    whole = F.array(span(F.lit(0), F.lit(0), F.col("part")))
-    several = F.instr("part", "\n") > 0
-    candidates = pieces.withColumn("span", F.explode(F.when(several & (F.size(end) > 1), F.concat(singles, ends)).when(several, singles).otherwise(whole)))
     over_lines = F.col("span.first") < F.col("span.last")
     found = (
-        candidates.where(F.length("span.text").between(2, longest))
-        .withColumn("norm", normalised(F.col("span.text")))
+        candidates.where(F.length("span.norm").between(2, longest)).withColumn("norm", F.col("span.norm"))
         .join(F.broadcast(known), "norm")  # a fixed table, some 90 rows
         .groupBy("id", "mark", "piece")
         .agg(

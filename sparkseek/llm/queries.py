@@ -10,7 +10,7 @@ from sparkseek.llm.common import WORD, broadcast_if_small, table
 from sparkseek.llm.decontaminate import contaminated
 from sparkseek.llm.html_extraction import extract_main_text, train_labeller
 from sparkseek.llm.language_id import held_out, identify, train_prototypes
-from sparkseek.llm.licenses import RULES, SENTENCES, scan_licenses
+from sparkseek.llm.licenses import RULES, SENTENCES, TAG, scan_licenses
 from sparkseek.llm.line_dedup import dedup_lines
 from sparkseek.llm.lm_scoring import cross_entropy_difference
 from sparkseek.llm.mixing import mix
@@ -81,11 +81,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    """The same sentences and rules as a query: pieces, their lines and ends, identifiers in order, rules as a pattern.
-    Expressions of several licences after a tag are not taken apart."""
+    """The same sentences and rules as a query: tags for every licence of an expression, pieces, their lines and ends,
+    identifiers in order, rules as a pattern."""
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
     number = {name: k for k, name in enumerate(SENTENCES)}
-    longest = 2 * max(len(t) for ts in SENTENCES.values() for t in ts)
     known = ", ".join(f"({quoted(t)}, {number[name]})" for name, ts in SENTENCES.items() for t in ts)
     licenses = {"".join(f"<{number[n]}>" for n in names): license for license, names in reversed(RULES)}
     pattern = "|".join("".join(f"<{number[n]}@[0-9]+>" for n in names) for _, names in RULES)
@@ -93,12 +92,19 @@ def _license_sql() -> str:
     return rf"""
     WITH known AS (SELECT DISTINCT ON (norm) norm, k FROM (SELECT {norm('t')} AS norm, k FROM (VALUES {known}) v(t, k)) ORDER BY norm, k),
     rule AS (SELECT * FROM (VALUES {', '.join(f'({quoted(i)}, {quoted(x)})' for i, x in licenses.items())}) v(ids, license)),
-    split AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?:])\s+|\n[ \t\r]*\n\s*', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
+    apart AS (SELECT doc_id, CASE WHEN contains(text, {quoted(TAG)}) THEN array_to_string(list_transform(string_split(text, chr(10)), lambda l:
+        CASE WHEN contains(l, {quoted(TAG)}) THEN left(l, strpos(l, {quoted(TAG)}) - 1) || {quoted(TAG)} || regexp_replace(regexp_replace(
+          substr(l, strpos(l, {quoted(TAG)}) + {len(TAG)}), '[ \t]+WITH[ \t]+', chr(10), 'g'), '[ \t]+(OR|AND)[ \t]+', chr(10) || {quoted(TAG + ' ')}, 'g') ELSE l END), chr(10)) ELSE text END AS text FROM documents),
+    split AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?:])\s+|\n[ \t\r]*\n\s*', '\1' || chr(1), 'g'), chr(1)) AS parts FROM apart),
     pieces AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS piece FROM split),
-    lined AS (SELECT *, string_split(part, chr(10)) AS lines, string_split(right(part, {longest}), chr(10)) AS tail FROM pieces WHERE part <> ''),
-    spans AS (SELECT doc_id, piece, unnest(lines) AS t, generate_subscripts(lines, 1) AS first, generate_subscripts(lines, 1) AS last FROM lined
-      UNION ALL SELECT doc_id, piece, array_to_string(tail[i:], ' '), len(lines) - len(tail) + i, len(lines) FROM (SELECT *, unnest(range(1, len(tail))) AS i FROM lined)),
-    hit AS (SELECT doc_id, piece, first, last, k FROM (SELECT *, {norm('t')} AS norm FROM spans WHERE length(t) BETWEEN 2 AND {longest}) JOIN known USING (norm)),
+    norms AS (SELECT doc_id, piece, list_transform(string_split(part, chr(10)), lambda l: {norm('l')}) AS ns FROM pieces WHERE part <> ''),
+    lined AS (SELECT doc_id, piece, list_filter(ns, lambda n: n <> '') AS ns, list_filter(range(1, len(ns) + 1), lambda i: ns[i] <> '') AS nos FROM norms),
+    limits AS (SELECT max(length(norm)) AS longest FROM known),
+    starts AS (SELECT *, unnest(range(1, len(ns))) AS i FROM lined WHERE len(ns) > 1),
+    spans AS (SELECT doc_id, piece, unnest(ns) AS norm, unnest(nos) AS first, unnest(nos) AS last FROM lined
+      UNION ALL SELECT doc_id, piece, array_to_string(ns[i:], ' '), nos[i], nos[-1] FROM starts
+        WHERE len(ns) - i < (SELECT longest FROM limits) AND list_sum(list_transform(ns[i:], lambda n: length(n) + 1)) - 1 <= (SELECT longest FROM limits)),
+    hit AS (SELECT doc_id, piece, first, last, k FROM spans JOIN known USING (norm) WHERE length(norm) >= 2),
     over AS (SELECT doc_id, piece, min(first) AS first FROM hit WHERE first < last GROUP BY ALL),
     kept AS (SELECT h.* FROM hit h LEFT JOIN over o USING (doc_id, piece) WHERE o.first IS NULL OR h.first < o.first OR (h.first = o.first AND h.first < h.last)),
     far AS (SELECT *, piece - lag(piece) OVER (PARTITION BY doc_id ORDER BY piece, first, k) > 3 AS apart FROM kept),

@@ -128,6 +128,27 @@ def test_license_headers_of_source_files_count_once_and_tags_keep_versions_apart
     assert got == [(0, "Apache-2.0"), (1, "Apache-2.0"), (1, "GPL-2.0-only"), (1, "GPL-2.0-or-later"), (1, "GPL-3.0-or-later"), (1, "MIT"), (2, "MIT"), (2, "MIT"), (3, "BSD-3-Clause")]
 
 
+def test_licenses_over_long_gaps_and_in_long_expressions(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from sparkseek.llm import queries
+
+    tags = ["MIT", "Apache-2.0", "ISC", "GPL-2.0+", "Unlicense"]
+    many = [tags[k % 5] for k in range(1000)]
+    texts = [
+        "Released under the" + " " * 900 + "MIT License", "Released under the" + " \t" * 3000 + "\n" + "-" * 5000 + "\n" + " " * 2000 + "MIT License.",
+        "// SPDX-License-Identifier: " + " OR ".join(many), "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR MIT",
+        "\n*".join(["x"] * 300) + "\nMIT License", "\n".join(["Released under the", *["*"] * 500, "MIT License"]), "*\n" * 2000, "AND MIT OR SPDX", None, "",
+    ]
+    docs_of(spark, list(enumerate(texts))).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op8_license_scan(spark, str(tmp_path)).collect()
+    got = sorted((r.doc_id, r.license, r.n_matches) for r in rows)
+    thousand = sorted((2, licenses.SPDX[t], 200) for t in tags)
+    assert got == sorted([(0, "MIT", 1), (1, "MIT", 1), *thousand, (3, "GPL-2.0-only", 1), (3, "MIT", 1), (5, "MIT", 1)] + [r for r in got if r[0] == 4])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(con.execute(queries.ORACLE_SQL["op8_license_scan"]).fetchall()) == got
+
+
 def test_license_rules_need_their_sentences_in_order_and_near(spark):
     first, second = MIT.split("\n\n")[0], MIT.split("\n\n")[2]
     notice = MIT.split("\n\n")[1]
