@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,13 +43,88 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(settings).delete(path, True)
 
 
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, none where it isn't there."""
+    java = spark.sparkContext._jvm
+    path = java.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in system.listStatus(path)] if system.exists(path) else []
+
+
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """Names, lengths and times of the files of a table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in system.listStatus(at)))
+
+
+def changed_at(spark: SparkSession, folder: str) -> int:
+    """When a folder was last changed, in milliseconds."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+
+
+def create_once(spark: SparkSession, name: str, text: str) -> bool:
+    """Makes a file with this text, all at once, unless there is one; whether it did. Of several that try, one succeeds:
+    the text is written aside, and moved by a rename that fails where the name is taken (on a local disk by a link)."""
+    java = spark.sparkContext._jvm
+    path = java.org.apache.hadoop.fs.Path(name)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    aside = java.org.apache.hadoop.fs.Path(path.getParent(), f"_{path.getName()}.{uuid.uuid4().hex}")
+    out = system.create(aside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if system.getUri().getScheme() == "file":
+            os.link(aside.toUri().getPath(), path.toUri().getPath())
+        else:
+            none = getattr(java, "org.apache.hadoop.fs.Options$Rename").NONE
+            options = spark.sparkContext._gateway.new_array(getattr(java, "org.apache.hadoop.fs.Options$Rename"), 1)
+            options[0] = none
+            java.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, path, options)
+        return True
+    except Exception:
+        if not system.exists(path):
+            raise
+        return False
+    finally:
+        system.delete(aside, False)
+
+
+_WRITTEN: ContextVar[list | None] = ContextVar("written", default=None)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The same rows from a table in the shared folder, for jobs that read them several times."""
+    """The same rows from a table in the shared folder, for jobs that read them several times. Within temporary() the
+    table goes at the end of it, else when the folder is cleared."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
+    if (paths := _WRITTEN.get()) is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what written() wrote within. It gives a function that writes a table which is to outlive it."""
+    outer = _WRITTEN.get()
+    token = _WRITTEN.set([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        own = _WRITTEN.set(outer)
+        try:
+            return written(df)
+        finally:
+            _WRITTEN.reset(own)
+
+    try:
+        yield keep
+    finally:
+        paths = _WRITTEN.get()
+        _WRITTEN.reset(token)
+        remove(spark, paths)
+
+
 #: Up to so many bytes, a table in fewer files than there are cores is dealt to all of them before its texts are split.
 _SMALL = 64 << 20
 

@@ -8,15 +8,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkseek.functions.text import STOPWORDS, normalized, token_array, with_stems
+from sparkseek.functions.storage import written
+from sparkseek.functions.text import MARKS, STOPWORDS, normalized, token_array, with_stems
+
+
+#: Documents of a block: 2 to this power.
+_BLOCK_BITS = 3
 
 
 class Index(NamedTuple):
-    """postings(key, doc_id, tf, and positions where asked for), doc_stats(doc_id, len), term_stats(key, df)."""
+    """postings(key, doc_id, tf, and positions where asked for), doc_stats(doc_id, len), term_stats(key, df).
+
+    A stored index has more: postings also (seg, block, len, lines); documents(doc_id, len, size, mtime), with a row of
+    length 0 for a document without words; blocks(key, seg, block, n, max_tf, max_share, first_doc); stored(doc_id, words);
+    pages(doc_id, page, text); boxes(doc_id, word, line, x, y, w, h); scope: number of documents with words, and all words."""
 
     postings: DataFrame
     doc_stats: DataFrame
     term_stats: DataFrame
+    documents: DataFrame | None = None
+    blocks: DataFrame | None = None
+    stored: DataFrame | None = None
+    pages: DataFrame | None = None
+    boxes: DataFrame | None = None
+    scope: tuple[int, int] | None = None
 
 
 def tokens(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,6 +77,51 @@ def build_index(corpus: DataFrame, stem: bool = True, id_col: str = "doc_id", te
     return with_statistics(words.groupBy("key", "doc_id").agg(*counts))
 
 
+def doc_blocks(ids: DataFrame) -> DataFrame:
+    """(doc_id, block) of distinct ids, written: documents in order of their ids, 2 ** _BLOCK_BITS to a block. Blocks are in the
+    order of their documents and have no gap within a range of ids."""
+    ordered = ids.select("doc_id").where("doc_id IS NOT NULL").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    return written(ordered.withColumn("block", F.shiftright(F.monotonically_increasing_id(), _BLOCK_BITS)))
+
+
+class Batch(NamedTuple):
+    """What a store makes an index of: words(doc_id, block, len, size, mtime, words, lines), the words of each document and the
+    line of each, once; pages and boxes as an Index has them."""
+
+    words: DataFrame
+    stem: bool
+    pages: DataFrame | None = None
+    boxes: DataFrame | None = None
+
+
+def analysed(corpus: DataFrame, stem: bool = True, pages: DataFrame | None = None, boxes: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> Batch:
+    """The words of corpus(doc_id, text, and size and mtime where it has them) for a store. Documents are numbered first.
+
+    A document without words has a row of length 0. Rows without an id are left out; of several rows with one id one is
+    taken. Of pages(doc_id, page, text) blank ones are left out."""
+    meta = [F.col(c) if c in corpus.columns else F.lit(None).cast("long").alias(c) for c in ("size", "mtime")]
+    texts = corpus.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), *meta)
+    by_line = F.transform(F.split("text", "\n"), token_array)
+    lines = F.flatten(F.transform(by_line, lambda words, line: F.array_repeat(line, F.size(words))))
+    real = lambda w: (F.octet_length(w) == F.length(w)) | (F.regexp_replace(w, f"[{MARKS}]", "") != "")
+    words = texts.join(doc_blocks(texts), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "block", "size", "mtime", F.flatten(by_line).alias("words"), lines.alias("lines"))
+    words = words.withColumn("len", F.size(F.filter("words", real)))
+    return Batch(words, stem, None if pages is None else pages.select("doc_id", "page", "text").where(F.trim("text") != ""), boxes)
+
+
+def postings_of(words: DataFrame, stem: bool) -> DataFrame:
+    """(key, doc_id, block, len, tf, positions, lines) of words as a Batch has them: where each key stands, by numbers of
+    words and of lines. Words are counted as they are before they are stemmed, so a task stems few."""
+    each = words.select("doc_id", "block", "len", F.posexplode(F.arrays_zip("words", "lines")).alias("pos", "w")).select("doc_id", "block", "len", "pos", "w.lines", normalized(F.col("w.words")).alias("norm"))
+    counted = each.where(F.col("norm") != "").groupBy("doc_id", "block", "len", "norm").agg(F.count("*").alias("tf"), F.collect_list(F.struct("pos", "lines")).alias("places"))
+    if stem:
+        counted = with_stems(counted, "norm").groupBy("doc_id", "block", "len", "key").agg(F.sum("tf").alias("tf"), F.flatten(F.collect_list("places")).alias("places"))
+    else:
+        counted = counted.withColumnRenamed("norm", "key")
+    counted = counted.withColumn("places", F.array_sort("places"))
+    return counted.select("key", "doc_id", "block", "len", "tf", F.col("places")["pos"].alias("positions"), F.col("places")["lines"].alias("lines"))
+
+
 def with_statistics(postings: DataFrame) -> Index:
     """Postings with the statistics of documents and terms that follow from them."""
     doc_stats = postings.groupBy("doc_id").agg(F.sum("tf").alias("len"))

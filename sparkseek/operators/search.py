@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkseek.functions.storage import written
+from sparkseek.functions.storage import temporary, written
 from sparkseek.functions.text import normalized
 from sparkseek.operators.index import Index, keyed, tokens
 
@@ -19,16 +20,17 @@ K1, B = 1.2, 0.75
 
 #: So many rows of terms and their words, which are short, are broadcast.
 _BROADCAST = 200_000
+#: So many keys are pushed to a scan; so many rows of terms are looked at for that.
+_PUSHED = 500
+_HEAD = 20_000
 
 
-def term_matches(terms: DataFrame, index: Index) -> DataFrame:
-    """(query_id, ord, doc_id, tf, df, ranked, n_terms): documents of each query term, the last one as a prefix.
+def expanded(terms: DataFrame, index: Index) -> DataFrame:
+    """(query_id, ord, key, ranked, n_terms), written: the keys that each query term stands for, the last one as a prefix.
 
     Prefixes are expanded against the distinct keys only: keys are exploded into their prefixes of the lengths that
-    queries have, so the expansion is an equi-join. An expanded prefix is one term: tf is summed, df counts documents
-    with any expansion. The words that are asked for are written and counted, and broadcast to the postings where they
-    are few: then postings of other words are not moved at all."""
-    asked = terms.withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
+    queries have, so the expansion is an equi-join."""
+    asked = written(terms.withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id"))))
     columns = ["query_id", "ord", "key", "ranked", "n_terms"]
     prefixes = asked.where("is_last").withColumnRenamed("key", "prefix")
     lengths = prefixes.select(F.length("prefix").alias("k")).distinct().agg(F.collect_set("k").alias("lengths"))  # one row, as long as the longest word at most
@@ -37,7 +39,15 @@ def term_matches(terms: DataFrame, index: Index) -> DataFrame:
         .withColumn("k", F.explode("lengths")).where(F.col("k") <= F.length("key"))
         .select("key", F.left("key", F.col("k")).alias("prefix"))
     )
-    wanted = written(asked.where(~F.col("is_last")).select(columns).unionByName(prefixes.join(starts, "prefix").select(columns)))
+    return written(asked.where(~F.col("is_last")).select(columns).unionByName(prefixes.join(starts, "prefix").select(columns)))
+
+
+def term_matches(terms: DataFrame, index: Index) -> DataFrame:
+    """(query_id, ord, doc_id, tf, df, ranked, n_terms): documents of each query term, the last one as a prefix.
+
+    An expanded prefix is one term: tf is summed, df counts documents with any expansion. The words that are asked for are
+    written and counted, and broadcast to the postings where they are few: then postings of other words are not moved at all."""
+    wanted = expanded(terms, index)
     n = wanted.count()
     postings = index.postings.select("key", "doc_id", "tf") if n else index.postings.select("key", "doc_id", "tf").limit(0)
     found = (
@@ -47,30 +57,126 @@ def term_matches(terms: DataFrame, index: Index) -> DataFrame:
     return found.join(found.groupBy("query_id", "ord").agg(F.count("*").alias("df")), ["query_id", "ord"])
 
 
-def search(terms: DataFrame, index: Index, limit: int = 20, metadata: DataFrame | None = None) -> DataFrame:
+def search(terms: DataFrame, index: Index, limit: int = 20, metadata: DataFrame | None = None, prune_from: int = 20_000_000) -> DataFrame:
     """(query_id, doc_id, score, rank) of the documents that have all terms of a query, at most limit.
 
     Ranked by BM25, ties by doc_id; a query of stopwords only is not scored and lists documents by doc_id. With
-    metadata(doc_id, size, mtime) these come along, 0 where a document has none."""
+    metadata(doc_id, size, mtime) these come along, 0 where a document has none. Of a stored index, which has bounds of
+    blocks, where the queries' words have prune_from postings or more only the blocks that can have a hit are scored
+    (see scored_blocks); below that, looking at the bounds would cost more than it saves."""
+    if index.blocks is None:
+        hits = _top(_all_scores(terms, index), limit)
+    else:
+        with temporary(terms.sparkSession) as keep:
+            hits = keep(scored_blocks(terms, index, limit, prune_from=prune_from)[0])
+    if metadata is None:
+        return hits
+    return hits.join(metadata.select("doc_id", "size", "mtime"), "doc_id", "left").select("query_id", "doc_id", "score", "rank", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("mtime", F.lit(0)).alias("mtime"))
+
+
+def _top(scored: DataFrame, limit: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query_id", "doc_id", "score", "rank")
+
+
+def _idf(n) -> Column:
+    return F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def _all_scores(terms: DataFrame, index: Index) -> DataFrame:
+    """(query_id, doc_id, score) of all matches."""
     scope = index.doc_stats.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))  # one row
     listed = (
         term_matches(terms.where(~F.col("ranked")), index).groupBy("query_id", "doc_id")
         .agg(F.count("*").alias("found"), F.first("n_terms").alias("n_terms")).where(F.col("found") == F.col("n_terms"))
         .select("query_id", "doc_id", F.lit(0.0).alias("score"))
     )  # stopwords only: neither scores nor lengths are read, and each task keeps the first documents only
-    scored = (
+    return (
         term_matches(terms.where("ranked"), index).join(index.doc_stats, "doc_id").join(F.broadcast(scope))
-        .withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        .withColumn("part", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean"))))
+        .withColumn("part", _idf(F.col("n")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean"))))
         .groupBy("query_id", "doc_id")
         .agg(F.sum("part").alias("score"), F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
         .where(F.col("found") == F.col("n_terms")).select("query_id", "doc_id", "score")
     ).unionByName(listed)
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    hits = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query_id", "doc_id", "score", "rank")
-    if metadata is None:
-        return hits
-    return hits.join(metadata.select("doc_id", "size", "mtime"), "doc_id", "left").select("query_id", "doc_id", "score", "rank", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("mtime", F.lit(0)).alias("mtime"))
+
+
+def _with_keys(df: DataFrame, keys: list | None) -> DataFrame:
+    """The rows that have one of a few keys, which are pushed to the scan; all where they are many (None)."""
+    return df if keys is None else df.where(F.col("key").isin(keys))
+
+
+def _few_keys(df: DataFrame) -> list | None:
+    rows = df.select("key").distinct().limit(_PUSHED + 1).collect()
+    return [r["key"] for r in rows] if len(rows) <= _PUSHED else None
+
+
+def _small(df: DataFrame, rows: int = _BROADCAST) -> DataFrame:
+    """Broadcast where there are few rows, which are counted."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def scored_blocks(terms: DataFrame, index: Index, limit: int, first: int = 64, prune_from: int = 0) -> tuple[DataFrame, DataFrame | None]:
+    """What search() gives of a stored index, and (query_id, rows, rows_scored): how many postings a query's words have in
+    blocks that have all of them, and how many of these were scored; None where nothing is pruned.
+
+    A block of documents has, for each key, the largest tf and the largest share of a document's words; so a block's best
+    possible score is known before its postings are read. For each query, the first blocks by these bounds are scored; the
+    score of the last hit is a threshold, and of the others only blocks that can reach it are scored. Blocks of a query
+    that isn't ranked go by their first possible document instead. Frequencies of single keys are in the index; only for
+    prefixes of several keys documents are counted."""
+    wanted = expanded(terms, index)
+    head = wanted.limit(_HEAD + 1).collect()
+    if len(head) <= _HEAD:
+        keys = sorted({r["key"] for r in head}) if len({r["key"] for r in head}) <= _PUSHED else None
+        count = Counter((r["query_id"], r["ord"]) for r in head if r["ranked"])
+        few, many_keys, n_queries = F.broadcast(wanted), any(c > 1 for c in count.values()), len({r["query_id"] for r in head})
+    else:
+        keys, few, many_keys, n_queries = None, _small(wanted), True, wanted.select("query_id").distinct().count()
+    postings = _with_keys(index.postings.select("key", "seg", "block", "doc_id", "tf", "len"), keys).join(few, "key")
+    n, mean = index.scope[0], index.scope[1] / max(1, index.scope[0])
+    df = written(few.join(_with_keys(index.term_stats, keys), "key").groupBy("query_id", "ord").agg(F.sum("df").alias("df"), F.count("*").alias("n_keys"), F.first("ranked").alias("ranked")))
+    n_rows = df.agg(F.sum("df")).first()[0] or 0
+    if many_keys:
+        several = df.where("n_keys > 1 AND ranked").select("query_id", "ord")
+        found = postings.join(F.broadcast(several) if len(head) <= _HEAD else several, ["query_id", "ord"], "left_semi")
+        found = found.select("query_id", "ord", "doc_id").distinct().groupBy("query_id", "ord").agg(F.count("*").alias("own"))
+        df = written(df.join(found, ["query_id", "ord"], "left").withColumn("df", F.coalesce("own", "df")))
+    idf = df.select("query_id", "ord", _idf(F.lit(n)).alias("idf"))
+    idf = F.broadcast(idf) if len(head) <= _HEAD else _small(idf)
+    part = F.when(F.col("ranked"), F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))).otherwise(0.0)
+
+    def scores(chosen: DataFrame | None, n_blocks: int) -> DataFrame:
+        read = postings
+        if chosen is not None:
+            chosen = chosen.select("query_id", "seg", "block")
+            read = postings.join(F.broadcast(chosen) if n_blocks <= _BROADCAST else chosen, ["query_id", "seg", "block"])
+        return (
+            read.groupBy("query_id", "ord", "doc_id", "len", "ranked", "n_terms").agg(F.sum("tf").alias("tf")).join(idf, ["query_id", "ord"])
+            .groupBy("query_id", "doc_id", "n_terms").agg(F.sum(part).alias("score"), F.count("*").alias("found"))
+            .where(F.col("found") == F.col("n_terms")).select("query_id", "doc_id", "score")
+        )
+
+    if n_rows < prune_from:
+        return _top(scores(None, 0), limit), None
+    bound = F.when(F.col("ranked"), F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B) / F.col("max_tf") + K1 * B / (F.col("max_share") * mean))).otherwise(0.0)
+    blocks = written(
+        _with_keys(index.blocks, keys).join(few, "key").groupBy("query_id", "ord", "seg", "block", "ranked", "n_terms")
+        .agg(F.sum("n").alias("rows"), F.sum("max_tf").alias("max_tf"), F.sum("max_share").alias("max_share"), F.min("first_doc").alias("first_doc"))
+        .join(idf, ["query_id", "ord"]).groupBy("query_id", "seg", "block", "ranked", "n_terms")
+        .agg(F.sum(bound).alias("bound"), F.count("*").alias("found"), F.max("first_doc").alias("first_doc"), F.sum("rows").alias("rows"))
+        .where(F.col("found") == F.col("n_terms")).drop("found", "n_terms")
+    )
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "first_doc", "seg", "block")
+    best = blocks.withColumn("place", F.row_number().over(order)).where(F.col("place") <= first).drop("place")  # the same each time
+    hits = written(_top(scores(best, first * n_queries), limit))
+    last = hits.where(F.col("rank") == limit).select("query_id", F.col("score").alias("least"), F.col("doc_id").alias("last_doc"))
+    reaches = F.when(F.col("ranked"), F.col("bound") + 1e-8 >= F.col("least")).otherwise(F.col("first_doc") <= F.col("last_doc"))
+    rest = blocks.join(best.select("query_id", "seg", "block"), ["query_id", "seg", "block"], "left_anti")
+    rest = written(rest.join(F.broadcast(last) if n_queries <= _BROADCAST else last, "query_id", "left").where(F.col("least").isNull() | reaches).select(blocks.columns))
+    if n_rest := rest.count():
+        hits = _top(scores(rest, n_rest).unionByName(hits.select("query_id", "doc_id", "score")), limit)
+    scored = best.select("query_id", "rows").unionByName(rest.select("query_id", "rows")).groupBy("query_id").agg(F.sum("rows").alias("rows_scored"))
+    return hits, blocks.groupBy("query_id").agg(F.sum("rows").alias("rows")).join(scored, "query_id")
 
 
 def hit_tokens(hits: DataFrame, terms: DataFrame, words: DataFrame, stem: bool = True) -> DataFrame:
@@ -122,7 +228,10 @@ def best_passage(terms: DataFrame, lines: DataFrame, window: int = 10, scan_limi
     read = lines.where(F.col("line") < scan_limit).withColumn("at", F.struct("doc_id", "line"))
     asked = terms.select("key").distinct()
     words = keyed(tokens(read, "at"), stem).join(asked, "key", "left_semi").select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.line").alias("line"), "key").distinct()
-    found = words.join(terms.select("query_id", "key"), "key")
+    return _best_lines(words.join(terms.select("query_id", "key"), "key"), window)
+
+
+def _best_lines(found: DataFrame, window: int) -> DataFrame:
     sliding = Window.partitionBy("query_id", "doc_id").orderBy("line").rangeBetween(-(window - 1), 0)
     covered = found.withColumn("coverage", F.size(F.collect_set("key").over(sliding)))
     best = covered.groupBy("query_id", "doc_id").agg(F.max(F.struct("coverage", (-F.col("line")).alias("minus"))).alias("b"))
@@ -146,6 +255,45 @@ def match_spans(hits: DataFrame, terms: DataFrame, words: DataFrame, max_marks:
     return matching.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_marks).select("query_id", "doc_id", "pos", "raw", "key")
 
 
+def indexed_spans(hits: DataFrame, terms: DataFrame, index: Index, max_marks: int = 2000) -> DataFrame:
+    """The same as match_spans() of a stored index with positions: no text is split again."""
+    asked = hits.select("query_id", "doc_id").join(terms.select("query_id", "key").distinct(), "query_id")
+    places = _with_keys(index.postings.select("key", "doc_id", "positions"), _few_keys(asked)).join(_small(asked), ["key", "doc_id"])
+    order = Window.partitionBy("query_id", "doc_id").orderBy("pos")
+    marks = places.select("query_id", "doc_id", "key", F.explode("positions").alias("pos")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_marks)
+    words = index.stored.select("doc_id", "words").join(_small(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+    return marks.join(words, "doc_id").select("query_id", "doc_id", "pos", F.get("words", F.col("pos")).alias("raw"), "key")
+
+
+def indexed_snippets(hits: DataFrame, terms: DataFrame, index: Index, size: int = 20, start: str = "[", end: str = "]", ellipsis: str = "…") -> DataFrame:
+    """The same as snippets() of a stored index with positions: matches come from the postings of the hits, words from what
+    the index stores of them."""
+    asked = hits.select("query_id", "doc_id").join(expanded(terms, index).select("query_id", "key").distinct(), "query_id")
+    places = _with_keys(index.postings.select("key", "doc_id", "positions"), _few_keys(asked)).join(_small(asked), ["key", "doc_id"])
+    marks = places.select("query_id", "doc_id", "key", F.explode("positions").alias("pos"))
+    ahead = Window.partitionBy("query_id", "doc_id").orderBy("pos").rangeBetween(0, size - 1 - size // 4)
+    covered = marks.withColumn("cover", F.size(F.collect_set("key").over(ahead)))
+    best = covered.groupBy("query_id", "doc_id").agg(F.max(F.struct("cover", (-F.col("pos")).alias("minus"))).alias("b"), F.collect_set("pos").alias("at"))
+    best = best.select("query_id", "doc_id", F.greatest(F.lit(0), -F.col("b.minus") - size // 4).alias("from"), "at")
+    words = index.stored.select("doc_id", "words").join(_small(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+    near = best.withColumn("at", F.filter("at", lambda p: p.between(F.col("from"), F.col("from") + size - 1))).join(words, "doc_id")
+    shown = F.transform(F.slice("words", F.col("from") + 1, F.lit(size)), lambda w, i: F.when(F.array_contains("at", F.col("from") + i), F.concat(F.lit(start), w, F.lit(end))).otherwise(w))
+    return near.select(
+        "query_id", "doc_id",
+        F.concat(F.when(F.col("from") > 0, ellipsis).otherwise(""), F.array_join(shown, " "), F.when(F.col("from") + size < F.size("words"), ellipsis).otherwise("")).alias("snippet"),
+    )
+
+
+def indexed_passage(terms: DataFrame, index: Index, window: int = 10, scan_limit: int = 50_000, hits: DataFrame | None = None) -> DataFrame:
+    """The same as best_passage() of a stored index with positions, of all documents or of hits: lines come from the postings."""
+    asked = terms.select("query_id", "key").distinct()
+    places = _with_keys(index.postings.select("key", "doc_id", "lines"), _few_keys(asked)).join(_small(asked), "key")
+    if hits is not None:
+        places = places.join(_small(hits.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_semi")
+    found = places.select("query_id", "doc_id", "key", F.explode(F.array_distinct("lines")).alias("line")).where(F.col("line") < scan_limit)
+    return _best_lines(found, window)
+
+
 def best_cluster(spans: DataFrame, marks: int = 8) -> DataFrame:
     """(query_id, doc_id, pos, distinct_keys): where the marks consecutive spans with most distinct keys begin, the
     earliest on ties."""

@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.functions.storage import read_texts, written
+from sparkseek.functions.storage import read_texts, state_of, written
 from sparkseek.functions.text import STEP2, STEP3, STEP4
 from sparkseek.operators import catalog as cat
 from sparkseek.operators import classify, convert, fuzzy, layout, ranking, refresh, search, spelling, usage
-from sparkseek.operators.index import build_index, query_terms, rank_vocabulary, tokens, vocabulary_counts, vocabulary_keys
+from sparkseek.operators.index import analysed, build_index, query_terms, rank_vocabulary, tokens, vocabulary_counts, vocabulary_keys
 from sparkseek.sources import files as filesrc
-from sparkseek.sources.readers import paginate, stored_index
+from sparkseek.sources.index_store import stored_index
+from sparkseek.sources.readers import paginate
 from sparkseek.streaming import state
 
 QUERIES: dict = {}
@@ -54,15 +55,16 @@ _STORED: dict = {}
 
 
 def stored(spark, name: str, d: str, make):
-    """What make() writes to the shared folder, once for a session and input: an index or vocabulary of several queries."""
-    key = (spark.sparkContext.applicationId, name, d)
+    """What make() writes to the shared folder, once for a session and the documents at d as they are: an index or
+    vocabulary of several queries. Other files, sizes or times of files make it anew."""
+    key = (spark.sparkContext.applicationId, name, d, state_of(spark, f"{d}/documents.parquet"))
     if key not in _STORED:
         _STORED[key] = make()
     return _STORED[key]
 
 
 def document_index(spark, d, stem: bool = True):
-    return stored(spark, f"index {stem}", d, lambda: stored_index(build_index(documents(spark, d), stem=stem, positions=False)))
+    return stored(spark, f"index {stem}", d, lambda: stored_index(analysed(documents(spark, d), stem=stem)))
 
 
 def document_lines(spark, d):
@@ -216,9 +218,9 @@ FROM hits LEFT JOIN (SELECT * FROM best WHERE n = 1) USING (query_id, doc_id)"""
 def stemmed_search(spark, d):
     """Flagship: benchmark items as queries over documents, with the best passage of every hit."""
     terms = query_terms(item_queries(spark, d))
-    hits = written(search.search(terms, document_index(spark, d), limit=10))
-    lines = document_lines(spark, d).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    passages = search.best_passage(terms, lines)
+    index = document_index(spark, d)
+    hits = search.search(terms, index, limit=10)
+    passages = search.indexed_passage(terms, index, hits=hits)
     shown = hits.withColumn("score", F.round("score", 4)).join(passages, ["query_id", "doc_id"], "left")
     return shown.withColumn("first_line", F.coalesce("first_line", F.lit(0)))
 
@@ -257,7 +259,7 @@ covered AS (SELECT a.query_id, a.doc_id, a.line, count(DISTINCT b.key)::INTEGER
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY coverage DESC, line) AS n FROM covered)
 SELECT query_id, doc_id, greatest(line - 9, 0)::INTEGER AS first_line, coverage FROM best WHERE n = 1""")
 def best_passage_lines(spark, d):
-    return search.best_passage(query_terms(item_queries(spark, d, 6), stem=False), document_lines(spark, d), stem=False)
+    return search.indexed_passage(query_terms(item_queries(spark, d, 6), stem=False), document_index(spark, d, stem=False))
 
 
 @query("best_page_turn", f"""WITH {ITEM_TERMS.format(n=6)},
@@ -276,20 +278,19 @@ marks AS (SELECT query_id, doc_id, pos, raw, w.norm AS key, row_number() OVER (P
 spans AS (SELECT query_id, doc_id, pos::INTEGER AS pos, raw, key FROM marks WHERE n <= 2000)"""
 
 
-def _spans(spark, d):
-    terms = query_terms(item_queries(spark, d), stem=False)
-    hits = written(search.search(terms, document_index(spark, d, stem=False), limit=10))
-    return terms, hits, search.match_spans(hits, terms, _hit_words(spark, d, hits), stem=False)
+def _hits(spark, d):
+    terms, index = query_terms(item_queries(spark, d), stem=False), document_index(spark, d, stem=False)
+    return terms, index, search.search(terms, index, limit=10)
 
 
-def _hit_words(spark, d, hits):
-    """Tokens of the documents that were found; the others are not split."""
-    return tokens(documents(spark, d).join(hits.select("doc_id").distinct(), "doc_id", "left_semi"))
+def _spans(spark, d):
+    terms, index, hits = _hits(spark, d)
+    return search.indexed_spans(hits, terms, index)
 
 
 @query("match_spans", f"{SPANS} SELECT * FROM spans")
 def match_spans(spark, d):
-    return _spans(spark, d)[2]
+    return _spans(spark, d)
 
 
 @query("best_cluster", f"""{SPANS},
@@ -298,7 +299,7 @@ ahead AS (SELECT a.query_id, a.doc_id, a.pos, count(DISTINCT b.key)::INTEGER AS
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY distinct_keys DESC, pos) AS k FROM ahead)
 SELECT query_id, doc_id, pos, distinct_keys FROM best WHERE k = 1""")
 def best_cluster(spark, d):
-    return search.best_cluster(_spans(spark, d)[2])
+    return search.best_cluster(_spans(spark, d))
 
 
 @query("snippets", f"""{SPANS},
@@ -310,8 +311,8 @@ ends AS (SELECT query_id, doc_id, max(pos) AS last FROM mt GROUP BY ALL)
 SELECT query_id, doc_id, CASE WHEN first > 0 THEN '…' ELSE '' END || string_agg(CASE WHEN matched THEN '[' || raw || ']' ELSE raw END, ' ' ORDER BY pos) || CASE WHEN first + 19 < last THEN '…' ELSE '' END AS snippet
 FROM mt JOIN chosen USING (query_id, doc_id) JOIN ends USING (query_id, doc_id) WHERE pos BETWEEN first AND first + 19 GROUP BY query_id, doc_id, first, last""")
 def snippets(spark, d):
-    terms, hits, _ = _spans(spark, d)
-    return search.snippets(hits, terms, _hit_words(spark, d, hits), stem=False)
+    terms, index, hits = _hits(spark, d)
+    return search.indexed_snippets(hits, terms, index)
 
 
 @query("preview_lines", f"""{SPANS},
@@ -325,9 +326,9 @@ near AS (SELECT query_id, doc_id, l.line, text, sum(strlen(text) + 1) OVER (PART
   FROM best JOIN hits USING (query_id, doc_id) JOIN lines l USING (doc_id) WHERE n = 1 AND l.line BETWEEN greatest(greatest(best.line - 9, 0) + 5 - 150, 0) AND greatest(greatest(best.line - 9, 0) + 5 - 150, 0) + 299)
 SELECT query_id, doc_id, line, text FROM near WHERE bytes <= 65536""")
 def preview_lines(spark, d):
-    terms, hits, _ = _spans(spark, d)
+    terms, index, hits = _hits(spark, d)
     lines = document_lines(spark, d).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    passages = search.best_passage(terms, lines, stem=False).join(hits, ["query_id", "doc_id"], "left_semi")
+    passages = search.indexed_passage(terms, index, hits=hits)
     return search.preview_lines(passages, lines)
 
 

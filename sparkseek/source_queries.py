@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from sparkseek.functions.storage import shared_dir
 from sparkseek.operators import fuzzy, ranking, refresh, search, spelling, usage
-from sparkseek.operators.index import build_index, query_terms
+from sparkseek.operators.index import analysed, query_terms
 from sparkseek.plans.root_search import Source, Sources, gate_sources
 from sparkseek.queries import CANDIDATES, COMPOSED, DECAY, PAGE_CATALOG, PINS, composed, documents, launches, page_catalog, part_queries, pins_of, query, table
 from sparkseek.sources import files as filesrc
-from sparkseek.sources import office, readers
+from sparkseek.sources import index_store, office, readers
 from sparkseek.streaming import state
 
 # Readers
@@ -111,10 +111,31 @@ def index_upsert(spark, d):
     """The index of documents after those in English have changed and those in German are gone."""
     docs = table(spark, d, "documents")
     path = shared_dir(spark)
-    readers.write_index(build_index(docs, stem=False, positions=False), path)
+    index_store.write_index(analysed(docs, stem=False), path)
     changed = docs.where("lang = 'en'").withColumn("text", F.concat(F.lit("changed text of "), "source"))
-    readers.upsert_index(spark, path, build_index(changed, stem=False, positions=False), docs.where("lang IN ('en', 'de')").select("doc_id"))
-    return readers.read_index(spark, path).term_stats
+    index_store.upsert_index(spark, path, analysed(changed, stem=False), docs.where("lang IN ('en', 'de')").select("doc_id"))
+    return index_store.read_index(spark, path).term_stats
+
+
+@query("index_tombstones", r"""WITH now AS (SELECT doc_id, n_chars, CASE WHEN lang = 'en' THEN 'changed text of ' || source || chr(10) || 'and more' WHEN lang = 'fr' THEN '  ' ELSE text END AS text
+  FROM documents WHERE lang IS DISTINCT FROM 'de'),
+w AS (SELECT doc_id, count(*) AS len FROM (SELECT doc_id, strip_accents(lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')))) AS key FROM now) WHERE key <> '' GROUP BY doc_id),
+p AS (SELECT doc_id, count(*) AS n_pages, sum(length(page)) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS page FROM now) WHERE trim(page, ' ') <> '' GROUP BY doc_id)
+SELECT doc_id, coalesce(len, 0)::BIGINT AS len, n_chars AS size, coalesce(n_pages, 0) AS n_pages, coalesce(chars, 0)::BIGINT AS chars FROM now LEFT JOIN w USING (doc_id) LEFT JOIN p USING (doc_id)""")
+def index_tombstones(spark, d):
+    """What the index knows of documents and their pages (lines) after one commit in which those in English have changed,
+    those in French have become blank and those in German are gone: blank ones stay known, with no words and no pages."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source", F.col("n_chars").alias("size"))
+    lines = lambda df: df.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
+    path = shared_dir(spark)
+    index_store.write_index(analysed(docs, stem=False, pages=lines(docs)), path)
+    other = F.when(F.col("lang") == "en", F.concat(F.lit("changed text of "), "source", F.lit("\nand more"))).otherwise("  ")
+    changed = docs.where("lang IN ('en', 'fr')").withColumn("text", other)
+    index_store.upsert_index(spark, path, analysed(changed, stem=False, pages=lines(changed)), docs.where("lang IN ('en', 'de', 'fr')").select("doc_id"))
+    index = index_store.read_index(spark, path)
+    pages = index.pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum(F.length("text")).alias("chars"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return index.documents.join(pages, "doc_id", "left").select("doc_id", zero("len"), "size", zero("n_pages"), zero("chars"))
 
 
 # Office files

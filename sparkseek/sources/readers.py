@@ -1,19 +1,12 @@
-"""Sources of text, tables, history, rates and package catalogs, and the index as a sink."""
+"""Sources of text, tables, history, rates and package catalogs."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.functions.storage import shared_dir
-from sparkseek.operators.index import Index, with_statistics
 from sparkseek.sources.office import extract_office_text
 
-SCHEMA_VERSION = 2
-
 
 def load_text_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of text files, each whole."""
@@ -101,71 +94,3 @@ def _fields(ddl: str) -> list[str]:
         else:
             part += c
     return [f"{n}: {t}" for n, _, t in (p.strip().partition(" ") for p in [*out, part])]
-
-
-def _segment(index: Index, docs: DataFrame | None, path: str) -> str:
-    """Writes postings, and which documents they replace, under path and returns the segment's name. Postings are sorted
-    by key and document over ranges: a frequent key has as many files as its postings fill, and a search for a few keys
-    skips files and row groups by their bounds."""
-    name = uuid.uuid4().hex
-    index.postings.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id").write.parquet(f"{path}/{name}/postings")
-    if docs is not None:
-        docs.select("doc_id").distinct().write.parquet(f"{path}/{name}/docs")
-    return name
-
-
-def _point(spark: SparkSession, path: str, segments: list[str]) -> str:
-    """Writes the statistics of the segments as a new version, and then the pointer to it; returns the version."""
-    version = uuid.uuid4().hex
-    written = with_statistics(_postings(spark, path, segments))  # texts are not read again
-    written.doc_stats.write.parquet(f"{path}/{version}/doc_stats")
-    written.term_stats.sortWithinPartitions("key").write.parquet(f"{path}/{version}/term_stats")
-    pointer = json.dumps({"version": version, "schema_version": SCHEMA_VERSION, "segments": segments})
-    spark.createDataFrame([(pointer,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
-    return version
-
-
-def _postings(spark: SparkSession, path: str, segments: list[str]) -> DataFrame:
-    """Postings of all segments, without those of documents that a later segment replaces or removes."""
-    out = spark.read.parquet(f"{path}/{segments[0]}/postings")
-    for name in segments[1:]:
-        gone = spark.read.parquet(f"{path}/{name}/docs")
-        out = out.join(gone, "doc_id", "left_anti").unionByName(spark.read.parquet(f"{path}/{name}/postings"))
-    return out
-
-
-def _pointer(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.text(f"{path}/current").first()["value"])
-
-
-def write_index(index: Index, path: str) -> str:
-    """Writes an index as a new version under path and points to it; returns the version. Readers go by the pointer, so
-    they see the old or the new version, never a part."""
-    spark = index.postings.sparkSession
-    return _point(spark, path, [_segment(index, None, path)])
-
-
-def upsert_index(spark: SparkSession, path: str, changed: Index, touched: DataFrame, compact_after: int = 8) -> str:
-    """Delete-then-insert by document: what the index has of the documents in touched(doc_id) goes, and the postings of
-    changed come in; a document in touched only is removed. Only the change is written, as one more segment, and the
-    statistics; beyond compact_after segments all postings are written as one."""
-    segments = [*_pointer(spark, path)["segments"], _segment(changed, touched, path)]
-    if len(segments) > compact_after:
-        segments = [_segment(Index(_postings(spark, path, segments), None, None), None, path)]
-    return _point(spark, path, segments)
-
-
-def read_index(spark: SparkSession, path: str) -> Index | None:
-    """The current version of an index, or None where it is of another schema and must be built again."""
-    pointer = _pointer(spark, path)
-    if pointer["schema_version"] != SCHEMA_VERSION:
-        return None
-    at = f"{path}/{pointer['version']}"
-    return Index(_postings(spark, path, pointer["segments"]), spark.read.parquet(f"{at}/doc_stats"), spark.read.parquet(f"{at}/term_stats"))
-
-
-def stored_index(index: Index) -> Index:
-    """The index written to a new shared folder and read back, for jobs that use its tables several times."""
-    path = shared_dir(index.postings.sparkSession)
-    write_index(index, path)
-    return read_index(index.postings.sparkSession, path)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkseek.functions import storage
 from sparkseek.operators import fuzzy, layout, search
 from sparkseek.operators.index import build_index, query_terms, tokens, vocabulary_keys
-from sparkseek.sources import office, readers
+from sparkseek.sources import index_store, office, readers
 
 
 def docs_of(spark, rows):
@@ -24,7 +24,7 @@ def test_index_upserts_equal_a_new_index(spark, tmp_path):
     word = lambda: rng.choice(["red", "apple", "apples", "car", "the", "running", "run", "søk", "café"])
     current = {k: " ".join(word() for _ in range(rng.randint(0, 9))) for k in range(40)}
     path = str(tmp_path / "index")
-    readers.write_index(build_index(docs_of(spark, list(current.items()))), path)
+    index_store.write_index(build_index(docs_of(spark, list(current.items()))), path)
     for step in range(4):
         changed = {rng.randint(0, 50): " ".join(word() for _ in range(5)) for _ in range(6)}
         removed = [rng.randint(0, 50) for _ in range(3)]
@@ -33,8 +33,8 @@ def test_index_upserts_equal_a_new_index(spark, tmp_path):
             changed.pop(k, None)
         current |= changed
         touched = spark.createDataFrame([(k,) for k in [*changed, *removed]], "doc_id long")
-        readers.upsert_index(spark, path, build_index(docs_of(spark, list(changed.items()))), touched, compact_after=3 if step > 1 else 8)
-        got, want = readers.read_index(spark, path), build_index(docs_of(spark, list(current.items())))
+        index_store.upsert_index(spark, path, build_index(docs_of(spark, list(changed.items()))), touched, compact_after=3 if step > 1 else 8)
+        got, want = index_store.read_index(spark, path), build_index(docs_of(spark, list(current.items())))
         rows = lambda df: sorted(map(str, df.collect()))
         assert rows(got.postings.select("key", "doc_id", "tf", "positions")) == rows(want.postings.select("key", "doc_id", "tf", "positions"))
         assert rows(got.term_stats) == rows(want.term_stats) and rows(got.doc_stats) == rows(want.doc_stats)

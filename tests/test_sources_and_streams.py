@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkseek.operators import usage
 from sparkseek.operators.index import build_index, query_terms
 from sparkseek.operators.search import search
-from sparkseek.sources import files, office, readers
+from sparkseek.sources import files, index_store, office, readers
 from sparkseek.streaming import state
 
 
@@ -74,8 +74,8 @@ def test_index_versions(spark, tmp_path):
     docs = spark.createDataFrame([(1, "red apple"), (2, "red car")], "doc_id long, text string")
     terms = query_terms(spark.createDataFrame([(1, "red ca")], "query_id long, query_text string"))
     for frame, want in ((docs, [2]), (docs.where("doc_id = 1"), [])):
-        readers.write_index(build_index(frame), path)
-        assert [r.doc_id for r in search(terms, readers.read_index(spark, path)).collect()] == want
+        index_store.write_index(build_index(frame), path)
+        assert [r.doc_id for r in search(terms, index_store.read_index(spark, path)).collect()] == want
 
 
 def zipped(parts):
