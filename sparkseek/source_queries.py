@@ -276,8 +276,9 @@ def match_boxes(spark, d):
 # Streams, run over what there is
 
 
-def run_now(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives for all that is there now, from a table in the shared folder."""
+def run_now(stream: DataFrame, mode: str, key_of: list | None = None) -> DataFrame:
+    """What a stream gives for all that is there now, from a table in the shared folder; with key_of, of each key what the
+    last micro-batch that has it gives."""
     spark = stream.sparkSession
     path, key = shared_dir(spark), "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
@@ -291,21 +292,39 @@ def run_now(stream: DataFrame, mode: str) -> DataFrame:
     finally:
         if before is not None:
             spark.conf.set(key, before)
-    return spark.read.parquet(f"{path}/rows").select(*stream.columns)
+    rows = spark.read.parquet(f"{path}/rows")
+    if key_of is None:
+        return rows.select(*stream.columns)
+    last = rows.groupBy(*key_of).agg(F.max("epoch").alias("epoch"))  # an update takes the place of those before
+    return rows.join(last, [*key_of, "epoch"], "left_semi").select(*stream.columns)
 
 
-def event_stream(spark, d, df: DataFrame) -> DataFrame:
-    """A table written as files and read as a stream, all files in one micro-batch."""
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+#: Micro-batches of a stream that a table is read as, and the files of each.
+BATCHES, FILES = 3, 4
+
+
+def part_of(by, low, high):
+    """Which of BATCHES equal ranges of a whole number a value is in."""
+    return F.floor((by - low) * BATCHES / (high - low + 1)).cast("int")
+
+
+def event_stream(spark, d, df: DataFrame, by) -> DataFrame:
+    """A table written as files, by ranges of a whole number one after another, and read as a stream of a micro-batch for each."""
+    path, parts = shared_dir(spark), shared_dir(spark)
+    low, high = df.agg(F.min(by), F.max(by)).first()
+    staged = df.withColumn("part_", part_of(by, F.lit(low or 0), F.lit(high or 0)))
+    shape = staged.schema
+    staged.repartition("part_", F.xxhash64(*df.columns) % FILES).write.partitionBy("part_").parquet(parts)
+    for k in range(BATCHES):
+        spark.read.schema(shape).parquet(parts).where(F.col("part_") == k).drop("part_").repartition(FILES).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 @query("usage_scores_stream", f"WITH {DECAY} SELECT id, round(sum(power(2.0, -(last_launched - t) / (86400.0 * 14))), 6) AS usage_score, last_launched FROM launch JOIN last USING (id) GROUP BY ALL")
 def usage_scores_stream(spark, d):
-    stream = event_stream(spark, d, launches(spark, d))
+    stream = event_stream(spark, d, launches(spark, d), F.col("ts"))
     kinds = [r[0] for r in launches(spark, d).select("kind").distinct().limit(1000).collect()]  # a handful of types
-    return run_now(state.stream_usage(stream, kinds=kinds), "update").select("id", F.round("usage_score", 6).alias("usage_score"), "last_launched")
+    return run_now(state.stream_usage(stream, kinds=kinds), "update", ["id"]).select("id", F.round("usage_score", 6).alias("usage_score"), "last_launched")
 
 
 MERGED = """WITH b AS (SELECT user_id % 10 AS query_id, event_type AS source, event_id AS seq, event_type = 'view' AS volatile, 'r' || (value * 100)::BIGINT % 50 AS id, value AS score FROM events),
@@ -319,13 +338,43 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT
 def merge_results_stream(spark, d):
     ident = F.concat(F.lit("r"), (F.round(F.col("value") * 100).cast("long") % 50).cast("string"))
     batches = table(spark, d, "events").select((F.col("user_id") % 10).alias("query_id"), F.col("event_type").alias("source"), F.col("event_id").alias("seq"), (F.col("event_type") == "view").alias("volatile"), ident.alias("id"), F.col("value").alias("score"), F.lit("").alias("title"))
-    return run_now(state.stream_merged(event_stream(spark, d, batches)), "update").drop("title")
+    return run_now(state.stream_merged(event_stream(spark, d, batches, F.col("seq")), keep_ms=None), "update", ["query_id"]).drop("title")
+
 
+@query("merge_status_stream", """WITH e AS (SELECT user_id % 10 AS query_id, event_type AS source, event_id AS seq, 'r' || user_id AS id, value AS score FROM events),
+ends AS (SELECT query_id, source, CASE WHEN source = 'error' THEN 'failed' ELSE 'done' END AS title FROM e WHERE source <> 'view' GROUP BY ALL),
+newest AS (SELECT query_id, id, arg_max(source, seq) AS source, arg_max(score, seq) AS score FROM e GROUP BY ALL)
+SELECT query_id, id, source, score, '' AS title, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM newest
+UNION ALL SELECT query_id, NULL, source, NULL, title, 0 FROM ends""")
+def merge_status_stream(spark, d):
+    """Results of sources that come to an end: all but one are done or have failed after their last row."""
+    e = table(spark, d, "events").select((F.col("user_id") % 10).alias("query_id"), F.col("event_type").alias("source"), F.col("event_id").alias("seq"), F.concat(F.lit("r"), "user_id").alias("id"), F.col("value").alias("score"))
+    ends = e.where("source <> 'view'").groupBy("query_id", "source").agg(F.max("seq").alias("seq"))
+    ends = ends.withColumn("status", F.when(F.col("source") == "error", "failed").otherwise("done"))
+    batches = e.withColumn("title", F.lit("")).unionByName(ends, allowMissingColumns=True).withColumn("volatile", F.lit(False))
+    return run_now(state.stream_merged(event_stream(spark, d, batches, F.col("seq")), keep_ms=None), "update", ["query_id"])
 
-@query("drop_superseded_stream", "SELECT event_id FROM (SELECT event_id, event_id // 100 AS q, max(event_id // 100) OVER (PARTITION BY user_id) AS newest FROM events) WHERE q = newest")
+
+PART = "least(2, ({by} - min({by}) OVER ()) * 3 // (max({by}) OVER () - min({by}) OVER () + 1))"
+
+
+@query("drop_superseded_stream", f"""WITH e AS (SELECT event_id, event_id // 100 AS q, user_id, {PART.format(by='event_id')} AS part FROM events)
+SELECT event_id FROM (SELECT event_id, q, max(q) OVER (PARTITION BY user_id ORDER BY part RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS newest FROM e) WHERE q = newest""")
 def drop_superseded_stream(spark, d):
+    """Rows of the newest query of their session by the time that they come, in the micro-batches of the stream."""
     batches = table(spark, d, "events").select(F.col("user_id").alias("session"), F.floor(F.col("event_id") / 100).alias("query_id"), "event_id")
-    return run_now(state.stream_drop_superseded(event_stream(spark, d, batches)), "append").select("event_id")
+    return run_now(state.stream_drop_superseded(event_stream(spark, d, batches, F.col("event_id")), keep_ms=None), "append").select("event_id")
+
+
+@query("file_changes_stream", """WITH e AS (SELECT '/u' || user_id || '/' || event_type AS path, epoch_us(ts) // 1000 AS seen FROM events),
+b AS (SELECT *, coalesce(seen - lag(seen) OVER (PARTITION BY path ORDER BY seen) >= 21600000, true)::INT AS new FROM e),
+n AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY seen RANGE UNBOUNDED PRECEDING) AS burst FROM b)
+SELECT path, min(seen) AS first_seen, max(seen) AS seen_at, count(*) AS n FROM n GROUP BY path, burst HAVING max(seen) + 21600000 <= (SELECT max(seen) FROM e)""")
+def file_changes_stream(spark, d):
+    """Events as changes of files, each resolved when it was quiet for six hours."""
+    changes = table(spark, d, "events").select(F.concat(F.lit("/u"), "user_id", F.lit("/"), "event_type").alias("path"), F.unix_millis(F.col("ts").cast("timestamp")).alias("seen_at"))
+    quiet = run_now(state.quiet_paths(event_stream(spark, d, changes, F.col("seen_at")), "6 hours"), "append")
+    return quiet.select("path", F.unix_millis("first_seen").alias("first_seen"), F.unix_millis("seen_at").alias("seen_at"), "n")
 
 
 HEALTH_SQL = """WITH RECURSIVE calls AS (SELECT 'u' || user_id AS source, epoch_us(ts) // 1000 AS ts, event_id AS seq, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
@@ -351,4 +400,4 @@ def health_gate(spark, d):
 
 @query("health_gate_stream", HEALTH_SQL)
 def health_gate_stream(spark, d):
-    return run_now(state.stream_health(event_stream(spark, d, call_outcomes(spark, d)), limit=2), "update")
+    return run_now(state.stream_health(event_stream(spark, d, call_outcomes(spark, d), F.col("ts")), limit=2), "update")

@@ -16,6 +16,9 @@ from sparkseek.operators.usage import KINDS
 #: State in these streams needs this provider.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: How long streams keep a session or query that gets no more rows.
+KEEP_MS = 3_600_000
+
 # Usage scores
 
 
@@ -127,8 +130,11 @@ def drop_superseded(batches: DataFrame) -> DataFrame:
 
 
 class _Newest(StatefulProcessor):
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("newest", "query_id long")
+        self.state = handle.getValueState("newest", "query_id long", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         all_rows = pd.concat(list(rows))
@@ -140,9 +146,16 @@ class _Newest(StatefulProcessor):
         pass
 
 
-def stream_drop_superseded(batches: DataFrame) -> DataFrame:
-    """Stream form: rows of a query older than the newest seen in their session are dropped as they come."""
-    return batches.groupBy("session").transformWithStateInPandas(statefulProcessor=_Newest(), outputStructType=batches.schema, outputMode="Append", timeMode="None")
+def _clock(on: bool) -> str:
+    """With a clock a stream goes on without new rows, so one over what is there now (availableNow) needs to be without."""
+    return "ProcessingTime" if on else "None"
+
+
+def stream_drop_superseded(batches: DataFrame, keep_ms: int | None = KEEP_MS) -> DataFrame:
+    """Stream form: rows of a query older than the newest seen in their session are dropped as they come. A session without
+    rows for keep_ms is forgotten; with None, for streams that end, none is."""
+    return batches.groupBy("session").transformWithStateInPandas(
+        statefulProcessor=_Newest(keep_ms), outputStructType=batches.schema, outputMode="Append", timeMode=_clock(bool(keep_ms)))
 
 
 def merge_results(batches: DataFrame, limit: int | None = None) -> DataFrame:
@@ -156,43 +169,93 @@ def merge_results(batches: DataFrame, limit: int | None = None) -> DataFrame:
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
-_ROWS = "source string, seq long, volatile boolean, id string, score double, title string"
 MERGED = "query_id long, id string, source string, score double, title string, rank int"
+_MERGED = [c.split()[0] for c in MERGED.split(", ")]
 
 
 class _Merged(StatefulProcessor):
-    """The rows of a query that still count: of a volatile source those of its last batch, of any other the newest of
-    each id. A row without an id is a batch without rows."""
+    """The rows of a query that still count, by source and id: of a volatile source those of its last batch, of any other
+    the newest of each id. A row without an id is a batch without rows; with a status it ends its source.
+
+    With an interval, what comes is shown when a timer ends, so at most once in it; when all sources that were seen have
+    ended it is shown at once. State goes keep_ms after it was last touched."""
+
+    def __init__(self, interval_ms: int, keep_ms: int | None):
+        self.interval_ms, self.keep_ms = interval_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getListState("rows", _ROWS)
+        self.handle = handle
+        self.rows = handle.getMapState("rows", "source string, id string", "seq long, score double, title string", self.keep_ms)
+        self.sources = handle.getMapState("sources", "source string", "last long, status string", self.keep_ms)
+        self.due = handle.getValueState("due", "at long", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in _ROWS.split(", ")]
-        held = pd.DataFrame(list(self.state.get()) if self.state.exists() else [], columns=columns)
-        parts = [held] if len(held) else []
-        both = pd.concat([*parts, *(part[columns] for part in rows)], ignore_index=True)
-        last = both[both["volatile"].astype(bool)].groupby("source")["seq"].max().to_dict()
-        both = both[[last.get(source, seq) == seq for source, seq in zip(both["source"], both["seq"], strict=True)]]
-        both = both.sort_values(["seq", "source"], kind="stable").drop_duplicates(["source", "id"], keep="last")
-        self.state.put([tuple(r) for r in both.astype(object).where(both.notna(), None).itertuples(index=False)])
-        newest = both[both["id"].notna()].drop_duplicates("id", keep="last").sort_values(["score", "id"], ascending=[False, True])
-        yield newest.assign(query_id=key[0], rank=range(1, len(newest) + 1))[[c.split()[0] for c in MERGED.split(", ")]]
+        new = pd.concat(list(rows)).sort_values(["seq", "source"], kind="stable")
+        seen = {k[0]: tuple(v) for k, v in self.sources.iterator()}
+        for source, part in new.groupby("source", sort=False):
+            last, status = seen.get(source, (None, None))
+            ends = part["status"].dropna()
+            status = str(ends.iloc[-1]) if len(ends) else status
+            told = part[part["status"].isna()]
+            wiped = told[told["volatile"].astype(bool)]
+            if len(wiped):
+                newest = int(wiped["seq"].max())
+                if last is None or newest > last:
+                    last = newest
+                    for k, v in list(self.rows.iterator()):
+                        if k[0] == source and v[0] < last:
+                            self.rows.removeKey(k)
+            if last is not None:
+                told = told[told["seq"] == last]
+            for row in told[told["id"].notna()].drop_duplicates("id", keep="last").itertuples(index=False):
+                k = (source, row.id)
+                if not self.rows.containsKey(k) or self.rows.getValue(k)[0] <= row.seq:
+                    self.rows.updateValue(k, (int(row.seq), None if pd.isna(row.score) else float(row.score), None if row.title is None else str(row.title)))
+            seen[source] = (last, status)
+            self.sources.updateValue((source,), seen[source])
+        if not self.interval_ms or all(status for _, status in seen.values()):
+            yield self.shown(key, seen)
+        elif not self.due.exists():
+            at = timer.getCurrentProcessingTimeInMs() + self.interval_ms
+            self.due.update((at,))
+            self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.due.exists() and self.due.get()[0] == expiredTimerInfo.getExpiryTimeInMs():
+            yield self.shown(key, {k[0]: tuple(v) for k, v in self.sources.iterator()})
+
+    def shown(self, key, seen: dict) -> pd.DataFrame:
+        """All rows of a query, ranked, and with rank 0 a row for each source that ended, its status as the title."""
+        if self.due.exists():
+            self.due.clear()
+        held = pd.DataFrame([(*k, *v) for k, v in self.rows.iterator()], columns=["source", "id", "seq", "score", "title"])
+        held = held.sort_values(["seq", "source"], kind="stable").drop_duplicates("id", keep="last").sort_values(["score", "id"], ascending=[False, True])
+        held["rank"] = range(1, len(held) + 1)
+        ended = pd.DataFrame([(source, None, 0, None, status, 0) for source, (_, status) in sorted(seen.items()) if status], columns=[*held.columns])
+        return pd.concat([x for x in (held, ended) if len(x)] or [held]).assign(query_id=key[0])[_MERGED]
 
     def close(self) -> None:
         pass
 
 
-def stream_merged(batches: DataFrame) -> DataFrame:
-    """merge_results() of a stream, in update mode: all rows of the queries that a micro-batch touches. State is by
-    query: a row for each id of each source at most, so old micro-batches are not read again."""
-    return batches.groupBy("query_id").transformWithStateInPandas(statefulProcessor=_Merged(), outputStructType=MERGED, outputMode="Update", timeMode="None")
+def stream_merged(batches: DataFrame, interval_ms: int = 0, keep_ms: int | None = KEEP_MS) -> DataFrame:
+    """merge_results() of a stream, in update mode: all rows of the queries that a micro-batch touches, or that are due. State
+    is by query, source and id, so only what changes is written, and goes after keep_ms (None, for streams that end: never).
+
+    A row with a status ('done', or what went wrong) and no id ends its source; each ended source is a row of rank 0
+    without an id, and its status as title. With interval_ms a query is shown at most once in it, but at once when all its
+    sources have ended."""
+    if "status" not in batches.columns:
+        batches = batches.withColumn("status", F.lit(None).cast("string"))
+    return batches.groupBy("query_id").transformWithStateInPandas(
+        statefulProcessor=_Merged(interval_ms, keep_ms), outputStructType=MERGED, outputMode="Update", timeMode=_clock(bool(interval_ms or keep_ms)))
 
 
-def stream_merge_results(batches: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "30 milliseconds"):
-    """Gives sink the merged results of the queries that a micro-batch touches, at most once an interval. Returns the
-    running query. Needs the ROCKSDB state store."""
-    return stream_merged(batches).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+def stream_merge_results(batches: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, interval_ms: int = 30, keep_ms: int = KEEP_MS):
+    """Gives sink the merged results of the queries that are due, at most once an interval. Returns the running query.
+    Needs the ROCKSDB state store."""
+    merged = stream_merged(batches, interval_ms, keep_ms)
+    return merged.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=f"{interval_ms} milliseconds").start()
 
 
 # Files that change
@@ -208,14 +271,26 @@ def apply_file_changes(table: DataFrame, touched: DataFrame, current: DataFrame)
     return apply_refresh(left, now)
 
 
-def stream_file_changes(events: DataFrame, read_table: Callable[[], DataFrame], read_current: Callable[[DataFrame], DataFrame], write_table: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "500 milliseconds"):
-    """Runs apply_file_changes() on a stream of (path, seen_at), debounced by the interval. Returns the running query."""
+def quiet_paths(events: DataFrame, quiet: str = "500 milliseconds") -> DataFrame:
+    """(path, first_seen, seen_at, n) of a stream of (path, seen_at), in append mode: a path is given once it had no event for
+    so long after seen_at, with how many came since first_seen. Its state goes then. Time is that of the events; those without a path
+    only tell the time, so that a last change isn't waited for."""
+    at = F.timestamp_millis("seen_at") if events.schema["seen_at"].dataType.typeName() == "long" else F.col("seen_at")
+    timed = events.select("path", at.alias("seen_at")).withWatermark("seen_at", "0 seconds").where(F.col("path").isNotNull())
+    bursts = timed.groupBy("path", F.session_window("seen_at", quiet).alias("w")).agg(F.count("*").alias("n"), F.max("seen_at").alias("seen_at"))
+    return bursts.select("path", F.col("w.start").alias("first_seen"), "seen_at", "n")
+
+
+def stream_file_changes(events: DataFrame, read_table: Callable[[], DataFrame], read_current: Callable[[DataFrame], DataFrame], write_table: Callable[[DataFrame, int], None], checkpoint: str,
+                        quiet: str = "500 milliseconds", interval: str = "500 milliseconds"):
+    """Runs apply_file_changes() on the paths of a stream of (path, seen_at) that have become quiet (quiet_paths()). Returns
+    the running query."""
 
     def update(df: DataFrame, epoch: int) -> None:
         touched = df.groupBy("path").agg(F.max("seen_at").alias("seen_at"))
         write_table(apply_file_changes(read_table(), touched, read_current(touched)), epoch)
 
-    return events.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+    return quiet_paths(events, quiet).writeStream.outputMode("append").foreachBatch(update).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
 
 
 def stale_sources(fetch_log: DataFrame, now: int, interval_s: int, backoff_s: int = 300) -> DataFrame:

@@ -3,6 +3,7 @@
 import io
 import json
 import random
+import time
 import zipfile
 
 import pytest
@@ -154,7 +155,7 @@ def test_superseded_rows(spark, tmp_path):
     rows = [("a", 1, "x"), ("a", 2, "y"), ("a", 1, "late"), ("b", 1, "z")]
     schema = "session string, query_id long, id string"
     assert sorted(r.id for r in state.drop_superseded(spark.createDataFrame(rows, schema)).collect()) == ["y", "z"]
-    out = run_stream(spark, tmp_path, [rows[:1], rows[1:2], rows[2:]], state.stream_drop_superseded, schema, "append")
+    out = run_stream(spark, tmp_path, [rows[:1], rows[1:2], rows[2:]], lambda s: state.stream_drop_superseded(s, keep_ms=None), schema, "append")
     assert sorted(r.id for r in out) == ["x", "y", "z"]
 
 
@@ -172,13 +173,52 @@ def test_merge_results_batch_and_stream(spark, tmp_path):
         next((tmp_path / f"s{k}").glob("part-*.json")).rename(source / f"{k}.json")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.ROCKSDB)
     stream = spark.readStream.schema(BATCH).option("maxFilesPerTrigger", 1).json(str(source))
-    query = state.stream_merge_results(stream, lambda df, epoch: seen.update({epoch: df.collect()}), str(tmp_path / "keep"))
+    merged = state.stream_merged(stream, keep_ms=None).writeStream.outputMode("update")
+    query = merged.foreachBatch(lambda df, epoch: seen.update({epoch: df.collect()})).option("checkpointLocation", str(tmp_path / "keep")).start()
     query.processAllAvailable()
     query.stop()
     assert sorted((r.query_id, r.id) for r in seen[0]) == [(1, "gone"), (1, "x")]
     assert sorted((r.query_id, r.id, r["rank"]) for r in seen[1]) == [(1, "here", 2), (1, "x", 1), (2, "q", 1)]
 
 
+def test_merged_results_are_shown_by_a_timer_and_when_sources_end(spark, tmp_path):
+    shape = BATCH + ", status string"
+    (tmp_path / "in").mkdir()
+
+    def arrive(name, *rows):
+        spark.createDataFrame(rows, shape).coalesce(1).write.json(str(tmp_path / name))
+        next((tmp_path / name).glob("part-*.json")).rename(tmp_path / "in" / f"{name}.json")
+
+    arrive("a", (1, "a", 1, False, "x", 1.0, "one", None), (1, "b", 1, False, None, None, None, None), (2, "a", 1, False, "q", 1.0, "", None), (2, "a", 2, False, None, None, None, "done"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.ROCKSDB)
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    shown = []
+    query = state.stream_merge_results(stream, lambda df, _: shown.extend(map(tuple, df.collect())), str(tmp_path / "keep"), interval_ms=300)
+
+    def wait(done):
+        until = time.time() + 60
+        while not done() and time.time() < until:
+            time.sleep(0.2)
+        assert done(), shown
+
+    try:
+        wait(lambda: {r[0] for r in shown} == {1, 2})  # query 2 has ended; query 1 is shown when its timer ends
+        assert (2, "q", "a", 1.0, "", 1) in shown and (2, None, "a", None, "done", 0) in shown and (1, "x", "a", 1.0, "one", 1) in shown
+        arrive("b", (1, "a", 2, False, "y", 5.0, "two", None), (1, "a", 3, False, None, None, None, "done"), (1, "b", 2, False, None, None, None, "timed out"))
+        wait(lambda: (1, None, "b", None, "timed out", 0) in shown)
+        assert {(1, "y", "a", 5.0, "two", 1), (1, "x", "a", 1.0, "one", 2), (1, None, "a", None, "done", 0)} <= set(shown)
+    finally:
+        query.stop()
+
+
+def test_paths_are_given_once_they_are_quiet(spark, tmp_path):
+    at = lambda path, ms: (path, ms)
+    parts = [[at("/a", 0), at("/b", 100), at("/a", 400)], [at("/a", 800), at("/b", 900)], [at("/a", 5000), at(None, 5600)], [at(None, 9000)]]
+    out = run_stream(spark, tmp_path, parts, state.quiet_paths, "path string, seen_at long", "append")
+    found = sorted((r.path, round(r.first_seen.timestamp() * 1000), round(r.seen_at.timestamp() * 1000), r.n) for r in out)
+    assert found == [("/a", 0, 800, 3), ("/a", 5000, 5000, 1), ("/b", 100, 100, 1), ("/b", 900, 900, 1)]
+
+
 def test_file_changes(spark, tmp_path):
     schema = "path string, size long"
     table = spark.createDataFrame([("/a", 1), ("/a/b", 1), ("/a/c", 1), ("/d", 1)], schema)
@@ -187,12 +227,12 @@ def test_file_changes(spark, tmp_path):
     assert sorted(map(tuple, state.apply_file_changes(table, touched, current).collect())) == [("/a", 2), ("/a/b", 2), ("/d", 1)]
     written = {}
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "1.json").write_text('{"path": "/a", "seen_at": 1}\n')
+    (tmp_path / "in" / "1.json").write_text('{"path": "/a", "seen_at": 1}\n{"path": "/a", "seen_at": 300}\n{"seen_at": 2000}\n')
     stream = spark.readStream.schema("path string, seen_at long").json(str(tmp_path / "in"))
     query = state.stream_file_changes(stream, lambda: table, lambda _: current, lambda df, epoch: written.update({epoch: sorted(map(tuple, df.collect()))}), str(tmp_path / "log"))
     query.processAllAvailable()
     query.stop()
-    assert written == {0: [("/a", 2), ("/a/b", 2), ("/d", 1)]}
+    assert [rows for _, rows in sorted(written.items())][-1] == [("/a", 2), ("/a/b", 2), ("/d", 1)]
 
 
 def test_stale_sources(spark):
