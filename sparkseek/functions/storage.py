@@ -9,7 +9,9 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_top(spark: SparkSession) -> str:
@@ -125,6 +127,17 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
         remove(spark, paths)
 
 
+def numbered(df: DataFrame, order: list[Column], into: str) -> DataFrame:
+    """df with a row's number in an order, from 1. Rows are sorted over ranges, written, and numbered within their range;
+    what comes before a range is one number for each."""
+    keys = [f"order_{k}_" for k in range(len(order))]
+    ordered = written(df.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part_", F.spark_partition_id()))
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ordered.groupBy("part_").count().select("part_", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before_"))
+    within = Window.partitionBy("part_").orderBy(*keys)
+    return ordered.withColumn("n_", F.row_number().over(within)).join(F.broadcast(counts), "part_").select(*df.columns, (F.col("before_") + F.col("n_")).cast("long").alias(into))
+
+
 #: Up to so many bytes, a table in fewer files than there are cores is dealt to all of them before its texts are split.
 _SMALL = 64 << 20
 

@@ -35,13 +35,14 @@ def content_type(text: Column, mode: str = "snippet") -> Column:
 
 
 def image_label(label: Column) -> dict[str, Column]:
-    """byte_size, format, width and height of labels such as "83 KiB png 1068x904", null where they lack one."""
+    """byte_size, format, width and height of labels such as "83 KiB png 1068x904", null where they lack one. The
+    format is the first word of letters that is no unit, whatever it is, in lower case."""
     size = F.regexp_extract(label, r"(?:^|\s)([0-9]+(?:\.[0-9]+)?)\s+(?:B|KiB|MiB|GiB)(?:\s|$)", 1)
     unit = F.regexp_extract(label, r"(?:^|\s)[0-9]+(?:\.[0-9]+)?\s+(B|KiB|MiB|GiB)(?:\s|$)", 1)
     factor = F.when(unit == "KiB", 1 << 10).when(unit == "MiB", 1 << 20).when(unit == "GiB", 1 << 30).otherwise(1)
-    form = F.regexp_extract(label, r"(?:^|\s)(png|jpeg|jpg|gif|webp|bmp|tiff)(?:\s|$)", 1)
+    form = F.regexp_extract(label, r"(?:^|\s)(?!(?:B|KiB|MiB|GiB)(?:\s|$))([A-Za-z]+)(?:\s|$)", 1)
     side = lambda k: F.expr("null").cast("int") if k is None else F.regexp_extract(label, r"(?:^|\s)([0-9]+)x([0-9]+)(?:\s|$)", k).try_cast("int")
-    return {"byte_size": (size.try_cast("double") * factor).cast("long"), "format": F.nullif(form, F.lit("")), "width": side(1), "height": side(2)}
+    return {"byte_size": (size.try_cast("double") * factor).cast("long"), "format": F.nullif(F.lower(form), F.lit("")), "width": side(1), "height": side(2)}
 
 
 def classify_history(history: DataFrame, mode: str = "snippet", image_text: DataFrame | None = None) -> DataFrame:

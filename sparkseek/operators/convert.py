@@ -120,7 +120,8 @@ def convert_currency(amounts: DataFrame, rates: DataFrame, now_ms: Column | None
 def shift_dates(df: DataFrame, at_col: str = "at", n_col: str = "n", unit_col: str = "unit") -> DataFrame:
     """df with shifted, n units after at, and label: month ends clamp; the label has a clock for minutes and hours only."""
     at, n = F.col(at_col), F.col(n_col)
-    unit = F.regexp_replace(F.lower(unit_col), "s$", "")
+    given = F.regexp_replace(F.lower(unit_col), "s+$", "")
+    unit = F.when(given == "min", "minute").when(given.isin("hr", "h"), "hour").otherwise(given)
     seconds = F.when(unit == "minute", 60).when(unit == "hour", 3600).when(unit == "day", 86_400).when(unit == "week", 604_800)
     months = F.when(unit == "month", 1).when(unit == "year", 12)
     by_months = F.make_interval(months=(n * months).cast("int"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkseek.functions.storage import written
+from sparkseek.functions.storage import numbered, written
 from sparkseek.functions.text import MARKS, STOPWORDS, normalized, token_array, with_stems
 
 
@@ -130,14 +130,10 @@ def with_statistics(postings: DataFrame) -> Index:
 
 
 def rank_vocabulary(vocab: DataFrame, lemmas: DataFrame | None) -> DataFrame:
-    """(rank, word, df) of the words of vocab(word, df) that lemmas(word) has (None: of all), from frequent to rare. Ranks are dealt by
-    df first, so no task sorts the whole vocabulary: words of one frequency are ranked among themselves and moved by
-    the number of more frequent ones."""
+    """(rank, word, df) of the words of vocab(word, df) that lemmas(word) has (None: of all), from frequent to rare. Words are
+    sorted over ranges of frequency and word, so those of one frequency, most of any vocabulary, are in many tasks."""
     kept = vocab if lemmas is None else vocab.join(lemmas.select("word").distinct(), "word", "left_semi")
-    by_df = kept.groupBy("df").count()
-    above = by_df.select("df", F.coalesce(F.sum("count").over(Window.orderBy(F.desc("df")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
-    own = F.row_number().over(Window.partitionBy("df").orderBy("word"))
-    return kept.withColumn("own", own).join(above, "df").select((F.col("own") + F.col("above")).cast("long").alias("rank"), "word", "df")
+    return numbered(kept.select("word", "df"), [-F.col("df"), F.col("word")], "rank").select("rank", "word", "df")
 
 
 def vocabulary_counts(vocab: DataFrame, lemmas: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkseek.functions.storage import written
+from sparkseek.functions.storage import numbered
 from sparkseek.operators.index import keyed, tokens
 
 
@@ -130,8 +130,4 @@ def natural_order(df: DataFrame, col: str) -> DataFrame:
 def natural_places(df: DataFrame, col: str, *ties: str) -> DataFrame:
     """df with place, the row's number in natural order of col and then of ties, from 1. Rows are sorted over ranges and
     numbered within them; what comes before a range is one number for each."""
-    ordered = written(df.withColumn("natural_key", natural_key(F.col(col))).repartitionByRange("natural_key", col, *ties).sortWithinPartitions("natural_key", col, *ties).withColumn("part", F.spark_partition_id()))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ordered.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("part").orderBy("natural_key", col, *ties)
-    return ordered.withColumn("n", F.row_number().over(within)).join(F.broadcast(counts), "part").select(*df.columns, (F.col("before") + F.col("n")).cast("long").alias("place"))
+    return numbered(df, [natural_key(F.col(col)), F.col(col), *map(F.col, ties)], "place")

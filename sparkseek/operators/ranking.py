@@ -66,10 +66,12 @@ def compose_score(candidates: DataFrame, weights: DataFrame, ext_weights: DataFr
 
 def fill_when_sparse(candidates: DataFrame, fewer_than: int = 3, at_most: int = 5) -> DataFrame:
     """Candidates without those of category dict, unless their query has fewer than three others: then the best five."""
-    per_query = Window.partitionBy("query_id")
-    fill = F.col("category") == "dict"
-    numbered = candidates.withColumn("others", F.count_if(~fill).over(per_query)).withColumn("place", F.row_number().over(Window.partitionBy("query_id", fill).orderBy(F.desc("score"), "id")))
-    return numbered.where(~fill | ((F.col("others") < fewer_than) & (F.col("place") <= at_most))).drop("others", "place")
+    fill = F.coalesce(F.col("category") == "dict", F.lit(False))
+    sparse = candidates.groupBy("query_id").agg(F.count_if(~fill).alias("others")).where(F.col("others") < fewer_than).select(F.col("query_id").alias("asked"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    filled = candidates.where(fill).join(sparse, F.col("query_id").eqNullSafe(F.col("asked")), "left_semi")  # each task keeps the first ones only
+    filled = filled.withColumn("place", F.row_number().over(best)).where(F.col("place") <= at_most).drop("place")
+    return candidates.where(~fill).unionByName(filled)
 
 
 def usage_bonus(candidates: DataFrame, scores: DataFrame, exempt: tuple = ("dict", "calc")) -> DataFrame:

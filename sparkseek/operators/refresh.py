@@ -31,9 +31,10 @@ def remove_stale(table: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def ancestors(path: str = "path"):
-    """A path and all folders above it, as an array."""
+    """A path and all folders above it, the root / of absolute ones among them, as an array."""
     parts = F.split(F.col(path), "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    return F.array_distinct(F.transform(above, lambda a: F.when(a == "", "/").otherwise(a)))
 
 
 def remove_subtree(table: DataFrame, dirs: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkseek.functions.storage import temporary, written
-from sparkseek.functions.text import normalized
 from sparkseek.operators.index import Index, keyed, tokens
 
 # BM25 (Robertson and Zaragoza 2009).
@@ -336,7 +335,3 @@ def in_blocks(queries: DataFrame, run: Callable[[DataFrame], DataFrame], rows: i
     n = max(1, -(-queries.count() // rows))
     blocks = [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64(*queries.columns), F.lit(n)) == k) for k in range(n)]
     return reduce(DataFrame.union, [run(F.broadcast(b)) for b in blocks])
-
-
-def normalized_queries(queries: DataFrame) -> DataFrame:
-    return queries.withColumn("norm", normalized(F.trim("query_text")))

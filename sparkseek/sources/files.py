@@ -86,7 +86,7 @@ def eligible_documents(catalog: DataFrame, roots: DataFrame, extensions: list[st
     given = F.array(*map(F.lit, extensions)).cast("array<string>")
     rules = roots.select(F.regexp_replace("root", "(?<=.)/+$", "").alias("root"), "depth", F.coalesce("extensions", given).alias("allowed"))
     files = catalog.where(~F.col("is_dir") & (F.col("size") <= max_bytes)).withColumn("root", F.explode(ancestors()))
-    below = F.size(F.split("path", "/")) - F.size(F.split("root", "/"))
+    below = F.size(F.split("path", "/")) - F.when(F.col("root") == "/", 1).otherwise(F.size(F.split("root", "/")))
     hit = files.join(rules, "root").where((below >= 1) & (below <= F.col("depth")) & F.array_contains("allowed", extension(F.col("path"))))
     return hit.drop("root", "depth", "allowed").dropDuplicates(["path"])
 

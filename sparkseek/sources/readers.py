@@ -25,7 +25,9 @@ def load_documents(spark: SparkSession, path: str) -> DataFrame:
     A file of another kind, such as a PDF without its text layer, and a damaged one has an error and no text."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    text = files.where(kind.isin(PLAIN)).select("path", F.decode("content", "utf-8").alias("text"), F.lit(None).cast("string").alias("error"))
+    sound = F.is_valid_utf8(F.col("content").cast("string"))
+    text = files.where(kind.isin(PLAIN)).select(
+        "path", F.when(sound, F.col("content").cast("string")).alias("text"), F.when(~sound, "not UTF-8").alias("error"))
     other = files.where(~kind.isin(*PLAIN, *OFFICE)).select("path", F.lit(None).cast("string").alias("text"), F.concat(F.lit("no extractor for ."), kind).alias("error"))
     return text.unionByName(extract_office_text(files.where(kind.isin(OFFICE)))).unionByName(other)
 
