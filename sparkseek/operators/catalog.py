@@ -57,14 +57,14 @@ def catalog_state(catalog: DataFrame, installed: DataFrame, api: int) -> DataFra
 
 def search_catalog(state: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, name, place): packages that have the query in their name, keywords or description; all for an empty
-    query; updates first, then by name. All packages are scanned for a block of queries at a time, which is broadcast."""
+    query; updates first, then by name."""
     from pyspark.sql.window import Window
 
-    from sparkseek.operators.search import in_blocks
+    from sparkseek.operators.substring import substring_matches
 
     text = F.lower(F.concat_ws("\n", "name", F.concat_ws("\n", "keywords"), "description"))
     asked = queries.select("query_id", F.lower(F.trim("query_text")).alias("q"))
-    found = in_blocks(asked, lambda block: state.select("name", "browse_order", text.alias("text")).join(block, F.col("text").contains(F.col("q"))))
+    found = substring_matches(state.select("name", "browse_order", text.alias("text")), asked)
     return found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("browse_order", "name"))).select("query_id", "name", "place")
 
 

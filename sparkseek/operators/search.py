@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from sparkseek.functions.storage import temporary, written
 from sparkseek.operators.index import Index, keyed, tokens
+from sparkseek.operators.substring import substring_matches
 
 # BM25 (Robertson and Zaragoza 2009).
 K1, B = 1.2, 0.75
@@ -323,11 +324,11 @@ def match_boxes(terms: DataFrame, ocr_words: DataFrame, indexed: DataFrame, stem
 
 def filter_history(history: DataFrame, queries: DataFrame, tab: str = "all") -> DataFrame:
     """(query_id, id): entries of history(id, content_type, preview, ocr_text) in a tab whose preview or image text has
-    the query as it is typed, in any case. All entries are scanned for a block of queries at a time, which is broadcast."""
+    the query as it is typed, in any case."""
     within = history if tab == "all" else history.where(F.col("content_type") == tab)
     text = F.lower(F.concat_ws("\n", "preview", "ocr_text"))
     asked = queries.select("query_id", F.lower(F.trim("query_text")).alias("q"))
-    return in_blocks(asked, lambda block: within.select("id", text.alias("text")).join(block, F.col("text").contains(F.col("q"))).select("query_id", "id"))
+    return substring_matches(within.select("id", text.alias("text")), asked).select("query_id", "id")
 
 
 def in_blocks(queries: DataFrame, run: Callable[[DataFrame], DataFrame], rows: int = 10_000) -> DataFrame:

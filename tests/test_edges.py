@@ -41,3 +41,20 @@ def test_fill_when_sparse(spark):
     rows = [(1, "a", "app", 5.0), (1, "b", "dict", 9.0), (2, "a", "app", 1.0), (2, "b", "app", 1.0), (2, "c", None, 1.0), (2, "d", "dict", 1.0), (3, "x", "dict", 1.0), (3, "y", "dict", 2.0), (None, "n", "dict", 1.0)]
     got = ranking.fill_when_sparse(spark.createDataFrame(rows, "query_id long, id string, category string, score double"), at_most=1)
     assert sorted((r.query_id or 0, r.id) for r in got.collect()) == [(0, "n"), (1, "a"), (1, "b"), (2, "a"), (2, "b"), (2, "c"), (3, "y")]
+
+
+def test_substrings_meet_on_grams(spark):
+    import random
+
+    from sparkseek.operators.substring import substring_matches
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab c\nü😀") for _ in range(rng.randint(0, 25))) for _ in range(120)] + [None, "", "ab" * 3000]
+    asked = ["", "a", "ü", "😀", "ab", "a\n", "abc", "😀ü", "ba b", "zz", "ab" * 20, "b c", None]
+    rows = spark.createDataFrame([*enumerate(texts)], "id long, text string")
+    queries = spark.createDataFrame([*enumerate(asked)], "query_id long, q string")
+    found = substring_matches(rows, queries)
+    assert sorted((r.query_id, r.id) for r in found.collect()) == [(k, i) for k, q in enumerate(asked) for i, t in enumerate(texts) if q is not None and t is not None and q in t]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert substring_matches(rows, queries.limit(0)).count() == 0 and substring_matches(rows.limit(0), queries).count() == 0
