@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkseek.functions.text import normalized
-from sparkseek.operators.search import in_blocks
+from sparkseek.operators.substring import meet
 
 #: The quality of a perfect match, and by how much penalties lower candidates of files.
 FULL_QUALITY = 1500
 FOLDER_PENALTY, NO_PREVIEW_PENALTY, HIDDEN_PENALTY = -700_000, -300_000, -200_000
+#: Characters of titles that are aligned at once.
+_CELLS = 1 << 21
 TIERS = ["exact", "prefix", "word_start", "fuzzy"]
 
 
@@ -47,30 +50,86 @@ def alignment_full(query: str) -> int:
     return sum(16 + 8 * (i == 0 or not query[i - 1].isalnum()) + 4 * (i > 0) for i in range(len(query)))
 
 
-def _mask(col: str) -> Column:
-    """64 bits, of which each distinct character other than blanks sets one."""
-    return F.expr(f"aggregate(filter(split({col}, ''), c -> trim(c) != ''), 0L, (m, c) -> m | shiftleft(1L, pmod(ascii(c), 64)))")
+def _points(texts: list[str], width: int) -> np.ndarray:
+    """Code points by row, 0 behind the end."""
+    out = np.zeros((len(texts), width), np.uint32)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.array([len(t) for t in texts])
+    rows = np.repeat(np.arange(len(texts)), sizes)
+    out[rows, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return out
+
+
+def alignment_qualities(queries: list[str], titles: list[str]) -> np.ndarray:
+    """alignment_quality() of pairs, as arrays over all of them; 0 where there is none. The best gap before a place is the
+    largest of all earlier scores less their distance, which is a running maximum."""
+    out = np.zeros(len(queries), np.int64)
+    order = np.argsort([len(t) for t in titles], kind="stable")
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end - at + 1) * len(titles[order[end]]) <= _CELLS:
+            end += 1
+        own = order[at:end]
+        out[own] = _qualities([queries[k] for k in own], [titles[k] for k in own])
+        at = end
+    return out
+
+
+def _qualities(queries: list[str], titles: list[str]) -> np.ndarray:
+    width, long = max(1, *(len(t) for t in titles)), max(1, *(len(q) for q in queries))
+    title, query = _points(titles, width), _points(queries, long)
+    known, which = np.unique(title, return_inverse=True)
+    alnum = np.array([chr(c).isalnum() for c in known.tolist()])[which.reshape(title.shape)]
+    gain = np.full(title.shape, 24.0)
+    gain[:, 1:] = np.where(alnum[:, :-1], 16.0, 24.0)
+    place = np.arange(width)
+    here = np.where((title == query[:, :1]) & (title > 0), gain, -np.inf)
+    size = np.array([len(q) for q in queries])
+    for k in range(1, long):
+        reach = np.maximum.accumulate(here + place, axis=1)
+        best = np.full(title.shape, -np.inf)
+        best[:, 1:] = here[:, :-1] + 4
+        best[:, 2:] = np.maximum(best[:, 2:], reach[:, :-2] - place[2:] - 1)
+        after = np.where((title == query[:, k : k + 1]) & (title > 0), best + gain, -np.inf)
+        here = np.where((size > k)[:, None], after, here)
+    best = here.max(axis=1)
+    of = {q: alignment_full(q) for q in set(queries)}
+    full = np.array([of[q] for q in queries])
+    found = np.where(np.isfinite(best), best, 0)
+    quality = np.clip(np.rint(FULL_QUALITY * found / np.maximum(full, 1)), 1, FULL_QUALITY)
+    return np.where(size == 0, FULL_QUALITY, np.where(np.isfinite(best), quality, 0)).astype(np.int64)
+
+
+def ordered_pairs(text: Column) -> Column:
+    """The distinct pairs of characters, other than blanks, of which the first stands before the second somewhere, and
+    each character alone."""
+    letters = F.filter(F.split(text, ""), lambda c: F.trim(c) != "")
+    once, size, back = F.array_distinct(letters), F.size(letters), F.reverse(letters)
+    after = lambda a: F.filter(once, lambda b: F.array_position(letters, a) <= size - F.array_position(back, b))
+    return F.concat(once, F.flatten(F.transform(once, lambda a: F.transform(after(a), lambda b: F.concat(a, b)))))
 
 
 def fuzzy_candidates(queries: DataFrame, titles: DataFrame, title_col: str = "title") -> DataFrame:
     """(query_id, norm_query, all columns of titles, quality): titles that have the query's characters in its order,
     whatever case and accents.
 
-    Queries are broadcast in counted blocks, and titles stay where they are read: they are compared by a mask of their
-    characters, then by a pattern of the query's characters in order, both natively; only the rest are aligned, in Arrow
-    batches. So no task gets all titles that have a common character."""
-    texts = titles.withColumn("norm_title", normalized(F.col(title_col))).withColumn("title_mask", _mask("norm_title"))
+    A query meets the titles that have its rarest pair of neighbouring characters in this order (a query of one character
+    those that have it), by an equi-join; of these the ones with all characters in order, by a native pattern, are aligned
+    in Arrow batches, as arrays."""
+    texts = titles.withColumn("norm_title", normalized(F.col(title_col))).where(F.col("norm_title").isNotNull())
     asked = queries.select("query_id", normalized(F.trim("query_text")).alias("norm_query")).where(F.length("norm_query") > 0)
-    letters = F.filter(F.split("norm_query", ""), lambda c: F.trim(c) != "")
-    asked = asked.select("query_id", "norm_query", _mask("norm_query").alias("mask"), F.concat(F.lit("%"), F.array_join(F.transform(letters, lambda c: F.when(c.isin("%", "_", "\\"), F.concat(F.lit("\\"), c)).otherwise(c)), "%"), F.lit("%")).alias("in_order"))
-    holds = (F.col("title_mask").bitwiseAND(F.col("mask")) == F.col("mask")) & F.expr("norm_title LIKE in_order")
-    able = in_blocks(asked, lambda block: texts.join(block, holds).select("query_id", "norm_query", *titles.columns, "norm_title"))
+    asked = asked.withColumn("letters", F.filter(F.split("norm_query", ""), lambda c: F.trim(c) != ""))
+    pattern = F.concat(F.lit("%"), F.array_join(F.transform("letters", lambda c: F.when(c.isin("%", "_", "\\"), F.concat(F.lit("\\"), c)).otherwise(c)), "%"), F.lit("%"))
+    pairs = F.when(F.size("letters") > 1, F.array_distinct(F.transform(F.slice("letters", F.lit(1), F.size("letters") - 1), lambda c, i: F.concat(c, F.get(F.col("letters"), i + 1))))).otherwise(F.col("letters"))
+    asked = asked.select("query_id", "norm_query", pattern.alias("in_order"), pairs.alias("keys_"))
+    able = meet(texts, ordered_pairs(F.col("norm_title")), asked).where(F.expr("norm_title LIKE in_order")).select("query_id", "norm_query", *titles.columns, "norm_title")
 
     @F.pandas_udf("int")
     def quality(query: pd.Series, title: pd.Series) -> pd.Series:
-        return pd.Series([alignment_quality(q.replace(" ", ""), t) for q, t in zip(query, title, strict=True)], dtype="Int32")
+        return pd.Series(alignment_qualities(query.str.replace(" ", "").tolist(), title.tolist()), dtype="int32")
 
-    return able.withColumn("quality", quality("norm_query", "norm_title")).where(F.col("quality").isNotNull()).drop("norm_title")
+    return able.withColumn("quality", quality("norm_query", "norm_title")).where(F.col("quality") > 0).drop("norm_title")
 
 
 def best_field(candidates: DataFrame, keys: list[str], weights: dict[str, float]) -> DataFrame:

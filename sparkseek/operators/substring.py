@@ -1,4 +1,4 @@
-"""Substring search as an equi-join: rows and queries meet on the query's rarest gram, and what meets is verified."""
+"""Search as an equi-join: rows and queries meet on the query's rarest key, and what meets is verified."""
 
 from __future__ import annotations
 
@@ -33,11 +33,19 @@ def substring_matches(rows: DataFrame, queries: DataFrame) -> DataFrame:
     own = F.when(F.col("n_") == 0, grams(F.col("q"), 0))
     for n in range(1, GRAM + 1):
         own = own.when(F.col("n_") == n, grams(F.col("q"), n))
-    of_query = asked.select("query_id", "q", F.explode(own).alias("gram_"))
-    wanted = _small(of_query.select("gram_").distinct())
-    counted = rows.where(F.col("text").isNotNull()).select(F.explode(of(F.col("text"))).alias("gram_")).join(wanted, "gram_").groupBy("gram_").agg(F.count("*").alias("rows_"))
-    # a query with a gram that no text has can't match; its rarest is then that one, and joins with none
-    rarest = of_query.join(counted, "gram_", "left").groupBy("query_id", "q").agg(F.min(F.struct(F.coalesce("rows_", F.lit(0)).alias("n"), F.col("gram_"))).alias("r"))
-    chosen = _small(rarest.where("r.n > 0").select("query_id", "q", F.col("r.gram_").alias("gram_")))
-    met = rows.where(F.col("text").isNotNull()).withColumn("gram_", F.explode(of(F.col("text")))).join(chosen, "gram_")
-    return met.where(F.contains("text", F.col("q"))).drop("gram_")
+    met = meet(rows.where(F.col("text").isNotNull()), of(F.col("text")), asked.select("query_id", "q", own.alias("keys_")))
+    return met.where(F.contains("text", F.col("q")))
+
+
+def meet(rows: DataFrame, keys: Column, asked: DataFrame) -> DataFrame:
+    """Each row with each query of asked(query_id, ..., keys_) whose rarest key is among the row's keys. A query all of whose
+    keys a row has is with that row once; what a row must have besides is to be verified.
+
+    The keys that queries have are counted over the rows first. A query with a key that no row has meets none."""
+    columns = [c for c in asked.columns if c != "keys_"]
+    of_query = asked.select(*columns, F.explode("keys_").alias("key_"))
+    wanted = _small(of_query.select("key_").distinct())
+    counted = rows.select(F.explode(keys).alias("key_")).join(wanted, "key_").groupBy("key_").agg(F.count("*").alias("rows_"))
+    rarest = of_query.join(counted, "key_", "left").groupBy(*columns).agg(F.min(F.struct(F.coalesce("rows_", F.lit(0)).alias("n"), F.col("key_"))).alias("r"))
+    chosen = _small(rarest.where("r.n > 0").select(*columns, F.col("r.key_").alias("key_")))
+    return rows.withColumn("key_", F.explode(keys)).join(chosen, "key_").drop("key_")

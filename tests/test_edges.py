@@ -58,3 +58,21 @@ def test_substrings_meet_on_grams(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert substring_matches(rows, queries.limit(0)).count() == 0 and substring_matches(rows.limit(0), queries).count() == 0
+
+
+def test_fuzzy_candidates_against_the_plain_alignment(spark):
+    import random
+
+    from sparkseek.operators import fuzzy
+
+    rng = random.Random(8)
+    titles = ["".join(rng.choice("abc -é_%1") for _ in range(rng.randint(0, 14))) for _ in range(150)] + ["", " ", "a" * 300]
+    asked = ["a", "ab", "a b", "cab", "É1", "%", "_a", "zz", "a" * 20, "abcabc", " ", "b-"]
+    plain = lambda q, t: fuzzy.alignment_quality(q, t) or 0
+    pairs = [(q.replace(" ", ""), t) for q in asked for t in titles]
+    assert fuzzy.alignment_qualities(*map(list, zip(*pairs, strict=True))).tolist() == [plain(q, t) for q, t in pairs]
+    found = fuzzy.fuzzy_candidates(spark.createDataFrame([*enumerate(asked)], "query_id long, query_text string"), spark.createDataFrame([*enumerate(titles)], "id long, title string"))
+    fold = lambda s: s.strip().lower().replace("é", "e")
+    want = {(k, i, plain(fold(q).replace(" ", ""), t.lower().replace("é", "e"))) for k, q in enumerate(asked) if fold(q) for i, t in enumerate(titles)}
+    assert {(r.query_id, r.id, r.quality) for r in found.collect()} == {w for w in want if w[2]}
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
