@@ -276,7 +276,8 @@ def quiet_paths(events: DataFrame, quiet: str = "500 milliseconds") -> DataFrame
     so long after seen_at, with how many came since first_seen. Its state goes then. Time is that of the events; those without a path
     only tell the time, so that a last change isn't waited for."""
     at = F.timestamp_millis("seen_at") if events.schema["seen_at"].dataType.typeName() == "long" else F.col("seen_at")
-    timed = events.select("path", at.alias("seen_at")).withWatermark("seen_at", "0 seconds").where(F.col("path").isNotNull())
+    timed = events.select("path", at.alias("seen_at")).withWatermark("seen_at", "0 seconds")
+    timed = timed.where(F.when(F.col("seen_at").isNotNull(), F.col("path").isNotNull()))  # on the time too, else it is moved before the watermark
     bursts = timed.groupBy("path", F.session_window("seen_at", quiet).alias("w")).agg(F.count("*").alias("n"), F.max("seen_at").alias("seen_at"))
     return bursts.select("path", F.col("w.start").alias("first_seen"), "seen_at", "n")
 
