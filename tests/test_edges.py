@@ -75,4 +75,3 @@ def test_fuzzy_candidates_against_the_plain_alignment(spark):
     fold = lambda s: s.strip().lower().replace("é", "e")
     want = {(k, i, plain(fold(q).replace(" ", ""), t.lower().replace("é", "e"))) for k, q in enumerate(asked) if fold(q) for i, t in enumerate(titles)}
     assert {(r.query_id, r.id, r.quality) for r in found.collect()} == {w for w in want if w[2]}
-    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
