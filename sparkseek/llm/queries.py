@@ -62,12 +62,13 @@ def query(name: str, sql: str | None = None):
       SELECT doc_id, s.source, size, source_size, least(weight * level, most)::DOUBLE AS target,
              (sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS start
       FROM sized s JOIN weighed w ON s.source IS NOT DISTINCT FROM w.source CROSS JOIN level),
-    copies AS (SELECT *, unnest([0, 1]) AS copy, greatest(1, least(128, floor(target / 2000)))::BIGINT AS most FROM placed WHERE size > 0),
-    packets AS (SELECT *, unnest(range(0, size, most)) AS done FROM copies),
-    stream AS (
-      SELECT doc_id, least(most, size - done) AS words, sum(least(most, size - done)) OVER (
-        ORDER BY (start + copy * source_size + least(size, done + most))::DOUBLE / target, source IS NULL, encode(source), start + copy * source_size + done) AS upto
-      FROM packets),
+    copies AS (SELECT *, unnest([start, start + source_size])::BIGINT AS first FROM placed WHERE size > 0),
+    ends AS (
+      SELECT *, unnest(CASE WHEN first < target AND first + size > target
+        THEN list_distinct([floor(target)::BIGINT, floor(target)::BIGINT + 1, (first + size)::BIGINT]) ELSE [(first + size)::BIGINT] END) AS last
+      FROM copies),
+    pieces AS (SELECT *, last - coalesce(lag(last) OVER (PARTITION BY source, first ORDER BY last), first) AS words FROM ends WHERE last > first),
+    stream AS (SELECT doc_id, words, sum(words) OVER (ORDER BY last::DOUBLE / target, source IS NULL, encode(source), last) AS upto FROM pieces),
     mixed AS (
       SELECT doc_id, sum(greatest(0, least(words, (SELECT floor(1.5::DOUBLE * sum(size)) FROM sized) - upto + words)))::BIGINT AS taken FROM stream GROUP BY doc_id)
     SELECT doc_id, size, source_size::BIGINT AS source_size, round(target, 3) AS target, coalesce(taken, 0) AS taken

@@ -267,7 +267,7 @@ def test_language_of_held_out_documents(spark):
 # Mixing
 
 
-def brute_mix(rows, weights=(5, 2, 1), share=1.5, repeats=2, seed=17, quantum=128, packets_each=2000):
+def brute_mix(rows, weights=(5, 2, 1), share=1.5, repeats=2, seed=17):
     size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
     total = Counter()
     for n, (_, _, s) in zip(size, rows, strict=True):
@@ -282,27 +282,27 @@ def brute_mix(rows, weights=(5, 2, 1), share=1.5, repeats=2, seed=17, quantum=12
             break
         full |= over
     target = {s: float(repeats * total[s]) if s in full else weight[s] * level for s in order}
-    out, at, packets = {}, Counter(), []
+    out, at, stream = {}, Counter(), []
     key = lambda k: int(hashlib.md5(f"{seed}|{'' if rows[k][0] is None else rows[k][0]}".encode()).hexdigest()[:15], 16)
     for k in sorted(range(len(rows)), key=lambda k: (key(k), rows[k][0] is not None, rows[k][0], size[k])):
         s = rows[k][2]
         for copy in range(repeats):
-            most = max(1, min(quantum, int(target[s] / packets_each)))
-            for n in range(0, size[k], most):
-                end = at[s] + copy * total[s] + min(size[k], n + most)
-                packets.append((end / target[s], order.index(s), end, k, min(most, size[k] - n)))
+            first = at[s] + copy * total[s]
+            ends = {first + size[k]} | ({int(target[s]), int(target[s]) + 1} if first < target[s] < first + size[k] else set())
+            for end in sorted(ends - {first}):
+                stream.append((end / target[s], order.index(s), end, k, end - first))
+                first = end
         at[s] += size[k]
         out[k] = 0
     left = int(share * sum(size))
-    for *_, k, words in sorted(packets):
+    for *_, k, words in sorted(stream):
         out[k] += min(words, left)
         left -= min(words, left)
     return sorted([(rows[k][0], size[k], total[rows[k][2]], round(target[rows[k][2]], 6), out[k]) for k in out], key=str)
 
 
-@pytest.mark.parametrize(("quantum", "last", "span", "packets"), [(128, 20_000, 200_000, 2000), (128, 20_000, 200_000, 10), (4, 20_000, 200_000, 1), (4, 7, 50, 1)])
-def test_mix_against_brute_force(spark, quantum, last, span, packets, monkeypatch):
-    monkeypatch.setattr(mixing, "_PACKETS", packets)
+@pytest.mark.parametrize(("last", "span", "weights", "share"), [(20_000, 200_000, (5, 2, 1), 1.5), (7, 50, (5, 2, 1), 1.5), (7, 50, (3, 0.1), 0.7), (20_000, 50, (1,), 3.0)])
+def test_mix_against_brute_force(spark, last, span, weights, share, monkeypatch):
     monkeypatch.setattr(mixing, "_LAST", last)
     monkeypatch.setattr(mixing, "_RANGE", span)
     rng = np.random.default_rng(5)
@@ -310,25 +310,26 @@ def test_mix_against_brute_force(spark, quantum, last, span, packets, monkeypatc
     rows += [(1000, None, "a"), (1001, "", "empty"), (1002, " \n", None), (None, "one two", "a"), (None, "one two three", "b"), (1003, "long " * 900, "b")]
     docs = docs_of(spark, rows, ", source string")
     for frame in (docs, docs.repartition(5)):
-        got = [(r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in mixing.mix(frame, quantum=quantum).collect()]
-        assert sorted(got, key=str) == brute_mix(rows, quantum=quantum, packets_each=packets)
+        got = [(r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in mixing.mix(frame, weights=weights, share=share).collect()]
+        assert sorted(got, key=str) == brute_mix(rows, weights=weights, share=share)
 
 
 def test_mix_spends_the_budget_and_keeps_columns(spark):
     rows = [(k, "w " * (k % 17 + 3000 * (k == 7)), f"s{k % 5}", k) for k in range(400)]
-    mixed = mixing.mix(docs_of(spark, rows, ", source string, taken int"), quantum=8)
+    mixed = mixing.mix(docs_of(spark, rows, ", source string, taken int"))
     assert mixed.columns == ["doc_id", "text", "source", "size", "source_size", "target", "virtual_finish", "taken"]
     by_source = mixed.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
-    assert all(abs(r.t - r.g) <= 8 * len(by_source) for r in by_source)
+    assert all(abs(r.t - r.g) <= len(by_source) for r in by_source)
     assert sum(r.t for r in by_source) == sum(int(1.5 * sum(k % 17 + 3000 * (k == 7) for k in range(400))) for _ in "1")
     assert mixed.where("taken > 2 * size OR taken < 0").count() == 0
 
 
-def test_fair_stream_is_in_order_of_virtual_time_and_ends_at_the_budget(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "_PACKETS", 1)
-    queues = spark.createDataFrame([(0, "0a", 5, 9, 6.0, 0), (1, "0a", 4, 9, 6.0, 5), (2, "0b", 3, 3, 3.0, 0), (3, "0b", 0, 3, 3.0, 3)], "at long, source_key string, size long, source_size long, target double, start long")
-    got = sorted(mixing.fair_stream(queues, 9, 2, 2).collect(), key=lambda r: (r.virtual_finish, r.source_key, r.end))
-    assert [(r.at, r.copy, r.words, r.end) for r in got] == [(0, 0, 2, 2), (0, 0, 2, 4), (2, 0, 2, 2), (0, 0, 1, 5), (2, 0, 1, 3), (1, 0, 1, 7)]
+def test_fair_stream_is_in_order_of_virtual_time_and_ends_at_the_budget(spark):
+    queues = spark.createDataFrame([(0, "0a", 5, 9, 6.5, 0), (1, "0a", 4, 9, 6.5, 5), (2, "0b", 3, 3, 2.5, 0), (3, "0b", 0, 3, 2.5, 3)], "at long, source_key string, size long, source_size long, target double, start long")
+    stream = lambda budget: [(r.at, r.copy, r.words, r.end) for r in sorted(mixing.fair_stream(queues, budget, 2).collect(), key=lambda r: (r.virtual_finish, r.source_key, r.end))]
+    assert stream(9) == [(0, 0, 5, 5), (2, 0, 2, 2), (1, 0, 1, 6), (1, 0, 1, 7)]
+    assert stream(4) == [(0, 0, 4, 5)]
+    assert sum(words for _, _, words, _ in stream(1000)) == 24
 
 
 def test_mix_of_hot_and_empty_tables(spark):
