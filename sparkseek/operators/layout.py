@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,48 +29,49 @@ def ocr_reading_text(ocr_rows: DataFrame, min_conf: float = 50, max_boxes: int =
     return text, boxes
 
 
-LAYOUT = "doc_id long, page int, line int, word int, text string, left double, right double, top double, bottom double, truncated boolean"
+BLANK = r"^[\s\x0b\x1c-\x1f\x85\p{Z}]+$"
+_LINE = "line int, middle double, height double, edge double, ended boolean, words array<struct<at int, line int>>"
 
 
 def page_layout(glyphs: DataFrame, max_glyphs: int = 20_000, max_words: int = 4_000) -> DataFrame:
-    """Words and lines of glyphs(doc_id, page, seq, ch, left, right, top, bottom), as LAYOUT. A line ends at a line end,
-    or where a glyph's middle is off the line's by 0.6 of its height; a word ends at a blank, or at a gap over 0.25 of
-    it. Pages beyond a cap are marked truncated. One page is one group: what a line is compared with is carried along
-    it, which lag alone can't say; max_glyphs bounds it."""
+    """(doc_id, page, line, word, text, left, right, top, bottom, truncated): words and lines of glyphs(doc_id, page, seq,
+    ch, left, right, top, bottom). A line ends at a line end, or where a glyph's middle is off the line's by 0.6 of its
+    height; a word ends at a blank, or at a gap over 0.25 of it. Pages beyond a cap are marked truncated; glyphs without
+    a character are none.
+
+    One page is one group, which max_glyphs bounds: its glyphs are folded in order, with the middle and height that a
+    line is compared with, the right edge of the word so far and where words began. A word is the slice of glyphs up to
+    the next one's."""
     order = Window.partitionBy("doc_id", "page").orderBy("seq")
-    kept = glyphs.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_glyphs + 1)
-
-    def lay_out(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("seq")
-        cut = len(page) > max_glyphs
-        words, line, ref, word, new = [], 0, None, None, False
-        for g in page.head(max_glyphs).itertuples():
-            if g.ch in "\r\n":
-                new, word = new or ref is not None, None
-                continue
-            if g.ch.isspace():
-                word = None
-                continue
-            height, middle = max(g.bottom - g.top, 1e-9), (g.top + g.bottom) / 2
-            if ref is not None and (new or abs(middle - ref[0]) > 0.6 * ref[1]):
-                line, ref, word = line + 1, None, None
-            new = False
-            if ref is None:
-                ref = (middle, height)
-            if word is not None and g.left - word[3] > 0.25 * ref[1]:
-                word = None
-            if word is None:
-                if len(words) == max_words:
-                    cut = True
-                    break
-                word = [line, "", g.left, g.right, g.top, g.bottom]
-                words.append(word)
-            word[1] += g.ch
-            word[2:] = [min(word[2], g.left), max(word[3], g.right), min(word[4], g.top), max(word[5], g.bottom)]
-        out = pd.DataFrame(words, columns=["line", "text", "left", "right", "top", "bottom"])
-        return out.assign(doc_id=page["doc_id"].iloc[0], page=page["page"].iloc[0], word=range(len(out)), truncated=cut)[[c.split()[0] for c in LAYOUT.split(", ")]]
-
-    return kept.groupBy("doc_id", "page").applyInPandas(lay_out, LAYOUT)
+    kept = glyphs.where(F.length("ch") > 0).withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_glyphs + 1)
+    pages = kept.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("n", "ch", "left", "right", "top", "bottom"))).alias("all"))
+
+    def follow(so_far: Column, g: Column) -> Column:
+        begun = so_far["middle"].isNotNull()
+        height, middle = F.greatest(g["bottom"] - g["top"], F.lit(1e-9)), (g["top"] + g["bottom"]) / 2
+        moved = begun & (so_far["ended"] | F.coalesce(F.abs(middle - so_far["middle"]) > 0.6 * so_far["height"], F.lit(False)))
+        first = ~begun | moved
+        used = F.when(first, height).otherwise(so_far["height"])
+        line = so_far["line"] + moved.cast("int")
+        opens = first | so_far["edge"].isNull() | F.coalesce(g["left"] - so_far["edge"] > 0.25 * used, F.lit(False))
+        edge = F.when(opens, g["right"]).otherwise(F.greatest(so_far["edge"], g["right"]))
+        words = F.when(opens & (F.size(so_far["words"]) <= max_words), F.array_append(so_far["words"], F.struct(g["n"].alias("at"), line.alias("line")))).otherwise(so_far["words"])
+        on = lambda **new: F.struct(*(new.get(c, so_far[c]).alias(c) for c in (f.split()[0] for f in _LINE.split(", ")[:5])), new.get("words", so_far["words"]).alias("words"))
+        none = F.lit(None).cast("double")
+        shown = on(line=line, middle=F.when(first, middle).otherwise(so_far["middle"]), height=used, edge=edge, ended=F.lit(False), words=words)
+        return F.when(g["ch"].isin("\r", "\n", "\r\n"), on(edge=none, ended=so_far["ended"] | begun)).when(g["ch"].rlike(BLANK), on(edge=none)).otherwise(shown)
+
+    start = F.from_json(F.lit('{"line": 0, "ended": false, "words": []}'), _LINE)
+    within = pages.withColumn("glyphs", F.slice("all", 1, max_glyphs)).withColumn("found", F.aggregate("glyphs", start, follow, lambda end: end["words"]))
+    stop = lambda k: F.coalesce(F.get("found", k + 1)["at"], F.size("glyphs") + 1)
+    words = F.transform(F.slice("found", 1, max_words), lambda w, k: F.struct(w["line"].alias("line"), k.alias("word"), F.slice("glyphs", w["at"], stop(k) - w["at"]).alias("glyphs")))
+    cut = (F.size("all") > max_glyphs) | (F.size("found") > max_words)
+    each = within.select("doc_id", "page", F.explode(words).alias("w"), cut.alias("truncated"))
+    inked = each.select("doc_id", "page", "w.line", "w.word", F.filter("w.glyphs", lambda g: ~g["ch"].rlike(BLANK)).alias("g"), "truncated")
+    return inked.select(
+        "doc_id", "page", "line", "word", F.array_join("g.ch", "").alias("text"), F.array_min("g.left").alias("left"), F.array_max("g.right").alias("right"),
+        F.array_min("g.top").alias("top"), F.array_max("g.bottom").alias("bottom"), "truncated",
+    )
 
 
 def span_boxes(words: DataFrame, terms: DataFrame, jump: float = 2.0, max_boxes: int = 400, stem: bool = True) -> DataFrame:

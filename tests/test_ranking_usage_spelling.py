@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkseek.operators import fuzzy, ranking, spelling, usage
-from sparkseek.operators.spelling import osa_distance
 from sparkseek.plans.root_search import Source, Sources, contract, gate_sources
 
 
@@ -157,19 +156,67 @@ def test_pins_and_stores(spark):
     assert [r.name for r in usage.namespaces(ids).collect()] == ["a", "b"]
 
 
-def test_osa():
-    pairs = [("", "", 0), ("abc", "", 3), ("cat", "cab", 1), ("cat", "cats", 1), ("recieve", "receive", 1), ("teh", "the", 1), ("ca", "abc", 3)]
-    assert all(osa_distance(a, b) == osa_distance(b, a) == d for a, b, d in pairs)
-
-
-def test_corrections_against_brute_force(spark):
+def osa_distance(a, b):
+    before, last = None, list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            best = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (x != y))
+            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, before[j - 2] + 1)
+            now.append(best)
+        before, last = last, now
+    return last[-1]
+
+
+def edited(rng, word, letters, n):
+    for _ in range(n):
+        i = rng.randrange(len(word)) if word else 0
+        kind = rng.randrange(4)
+        if kind == 0:
+            word = word[:i] + rng.choice(letters) + word[i:]
+        elif kind == 1:
+            word = word[:i] + word[i + 1 :]
+        elif kind == 2:
+            word = word[:i] + rng.choice(letters) + word[i + 1 :]
+        else:
+            word = word[:i] + word[i : i + 2][::-1] + word[i + 2 :]
+    return word
+
+
+def test_edits(spark):
+    rng = random.Random(4)
+    pairs = [("", ""), ("abc", ""), ("cat", "cab"), ("recieve", "receive"), ("teh", "the"), ("ca", "abc"), ("abcd", "badc"), ("ab", "ba"), ("aab", "aba"), ("é日", "日é")]
+    for _ in range(600):
+        word = "".join(rng.choices("ab", k=rng.randint(0, 8)))
+        pairs.append((word, edited(rng, word, "ab", rng.randint(0, 3))))
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", spelling.edits(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [r.d for r in got] == [d if (d := osa_distance(r.a, r.b)) <= 2 else None for r in got]
+
+
+@pytest.mark.parametrize(("letters", "shortest", "longest"), [("abc", 1, 7), ("ab", 10, 16), ("abcdefé", 20, 60)])
+def test_corrections_against_brute_force(spark, letters, shortest, longest):
     rng = random.Random(3)
-    words = sorted({"".join(rng.choices("abc", k=rng.randint(1, 7))) for _ in range(150)})
+    words = sorted({"".join(rng.choices(letters, k=rng.randint(shortest, longest))) for _ in range(150)})
     vocab = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, rank int")
-    typed = sorted({"".join(rng.choices("abc", k=rng.randint(1, 7))) for _ in range(40)})
+    typed = sorted({edited(rng, rng.choice(words), letters, rng.randint(0, 3)) for _ in range(60)} | {""})
     got = sorted((r.word, r.correction, r.distance) for r in spelling.corrections(spark.createDataFrame([(w,) for w in typed], "word string"), vocab, limit=10_000).collect())
-    want = sorted((t, w, osa_distance(t, w)) for t in typed for w in words if osa_distance(t, w) <= (1 if len(t) <= 4 else 2))
-    assert got == want
+    want = sorted((t, w, osa_distance(t, w)) for t in typed if t for w in words if osa_distance(t, w) <= (1 if len(t) <= 4 else 2))
+    assert got == want and want
+
+
+def test_swaps_over_the_borders_of_segments(spark):
+    known = ["abcdefghijklmno", "abcdefghijklmnop", "k" * 3000 + "xyz" * 1000]
+    typed = []
+    for word in known:
+        one, two = len(word) // 3, len(word) * 2 // 3
+        flip = lambda w, at: w[: at - 1] + w[at] + w[at - 1] + w[at + 1 :]
+        typed += [flip(word, one), flip(flip(word, one), two), "q" + flip(word, two), flip(word, one)[:-1]]
+    vocab = spark.createDataFrame([(w, i) for i, w in enumerate(known)], "word string, rank int")
+    plan = spelling.corrections(spark.createDataFrame([(w,) for w in typed], "word string"), vocab)
+    got = {(r.word, r.correction) for r in plan.collect()}
+    assert {(t, known[k // 4]) for k, t in enumerate(typed)} <= got
+    assert "Python" not in plan._jdf.queryExecution().toString()
 
 
 def test_completions_suggestions_and_fill(spark):
