@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.llm.common import cut, fresh, table
+from sparkseek.llm.common import cut, fresh, scratch, table
 from sparkseek.llm.decontaminate import contaminated
 from sparkseek.llm.language_id import FINE, identify, learned, train_prototypes
 from sparkseek.llm.line_dedup import dedup_lines
@@ -66,8 +66,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. Tables of earlier stages, and what stages wrote on the way, are deleted at the end."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
-    return docs
+    with scratch(spark) as kept:
+        for _, stage in STAGES[:-1]:
+            docs = cut(stage(spark, docs, sf_dir))
+        return kept(STAGES[-1][1](spark, docs, sf_dir))
