@@ -1,75 +1,104 @@
-"""File catalogs: a data source that lists file systems, and what is derived from a listing."""
+"""File catalogs: listings of file systems, and what is derived from them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-CATALOG = "path string, name string, parent string, is_dir boolean, size long, created double, modified double"
-
-
-class _Subtree(InputPartition):
-    def __init__(self, path: str, deep: bool):
-        self.path, self.deep = path, deep
-
-
-class _CatalogReader(DataSourceReader):
-    def __init__(self, options):
-        self.roots = [r for r in options.get("roots", "").split("\n") if r]
-
-    def partitions(self):
-        """A partition for each folder right below a root, and one for what the root itself has."""
-        import os
 
-        parts = []
-        for root in self.roots:
-            parts.append(_Subtree(root, False))
-            try:
-                parts += [_Subtree(e.path, True) for e in os.scandir(root) if e.is_dir(follow_symlinks=False)]
-            except OSError:
-                continue
-        return parts
+from sparkseek.functions.storage import shared_dir
 
-    def read(self, partition):
-        import os
-
-        def rows(folder, deep):
-            try:
-                entries = list(os.scandir(folder))
-            except OSError:
-                return
-            for e in entries:
-                try:
-                    stat, is_dir = e.stat(follow_symlinks=False), e.is_dir(follow_symlinks=False)
-                except OSError:
-                    continue
-                yield e.path, e.name, folder, is_dir, 0 if is_dir else stat.st_size, getattr(stat, "st_birthtime", stat.st_ctime), stat.st_mtime
-                if deep and is_dir:
-                    yield from rows(e.path, True)
-
-        yield from rows(partition.path, partition.deep)
-
-
-class CatalogSource(DataSource):
-    """spark.read.format("file_catalog").option("roots", "/a\\n/b"): metadata of files, symbolic links not followed."""
-
-    @classmethod
-    def name(cls):
-        return "file_catalog"
-
-    def schema(self):
-        return CATALOG
+CATALOG = "path string, name string, parent string, is_dir boolean, size long, created double, modified double"
 
-    def reader(self, schema):
-        return _CatalogReader(self.options)
 
 
-def scan_catalog(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """CATALOG of all that is below the roots, each path once even if roots overlap. The folders must be reachable by
-    driver and executors alike."""
-    spark.dataSource.register(CatalogSource)
-    return spark.read.format("file_catalog").option("roots", "\n".join(roots)).load().dropDuplicates(["path"])
+def list_folder(folder: str) -> list[tuple]:
+    """CATALOG rows right in a folder, none where it can't be read. A path with a scheme, such as s3:// or hdfs://, goes
+    through Arrow's file systems; its rows have URIs, and created is modified. Symbolic links aren't followed."""
+    import os
+    from urllib.parse import quote
+
+    rows = []
+    try:
+        if "://" in folder:
+            from pyarrow import fs
+
+            system, path = fs.FileSystem.from_uri(folder)
+            for info in system.get_file_info(fs.FileSelector(path)):
+                modified = info.mtime.timestamp() if info.mtime else 0.0
+                is_dir = info.type == fs.FileType.Directory
+                rows.append((f"{folder.rstrip('/')}/{quote(info.base_name)}", info.base_name, folder, is_dir, 0 if is_dir else info.size or 0, modified, modified))
+            return rows
+        entries = list(os.scandir(folder))
+    except OSError:
+        return rows
+    for e in entries:
+        try:
+            stat, is_dir = e.stat(follow_symlinks=False), e.is_dir(follow_symlinks=False)
+        except OSError:
+            continue
+        rows.append((e.path, e.name, folder, is_dir, 0 if is_dir else stat.st_size, getattr(stat, "st_birthtime", stat.st_ctime), stat.st_mtime))
+    return rows
+
+
+_ROUND = f"{CATALOG}, level int, listed boolean"
+#: Folders that a task lists in a round at most, besides those that it is given: one in the first, then four times more.
+_MOST = 4096
+
+
+def _walk(depth: int | None, endings: list[str] | None, most: int):
+    import re
+
+    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left, rows = most, []
+        columns = [c.split()[0] for c in _ROUND.split(", ")]
+        for batch in batches:
+            for given in zip(batch["path"], batch["level"], strict=True):
+                waiting = [given]
+                while waiting:
+                    folder, level = waiting.pop()
+                    for row in list_folder(folder):
+                        deeper = row[3] and (depth is None or level + 1 < depth)
+                        if deeper and left > 0:
+                            left -= 1
+                            waiting.append((row[0], level + 1))
+                            deeper = False
+                        ending = re.search(r"[^/]\.([^./]+)$", row[1])
+                        if row[3] or endings is None or (ending and ending[1].lower() in endings):
+                            rows.append((*row, level + 1, not deeper))
+                    if len(rows) >= 10_000:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+    return rows_of
+
+
+def scan_catalog(spark: SparkSession, roots: list[str], depth: int | None = None, extensions: list[str] | None = None) -> DataFrame:
+    """CATALOG of all that is below the roots, each path once even if roots overlap; with depth, of that many levels only,
+    and with extensions, of folders and files with one of them. Executors must reach the folders.
+
+    Folders are listed in rounds. A task lists what it is given and goes on below until it has listed enough; folders
+    that are left are dealt to all tasks in the next round, so a deep or wide folder doesn't stay with one. Rounds are
+    kept in the shared folder, so a lost executor costs the folders of a task. It lists when it is called."""
+    tops = [r.rstrip("/") or "/" for r in dict.fromkeys(roots)]
+    if depth is None:  # what is below another root is listed with that
+        tops = [r for r in tops if not any(r != top and r.startswith(top.rstrip("/") + "/") for top in tops)]
+    endings = None if extensions is None else [e.lower() for e in extensions]
+    path, k, most = shared_dir(spark), 0, 1
+    frontier = spark.createDataFrame([(r, 0) for r in dict.fromkeys(tops)], "path string, level int")
+    while True:
+        dealt = frontier.repartition(spark.sparkContext.defaultParallelism)
+        dealt.mapInPandas(_walk(depth, endings, most - 1), _ROUND).write.parquet(f"{path}/round={k}")
+        frontier = spark.read.parquet(f"{path}/round={k}").where("NOT listed").select("path", "level")
+        if frontier.isEmpty():
+            break
+        k, most = k + 1, min(4 * most, _MOST)
+    found = spark.read.schema(f"{_ROUND}, round int").parquet(path)
+    return found.dropDuplicates(["path"]).select(*(c.split()[0] for c in CATALOG.split(", ")))
 
 
 def extension(path: Column) -> Column:

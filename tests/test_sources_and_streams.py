@@ -38,6 +38,24 @@ def test_catalog(spark, tree):
     assert sorted(r.path[len(tree) :] for r in chosen.collect()) == ["/.d.txt", "/.hid/a.txt", "/_c.txt", "/docs/deep/er/x.md", "/docs/y.MD"]
 
 
+def test_catalog_of_deep_and_wide_folders_by_depth_and_ending(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "_MOST", 2)
+    deep = tmp_path / "deep"
+    (deep / "/".join(f"d{k}" for k in range(12))).mkdir(parents=True)
+    for k in range(40):
+        (deep / f"wide/{k}/x y").mkdir(parents=True)
+        (deep / f"wide/{k}/x y/f{k}.{'TXT' if k % 2 else 'md'}").write_text("a" * k)
+    every = {str(p): (p.is_dir(), 0 if p.is_dir() else p.stat().st_size) for p in deep.rglob("*")}
+    got = files.scan_catalog(spark, [str(deep), f"{deep}/wide", f"{deep}/"]).collect()
+    assert {r.path: (r.is_dir, r.size) for r in got} == every and len(got) == len(every)
+    below = lambda p: p[len(str(deep)) :].count("/")
+    shallow = files.scan_catalog(spark, [str(deep)], depth=4, extensions=["txt"]).collect()
+    assert {r.path for r in shallow} == {p for p, (is_dir, _) in every.items() if below(p) <= 4 and (is_dir or p.endswith(".TXT"))}
+    remote = files.scan_catalog(spark, [deep.as_uri()]).collect()
+    assert {(r.path, r.is_dir, r.size) for r in remote} == {(f"{deep.as_uri()}{p[len(str(deep)) :].replace(' ', '%20')}", *v) for p, v in every.items()}
+    assert files.scan_catalog(spark, [f"{tmp_path}/none"]).count() == 0
+
+
 def test_annotations(spark):
     rows = [("a.rs", False, False, True, "code", "Rust Source"), ("archive.zip", False, False, False, "archive", "Archive"), (".hid/b.txt", False, True, True, "docs", "Text File"), ("Dockerfile", False, False, True, "code", "File"), ("d", True, False, False, "other", "Folder"), (".env", False, True, True, "other", "Env File"), ("x.tar", False, False, False, "archive", "Archive")]
     df = spark.createDataFrame([("/r/" + p, p.rpartition("/")[2], d, h, pre, c, k) for p, d, h, pre, c, k in rows], "path string, name string, is_dir boolean, h boolean, p boolean, c string, k string")
