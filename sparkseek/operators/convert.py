@@ -164,3 +164,60 @@ def convert_zones(df: DataFrame, zones: DataFrame, wall_col: str = "wall", from_
     exists = there(F.lit("UTC"), F.col("from_zone"), utc) == F.col(wall_col)
     known = F.col("from_zone").isNotNull() & F.col("to_zone").isNotNull()
     return resolved.withColumn("converted", F.when(known & exists, there(F.col("from_zone"), F.col("to_zone"), F.col(wall_col)))).drop("from_zone", "to_zone")
+
+
+# Months of a year.
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+
+
+def date_phrases(df: DataFrame, zones: DataFrame, phrase_col: str = "phrase", now_col: str = "now") -> DataFrame:
+    """df with kind and title of what a phrase asks at the time now (TIMESTAMP), both null for any other phrase.
+
+    shift: now, today or tomorrow, or "now + 3 weeks" with up to five digits: the day, with a clock for hours and minutes.
+    until: "days until" a day as 2026-12-25, 12/25, dec 25 or 25 dec: days to it, or to the next such day if it has no
+    year. zone: "time in tokyo", "3pm est in cet", "utc to utc+2": the clock there. A time without a zone is the
+    session's, a zone without a time means now, and a time is on the day that its own zone has. Names of months have
+    three letters or more; a number alone is no time."""
+    df = df.select(F.struct("*").alias("row_"), F.trim(F.regexp_replace(phrase_col, r"\s+", " ")).alias("said_"), F.col(now_col).alias("now_"))
+    said, now, local = F.col("said_"), F.col("now_"), F.current_timezone()
+    q = F.lower(said)
+    part = lambda pattern, k, text=q: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+    number = lambda c: c.try_cast("int")
+
+    moved = r"^(now|today|tomorrow)(?: ?([+-]) ?(\d{1,5}) ([a-z]+))?$"
+    base, count = part(moved, 1), number(part(moved, 3))
+    rows = df.withColumns({
+        "at_": F.when(base == "tomorrow", now + F.make_interval(days=F.lit(1))).when(base.isNotNull(), now),
+        "n_": F.when(part(moved, 2) == "-", -count).otherwise(count).cast("long"), "unit_": part(moved, 4),
+    })
+    shifted = shift_dates(rows, "at_", "n_", "unit_").withColumn("moved_", F.when(F.col("unit_").isNull(), F.date_format("at_", "EEE, MMM d yyyy HH:mm")).when(F.col("shifted").isNotNull(), F.col("label")))
+
+    day = part("^days until (.+)$", 1)
+    slash, first, second = r"^(\d{1,2}) ?/ ?(\d{1,2})$", r"^([a-z]{3,9}) (\d{1,2})$", r"^(\d{1,2}) ([a-z]{3,9})$"
+    name = F.coalesce(part(first, 1, day), part(second, 2, day))
+    of_name = F.array_position(F.transform(F.array(*map(F.lit, MONTHS)), lambda m: F.startswith(m, name)), F.lit(True)).cast("int")
+    iso = F.when(day.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(day, "yyyy-M-d"))
+    due = days_until(shifted.drop("shifted", "label").withColumns({
+        "today_": now.cast("date"), "month_": F.coalesce(number(part(slash, 1, day)), F.nullif(of_name, F.lit(0))),
+        "day_": number(F.coalesce(part(slash, 2, day), part(first, 2, day), part(second, 1, day))),
+    }), "today_", "month_", "day_")
+    n = F.coalesce(F.datediff(iso, "today_"), F.col("days"))
+    until = F.when(n == 0, "today").when(n == 1, "1 day").when(n < 0, F.concat((-n).cast("string"), F.lit(" days ago"))).otherwise(F.concat(n.cast("string"), F.lit(" days")))
+    counted = due.withColumn("until_", F.when(n.isNotNull(), until))
+
+    clock = r"(?i)^(?:(\d{1,2})(?::(\d{1,2}))? ?(am|pm)?(?: |$))?(?:(.*?) )??(?:in|to) (.+)$"
+    hour, minute, half = number(part(clock, 1, said)), number(part(clock, 2, said)), F.lower(part(clock, 3, said))
+    of_day = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
+    timed, sound = hour.isNotNull(), (minute.isNotNull() | half.isNotNull()) & (of_day < 24) & (F.coalesce(minute, F.lit(0)) < 60)
+    place = part(clock, 4, said)
+    here = place.isNull() | (~timed & F.lower(place).isin("time", "now"))
+    asked = counted.withColumns({"src_": F.when(here, local).otherwise(place), "dst_": part(clock, 5, said)})
+    there = F.convert_timezone(local, F.coalesce("from_", local), now.cast("timestamp_ntz"))
+    midnight = F.date_trunc("day", there).cast("timestamp_ntz")
+    wall = F.when(~timed, there).when(sound, midnight + F.make_dt_interval(hours=of_day, mins=F.coalesce(minute, F.lit(0))))
+    walls = resolve_zone(asked, "src_", zones, "from_").withColumn("from_", F.when(here, local).otherwise(F.col("from_"))).withColumn("wall_", F.when(F.col("from_").isNotNull(), wall))
+    named = walls.withColumn("src_", F.when(here, F.lit("utc+0")).otherwise(F.col("src_")))
+    utc = F.when(here, F.convert_timezone(local, F.lit("UTC"), F.col("wall_"))).otherwise(F.col("wall_"))
+    clocks = convert_zones(named.withColumn("wall_", utc), zones, "wall_", "src_", "dst_").withColumn("zone_", F.date_format("converted", "HH:mm"))
+    kind = F.when(F.col("moved_").isNotNull(), "shift").when(F.col("until_").isNotNull(), "until").when(F.col("zone_").isNotNull(), "zone")
+    return clocks.select("row_.*", kind.alias("kind"), F.coalesce("moved_", "until_", "zone_").alias("title"))

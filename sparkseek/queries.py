@@ -761,6 +761,25 @@ def tz_convert(spark, d):
     return convert.convert_zones(rows, convert.zone_table(spark)).select("o_orderkey", "converted")
 
 
+@query("date_phrases", """WITH o AS (SELECT o_orderkey, o_orderkey % 29 + 1 AS k, o_orderkey % 12 + 1 AS m, o_orderdate + to_hours(o_orderkey % 24) AS t FROM orders),
+c AS (SELECT *, make_date(year(t), m, 1 + k % 28) AS this, make_date(year(t) + 1, m, 1 + k % 28) AS following FROM o),
+u AS (SELECT *, CASE WHEN this >= t::DATE THEN this - t::DATE ELSE following - t::DATE END AS days, date_trunc('day', timezone('America/New_York', timezone('UTC', t))) + to_hours(k % 11 + 13) AS wall FROM c)
+SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'shift' WHEN 1 THEN 'shift' WHEN 2 THEN 'shift' WHEN 3 THEN 'until' WHEN 4 THEN 'until' WHEN 5 THEN 'zone' WHEN 6 THEN 'zone' END AS kind,
+  CASE o_orderkey % 7 WHEN 0 THEN strftime(t + to_weeks(k::INT), '%a, %b %-d %Y') WHEN 1 THEN strftime(t + to_days(1) - to_months(k::INT), '%a, %b %-d %Y') WHEN 2 THEN strftime(t + to_minutes(k), '%a, %b %-d %Y %H:%M')
+    WHEN 5 THEN strftime(timezone('Asia/Tokyo', timezone('UTC', t)), '%H:%M') WHEN 6 THEN strftime(timezone('Asia/Kolkata', timezone('America/New_York', wall)), '%H:%M')
+    ELSE CASE days WHEN 0 THEN 'today' WHEN 1 THEN '1 day' ELSE days || ' days' END END AS title FROM u""")
+def date_phrases(spark, d):
+    """Phrases made of the numbers of orders, asked when they were placed."""
+    k, month, n = F.col("o_orderkey") % 29 + 1, F.col("o_orderkey") % 12 + 1, (F.col("o_orderkey") % 7).cast("int")
+    day = (k % 28 + 1).cast("string")
+    said = F.array(
+        F.format_string("now + %d weeks", k), F.format_string("Tomorrow -%d months", k), F.format_string("now+ %d min", k), F.format_string("days until %d/%s", month, day),
+        F.concat(F.lit("days until "), F.get(F.array(*map(F.lit, convert.MONTHS)), (month - 1).cast("int")), F.lit(" "), day), F.lit("time in tokyo"), F.format_string("%dpm est in mumbai", k % 11 + 1))
+    placed = F.col("o_orderdate").cast("timestamp") + F.make_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+    rows = table(spark, d, "orders").select("o_orderkey", placed.alias("now"), F.get(said, n).alias("phrase"))
+    return convert.date_phrases(rows, convert.zone_table(spark)).select("o_orderkey", "kind", "title")
+
+
 # Catalogs
 
 PACKAGES = """cat AS (SELECT p_name || ' ' || p_partkey AS name, p_size % 4 || '.' || p_partkey % 12 || CASE WHEN p_partkey % 9 = 0 THEN '' ELSE '.' || p_size END AS version, (p_size % 3)::INTEGER AS api, p_partkey FROM part),

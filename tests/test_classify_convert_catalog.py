@@ -77,6 +77,25 @@ def test_zones(spark):
     assert all(r.got == r.want for r in labels.collect())
 
 
+def test_date_phrases(spark):
+    now = datetime.datetime(2026, 7, 1, 14, 30)
+    rows = {
+        "now": ("shift", "Wed, Jul 1 2026 14:30"), " Tomorrow ": ("shift", "Thu, Jul 2 2026 14:30"), "now + 3 weeks": ("shift", "Wed, Jul 22 2026"), "now+3  weeks": ("shift", "Wed, Jul 22 2026"),
+        "today - 45 days": ("shift", "Sun, May 17 2026"), "tomorrow + 2 months": ("shift", "Wed, Sep 2 2026"), "now - 90 min": ("shift", "Wed, Jul 1 2026 13:00"), "now + 1 hr": ("shift", "Wed, Jul 1 2026 15:30"),
+        "now + 3 parsecs": (None, None), "now + 3": (None, None), "yesterday": (None, None), "now + 999999 years": (None, None), "": (None, None),
+        "days until dec 25": ("until", "177 days"), "days until 25 December": ("until", "177 days"), "days until 12/25": ("until", "177 days"), "days until 2026-06-29": ("until", "2 days ago"),
+        "days until jul 2": ("until", "1 day"), "days until july 1": ("until", "today"), "days until 2026-07-01": ("until", "today"), "days until ju 4": (None, None), "days until feb 30": (None, None), "days until mayhem 3": (None, None),
+        "time in Tokyo": ("zone", "23:30"), "time in utc+2": ("zone", "16:30"), "3pm EST in CET": ("zone", "21:00"), "15:30 tokyo in utc": ("zone", "06:30"), "3 pm in cet": ("zone", "17:00"), "12am in utc+1": ("zone", "01:00"),
+        "utc to utc+2": ("zone", "16:30"), "now to tokyo": ("zone", "23:30"), "to new york": ("zone", "10:30"), "9:05am Europe/Oslo to utc": ("zone", "07:05"),
+        "5 usd to eur": (None, None), "5km to mi": (None, None), "3 in cet": (None, None), "25:00 in cet": (None, None), "3:75pm in cet": (None, None), "time in nowhere": (None, None), "in": (None, None),
+    }
+    frame = spark.createDataFrame([(p, now, 1) for p in rows] + [(None, now, 1), ("now", None, 1)], "phrase string, now timestamp, days int")
+    got = convert.date_phrases(frame, convert.zone_table(spark))
+    assert got.columns == ["phrase", "now", "days", "kind", "title"] and got.where("days <> 1").count() == 0
+    assert [(r.phrase, r.kind, r.title) for r in got.collect() if r.phrase is None or r.now is None] in ([(None, None, None), ("now", None, None)], [("now", None, None), (None, None, None)])
+    assert {r.phrase: (r.kind, r.title) for r in got.where("phrase IS NOT NULL AND now IS NOT NULL").collect()} == rows
+
+
 def test_versions_and_catalogs(spark):
     rows = [("1.2.0", "1.1.9", True), ("1.10", "1.9", True), ("1.0", "1.0.0", False), ("v2", "1.9", True), ("1.0", "1.0.1", False), ("1.0-b", "1.0", True), ("1.0-b", "1.0-b", False)]
     df = spark.createDataFrame(rows, "a string, b string, want boolean")
