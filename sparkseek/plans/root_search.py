@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkseek.functions.storage import written
 from sparkseek.operators.classify import utf8_cut
 from sparkseek.operators.ranking import compose_score, dedup_results, explain_scores, fill_when_sparse, gather, pin_bonus, top_results, usage_bonus
 
@@ -39,8 +40,20 @@ class Sources:
         self.by_name[source.name] = source
         return source
 
-    def candidates(self, queries: DataFrame, scope: str | None = None) -> DataFrame | None:
-        found = [contract(s.name, s.run(gate_sources(queries, s, scope))) for s in self.by_name.values() if scope in (None, s.name)]
+    def candidates(self, queries: DataFrame, scope: str | None = None, failed: dict[str, str] | None = None) -> DataFrame | None:
+        """What sources give, as one plan. With failed, each source runs on its own and its rows are written to the
+        shared folder; one that fails, when it is planned or when it runs, gives no rows and its error goes into failed."""
+        found = []
+        for s in self.by_name.values():
+            if scope not in (None, s.name):
+                continue
+            try:
+                rows = contract(s.name, s.run(gate_sources(queries, s, scope)))
+                found.append(rows if failed is None else written(rows))
+            except Exception as error:
+                if failed is None:
+                    raise
+                failed[s.name] = str(error)
         return gather(*found) if found else None
 
 

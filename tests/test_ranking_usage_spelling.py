@@ -249,3 +249,18 @@ def test_registered_sources(spark):
     sources.register_source(source)
     with pytest.raises(ValueError):
         sources.register_source(source)
+
+
+def test_a_failing_source_leaves_the_others_alone(spark):
+    sources = Sources()
+    give = lambda q: q.select("query_id", F.lit("a").alias("id"), F.lit("t").alias("title"), F.lit(50.0).alias("relevance"))
+    sources.register_source(Source("good", give))
+    sources.register_source(Source("unplanned", lambda q: q.select("no such column")))
+    sources.register_source(Source("breaks", lambda q: give(q).withColumn("relevance", F.raise_error(F.lit("out of order")).cast("double"))))
+    queries = spark.createDataFrame([(1, "ab"), (2, "cd")], "query_id int, query_text string")
+    failed = {}
+    assert sorted((r.query_id, r.id) for r in sources.candidates(queries, failed=failed).collect()) == [(1, "ext:good:a"), (2, "ext:good:a")]
+    assert set(failed) == {"unplanned", "breaks"} and "out of order" in failed["breaks"]
+    with pytest.raises(Exception, match="no such column"):
+        sources.candidates(queries)
+    assert sources.candidates(queries, "breaks", {}) is None
