@@ -412,3 +412,13 @@ def test_pipeline_stages_decide_as_brute_force_does(spark):
     taken = after.agg(F.sum("taken")).first()[0]
     size = sum(len(words_of(r.text)) for r in before.collect())
     assert abs(taken - 1.5 * size) <= 40
+
+
+def test_pipeline_leaves_its_result_only(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as pipeline
+
+    from sparkseek.functions import storage
+
+    monkeypatch.setattr(storage, "shared_top", lambda spark: str(tmp_path))
+    got = pipeline.run(spark, "/root/testdata/sf0.001")
+    assert got.count() > 0 and len(list(tmp_path.iterdir())) == 1
