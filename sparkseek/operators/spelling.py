@@ -70,7 +70,7 @@ def edits(a: Column, b: Column) -> Column:
         return (F.length(x) == F.length(y)) & F.exists(firsts(x), same)
 
     def one(x: Column, y: Column) -> Column:
-        return (F.levenshtein(x, y) <= 1) | swap(x, y)
+        return (F.levenshtein(x, y, 1) >= 0) | swap(x, y)
 
     def around(i: Column, j: Column) -> Column:
         before, behind = (F.left(a, i - 1), F.left(b, j - 1)), (_rest(a, i + 2), _rest(b, j + 2))
@@ -78,7 +78,7 @@ def edits(a: Column, b: Column) -> Column:
         return fits & (((before[0] == before[1]) & one(*behind)) | ((behind[0] == behind[1]) & one(*before)))
 
     swap_and_edit = F.exists(firsts(a), lambda i: around(i, i - 1) | around(i, i) | around(i, i + 1))
-    return F.when(a == b, 0).when(one(a, b), 1).when((F.levenshtein(a, b) == 2) | swap_and_edit, 2)
+    return F.when(a == b, 0).when(one(a, b), 1).when((F.levenshtein(a, b, 2) == 2) | swap_and_edit, 2)
 
 
 def corrections(words: DataFrame, vocab: DataFrame, limit: int = 8) -> DataFrame:
