@@ -70,11 +70,11 @@ def search_catalog(state: DataFrame, queries: DataFrame) -> DataFrame:
 
 def verify_packages(files: DataFrame, catalog: DataFrame) -> DataFrame:
     """(name, version, reason) for files(name, version, content): null, unknown, checksum or version. A blank checksum in
-    the catalog(name, version, sha256) is not checked."""
+    the catalog(name, version, sha256), which has a name once, is not checked; a file without content has no checksum."""
     known = catalog.select("name", F.col("version").alias("expected"), F.lower(F.trim("sha256")).alias("sha"))
     reason = (
         F.when(F.col("expected").isNull(), "unknown")
-        .when((F.coalesce("sha", F.lit("")) != "") & (F.sha2("content", 256) != F.col("sha")), "checksum")
+        .when((F.coalesce("sha", F.lit("")) != "") & (F.coalesce(F.sha2("content", 256), F.lit("")) != F.col("sha")), "checksum")
         .when(F.col("version") != F.col("expected"), "version")
     )
     return files.join(known, "name", "left").select("name", "version", reason.alias("reason"))

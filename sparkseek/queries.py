@@ -829,11 +829,12 @@ def permission_growth(spark, d):
 
 @query("verify_packages", """SELECT url AS name, CASE WHEN page_id % 4 = 0 THEN 'unknown' WHEN page_id % 4 = 1 THEN 'checksum' WHEN page_id % 4 = 2 AND page_id % 3 = 0 THEN 'version' END AS reason FROM pages""")
 def verify_packages(spark, d):
+    """Pages as packages: each has an entry of its own, as many pages may have one URL."""
     pages = table(spark, d, "pages")
-    k = F.col("page_id") % 4
-    catalog = pages.where(k != 0).select(F.col("url").alias("name"), F.lit("1.0").alias("version"), F.when(k == 1, F.sha2("url", 256)).when(k == 2, F.upper(F.sha2("html", 256))).otherwise(" ").alias("sha256"))
-    files = pages.select(F.col("url").alias("name"), F.when((k == 2) & (F.col("page_id") % 3 == 0), "2.0").otherwise("1.0").alias("version"), F.col("html").cast("binary").alias("content"))
-    return cat.verify_packages(files, catalog).select("name", "reason")
+    k, name = F.col("page_id") % 4, F.struct("page_id", "url").alias("name")
+    catalog = pages.where(k != 0).select(name, F.lit("1.0").alias("version"), F.when(k == 1, F.sha2(F.coalesce("url", F.lit("")), 256)).when(k == 2, F.upper(F.sha2("html", 256))).otherwise(" ").alias("sha256"))
+    files = pages.select(name, F.when((k == 2) & (F.col("page_id") % 3 == 0), "2.0").otherwise("1.0").alias("version"), F.col("html").cast("binary").alias("content"))
+    return cat.verify_packages(files, catalog).select("name.url", "reason").withColumnRenamed("url", "name")
 
 
 # Files, maintenance, layout
