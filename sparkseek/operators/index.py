@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkseek.functions.storage import numbered, written
-from sparkseek.functions.text import MARKS, STOPWORDS, normalized, token_array, with_stems
+from sparkseek.functions.text import MARKS, STOPWORDS, normalized, porter_stem, token_array, with_stems
 
 
 #: Documents of a block: 2 to this power.
 _BLOCK_BITS = 3
+#: Blocks of a pack of postings: 2 to this power.
+_PACK_BITS = 6
+_STEMS_KEPT = 200_000
 
 
 class Index(NamedTuple):
     """postings(key, doc_id, tf, and positions where asked for), doc_stats(doc_id, len), term_stats(key, df).
 
-    A stored index has more: postings also (seg, block, len, lines); documents(doc_id, len, size, mtime), with a row of
+    A stored index has more: postings also (seg, block, len, lines, and bounds of blocks); documents(doc_id, len, size, mtime), with a row of
     length 0 for a document without words; blocks(key, seg, block, n, max_tf, max_share, first_doc); stored(doc_id, words);
     pages(doc_id, page, text); boxes(doc_id, word, line, x, y, w, h); scope: number of documents with words, and all words."""
 
@@ -95,31 +101,113 @@ class Batch(NamedTuple):
 
 
 def analysed(corpus: DataFrame, stem: bool = True, pages: DataFrame | None = None, boxes: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> Batch:
-    """The words of corpus(doc_id, text, and size and mtime where it has them) for a store. Documents are numbered first.
+    """The words of corpus(doc_id, text, and size and mtime where it has them) for a store. One shuffle: texts are sorted by id
+    over ranges, and numbered and split in that order, in which words come out.
 
     A document without words has a row of length 0. Rows without an id are left out; of several rows with one id one is
     taken. Of pages(doc_id, page, text) blank ones are left out."""
     meta = [F.col(c) if c in corpus.columns else F.lit(None).cast("long").alias(c) for c in ("size", "mtime")]
     texts = corpus.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), *meta)
-    by_line = F.transform(F.split("text", "\n"), token_array)
-    lines = F.flatten(F.transform(by_line, lambda words, line: F.array_repeat(line, F.size(words))))
+    lines = F.flatten(F.transform("by_line", lambda words, line: F.array_repeat(line, F.size(words))))
     real = lambda w: (F.octet_length(w) == F.length(w)) | (F.regexp_replace(w, f"[{MARKS}]", "") != "")
-    words = texts.join(doc_blocks(texts), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "block", "size", "mtime", F.flatten(by_line).alias("words"), lines.alias("lines"))
+    once = texts.where("doc_id IS NOT NULL").repartitionByRange("doc_id").sortWithinPartitions("doc_id").dropDuplicates(["doc_id"])
+    words = once.withColumn("block", F.shiftright(F.monotonically_increasing_id(), _BLOCK_BITS)).withColumn("by_line", F.transform(F.split("text", "\n"), token_array))
+    words = words.select("doc_id", "block", "size", "mtime", F.flatten("by_line").alias("words"), lines.alias("lines"))
     words = words.withColumn("len", F.size(F.filter("words", real)))
     return Batch(words, stem, None if pages is None else pages.select("doc_id", "page", "text").where(F.trim("text") != ""), boxes)
 
 
-def postings_of(words: DataFrame, stem: bool) -> DataFrame:
-    """(key, doc_id, block, len, tf, positions, lines) of words as a Batch has them: where each key stands, by numbers of
-    words and of lines. Words are counted as they are before they are stemmed, so a task stems few."""
-    each = words.select("doc_id", "block", "len", F.posexplode(F.arrays_zip("words", "lines")).alias("pos", "w")).select("doc_id", "block", "len", "pos", "w.lines", normalized(F.col("w.words")).alias("norm"))
-    counted = each.where(F.col("norm") != "").groupBy("doc_id", "block", "len", "norm").agg(F.count("*").alias("tf"), F.collect_list(F.struct("pos", "lines")).alias("places"))
-    if stem:
-        counted = with_stems(counted, "norm").groupBy("doc_id", "block", "len", "key").agg(F.sum("tf").alias("tf"), F.flatten(F.collect_list("places")).alias("places"))
-    else:
-        counted = counted.withColumnRenamed("norm", "key")
-    counted = counted.withColumn("places", F.array_sort("places"))
-    return counted.select("key", "doc_id", "block", "len", "tf", F.col("places")["pos"].alias("positions"), F.col("places")["lines"].alias("lines"))
+def packed_postings(words: DataFrame, stem: bool) -> DataFrame:
+    """(key, first, doc_ids, short, data): the postings of words as a Batch has them, in packs. A pack has what the documents of
+    an Arrow batch, of at most 2 ** _PACK_BITS blocks, have of a key; first is the first one's block. Words are grouped where they are read, by a stable sort of their
+    codes, so no occurrence is shuffled or spilled alone; distinct words are stemmed once for a task.
+
+    data begins with the place of each document's record: its block, counted from first, its length, tf, n, positions and
+    lines. n is 0 but for the first document of a block: how many have the key there. Then their largest tf follows, and
+    the tf and length of the one with the largest share. Where all these numbers have two bytes, they are in short instead."""
+    ids = words.schema["doc_id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        changes = lambda *columns: np.flatnonzero(np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])))
+        before = lambda counts: np.cumsum(counts) - counts
+        stems: dict = {}
+        for batch in batches:
+            n_words = batch.column("norms").value_lengths().to_numpy(zero_copy_only=False)
+            norms = batch.column("norms").flatten().dictionary_encode()
+            code, keys = norms.indices.to_numpy(), norms.dictionary
+            if stem:
+                if len(stems) > _STEMS_KEPT:
+                    stems.clear()
+                stemmed = pa.array([stems[w] if w in stems else stems.setdefault(w, porter_stem(w)) for w in keys.to_pylist()], pa.string()).dictionary_encode()
+                code, keys = stemmed.indices.to_numpy()[code], stemmed.dictionary
+            order = np.argsort(code, kind="stable")
+            if (none := keys.index("").as_py()) >= 0:
+                order = order[code[order] != none]
+            if not len(order):
+                continue
+            code, doc = code[order], np.repeat(np.arange(len(n_words)), n_words)[order]
+            position, line = order - before(n_words)[doc], batch.column("lines").flatten().to_numpy()[order]
+            at = changes(code, doc)  # where postings begin
+            tf, code, doc = np.diff(np.append(at, len(doc))), code[at], doc[at]
+            block, size = batch.column("block").to_numpy()[doc], batch.column("len").to_numpy()[doc]
+            first = changes(code, block >> _PACK_BITS)  # where packs begin
+            n = np.diff(np.append(first, len(at)))
+            of = np.repeat(np.arange(len(first)), n)
+            opens = changes(code, block)  # where blocks begin
+            n_here, share = np.diff(np.append(opens, len(at))), tf / np.maximum(size, 1)
+            highest = np.flatnonzero(share == np.repeat(np.maximum.reduceat(share, opens), n_here))
+            highest = highest[changes(np.repeat(np.arange(len(opens)), n_here)[highest])]
+            length = 4 + 2 * tf
+            length[opens] += 3
+            whole = n + np.add.reduceat(length, first)
+            base, record = before(whole), before(length)
+            record += (base + n - record[first])[of]
+            data = np.zeros(whole.sum(), np.int32)
+            data[base[of] + np.arange(len(of)) - first[of]] = record - base[of]
+            data[record], data[record + 1], data[record + 2] = block - block[first][of], size, tf
+            data[record[opens] + 3] = n_here
+            for k, values in enumerate((np.maximum.reduceat(tf, opens), tf[highest], size[highest])):
+                data[(record + 4 + 2 * tf + k)[opens]] = values
+            place = np.repeat(record + 4 - at, tf) + np.arange(len(position))
+            data[place], data[place + np.repeat(tf, tf)] = position, line
+            long = np.maximum.reduceat(data, base) >= 1 << 15
+            listed = lambda values, ends, mask=None: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=mask)
+
+            def only(some: np.ndarray, kind: type) -> pa.Array:
+                return listed(pa.array(data[np.repeat(some, whole)].astype(kind)), np.append(0, np.cumsum(whole * some)), pa.array(~some))
+
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(code[first])), pa.array(block[first]), listed(batch.column("doc_id").take(pa.array(doc)), np.append(first, len(at))), only(~long, np.int16), only(long, np.int32)],
+                ["key", "first", "doc_ids", "short", "data"],
+            )
+
+    norms = F.transform("words", normalized).alias("norms")
+    return words.select("doc_id", "block", "len", norms, "lines").mapInArrow(pack, f"key string, first long, doc_ids array<{ids}>, short array<smallint>, data array<int>")
+
+
+def unpacked(packs: DataFrame) -> DataFrame:
+    """(key, doc_id, block, len, tf, positions, lines, n, max_tf, max_share) of packs, in their order: where each key stands, by
+    numbers of words and of lines; and, with the first document of a block, the bounds of the key in the block."""
+    each = packs.withColumn("data", F.coalesce("data", F.col("short").cast("array<int>"))).drop("short").withColumn("k", F.explode(F.sequence(F.lit(0), F.size("doc_ids") - 1)))
+    at = lambda more: F.get("data", F.get("data", F.col("k")) + more)
+    tf, opens = at(2), at(3) > 0
+    places = lambda shift: F.slice("data", F.get("data", F.col("k")) + 5 + shift, tf)
+    bound = lambda value: F.when(opens, value)
+    return each.select(
+        "key", F.get("doc_ids", F.col("k")).alias("doc_id"), (F.col("first") + at(0)).alias("block"), at(1).alias("len"), tf.cast("long").alias("tf"), places(0).alias("positions"), places(tf).alias("lines"),
+        bound(at(3).cast("long")).alias("n"), bound(at(2 * tf + 4).cast("long")).alias("max_tf"), bound(at(2 * tf + 5) / at(2 * tf + 6)).alias("max_share"),
+    )
+
+
+def with_bounds(postings: DataFrame, run: Column) -> DataFrame:
+    """postings(key, doc_id, block, len, tf, positions, lines) dealt by key and run, a number that whole blocks share, and sorted,
+    with the bounds that unpacked() gives."""
+    dealt = postings.withColumn("run", run).repartition("key", "run")
+    block = Window.partitionBy("key", "run", "block")
+    nth = F.row_number().over(block.orderBy("doc_id"))
+    bounds = {"n": F.count("*").over(block), "max_tf": F.max("tf").over(block), "max_share": F.max(F.col("tf") / F.col("len")).over(block)}
+    every = dealt.withColumns({"nth": nth} | bounds)
+    return every.withColumns({c: F.when(F.col("nth") == 1, F.col(c)) for c in bounds}).drop("run", "nth").sortWithinPartitions("key", "block", "doc_id")
 
 
 def with_statistics(postings: DataFrame) -> Index:

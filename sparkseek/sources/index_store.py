@@ -1,6 +1,6 @@
 """The index as a table with versions: immutable segments of Parquet, and a log of numbered commits.
 
-A change writes one segment: words, postings sorted by key and block, bounds of blocks, documents, pages, boxes, the documents
+A change writes one segment: words, postings sorted by key and block with bounds of blocks, documents, pages, boxes, the documents
 that it replaces, and how it changes the frequencies of keys. It takes effect with the next file of the log, which is made
 only if there is none of that number; so of two writers one goes first, and the other works out its frequencies again and
 tries the next number. Readers take the last file of the log: all of a commit or nothing, and never a gap.
@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseek.functions.storage import changed_at, create_once, names_in, remove, shared_dir
-from sparkseek.operators.index import Batch, Index, doc_blocks, postings_of
+from sparkseek.operators.index import Batch, Index, doc_blocks, packed_postings, unpacked, with_bounds
 
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 4
 _FEW = 100_000
 #: So many blocks of a key (2 to this power) are dealt together.
 _RUN_BITS = 10
@@ -48,9 +48,13 @@ def _part(spark: SparkSession, path: str, segments: list[dict], name: str, colum
     segments replace."""
     out = []
     for k, segment in enumerate(segments):
-        if name not in segment["tables"]:
+        if (name if name != "blocks" else "postings") not in segment["tables"]:
             continue
-        df = spark.read.parquet(f"{path}/segments/{segment['name']}/{name}")
+        if name == "blocks":  # bounds stand with the first document of a block, and hold without some of its documents
+            df = spark.read.parquet(f"{path}/segments/{segment['name']}/postings").where("n IS NOT NULL")
+            df = df.select("key", "block", "n", "max_tf", "max_share", F.col("doc_id").alias("first_doc"))
+        else:
+            df = spark.read.parquet(f"{path}/segments/{segment['name']}/{name}")
         if columns:
             df = df.select(*(c for c in columns if c in df.columns))
         if name != "blocks":
@@ -72,12 +76,12 @@ def _terms(spark: SparkSession, path: str, segments: list[dict]) -> DataFrame:
 
 def _stage(index: Index | Batch, replaced: DataFrame | None, path: str) -> dict:
     """Writes a segment that no commit names yet. Words are written first, and postings made of what was written, so texts
-    are read once. Postings are dealt by key and by runs of blocks, so that a frequent key is in many files, and sorted
+    are read once. Postings are dealt in packs by key and by runs of blocks, so that a frequent key is in many files, and sorted
     within: readers of a few keys skip row groups by their bounds."""
     batch = isinstance(index, Batch)
     spark = (index.words if batch else index.postings).sparkSession
     name = uuid.uuid4().hex
-    at, tables = f"{path}/segments/{name}", ["postings", "blocks", "documents"]
+    at, tables = f"{path}/segments/{name}", ["postings", "documents"]
 
     def save(df: DataFrame, table: str, **options) -> DataFrame:
         df.drop("seg").write.options(**options).parquet(f"{at}/{table}")
@@ -88,7 +92,9 @@ def _stage(index: Index | Batch, replaced: DataFrame | None, path: str) -> dict:
         words = save(words.sortWithinPartitions("doc_id"), "stored")
         tables.append("stored")
     if batch:
-        postings, documents = postings_of(words, index.stem), words
+        packs = packed_postings(words, index.stem).repartition("key", F.shiftright("first", _RUN_BITS)).sortWithinPartitions("key", "first")
+        save(unpacked(packs), "postings", **_DELTAS)
+        documents = words
     else:
         postings, documents = index.postings, index.documents
         if "block" not in postings.columns:
@@ -96,11 +102,7 @@ def _stage(index: Index | Batch, replaced: DataFrame | None, path: str) -> dict:
         if "len" not in postings.columns:  # of build_index()
             postings = postings.join(index.doc_stats, "doc_id")
             documents = index.doc_stats.withColumn("size", F.lit(None).cast("long")).withColumn("mtime", F.lit(None).cast("long"))
-    postings = save(postings.repartition("key", F.shiftright("block", _RUN_BITS)).sortWithinPartitions("key", "block", "doc_id"), "postings", **_DELTAS)
-    bounds = postings.groupBy("key", "block").agg(
-        F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.max(F.col("tf") / F.col("len")).alias("max_share"), F.min("doc_id").alias("first_doc")
-    )
-    save(bounds.sortWithinPartitions("key", "block"), "blocks")
+        save(with_bounds(postings, F.shiftright("block", _RUN_BITS)), "postings", **_DELTAS)
     documents = save(documents.select("doc_id", "len", "size", "mtime").sortWithinPartitions("doc_id"), "documents")
     for table in ("pages", "boxes"):
         if (df := getattr(index, table)) is not None:
@@ -115,7 +117,7 @@ def _counted(spark: SparkSession, path: str, segment: dict, base: list[dict]) ->
     """The segment with its terms: frequencies of its own keys, less those of the documents that it replaces in base. For
     these only the words of the documents are read, which are sorted by id; postings only where words aren't stored."""
     here = f"{path}/segments/{segment['name']}"
-    changes = [spark.read.parquet(f"{here}/blocks").groupBy("key").agg(F.sum("n").alias("df"))]
+    changes = [spark.read.parquet(f"{here}/postings").groupBy("key").agg(F.count("*").alias("df"))]
     lost = {"documents": 0, "length": 0}
     if base and segment["replaces"]:
         gone = spark.read.parquet(f"{here}/replaced")
@@ -130,7 +132,7 @@ def _counted(spark: SparkSession, path: str, segment: dict, base: list[dict]) ->
         for stem in (True, False):
             words = replaced("stored", ["doc_id", "block", "len", "words", "lines"], lambda s, stem=stem: s["stem"] is stem)
             if words is not None:
-                changes.append(postings_of(words, stem).groupBy("key").agg((-F.count("*")).alias("df")))
+                changes.append(packed_postings(words, stem).groupBy("key").agg((-F.sum(F.size("doc_ids"))).alias("df")))
         postings = replaced("postings", ["doc_id", "key"], lambda s: s["stem"] is None)
         if postings is not None:
             changes.append(postings.groupBy("key").agg((-F.count("*")).alias("df")))
@@ -180,7 +182,7 @@ def compact(spark: SparkSession, path: str, attempts: int = 20) -> int:
     state = _state(spark, path)
     old = state["segments"]
     tables = {name: _part(spark, path, old, name) for name in ("documents", "stored", "pages", "boxes")}
-    postings = _part(spark, path, old, "postings").drop("block")
+    postings = _part(spark, path, old, "postings").drop("block", "n", "max_tf", "max_share")
     postings = postings.join(doc_blocks(postings), "doc_id")
     merged = _stage(Index(postings, None, None, **tables), None, path)
     stems = {s["stem"] for s in old}

@@ -1,6 +1,12 @@
 """What the third review found."""
 
+import os
+
+from pyspark.sql import functions as F
+
 from sparkseek import queries
+from sparkseek.operators.index import analysed, build_index, packed_postings
+from sparkseek.sources.index_store import read_index, write_index
 
 
 def test_packages_of_one_url_are_verified_each_by_its_own_entry(spark, tmp_path):
@@ -9,3 +15,21 @@ def test_packages_of_one_url_are_verified_each_by_its_own_entry(spark, tmp_path)
     want = [{0: "unknown", 1: "checksum"}.get(k % 4, "version" if k % 4 == 2 and k % 3 == 0 else None) for k in range(12)]
     got = queries.QUERIES["verify_packages"](spark, str(tmp_path)).collect()
     assert sorted(map(str, got)) == sorted(f"Row(name={url!r}, reason={reason!r})" for (_, url, _), reason in zip(pages, want, strict=True))
+
+
+def test_an_index_moves_postings_once_and_has_bounds_with_them(spark, tmp_path):
+    docs = {k: " ".join(f"w{(k * j) % 7}" for j in range(k % 40)) for k in range(300)} | {1000: "long " * 40_000 + "end", 1001: "", 1002: "\n\nthe end"}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    words = analysed(frame, stem=False).words
+    plan = packed_postings(spark.createDataFrame([], words.schema), False)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    write_index(analysed(frame, stem=False), str(tmp_path / "i"))
+    (segment,) = os.listdir(tmp_path / "i" / "segments")
+    assert "blocks" not in os.listdir(tmp_path / "i" / "segments" / segment)
+    index, plain = read_index(spark, str(tmp_path / "i")), build_index(frame, stem=False)
+    rows = lambda df: sorted(map(str, df.select("key", "doc_id", "tf", "positions").collect()))
+    assert rows(index.postings) == rows(plain.postings)
+    assert index.postings.where("doc_id = 1002").select("key", "lines").orderBy("key").collect() == [("end", [2]), ("the", [2])]
+    best = index.postings.groupBy("key", "block").agg(F.count("*").alias("n"), F.max("tf").alias("t"), F.max(F.col("tf") / F.col("len")).alias("s"), F.min("doc_id").alias("d"))
+    whole = index.blocks.groupBy("key", "block").agg(F.sum("n").alias("n"), F.max("max_tf").alias("t"), F.max("max_share").alias("s"), F.min("first_doc").alias("d"))
+    assert sorted(map(str, best.collect())) == sorted(map(str, whole.collect()))
