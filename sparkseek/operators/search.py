@@ -23,6 +23,8 @@ _BROADCAST = 200_000
 #: So many keys are pushed to a scan; so many rows of terms are looked at for that.
 _PUSHED = 500
 _HEAD = 20_000
+#: Documents of a task that finds their best lines for every query.
+_DOCS = 8192
 
 
 def expanded(terms: DataFrame, index: Index) -> DataFrame:
@@ -255,10 +257,17 @@ def match_spans(hits: DataFrame, terms: DataFrame, words: DataFrame, max_marks:
     return matching.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_marks).select("query_id", "doc_id", "pos", "raw", "key")
 
 
+def _places(hits: DataFrame, asked: DataFrame, index: Index, column: str) -> DataFrame:
+    """(query_id, doc_id, key, column): the postings of hits for what asked(query_id, key) has of their queries. Postings of
+    other documents go where they are read, so how many keys a prefix stands for doesn't count."""
+    pairs = hits.select("query_id", "doc_id")
+    read = _with_keys(index.postings.select("key", "doc_id", column), _few_keys(asked)).join(_small(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
+    return read.join(_small(pairs), "doc_id").join(_small(asked), ["query_id", "key"], "left_semi").select("query_id", "doc_id", "key", column)
+
+
 def indexed_spans(hits: DataFrame, terms: DataFrame, index: Index, max_marks: int = 2000) -> DataFrame:
     """The same as match_spans() of a stored index with positions: no text is split again."""
-    asked = hits.select("query_id", "doc_id").join(terms.select("query_id", "key").distinct(), "query_id")
-    places = _with_keys(index.postings.select("key", "doc_id", "positions"), _few_keys(asked)).join(_small(asked), ["key", "doc_id"])
+    places = _places(hits, terms.select("query_id", "key").distinct(), index, "positions")
     order = Window.partitionBy("query_id", "doc_id").orderBy("pos")
     marks = places.select("query_id", "doc_id", "key", F.explode("positions").alias("pos")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_marks)
     words = index.stored.select("doc_id", "words").join(_small(hits.select("doc_id").distinct()), "doc_id", "left_semi")
@@ -268,8 +277,7 @@ def indexed_spans(hits: DataFrame, terms: DataFrame, index: Index, max_marks: in
 def indexed_snippets(hits: DataFrame, terms: DataFrame, index: Index, size: int = 20, start: str = "[", end: str = "]", ellipsis: str = "…") -> DataFrame:
     """The same as snippets() of a stored index with positions: matches come from the postings of the hits, words from what
     the index stores of them."""
-    asked = hits.select("query_id", "doc_id").join(expanded(terms, index).select("query_id", "key").distinct(), "query_id")
-    places = _with_keys(index.postings.select("key", "doc_id", "positions"), _few_keys(asked)).join(_small(asked), ["key", "doc_id"])
+    places = _places(hits, expanded(terms, index).select("query_id", "key").distinct(), index, "positions")
     marks = places.select("query_id", "doc_id", "key", F.explode("positions").alias("pos"))
     ahead = Window.partitionBy("query_id", "doc_id").orderBy("pos").rangeBetween(0, size - 1 - size // 4)
     covered = marks.withColumn("cover", F.size(F.collect_set("key").over(ahead)))
@@ -287,9 +295,11 @@ def indexed_snippets(hits: DataFrame, terms: DataFrame, index: Index, size: int
 def indexed_passage(terms: DataFrame, index: Index, window: int = 10, scan_limit: int = 50_000, hits: DataFrame | None = None) -> DataFrame:
     """The same as best_passage() of a stored index with positions, of all documents or of hits: lines come from the postings."""
     asked = terms.select("query_id", "key").distinct()
-    places = _with_keys(index.postings.select("key", "doc_id", "lines"), _few_keys(asked)).join(_small(asked), "key")
     if hits is not None:
-        places = places.join(_small(hits.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_semi")
+        places = _places(hits, asked, index, "lines")
+    else:  # a word's postings are moved once, to where their documents are, however many queries have it
+        places = _with_keys(index.postings.select("key", "doc_id", "lines"), _few_keys(asked)).join(_small(asked.select("key").distinct()), "key", "left_semi")
+        places = places.repartition(max(int(index.postings.sparkSession.sparkContext.defaultParallelism), -(-index.scope[0] // _DOCS)), "doc_id").join(_small(asked), "key")
     found = places.select("query_id", "doc_id", "key", F.explode(F.array_distinct("lines")).alias("line")).where(F.col("line") < scan_limit)
     return _best_lines(found, window)
 

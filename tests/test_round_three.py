@@ -5,7 +5,8 @@ import os
 from pyspark.sql import functions as F
 
 from sparkseek import queries
-from sparkseek.operators.index import analysed, build_index, packed_postings
+from sparkseek.operators import search
+from sparkseek.operators.index import analysed, build_index, packed_postings, query_terms
 from sparkseek.sources.index_store import read_index, write_index
 
 
@@ -33,3 +34,14 @@ def test_an_index_moves_postings_once_and_has_bounds_with_them(spark, tmp_path):
     best = index.postings.groupBy("key", "block").agg(F.count("*").alias("n"), F.max("tf").alias("t"), F.max(F.col("tf") / F.col("len")).alias("s"), F.min("doc_id").alias("d"))
     whole = index.blocks.groupBy("key", "block").agg(F.sum("n").alias("n"), F.max("max_tf").alias("t"), F.max("max_share").alias("s"), F.min("first_doc").alias("d"))
     assert sorted(map(str, best.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_a_word_is_moved_to_its_documents_once_for_all_queries(spark, tmp_path):
+    frame = spark.createDataFrame([(k, f"red car {k}\nblue") for k in range(50)], "doc_id long, text string")
+    write_index(analysed(frame, stem=False), str(tmp_path / "i"))
+    index = read_index(spark, str(tmp_path / "i"))
+    asked = query_terms(spark.createDataFrame([(q, "red blue") for q in range(20)], "query_id long, query_text string"), stem=False)
+    found = search.indexed_passage(asked, index)
+    assert {(r.first_line, r.coverage) for r in found.collect()} == {(0, 2)} and found.count() == 1000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [doc_id" in plan and "LeftSemi" in plan.split("RepartitionByExpression")[1]
