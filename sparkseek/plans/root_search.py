@@ -15,6 +15,8 @@ from sparkseek.operators.ranking import compose_score, dedup_results, explain_sc
 
 # Fixed values of the contract of a registered source.
 RELEVANCE_SPAN, FIELD_BYTES, MAX_ROWS = 300_000, 2048, 200
+#: So many queries' rows are sorted in one task.
+_QUERIES = 20_000
 
 
 @dataclass
@@ -43,12 +45,12 @@ class Sources:
     def candidates(self, queries: DataFrame, scope: str | None = None, failed: dict[str, str] | None = None) -> DataFrame | None:
         """What sources give, as one plan. With failed, each source runs on its own and its rows are written to the
         shared folder; one that fails, when it is planned or when it runs, gives no rows and its error goes into failed."""
-        found = []
+        found, tasks = [], -(-queries.count() // _QUERIES)
         for s in self.by_name.values():
             if scope not in (None, s.name):
                 continue
             try:
-                rows = contract(s.name, s.run(gate_sources(queries, s, scope)))
+                rows = contract(s.name, s.run(gate_sources(queries, s, scope)), tasks)
                 found.append(rows if failed is None else written(rows))
             except Exception as error:
                 if failed is None:
@@ -66,15 +68,17 @@ def gate_sources(queries: DataFrame, source: Source, scope: str | None = None) -
     return queries.where((n >= max(1, source.min_length)) if source.always_on else F.lit(False))
 
 
-def contract(name: str, rows: DataFrame) -> DataFrame:
+def contract(name: str, rows: DataFrame, tasks: int = 1) -> DataFrame:
     """Rows of a source as candidates: ids in its namespace, texts cut to 2048 bytes, relevance from 0 to 100 (0 where
-    it is no finite number) as intra, at most 200 rows of a query, the most relevant first."""
+    it is no finite number) as intra, at most 200 rows of a query, the most relevant first. They are sorted in so many
+    tasks: Spark would choose by compressed bytes, which tell little of rows that are much alike."""
     finite = F.coalesce(F.col("relevance").cast("double"), F.lit(0.0))
     relevance = F.when(F.isnan(finite) | (F.abs(finite) == float("inf")), 0.0).otherwise(F.least(F.greatest(finite, F.lit(0.0)), F.lit(100.0)))
     best = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "id")
     text = lambda c: utf8_cut(F.col(c), FIELD_BYTES).alias(c) if c in rows.columns else F.lit(None).cast("string").alias(c)
+    dealt = rows.repartition(tasks, "query_id") if tasks > 1 else rows
     return (
-        rows.select("query_id", F.concat(F.lit(f"ext:{name}:"), "id").alias("id"), text("title"), text("subtitle"), relevance.alias("relevance"))
+        dealt.select("query_id", F.concat(F.lit(f"ext:{name}:"), "id").alias("id"), text("title"), text("subtitle"), relevance.alias("relevance"))
         .withColumn("n", F.row_number().over(best)).where(F.col("n") <= MAX_ROWS)
         .select("query_id", "id", "title", "subtitle", F.lit("extension").alias("category"), F.lit(name).alias("ext_name"), F.lit("fuzzy").alias("tier"),
                 F.lit(0).alias("quality"), (F.col("relevance") / 100 * RELEVANCE_SPAN).alias("intra"), F.col("id").alias("exec"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from sparkseek import queries
 from sparkseek.operators import search
 from sparkseek.operators.index import analysed, build_index, packed_postings, query_terms
+from sparkseek.plans import root_search
+from sparkseek.plans.root_search import Source, Sources
 from sparkseek.sources.index_store import read_index, write_index
 
 
@@ -45,3 +47,13 @@ def test_a_word_is_moved_to_its_documents_once_for_all_queries(spark, tmp_path):
     assert {(r.first_line, r.coverage) for r in found.collect()} == {(0, 2)} and found.count() == 1000
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [doc_id" in plan and "LeftSemi" in plan.split("RepartitionByExpression")[1]
+
+
+def test_rows_of_many_queries_are_sorted_in_many_tasks(spark, monkeypatch):
+    asked = spark.createDataFrame([(q, "text") for q in range(50)], "query_id long, query_text string").coalesce(1)
+    sources = Sources()
+    sources.register_source(Source("s", lambda q: q.select("query_id", F.lit("a").alias("id"), F.lit("t").alias("title"), F.lit(1.0).alias("relevance"))))
+    monkeypatch.setattr(root_search, "_QUERIES", 10)
+    assert sources.candidates(asked).rdd.getNumPartitions() == 5 and sources.candidates(asked).count() == 50
+    monkeypatch.setattr(root_search, "_QUERIES", 50)
+    assert sources.candidates(asked).count() == 50
