@@ -144,6 +144,10 @@ _SHEET = '<worksheet><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>{name}
 _STYLES = '<styleSheet><numFmts count="1"><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/></numFmts><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="164"/></cellXfs></styleSheet>'
 
 
+#: Workbooks of a task.
+WORKBOOKS = 10_000
+
+
 def workbooks(spark, d) -> DataFrame:
     """files(path, content): a workbook of one row for each part, as binaryFile reads them."""
 
@@ -160,7 +164,8 @@ def workbooks(spark, d) -> DataFrame:
         return pd.Series([one(*row) for row in zip(name, size, day, strict=True)])
 
     parts = table(spark, d, "part")
-    return parts.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".xlsx")).alias("path"), content("p_name", "p_size", (F.col("p_partkey") % 40_000 + 1).cast("int")).alias("content"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-parts.count() // WORKBOOKS))  # rows are short, and one file has many
+    return parts.repartition(tasks, "p_partkey").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".xlsx")).alias("path"), content("p_name", "p_size", (F.col("p_partkey") % 40_000 + 1).cast("int")).alias("content"))
 
 
 @query("spreadsheet_cells", """WITH p AS (SELECT p_partkey || '.xlsx' AS path, p_name, p_size, (p_partkey % 40000 + 1)::INTEGER AS n FROM part)

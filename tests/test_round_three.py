@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from sparkseek import queries
+from sparkseek import queries, source_queries
 from sparkseek.operators import search
 from sparkseek.operators.index import analysed, build_index, packed_postings, query_terms
 from sparkseek.plans import root_search
@@ -57,3 +57,11 @@ def test_rows_of_many_queries_are_sorted_in_many_tasks(spark, monkeypatch):
     assert sources.candidates(asked).rdd.getNumPartitions() == 5 and sources.candidates(asked).count() == 50
     monkeypatch.setattr(root_search, "_QUERIES", 50)
     assert sources.candidates(asked).count() == 50
+
+
+def test_workbooks_of_one_file_are_made_and_read_in_many_tasks(spark, tmp_path, monkeypatch):
+    parts = spark.createDataFrame([(k, f"part {k}", k % 9) for k in range(40)], "p_partkey long, p_name string, p_size int")
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(source_queries, "WORKBOOKS", 5)
+    books = source_queries.workbooks(spark, str(tmp_path))
+    assert books.rdd.getNumPartitions() == 8 and books.select("path").distinct().count() == 40
