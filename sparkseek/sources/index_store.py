@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,8 @@ from sparkseek.operators.index import Batch, Index, doc_blocks, packed_postings,
 
 SCHEMA_VERSION = 4
 _FEW = 100_000
+#: Bytes of words, as written, of a task that makes postings of them, and of a row group of them.
+_SPLIT = 32 << 20
 #: So many blocks of a key (2 to this power) are dealt together.
 _RUN_BITS = 10
 #: Numbers of words and lines, which ascend, are written as differences.
@@ -74,10 +78,22 @@ def _terms(spark: SparkSession, path: str, segments: list[dict]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.sum("df").alias("df")).where("df > 0")
 
 
+@contextmanager
+def _small_splits(spark: SparkSession) -> Iterator[None]:
+    """Files are read in tasks of _SPLIT bytes, so that what a task sorts stays in memory."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(_SPLIT))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _stage(index: Index | Batch, replaced: DataFrame | None, path: str) -> dict:
     """Writes a segment that no commit names yet. Words are written first, and postings made of what was written, so texts
-    are read once. Postings are dealt in packs by key and by runs of blocks, so that a frequent key is in many files, and sorted
-    within: readers of a few keys skip row groups by their bounds."""
+    are read once. The postings of a range of documents are sorted by key where its words are read and written there, so
+    none is shuffled: readers of a few keys take the pages of each file that have them."""
     batch = isinstance(index, Batch)
     spark = (index.words if batch else index.postings).sparkSession
     name = uuid.uuid4().hex
@@ -89,11 +105,11 @@ def _stage(index: Index | Batch, replaced: DataFrame | None, path: str) -> dict:
 
     words = index.words if batch else index.stored
     if words is not None:
-        words = save(words.sortWithinPartitions("doc_id"), "stored")
+        words = save(words.sortWithinPartitions("doc_id"), "stored", **{"parquet.block.size": _SPLIT})
         tables.append("stored")
     if batch:
-        packs = packed_postings(words, index.stem).repartition("key", F.shiftright("first", _RUN_BITS)).sortWithinPartitions("key", "first")
-        save(unpacked(packs), "postings", **_DELTAS)
+        with _small_splits(spark):
+            save(unpacked(packed_postings(words, index.stem).sortWithinPartitions("key", "first")), "postings", **_DELTAS)
         documents = words
     else:
         postings, documents = index.postings, index.documents

@@ -65,3 +65,18 @@ def test_workbooks_of_one_file_are_made_and_read_in_many_tasks(spark, tmp_path,
     monkeypatch.setattr(source_queries, "WORKBOOKS", 5)
     books = source_queries.workbooks(spark, str(tmp_path))
     assert books.rdd.getNumPartitions() == 8 and books.select("path").distinct().count() == 40
+
+
+def test_postings_of_a_range_of_documents_are_written_where_they_are_read(spark, tmp_path):
+    frame = spark.createDataFrame([(k, f"red car {k % 5}") for k in range(400)], "doc_id long, text string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        write_index(analysed(frame, stem=False), str(tmp_path / "i"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    index = read_index(spark, str(tmp_path / "i"))
+    name = F.input_file_name()
+    files = index.postings.groupBy(name.alias("file")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).orderBy("low").collect()
+    assert len(files) > 1 and all(a.high < b.low for a, b in zip(files, files[1:], strict=False))
+    assert {r.df for r in index.term_stats.where("key IN ('red', 'car')").collect()} == {400}
