@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from sparkseek.operators.refresh import apply_refresh, remove_subtree
@@ -19,39 +21,42 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: How long streams keep a session or query that gets no more rows.
 KEEP_MS = 3_600_000
 
+#: Ids or sources go through Python by so many buckets: a call for each of many would cost more than its rows.
+BUCKETS = 1024
+
 # Usage scores
 
 
-class _Usage(StatefulProcessor):
-    """Score and last launch of an id. A launch before the last one adds what it would be worth by now."""
+def _named(held: list, new: pd.Series) -> tuple[np.ndarray, list]:
+    """The number of each new name, and all names: those held before, then the others."""
+    code, names = pd.factorize(np.array([*held, *new.tolist()], dtype=object), use_na_sentinel=False)
+    return code[len(held) :], [None if pd.isna(n) else n for n in names]
 
-    def __init__(self, half_life_days: float):
-        self.life = half_life_days * 86_400.0
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("usage", "score double, last long")
+_USAGE_STATE = "ids array<string>, scores array<double>, lasts array<long>"
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        score, last = self.state.get() if self.state.exists() else (0.0, None)
-        for part in rows:
-            for ts in part["ts"]:
-                ts = int(ts)
-                if last is None or ts >= last:
-                    score = score * (2.0 ** (-(ts - last) / self.life) if last is not None else 0.0) + 1.0
-                    last = ts
-                else:
-                    score += 2.0 ** (-(last - ts) / self.life)
-        self.state.update((score, last))
-        yield pd.DataFrame({"id": [key[0]], "usage_score": [score], "last_launched": [last]})
 
-    def close(self) -> None:
-        pass
+def stream_usage(events: DataFrame, half_life_days: float = 14.0, kinds: list[str] = KINDS, buckets: int = BUCKETS) -> DataFrame:
+    """usage_scores() of a stream of (id, kind, ts): a row for each id with new launches, in update mode. A launch before the
+    last one adds what it would be worth by now. State, the score and last launch of the ids of a bucket, comes and goes
+    with the rows."""
+    life = half_life_days * 86_400.0
 
+    def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts))
+        held, scores, lasts = state.get if state.exists else ([], [], [])
+        code, ids = _named(held, rows["id"])
+        ts, before = rows["ts"].to_numpy(np.int64), np.array(lasts, np.int64)
+        last = np.append(before, np.full(len(ids) - len(held), np.iinfo(np.int64).min))
+        np.maximum.at(last, code, ts)
+        score = np.bincount(code, np.exp2((ts - last[code]) / life), len(ids))
+        score[: len(held)] += np.array(scores, float) * np.exp2((before - last[: len(held)]) / life)
+        state.update((ids, score.tolist(), last.tolist()))
+        new = np.unique(code)
+        yield pd.DataFrame({"id": [ids[k] for k in new], "usage_score": score[new], "last_launched": last[new]})
 
-def stream_usage(events: DataFrame, half_life_days: float = 14.0, kinds: list[str] = KINDS) -> DataFrame:
-    """usage_scores() of a stream of (id, kind, ts): a row for each id with new launches, in update mode."""
-    return events.where(F.col("kind").isin(*kinds)).groupBy("id").transformWithStateInPandas(
-        statefulProcessor=_Usage(half_life_days), outputStructType="id string, usage_score double, last_launched long", outputMode="Update", timeMode="None")
+    launches = events.where(F.col("kind").isin(*kinds) & F.col("id").isNotNull() & F.col("ts").isNotNull()).select(F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket"), "id", "ts")
+    return launches.groupBy("bucket").applyInPandasWithState(run, "id string, usage_score double, last_launched long", _USAGE_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 # Health of sources
@@ -96,28 +101,27 @@ def health_gate(outcomes: DataFrame, limit: int = 3) -> DataFrame:
     return outcomes.select("source", "ts", "seq", "ok").repartition("source").sortWithinPartitions("source", "ts", "seq").mapInPandas(run, HEALTH)
 
 
-class _Health(StatefulProcessor):
-    def __init__(self, limit: int):
-        self.limit = limit
+_HEALTH_STATE = "sources array<string>, failures array<long>, shut array<long>, until array<long>"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("health", "failures int, shut int, until long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        state, out = tuple(self.state.get()) if self.state.exists() else (0, 0, 0), []
-        for row in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples(index=False):
-            state, admitted = health_step(state, int(row.ts), bool(row.ok), self.limit)
-            out.append((key[0], row.ts, row.seq, row.ok, admitted, state[2]))
-        self.state.update(state)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in HEALTH.split(", ")])
+def stream_health(outcomes: DataFrame, limit: int = 3, buckets: int = BUCKETS) -> DataFrame:
+    """health_gate() of a stream, in update mode. State, three numbers of each source of a bucket, comes and goes with the rows."""
+    columns = [c.split()[0] for c in HEALTH.split(", ")]
 
-    def close(self) -> None:
-        pass
+    def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(["ts", "seq"])
+        held, *numbers = state.get if state.exists else ([], [], [], [])
+        code, sources = _named(held, rows["source"])
+        now, told = [*zip(*numbers, strict=True), *([(0, 0, 0)] * (len(sources) - len(held)))], []
+        for k, ts, ok in zip(code.tolist(), rows["ts"].tolist(), rows["ok"].tolist(), strict=True):
+            now[k], admitted = health_step(now[k], int(ts), bool(ok), limit)
+            told.append((admitted, now[k][2]))
+        state.update((sources, *map(list, zip(*now, strict=True))))
+        admitted, until = zip(*told, strict=True)
+        yield rows.assign(admitted=admitted, shut_until=until)[columns]
 
-
-def stream_health(outcomes: DataFrame, limit: int = 3) -> DataFrame:
-    """health_gate() of a stream, in update mode."""
-    return outcomes.groupBy("source").transformWithStateInPandas(statefulProcessor=_Health(limit), outputStructType=HEALTH, outputMode="Update", timeMode="None")
+    dealt = outcomes.select(F.pmod(F.xxhash64("source"), F.lit(buckets)).alias("bucket"), "source", "ts", "seq", "ok")
+    return dealt.groupBy("bucket").applyInPandasWithState(run, HEALTH, _HEALTH_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 # Results that arrive in batches
@@ -177,6 +181,9 @@ class _Merged(StatefulProcessor):
     """The rows of a query that still count, by source and id: of a volatile source those of its last batch, of any other
     the newest of each id. A row without an id is a batch without rows; with a status it ends its source.
 
+    Rows are a list to which new ones are appended, all at once; which of them count is found when they are shown, and the
+    list is written anew where most don't.
+
     With an interval, what comes is shown when a timer ends, so at most once in it; when all sources that were seen have
     ended it is shown at once. State goes keep_ms after it was last touched."""
 
@@ -185,13 +192,13 @@ class _Merged(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getMapState("rows", "source string, id string", "seq long, score double, title string", self.keep_ms)
+        self.rows = handle.getListState("rows", "source string, id string, seq long, score double, title string", self.keep_ms)
         self.sources = handle.getMapState("sources", "source string", "last long, status string", self.keep_ms)
         self.due = handle.getValueState("due", "at long", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values(["seq", "source"], kind="stable")
-        seen = {k[0]: tuple(v) for k, v in self.sources.iterator()}
+        seen, added = {k[0]: tuple(v) for k, v in self.sources.iterator()}, []
         for source, part in new.groupby("source", sort=False):
             last, status = seen.get(source, (None, None))
             ends = part["status"].dropna()
@@ -200,19 +207,16 @@ class _Merged(StatefulProcessor):
             wiped = told[told["volatile"].astype(bool)]
             if len(wiped):
                 newest = int(wiped["seq"].max())
-                if last is None or newest > last:
-                    last = newest
-                    for k, v in list(self.rows.iterator()):
-                        if k[0] == source and v[0] < last:
-                            self.rows.removeKey(k)
+                last = newest if last is None else max(last, newest)
             if last is not None:
                 told = told[told["seq"] == last]
-            for row in told[told["id"].notna()].drop_duplicates("id", keep="last").itertuples(index=False):
-                k = (source, row.id)
-                if not self.rows.containsKey(k) or self.rows.getValue(k)[0] <= row.seq:
-                    self.rows.updateValue(k, (int(row.seq), None if pd.isna(row.score) else float(row.score), None if row.title is None else str(row.title)))
+            told = told[told["id"].notna()].drop_duplicates("id", keep="last")
+            plain = lambda c: told[c].astype(object).where(told[c].notna(), None).tolist()
+            added += zip([source] * len(told), plain("id"), map(int, told["seq"]), plain("score"), plain("title"), strict=True)
             seen[source] = (last, status)
             self.sources.updateValue((source,), seen[source])
+        if added:
+            self.rows.appendList(added)
         if not self.interval_ms or all(status for _, status in seen.values()):
             yield self.shown(key, seen)
         elif not self.due.exists():
@@ -228,8 +232,13 @@ class _Merged(StatefulProcessor):
         """All rows of a query, ranked, and with rank 0 a row for each source that ended, its status as the title."""
         if self.due.exists():
             self.due.clear()
-        held = pd.DataFrame([(*k, *v) for k, v in self.rows.iterator()], columns=["source", "id", "seq", "score", "title"])
-        held = held.sort_values(["seq", "source"], kind="stable").drop_duplicates("id", keep="last").sort_values(["score", "id"], ascending=[False, True])
+        kept = pd.DataFrame([tuple(r) for r in self.rows.get()], columns=["source", "id", "seq", "score", "title"])
+        n, since = len(kept), {source: last for source, (last, _) in seen.items() if last is not None}
+        kept = kept[kept["seq"] >= kept["source"].map(since).fillna(-np.inf).astype(float)]
+        kept = kept.sort_values("seq", kind="stable").drop_duplicates(["source", "id"], keep="last")
+        if n > 2 * len(kept) + 1000:
+            self.rows.put([(source, ident, int(seq), None if pd.isna(score) else float(score), title) for source, ident, seq, score, title in kept.itertuples(index=False)])
+        held = kept.sort_values(["seq", "source"], kind="stable").drop_duplicates("id", keep="last").sort_values(["score", "id"], ascending=[False, True])
         held["rank"] = range(1, len(held) + 1)
         ended = pd.DataFrame([(source, None, 0, None, status, 0) for source, (_, status) in sorted(seen.items()) if status], columns=[*held.columns])
         return pd.concat([x for x in (held, ended) if len(x)] or [held]).assign(query_id=key[0])[_MERGED]

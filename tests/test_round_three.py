@@ -1,15 +1,21 @@
 """What the third review found."""
 
 import os
+import sys
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sparkseek import queries, source_queries
-from sparkseek.operators import search
+from sparkseek.operators import search, usage
 from sparkseek.operators.index import analysed, build_index, packed_postings, query_terms
 from sparkseek.plans import root_search
 from sparkseek.plans.root_search import Source, Sources
 from sparkseek.sources.index_store import read_index, write_index
+from sparkseek.streaming import state
+
+sys.path.insert(0, os.path.dirname(__file__))
+from test_sources_and_streams import run_stream  # noqa: E402
 
 
 def test_packages_of_one_url_are_verified_each_by_its_own_entry(spark, tmp_path):
@@ -80,3 +86,46 @@ def test_postings_of_a_range_of_documents_are_written_where_they_are_read(spark,
     files = index.postings.groupBy(name.alias("file")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).orderBy("low").collect()
     assert len(files) > 1 and all(a.high < b.low for a, b in zip(files, files[1:], strict=False))
     assert {r.df for r in index.term_stats.where("key IN ('red', 'car')").collect()} == {400}
+
+
+class _Calls:
+    """A state of a stream that counts what is asked of it."""
+
+    def __init__(self):
+        self.kept, self.calls = [], 0
+
+    def __getattr__(self, name):
+        def call(*given):
+            self.calls += 1
+            if name == "appendList":
+                self.kept += given[0]
+            if name == "put":
+                self.kept = list(given[0])
+            return {"get": iter(self.kept), "iterator": iter([]), "exists": False}.get(name)
+
+        return call
+
+
+def test_results_of_a_query_are_kept_by_few_calls():
+    merged = state._Merged(0, None)
+    merged.handle, merged.rows, merged.sources, merged.due = None, _Calls(), _Calls(), _Calls()
+    for seq in range(4):
+        batch = pd.DataFrame({"source": "a", "seq": seq, "volatile": False, "id": [f"r{k}" for k in range(2000)], "score": float(seq), "title": "", "status": None})
+        (shown,) = merged.handleInputRows((1,), iter([batch]), None)
+        assert len(shown) == 2000 and set(shown["score"]) == {float(seq)}
+    assert merged.rows.calls + merged.sources.calls + merged.due.calls < 40 and len(merged.rows.kept) < 8000
+
+
+def test_many_ids_of_a_stream_go_through_one_call(spark, tmp_path):
+    launches = [(f"i{k % 30}" if k % 7 else None, "app", 1000 * ((k * 37) % 90)) for k in range(90)]
+    schema = "id string, kind string, ts long"
+    rows = run_stream(spark, tmp_path, [launches[:40], launches[40:]], lambda s: state.stream_usage(s, buckets=1), schema)
+    last = {r.id: (round(r.usage_score, 9), r.last_launched) for r in rows}
+    assert last == {r.id: (round(r.usage_score, 9), r.last_launched) for r in usage.usage_scores(spark.createDataFrame(launches, schema)).collect()}
+
+
+def test_calls_of_many_sources_go_through_one_call(spark, tmp_path):
+    calls = [(f"s{k % 4}", 400 * k, k, k % 3 == 0) for k in range(120)]
+    schema = "source string, ts long, seq long, ok boolean"
+    rows = run_stream(spark, tmp_path, [calls[:50], calls[50:90], calls[90:]], lambda s: state.stream_health(s, buckets=1), schema)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, state.health_gate(spark.createDataFrame(calls, schema)).collect()))
