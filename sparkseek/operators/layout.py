@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sparkseek.functions.storage import numbered
@@ -29,49 +36,134 @@ def ocr_reading_text(ocr_rows: DataFrame, min_conf: float = 50, max_boxes: int =
     return text, boxes
 
 
-BLANK = r"^[\s\x0b\x1c-\x1f\x85\p{Z}]+$"
-_LINE = "line int, middle double, height double, edge double, ended boolean, words array<struct<at int, line int>>"
+#: Blanks besides the separators of Unicode.
+BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85"
+LINE_ENDS = ("\r", "\n", "\r\n")
+#: What page_layout() takes of a page, unless told otherwise.
+MAX_GLYPHS, MAX_WORDS = 20_000, 4_000
+#: Glyphs that are laid out at a time, in whole pages.
+_GLYPHS = 500_000
+_SIDES = ["left", "right", "top", "bottom"]
 
 
-def page_layout(glyphs: DataFrame, max_glyphs: int = 20_000, max_words: int = 4_000) -> DataFrame:
+def page_layout(glyphs: DataFrame, max_glyphs: int = MAX_GLYPHS, max_words: int = MAX_WORDS) -> DataFrame:
     """(doc_id, page, line, word, text, left, right, top, bottom, truncated): words and lines of glyphs(doc_id, page, seq,
     ch, left, right, top, bottom). A line ends at a line end, or where a glyph's middle is off the line's by 0.6 of its
     height; a word ends at a blank, or at a gap over 0.25 of it. Pages beyond a cap are marked truncated; glyphs without
     a character are none.
 
-    One page is one group, which max_glyphs bounds: its glyphs are folded in order, with the middle and height that a
-    line is compared with, the right edge of the word so far and where words began. A word is the slice of glyphs up to
-    the next one's."""
-    order = Window.partitionBy("doc_id", "page").orderBy("seq")
-    kept = glyphs.where(F.length("ch") > 0).withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_glyphs + 1)
-    pages = kept.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("n", "ch", "left", "right", "top", "bottom"))).alias("all"))
-
-    def follow(so_far: Column, g: Column) -> Column:
-        begun = so_far["middle"].isNotNull()
-        height, middle = F.greatest(g["bottom"] - g["top"], F.lit(1e-9)), (g["top"] + g["bottom"]) / 2
-        moved = begun & (so_far["ended"] | F.coalesce(F.abs(middle - so_far["middle"]) > 0.6 * so_far["height"], F.lit(False)))
-        first = ~begun | moved
-        used = F.when(first, height).otherwise(so_far["height"])
-        line = so_far["line"] + moved.cast("int")
-        opens = first | so_far["edge"].isNull() | F.coalesce(g["left"] - so_far["edge"] > 0.25 * used, F.lit(False))
-        edge = F.when(opens, g["right"]).otherwise(F.greatest(so_far["edge"], g["right"]))
-        words = F.when(opens & (F.size(so_far["words"]) <= max_words), F.array_append(so_far["words"], F.struct(g["n"].alias("at"), line.alias("line")))).otherwise(so_far["words"])
-        on = lambda **new: F.struct(*(new.get(c, so_far[c]).alias(c) for c in (f.split()[0] for f in _LINE.split(", ")[:5])), new.get("words", so_far["words"]).alias("words"))
-        none = F.lit(None).cast("double")
-        shown = on(line=line, middle=F.when(first, middle).otherwise(so_far["middle"]), height=used, edge=edge, ended=F.lit(False), words=words)
-        return F.when(g["ch"].isin("\r", "\n", "\r\n"), on(edge=none, ended=so_far["ended"] | begun)).when(g["ch"].rlike(BLANK), on(edge=none)).otherwise(shown)
-
-    start = F.from_json(F.lit('{"line": 0, "ended": false, "words": []}'), _LINE)
-    within = pages.withColumn("glyphs", F.slice("all", 1, max_glyphs)).withColumn("found", F.aggregate("glyphs", start, follow, lambda end: end["words"]))
-    stop = lambda k: F.coalesce(F.get("found", k + 1)["at"], F.size("glyphs") + 1)
-    words = F.transform(F.slice("found", 1, max_words), lambda w, k: F.struct(w["line"].alias("line"), k.alias("word"), F.slice("glyphs", w["at"], stop(k) - w["at"]).alias("glyphs")))
-    cut = (F.size("all") > max_glyphs) | (F.size("found") > max_words)
-    each = within.select("doc_id", "page", F.explode(words).alias("w"), cut.alias("truncated"))
-    inked = each.select("doc_id", "page", "w.line", "w.word", F.filter("w.glyphs", lambda g: ~g["ch"].rlike(BLANK)).alias("g"), "truncated")
-    return inked.select(
-        "doc_id", "page", "line", "word", F.array_join("g.ch", "").alias("text"), F.array_min("g.left").alias("left"), F.array_max("g.right").alias("right"),
-        F.array_min("g.top").alias("top"), F.array_max("g.bottom").alias("bottom"), "truncated",
-    )
+    One page is one group, which max_glyphs bounds. Whoever has pages whole gives pages(doc_id, page, glyphs), a row for
+    each with an array of its glyphs (seq, ch, left, right, top, bottom), and no glyph is shuffled."""
+    if "glyphs" not in glyphs.columns:
+        order = Window.partitionBy("doc_id", "page").orderBy("seq")
+        kept = glyphs.where(F.length("ch") > 0).withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_glyphs + 1)
+        each = F.struct(F.col("n").cast("long").alias("seq"), "ch", *(F.col(c).cast("double").alias(c) for c in _SIDES))
+        glyphs = kept.groupBy("doc_id", "page").agg(F.collect_list(each).alias("glyphs"))
+    pages = glyphs.select("doc_id", "page", F.col("glyphs").cast("array<struct<seq:bigint,ch:string,left:double,right:double,top:double,bottom:double>>"))
+    ids = pages.schema.fields[:2]
+    double = T.DoubleType()
+    shape = T.StructType([*ids, T.StructField("line", T.IntegerType()), T.StructField("word", T.IntegerType()), T.StructField("text", T.StringType()), *(T.StructField(c, double) for c in _SIDES), T.StructField("truncated", T.BooleanType())])
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(batch.column("glyphs").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(ends):  # pages of about _GLYPHS glyphs
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _GLYPHS, "right")))
+                if (found := _laid_out(batch.slice(at, to - at), max_glyphs, max_words)) is not None:
+                    yield found
+                at = to
+
+    return pages.mapInArrow(lay, shape)
+
+
+def _exceeds(a: float, b: float) -> bool:
+    """a > b as Spark compares: NaN is above all other numbers."""
+    return a > b or (a != a and b == b)
+
+
+def _laid_out(pages: pa.RecordBatch, max_glyphs: int, max_words: int) -> pa.RecordBatch | None:
+    """Words of whole pages, see page_layout(); None where they have none. Only glyphs at which a line or word may begin are
+    looked at one by one, as what they are compared with depends on the lines and words before."""
+    listed = pages.column("glyphs")
+    page = np.repeat(np.arange(len(listed)), listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    seq, ch, *sides = listed.flatten().flatten()
+    seq = seq.to_numpy(zero_copy_only=False)
+    there = pc.fill_null(pc.greater(pc.binary_length(ch), 0), False).to_numpy(zero_copy_only=False)
+    chosen = np.flatnonzero(there)
+    if np.any((seq[chosen][1:] < seq[chosen][:-1]) & (page[chosen][1:] == page[chosen][:-1])):
+        chosen = chosen[np.lexsort((seq[chosen], page[chosen]))]
+    size = np.bincount(page[chosen], minlength=len(listed))
+    chosen = chosen[np.arange(len(chosen)) - (np.cumsum(size) - size)[page[chosen]] < max_glyphs]
+    codes = ch.take(pa.array(chosen)).dictionary_encode()
+    known = [2 if c in LINE_ENDS else int(all(x in BLANKS or unicodedata.category(x)[0] == "Z" for x in c)) for c in codes.dictionary.to_pylist()]
+    kind = np.array(known, np.int8)[codes.indices.to_numpy()]
+    shown = np.flatnonzero(kind == 0)
+    if not len(shown):
+        return None
+    n = len(shown)
+    chosen, ended = chosen[shown], np.cumsum(kind == 2)[shown]
+    page = page[chosen]
+    sides = [x.take(pa.array(chosen)) for x in sides]
+    absent = [x.is_null().to_numpy(zero_copy_only=False) for x in sides]
+    left, right, top, bottom = values = [x.to_numpy(zero_copy_only=False) for x in sides]
+    after = lambda change, opening=True: np.append(opening, change)
+    opening, broken, gap = after(page[1:] != page[:-1]), after(ended[1:] > ended[:-1]), after(np.diff(shown) > 1)
+
+    # Lines: a glyph as high as the one before, and at its height, is on its line.
+    flat = absent[2] | absent[3]
+    with np.errstate(all="ignore"):
+        middle, height = (top + bottom) / 2, np.where(flat, 1e-9, np.maximum(bottom - top, 1e-9))
+        near = (middle[1:] == middle[:-1]) & (height[1:] == height[:-1]) & np.isfinite(middle[1:]) & ~flat[1:] & ~flat[:-1]
+    at = np.flatnonzero(opening | broken | after(~near))
+    first, lines = [], []
+    begun, line, reference, used = False, 0, 0.0, 0.0
+    for new, end, none, m, h in zip(*(x[at].tolist() for x in (opening, broken, flat, middle, height)), strict=True):
+        if new:
+            begun, line = False, 0
+        moved = begun and (end or (not none and _exceeds(abs(m - reference), 0.6 * used)))
+        first.append(moved or not begun)
+        line += moved
+        if first[-1]:
+            begun, reference, used = not none, m, h
+        lines.append(line)
+    begins = np.zeros(n, bool)
+    begins[at] = first
+    lines = np.repeat(lines, np.diff(np.append(at, n)))
+    quarter = 0.25 * height[np.maximum.accumulate(np.where(begins, np.arange(n), 0))]
+
+    # Words: the right edge so far is that of the glyph before, or beyond it.
+    forced = opening | begins | gap
+    with np.errstate(all="ignore"):
+        close = absent[0][1:] | (left[1:] - right[:-1] <= quarter[1:])
+    sound = not np.any(np.isnan(right) & ~absent[1])  # what is no number stays the edge
+    at = np.flatnonzero(forced | after(~close | absent[1][:-1])) if sound else np.arange(n)
+    if not np.all(forced[at]):
+        opens, edge = [], None
+        furthest, none = np.fmax.reduceat(right, at), np.logical_and.reduceat(absent[1], at)
+        for new, x, no_left, q, r, no_right in zip(*(x.tolist() for x in (forced[at], left[at], absent[0][at], quarter[at], furthest, none)), strict=True):
+            opens.append(new or edge is None or (not no_left and _exceeds(x - edge, q)))
+            if opens[-1]:
+                edge = None if no_right else r
+            elif not no_right and _exceeds(r, edge):
+                edge = r
+        at = at[opens]
+    of = page[at]
+    ordinal = np.arange(len(at)) - np.searchsorted(of, of)
+    n_words = np.bincount(of, minlength=len(listed))
+    kept = pa.array(ordinal < max_words)
+
+    text = ch.take(pa.array(chosen))
+    offsets = np.frombuffer(text.buffers()[1], np.int32, n + 1)[np.append(at, n)]
+    whole = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets.tobytes()), text.buffers()[2])
+    least = lambda k: pa.array(np.fmin.reduceat(values[k], at), mask=np.logical_and.reduceat(absent[k], at))
+    most = lambda k: pa.array(np.maximum.reduceat(np.where(absent[k], -np.inf, values[k]), at), mask=np.logical_and.reduceat(absent[k], at))
+    cut = (size > max_glyphs) | (n_words > max_words)
+    columns = [
+        pages.column("doc_id").take(pa.array(of)), pages.column("page").take(pa.array(of)), pa.array(lines[at].astype(np.int32)), pa.array(ordinal.astype(np.int32)), whole,
+        least(0), most(1), least(2), most(3), pa.array(cut[of]),
+    ]
+    return pa.RecordBatch.from_arrays([c.filter(kept) for c in columns], names=["doc_id", "page", "line", "word", "text", *_SIDES, "truncated"])
 
 
 def span_boxes(words: DataFrame, terms: DataFrame, jump: float = 2.0, max_boxes: int = 400, stem: bool = True) -> DataFrame:

@@ -948,9 +948,15 @@ layout AS (SELECT doc_id, page, line::INTEGER AS line, word::INTEGER AS word, st
 @query("page_layout", f'WITH {GLYPHS} SELECT doc_id, page, line, word, text, "left", "right", top, bottom, false AS truncated FROM layout')
 def page_layout(spark, d):
     """Turns as pages of glyphs, forty characters to a line."""
-    turn = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), F.posexplode(F.split("text", "")).alias("seq", "ch")).where(F.length("ch") == 1)
-    x, y = F.col("seq") % 40 * 10.0, F.floor(F.col("seq") / 40) * 12.0
-    return layout.page_layout(turn.select("doc_id", "page", "seq", "ch", x.alias("left"), (x + 9.5).alias("right"), y.alias("top"), (y + 10.0).alias("bottom")))
+    turn = table(spark, d, "conversations").where(F.length("text") > 0).groupBy(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page")).agg(F.collect_list("text").alias("texts"))
+
+    def glyph(ch, seq):
+        x, y = seq % 40 * 10.0, F.floor(seq / 40) * 12.0
+        return F.struct(seq.cast("long").alias("seq"), ch.alias("ch"), x.alias("left"), (x + 9.5).alias("right"), y.alias("top"), (y + 10.0).alias("bottom"))
+
+    # as page_layout() says, a page's glyphs beyond its cap are looked at no further than that there is one
+    each = F.transform("texts", lambda text: F.transform(F.slice(F.split(text, ""), 1, layout.MAX_GLYPHS + 1), glyph))
+    return layout.page_layout(turn.select("doc_id", "page", F.flatten(each).alias("glyphs")))
 
 
 @query("span_boxes", f"""WITH {GLYPHS}, q AS (SELECT r_regionkey AS query_id, unnest(string_split(['the house', 'what is', 'a list of', 'please help', 'can you'][r_regionkey + 1], ' ')) AS term FROM region),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkseek.operators import catalog, classify, convert, layout, refresh
 from sparkseek.operators.index import query_terms
+from sparkseek.queries import QUERIES
 
 
 def test_content_types(spark):
@@ -144,6 +145,36 @@ def test_page_layout(spark):
     assert [(r.query_id, r.left, r.right) for r in boxes] == [(1, 0.0, 10.0)]
 
 
+def test_page_layout_of_whole_pages_moves_no_glyphs(spark, tmp_path):
+    """A page given whole is laid out as its glyphs are; of the query's turns only texts are shuffled, and one page's are one."""
+    page = glyphs(spark, ("a", 0, 0), ("b", 5, 0), (" ", 10, 0), ("c", 15, 0), ("d", 40, 0), ("e", 0, 20), ("\n", 5, 20), ("f", 0, 20), ("", 5, 20))
+    boxes = page.groupBy("doc_id", "page").agg(F.collect_list(F.struct("seq", "ch", "left", "right", "top", "bottom")).alias("glyphs"))
+    backwards = boxes.withColumn("glyphs", F.reverse("glyphs"))
+    for caps in ({}, {"max_glyphs": 4}, {"max_words": 2}):
+        expected = sorted(layout.page_layout(page, **caps).collect())
+        assert sorted(layout.page_layout(boxes, **caps).collect()) == sorted(layout.page_layout(backwards, **caps).collect()) == expected
+    turns = spark.createDataFrame([(1, 0, "user", "ab c\nd"), (1, 1, "user", None), (1, 2, "user", ""), (2, 0, "user", "x" * 50), (1, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    words = QUERIES["page_layout"](spark, str(tmp_path))
+    assert [tuple(r)[:5] for r in words.orderBy("doc_id", "word").collect()] == [(1, 0, 0, 0, "ab"), (1, 0, 0, 1, "c"), (1, 0, 1, 2, "d"), (2, 0, 0, 0, "x" * 40), (2, 0, 1, 1, "x" * 10)]
+    plan = words._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "explode" not in plan and plan.count("Aggregate") == 1
+
+
+def test_page_layout_of_odd_boxes(spark):
+    """Boxes without a side, or with one that is no number, and glyphs that reach back over others."""
+    nan = float("nan")
+    rows = [
+        (1, 0, 0, "a", 0.0, 5.0, None, 10.0), (1, 0, 1, "b", 5.0, 10.0, 0.0, 10.0), (1, 0, 2, "c", 10.0, None, 0.0, 10.0), (1, 0, 3, "d", 15.0, 20.0, 0.0, 10.0),
+        (2, 0, 0, "a", 0.0, 50.0, 0.0, 10.0), (2, 0, 1, "b", 5.0, 10.0, 0.0, 10.0), (2, 0, 2, "c", 51.0, 55.0, 0.0, 10.0), (2, 0, 3, "d", None, 60.0, 0.0, 10.0),
+        (3, 0, 0, "a", 0.0, nan, 0.0, 10.0), (3, 0, 1, "b", 5.0, 10.0, nan, 10.0), (3, 0, 2, "c", 10.0, 15.0, 0.0, 10.0),
+    ]
+    boxes = spark.createDataFrame(rows, "doc_id long, page int, seq int, ch string, left double, right double, top double, bottom double")
+    words = layout.page_layout(boxes).orderBy("doc_id", "word").collect()
+    assert [(r.doc_id, r.line, r.text) for r in words] == [(1, 0, "a"), (1, 0, "bc"), (1, 0, "d"), (2, 0, "abcd"), (3, 0, "a"), (3, 1, "bc")]
+    assert [(r.left, r.right) for r in words[:4]] == [(0.0, 5.0), (5.0, 10.0), (15.0, 20.0), (0.0, 60.0)] and words[0].top is None
+
+
 def test_dominant_hue(spark):
     rows = [("i", 255, 0, 0, 255)] * 3 + [("i", 0, 0, 255, 255)] * 2 + [("i", 255, 255, 255, 255)] * 9 + [("i", 0, 255, 0, 0)] * 9 + [("j", 128, 128, 128, 255)] + [("k", 200, 120, 40, 255)]
     got = {r.image: r for r in layout.dominant_hue(spark.createDataFrame(rows, "image string, r int, g int, b int, a int")).collect()}
