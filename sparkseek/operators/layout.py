@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sparkseek.functions.storage import numbered
+from sparkseek.functions.storage import numbered, written
 from sparkseek.operators.index import keyed, tokens
 
 
@@ -44,6 +44,8 @@ MAX_GLYPHS, MAX_WORDS = 20_000, 4_000
 #: Glyphs that are laid out at a time, in whole pages.
 _GLYPHS = 500_000
 _SIDES = ["left", "right", "top", "bottom"]
+#: So many terms are broadcast to the words.
+_FEW = 200_000
 
 
 def page_layout(glyphs: DataFrame, max_glyphs: int = MAX_GLYPHS, max_words: int = MAX_WORDS) -> DataFrame:
@@ -168,9 +170,12 @@ def _laid_out(pages: pa.RecordBatch, max_glyphs: int, max_words: int) -> pa.Reco
 
 def span_boxes(words: DataFrame, terms: DataFrame, jump: float = 2.0, max_boxes: int = 400, stem: bool = True) -> DataFrame:
     """(query_id, doc_id, page, span, left, right, top, bottom): boxes around neighbouring words of page_layout() that
-    match a query, a new one where the top jumps; at most max_boxes of a page."""
-    found = keyed(tokens(words.withColumn("at", F.struct("doc_id", "page", "word")), "at"), stem).join(terms.select("query_id", "key"), "key")
-    hits = found.select("query_id", F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.page").alias("page"), F.col("doc_id.word").alias("word")).distinct().join(words, ["doc_id", "page", "word"])
+    match a query, a new one where the top jumps; at most max_boxes of a page. Words are laid out and read once, with their
+    boxes, and only those that match are moved where the terms are few."""
+    asked = written(terms.select("query_id", "key").distinct())
+    boxed = words.select(F.struct("doc_id", "page", "word", *_SIDES).alias("at"), "text")
+    found = keyed(tokens(boxed, "at"), stem).join(F.broadcast(asked) if asked.limit(_FEW + 1).count() <= _FEW else asked, "key")
+    hits = found.groupBy("query_id", *(F.col(f"doc_id.{c}").alias(c) for c in ("doc_id", "page", "word"))).agg(*(F.first(f"doc_id.{c}").alias(c) for c in _SIDES))
     order = Window.partitionBy("query_id", "doc_id", "page").orderBy("word")
     apart = (F.col("word") - F.lag("word").over(order) > 1) | (F.abs(F.col("top") - F.lag("top").over(order)) > jump)
     spans = hits.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

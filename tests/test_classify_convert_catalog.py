@@ -175,6 +175,14 @@ def test_page_layout_of_odd_boxes(spark):
     assert [(r.left, r.right) for r in words[:4]] == [(0.0, 5.0), (5.0, 10.0), (15.0, 20.0), (0.0, 60.0)] and words[0].top is None
 
 
+def test_span_boxes_lay_out_pages_once(spark):
+    page = glyphs(spark, *((c, 5 * k, 0) for k, c in enumerate("ab")), ("c", 15, 0), ("-", 20, 0), ("c", 25, 0), ("d", 50, 0), ("d", 55, 0), *((c, 5 * k, 40) for k, c in enumerate("ab")))
+    asked = query_terms(spark.createDataFrame([(1, "ab dd"), (2, "dd"), (3, "zz")], "query_id int, query_text string"), stem=False)
+    boxes = layout.span_boxes(layout.page_layout(page.withColumn("doc_id", F.lit(None).cast("long"))), asked, stem=False)
+    assert sorted((r.query_id, r.span, r.left, r.right, r.top) for r in boxes.collect()) == [(1, 1, 0.0, 10.0, 0.0), (1, 2, 50.0, 60.0, 0.0), (1, 3, 0.0, 10.0, 40.0), (2, 1, 50.0, 60.0, 0.0)]
+    assert boxes._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_dominant_hue(spark):
     rows = [("i", 255, 0, 0, 255)] * 3 + [("i", 0, 0, 255, 255)] * 2 + [("i", 255, 255, 255, 255)] * 9 + [("i", 0, 255, 0, 0)] * 9 + [("j", 128, 128, 128, 255)] + [("k", 200, 120, 40, 255)]
     got = {r.image: r for r in layout.dominant_hue(spark.createDataFrame(rows, "image string, r int, g int, b int, a int")).collect()}
