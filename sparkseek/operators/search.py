@@ -23,6 +23,8 @@ _BROADCAST = 200_000
 #: So many keys are pushed to a scan; so many rows of terms are looked at for that.
 _PUSHED = 500
 _HEAD = 20_000
+#: Of queries of more terms, blocks that lack one of the so many rarest are left out before any other term is looked at.
+_RAREST = 3
 #: Documents of a task that finds their best lines for every query.
 _DOCS = 8192
 
@@ -125,7 +127,10 @@ def scored_blocks(terms: DataFrame, index: Index, limit: int, first: int = 64, p
     possible score is known before its postings are read. For each query, the first blocks by these bounds are scored; the
     score of the last hit is a threshold, and of the others only blocks that can reach it are scored. Blocks of a query
     that isn't ranked go by their first possible document instead. Frequencies of single keys are in the index; only for
-    prefixes of several keys documents are counted."""
+    prefixes of several keys documents are counted.
+
+    Of long queries, only blocks that have the rarest terms are gathered for the others: what is grouped goes by the
+    documents that may be hits, not by all that have one of the words."""
     wanted = expanded(terms, index)
     head = wanted.limit(_HEAD + 1).collect()
     if len(head) <= _HEAD:
@@ -136,7 +141,7 @@ def scored_blocks(terms: DataFrame, index: Index, limit: int, first: int = 64, p
         keys, few, many_keys, n_queries = None, _small(wanted), True, wanted.select("query_id").distinct().count()
     postings = _with_keys(index.postings.select("key", "seg", "block", "doc_id", "tf", "len"), keys).join(few, "key")
     n, mean = index.scope[0], index.scope[1] / max(1, index.scope[0])
-    df = written(few.join(_with_keys(index.term_stats, keys), "key").groupBy("query_id", "ord").agg(F.sum("df").alias("df"), F.count("*").alias("n_keys"), F.first("ranked").alias("ranked")))
+    df = written(few.join(_with_keys(index.term_stats, keys), "key").groupBy("query_id", "ord").agg(F.sum("df").alias("df"), F.count("*").alias("n_keys"), F.first("ranked").alias("ranked"), F.first("n_terms").alias("n_terms")))
     n_rows = df.agg(F.sum("df")).first()[0] or 0
     if many_keys:
         several = df.where("n_keys > 1 AND ranked").select("query_id", "ord")
@@ -147,6 +152,17 @@ def scored_blocks(terms: DataFrame, index: Index, limit: int, first: int = 64, p
     idf = F.broadcast(idf) if len(head) <= _HEAD else _small(idf)
     part = F.when(F.col("ranked"), F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))).otherwise(0.0)
 
+    of_blocks, anchors, n_anchors = _with_keys(index.blocks, keys).join(few, "key"), None, 0
+    if (df.agg(F.max("n_terms")).first()[0] or 0) > _RAREST:
+        whole = df.withColumn("known", F.count("*").over(Window.partitionBy("query_id"))).where(F.col("known") == F.col("n_terms"))
+        nth = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "ord"))
+        rarest = whole.withColumn("nth", nth).where(F.col("nth") <= _RAREST).select("query_id", "ord")
+        held = of_blocks.join(F.broadcast(rarest) if len(head) <= _HEAD else _small(rarest), ["query_id", "ord"], "left_semi")
+        held = held.select("query_id", "ord", "seg", "block", "n_terms").distinct().groupBy("query_id", "seg", "block").agg(F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
+        anchors = written(held.where(F.col("found") == F.least("n_terms", F.lit(_RAREST))).select("query_id", "seg", "block"))
+        n_anchors = anchors.count()
+        of_blocks = of_blocks.join(F.broadcast(anchors) if n_anchors <= _BROADCAST else anchors, ["query_id", "seg", "block"], "left_semi")
+
     def scores(chosen: DataFrame | None, n_blocks: int) -> DataFrame:
         read = postings
         if chosen is not None:
@@ -159,10 +175,10 @@ def scored_blocks(terms: DataFrame, index: Index, limit: int, first: int = 64, p
         )
 
     if n_rows < prune_from:
-        return _top(scores(None, 0), limit), None
+        return _top(scores(anchors, n_anchors), limit), None
     bound = F.when(F.col("ranked"), F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B) / F.col("max_tf") + K1 * B / (F.col("max_share") * mean))).otherwise(0.0)
     blocks = written(
-        _with_keys(index.blocks, keys).join(few, "key").groupBy("query_id", "ord", "seg", "block", "ranked", "n_terms")
+        of_blocks.groupBy("query_id", "ord", "seg", "block", "ranked", "n_terms")
         .agg(F.sum("n").alias("rows"), F.sum("max_tf").alias("max_tf"), F.sum("max_share").alias("max_share"), F.min("first_doc").alias("first_doc"))
         .join(idf, ["query_id", "ord"]).groupBy("query_id", "seg", "block", "ranked", "n_terms")
         .agg(F.sum(bound).alias("bound"), F.count("*").alias("found"), F.max("first_doc").alias("first_doc"), F.sum("rows").alias("rows"))

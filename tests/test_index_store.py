@@ -170,6 +170,30 @@ def test_few_postings_of_common_words_are_scored(spark, tmp_path):
     assert seen[1] < 0.25 and seen[2] < 0.25
 
 
+def test_long_queries_gather_only_blocks_with_their_rarest_terms(spark, tmp_path, monkeypatch):
+    """Words of nearly all documents aren't grouped for documents that lack a query's rare ones; the hits are those of a
+    search that scores all, with prefixes, queries of few terms and terms that no document has."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('one two three four five ', if(id % 100 = 7, 'rare ', ''), if(id % 50 = 7, 'seldom ', ''), if(id % 3 = 0, 'sixth', 'sixty'), repeat(' pad', int(id % 4))) AS text")
+    write_index(build_index(docs, stem=False), str(tmp_path / "i"))
+    index = read_index(spark, str(tmp_path / "i"))
+    asked = [(1, "one two three four five rare seldom six"), (2, "one two three four five none"), (3, "rare"), (4, "one two sixty"), (5, "seldom one two three sixth"), (6, "there and the of it")]
+    terms = query_terms(spark.createDataFrame(asked, "query_id long, query_text string"), stem=False)
+    gathered, write = [], search.written
+
+    def watched(df):
+        out = write(df)
+        if out.columns == ["query_id", "seg", "block"]:
+            gathered.append({r.query_id: r["count"] for r in out.groupBy("query_id").count().collect()})
+        return out
+
+    monkeypatch.setattr(search, "written", watched)
+    want = sorted(map(tuple, search.search(terms, build_index(docs, stem=False), limit=5).selectExpr("query_id", "rank", "doc_id", "round(score, 9)").collect()))
+    for prune_from in (0, 1 << 40):
+        hits = search.scored_blocks(terms, index, limit=5, prune_from=prune_from)[0]
+        assert sorted(map(tuple, hits.selectExpr("query_id", "rank", "doc_id", "round(score, 9)").collect())) == want
+    assert {q for q, *_ in want} == {1, 3, 4, 5} and [g[1] for g in gathered] == [4, 4] and all(2 not in g and g[5] == 8 for g in gathered)
+
+
 def test_readers_of_positions_equal_those_of_texts(spark, both):
     frame, plain, stored = both
     terms = asked(spark)
