@@ -120,7 +120,8 @@ def analysed(corpus: DataFrame, stem: bool = True, pages: DataFrame | None = Non
 def packed_postings(words: DataFrame, stem: bool) -> DataFrame:
     """(key, first, doc_ids, short, data): the postings of words as a Batch has them, in packs. A pack has what the documents of
     an Arrow batch, of at most 2 ** _PACK_BITS blocks, have of a key; first is the first one's block. Words are grouped where they are read, by a stable sort of their
-    codes, so no occurrence is shuffled or spilled alone; distinct words are stemmed once for a task.
+    codes, so no occurrence is shuffled or spilled alone; distinct words are stemmed once for a task. The documents of a batch
+    are taken some packs' blocks at a time, so that what is sorted in memory doesn't grow with the batch.
 
     data begins with the place of each document's record: its block, counted from first, its length, tf, n, positions and
     lines. n is 0 but for the first document of a block: how many have the key there. Then their largest tf follows, and
@@ -131,7 +132,14 @@ def packed_postings(words: DataFrame, stem: bool) -> DataFrame:
         changes = lambda *columns: np.flatnonzero(np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])))
         before = lambda counts: np.cumsum(counts) - counts
         stems: dict = {}
-        for batch in batches:
+
+        def parts(full: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            starts = changes(full.column("block").to_numpy() >> _PACK_BITS)
+            cuts = np.unique(starts[np.searchsorted(starts, np.arange(0, starts[-1] + 1, 1 << _BLOCK_BITS + _PACK_BITS))]).tolist()
+            for at, end in zip(cuts, [*cuts[1:], full.num_rows], strict=True):
+                yield full.slice(at, end - at)
+
+        for batch in (part for full in batches for part in parts(full)):
             n_words = batch.column("norms").value_lengths().to_numpy(zero_copy_only=False)
             norms = batch.column("norms").flatten().dictionary_encode()
             code, keys = norms.indices.to_numpy(), norms.dictionary

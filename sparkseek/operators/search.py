@@ -25,6 +25,9 @@ _PUSHED = 500
 _HEAD = 20_000
 #: Of queries of more terms, blocks that lack one of the so many rarest are left out before any other term is looked at.
 _RAREST = 3
+#: Of so many terms, words are compared with those that share their first letters; of more, their prefixes of all lengths are looked up.
+_HEADS = 2_000
+_LETTERS = 3
 #: Documents of a task that finds their best lines for every query.
 _DOCS = 8192
 
@@ -34,7 +37,15 @@ def expanded(terms: DataFrame, index: Index) -> DataFrame:
 
     Prefixes are expanded against the distinct keys only: keys are exploded into their prefixes of the lengths that
     queries have, so the expansion is an equi-join."""
-    asked = written(terms.withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id"))))
+    return _expanded(_asked(terms), index)
+
+
+def _asked(terms: DataFrame) -> DataFrame:
+    """terms with n_terms, written."""
+    return written(terms.withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id"))))
+
+
+def _expanded(asked: DataFrame, index: Index) -> DataFrame:
     columns = ["query_id", "ord", "key", "ranked", "n_terms"]
     prefixes = asked.where("is_last").withColumnRenamed("key", "prefix")
     lengths = prefixes.select(F.length("prefix").alias("k")).distinct().agg(F.collect_set("k").alias("lengths"))  # one row, as long as the longest word at most
@@ -46,16 +57,41 @@ def expanded(terms: DataFrame, index: Index) -> DataFrame:
     return written(asked.where(~F.col("is_last")).select(columns).unionByName(prefixes.join(starts, "prefix").select(columns)))
 
 
+def _matcher(asked: DataFrame, index: Index) -> Callable[[DataFrame], DataFrame]:
+    """A function that gives the rows of a table with a key for each term of asked that the key matches, with its query_id,
+    ord, ranked and n_terms; the last term of a query matches as a prefix.
+
+    Terms are broadcast, and not the keys that they stand for: these grow with the vocabulary, and where they are too many
+    for that, all postings would be moved to meet them. A key meets the terms that share its head, its first letters (a
+    shorter prefix is there for every head that it has in the index), or, for many terms, heads of all lengths that terms
+    have. Terms that are too many to be broadcast are expanded."""
+    n, lengths = asked.agg(F.count("*"), F.collect_set(F.length("key"))).first()
+    if not n:
+        return lambda df: df.limit(0).join(asked.drop("norm", "is_last"), "key")
+    if n > _BROADCAST:
+        wanted = _expanded(asked, index)
+        return lambda df: df.join(wanted, "key")
+    term, first = asked.select("query_id", "ord", "ranked", "n_terms", "is_last", F.col("key").alias("term")), lambda c: F.left(c, F.lit(_LETTERS))
+    head = None
+    if n <= _HEADS:
+        short = F.col("is_last") & (F.length("term") < _LETTERS)
+        known = index.term_stats.select(first("key").alias("head")).distinct()
+        heads = written(term.where(~short).withColumn("head", first("term")).unionByName(known.join(F.broadcast(term.where(short)), F.startswith("head", "term"))))
+        head = first("key") if heads.count() <= _BROADCAST else None
+    if head is None:
+        heads = term.withColumn("head", F.col("term"))
+        head = F.explode(F.array(*(F.when(F.length("key") >= k, F.left("key", F.lit(k))) for k in sorted(lengths))))
+    same = F.when(F.col("is_last"), F.startswith("key", "term")).otherwise(F.col("key") == F.col("term"))
+    return lambda df: df.withColumn("head", head).join(F.broadcast(heads), "head").where(same).drop("head", "term", "is_last")
+
+
 def term_matches(terms: DataFrame, index: Index) -> DataFrame:
     """(query_id, ord, doc_id, tf, df, ranked, n_terms): documents of each query term, the last one as a prefix.
 
-    An expanded prefix is one term: tf is summed, df counts documents with any expansion. The words that are asked for are
-    written and counted, and broadcast to the postings where they are few: then postings of other words are not moved at all."""
-    wanted = expanded(terms, index)
-    n = wanted.count()
-    postings = index.postings.select("key", "doc_id", "tf") if n else index.postings.select("key", "doc_id", "tf").limit(0)
+    An expanded prefix is one term: tf is summed, df counts documents with any expansion. Terms are broadcast to the
+    postings where they are few: then postings of other words are not moved at all."""
     found = (
-        postings.join(F.broadcast(wanted) if n <= _BROADCAST else wanted, "key")
+        _matcher(_asked(terms), index)(index.postings.select("key", "doc_id", "tf"))
         .groupBy("query_id", "ord", "doc_id", "ranked", "n_terms").agg(F.sum("tf").alias("tf"))
     )
     return found.join(found.groupBy("query_id", "ord").agg(F.count("*").alias("df")), ["query_id", "ord"])
@@ -131,17 +167,18 @@ def scored_blocks(terms: DataFrame, index: Index, limit: int, first: int = 64, p
 
     Of long queries, only blocks that have the rarest terms are gathered for the others: what is grouped goes by the
     documents that may be hits, not by all that have one of the words."""
-    wanted = expanded(terms, index)
-    head = wanted.limit(_HEAD + 1).collect()
+    asked = _asked(terms)
+    matching = _matcher(asked, index)
+    head = matching(index.term_stats).select("query_id", "ord", "key", "ranked").limit(_HEAD + 1).collect()
     if len(head) <= _HEAD:
         keys = sorted({r["key"] for r in head}) if len({r["key"] for r in head}) <= _PUSHED else None
         count = Counter((r["query_id"], r["ord"]) for r in head if r["ranked"])
-        few, many_keys, n_queries = F.broadcast(wanted), any(c > 1 for c in count.values()), len({r["query_id"] for r in head})
+        many_keys, n_queries = any(c > 1 for c in count.values()), len({r["query_id"] for r in head})
     else:
-        keys, few, many_keys, n_queries = None, _small(wanted), True, wanted.select("query_id").distinct().count()
-    postings = _with_keys(index.postings.select("key", "seg", "block", "doc_id", "tf", "len"), keys).join(few, "key")
+        keys, many_keys, n_queries = None, True, asked.select("query_id").distinct().count()
+    postings = matching(_with_keys(index.postings.select("key", "seg", "block", "doc_id", "tf", "len"), keys))
     n, mean = index.scope[0], index.scope[1] / max(1, index.scope[0])
-    df = written(few.join(_with_keys(index.term_stats, keys), "key").groupBy("query_id", "ord").agg(F.sum("df").alias("df"), F.count("*").alias("n_keys"), F.first("ranked").alias("ranked"), F.first("n_terms").alias("n_terms")))
+    df = written(matching(_with_keys(index.term_stats, keys)).groupBy("query_id", "ord").agg(F.sum("df").alias("df"), F.count("*").alias("n_keys"), F.first("ranked").alias("ranked"), F.first("n_terms").alias("n_terms")))
     n_rows = df.agg(F.sum("df")).first()[0] or 0
     if many_keys:
         several = df.where("n_keys > 1 AND ranked").select("query_id", "ord")
@@ -152,7 +189,7 @@ def scored_blocks(terms: DataFrame, index: Index, limit: int, first: int = 64, p
     idf = F.broadcast(idf) if len(head) <= _HEAD else _small(idf)
     part = F.when(F.col("ranked"), F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))).otherwise(0.0)
 
-    of_blocks, anchors, n_anchors = _with_keys(index.blocks, keys).join(few, "key"), None, 0
+    of_blocks, anchors, n_anchors = matching(_with_keys(index.blocks, keys)), None, 0
     if (df.agg(F.max("n_terms")).first()[0] or 0) > _RAREST:
         whole = df.withColumn("known", F.count("*").over(Window.partitionBy("query_id"))).where(F.col("known") == F.col("n_terms"))
         nth = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "ord"))
@@ -164,13 +201,17 @@ def scored_blocks(terms: DataFrame, index: Index, limit: int, first: int = 64, p
         of_blocks = of_blocks.join(F.broadcast(anchors) if n_anchors <= _BROADCAST else anchors, ["query_id", "seg", "block"], "left_semi")
 
     def scores(chosen: DataFrame | None, n_blocks: int) -> DataFrame:
-        read = postings
-        if chosen is not None:
-            chosen = chosen.select("query_id", "seg", "block")
-            read = postings.join(F.broadcast(chosen) if n_blocks <= _BROADCAST else chosen, ["query_id", "seg", "block"])
+        read, of = postings, []
+        chosen = None if chosen is None else chosen.select("query_id", "seg", "block")
+        if chosen is not None and n_blocks <= _BROADCAST:
+            read = postings.join(F.broadcast(chosen), ["query_id", "seg", "block"])
+        elif chosen is not None:  # postings are summed up where they are read, and their sums meet the blocks
+            of = ["seg", "block"]
+        summed = read.groupBy("query_id", "ord", *of, "doc_id", "len", "ranked", "n_terms").agg(F.sum("tf").alias("tf")).join(idf, ["query_id", "ord"])
+        if of:
+            summed = summed.join(chosen, ["query_id", *of])
         return (
-            read.groupBy("query_id", "ord", "doc_id", "len", "ranked", "n_terms").agg(F.sum("tf").alias("tf")).join(idf, ["query_id", "ord"])
-            .groupBy("query_id", "doc_id", "n_terms").agg(F.sum(part).alias("score"), F.count("*").alias("found"))
+            summed.groupBy("query_id", *of, "doc_id", "n_terms").agg(F.sum(part).alias("score"), F.count("*").alias("found"))
             .where(F.col("found") == F.col("n_terms")).select("query_id", "doc_id", "score")
         )
 
